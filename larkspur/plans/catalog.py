@@ -6,7 +6,7 @@ import importlib
 
 from larkspur.plans.registry import QUERIES, SQL
 
-_MODULES = ["columns"]
+_MODULES = ["columns", "missing", "aggregates"]
 
 
 def _load() -> None:
