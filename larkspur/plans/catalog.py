@@ -6,7 +6,7 @@ import importlib
 
 from larkspur.plans.registry import QUERIES, SQL
 
-_MODULES = ["columns", "missing", "aggregates"]
+_MODULES = ["columns", "missing", "aggregates", "calendars", "series"]
 
 
 def _load() -> None:
