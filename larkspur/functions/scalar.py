@@ -61,12 +61,28 @@ def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     return F.pmod(h, F.lit(2**31)).cast("double") / F.lit(float(2**31))
 
 
-def mix_hash(key: Column | str, seed: int = 0, mod: int = 1_000_003) -> Column:
-    """Uniform [0, 1) number from an integer key by two modular multiplications.
+MIX_PRIME = 1_000_003
 
-    Plain integer arithmetic, so any SQL engine reproduces it (``MIX`` in the twins).
+
+def mix_hash(key: Column | str, seed: Column | int = 0) -> Column:
+    """Uniform [0, 1) number from an integer key and a seed, in plain modular arithmetic.
+
+    Any SQL engine reproduces it (twin: ``mix``), and it is stable under repartitioning and retries.
     """
-    k = F.pmod(col(key).cast("bigint"), F.lit(mod)) + F.lit(seed * 7919 + 1)
-    a = F.pmod(k * F.lit(48271), F.lit(mod))
-    b = F.pmod(a * a + F.lit(12345) * a + F.lit(seed), F.lit(mod))
-    return b.cast("double") / F.lit(float(mod))
+    m = F.lit(MIX_PRIME)
+    s = F.lit(seed).cast("bigint") if isinstance(seed, int) else seed.cast("bigint")
+    a = F.pmod(F.pmod(col(key).cast("bigint"), m) * 48271 + s * 16807 + 1, m)
+    b = F.pmod(a * a + 31 * a, m)
+    return F.pmod(b * 69621 + a * (s + 7), m).cast("double") / F.lit(float(MIX_PRIME))
+
+
+# Cumulative Poisson(1) probabilities
+POISSON1 = [0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.98101184312384626, 0.99634015317265634, 0.99940581518241833, 0.99991675885071198, 0.99998975080332532]
+
+
+def poisson1(u: Column) -> Column:
+    """Poisson(1) count from a uniform number: the bootstrap weight of a row (plain comparisons, so it stays in codegen)."""
+    total = F.lit(0)
+    for p in POISSON1:
+        total = total + (u >= F.lit(p)).cast("int")
+    return total

@@ -6,7 +6,7 @@ import importlib
 
 from larkspur.plans.registry import QUERIES, SQL
 
-_MODULES = ["columns", "missing", "aggregates", "calendars", "series", "texts", "joining", "scoring"]
+_MODULES = ["columns", "missing", "aggregates", "calendars", "series", "texts", "joining", "scoring", "preparing"]
 
 
 def _load() -> None:

@@ -6,7 +6,7 @@ from larkspur.functions.scalar import flag, haversine_km, rnd
 from larkspur.operators import joins
 from larkspur.operators.neighbors import knn
 from larkspur.operators.prefix import exact_quantiles
-from larkspur.plans.registry import query, r6
+from larkspur.plans.registry import mix, query, r6
 from larkspur.plans.series import events
 from larkspur.plans.views import view
 
@@ -177,10 +177,7 @@ def top_override(t):
     return s.select("id", rnd(F.when(F.col("amount") >= cut, F.col("score") * 1.2).otherwise(F.col("score"))).alias("score"))
 
 
-_MIX = "((((p_partkey % 1000003 + 1) * 48271) % 1000003) * (((p_partkey % 1000003 + 1) * 48271) % 1000003) + 12345 * (((p_partkey % 1000003 + 1) * 48271) % 1000003)) % 1000003 / 1000003.0::DOUBLE"
-
-
-@query("union_relabel", f"SELECT p_partkey, p_brand AS label FROM part WHERE p_brand IN ({_HEAD}) UNION ALL SELECT p_partkey, 'REJECT' AS label FROM part WHERE p_brand NOT IN ({_HEAD}) AND {_MIX} < 0.3")
+@query("union_relabel", f"SELECT p_partkey, p_brand AS label FROM part WHERE p_brand IN ({_HEAD}) UNION ALL SELECT p_partkey, 'REJECT' AS label FROM part WHERE p_brand NOT IN ({_HEAD}) AND {mix('p_partkey')} < 0.3")
 def union_relabel(t):
     from larkspur.functions.scalar import mix_hash
     head = t.part.groupBy("p_brand").count().filter("count >= 80")

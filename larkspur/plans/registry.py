@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.functions.scalar import ROUND_SHIFT
+from larkspur.functions.scalar import MIX_PRIME, POISSON1, ROUND_SHIFT
 from larkspur.plans.views import with_views
 from larkspur.sources.tables import Tables
 
@@ -38,3 +38,15 @@ def r6(expr: str, digits: int = 6) -> str:
     """Twin of :func:`larkspur.functions.scalar.rnd`."""
     scale = float(10**digits)
     return f"(round(CAST({expr} AS DOUBLE) * {scale}::DOUBLE + {ROUND_SHIFT}::DOUBLE) / {scale}::DOUBLE + 0.0)"
+
+
+def mix(key: str, seed: int | str = 0) -> str:
+    """Twin of :func:`larkspur.functions.scalar.mix_hash`."""
+    m = MIX_PRIME
+    a = f"((({key}) % {m} * 48271 + ({seed}) * 16807 + 1) % {m})"
+    return f"(((({a} * {a} + 31 * {a}) % {m}) * 69621 + {a} * (({seed}) + 7)) % {m} / {float(m)}::DOUBLE)"
+
+
+def poisson(u: str) -> str:
+    """Twin of :func:`larkspur.functions.scalar.poisson1`."""
+    return "(" + " + ".join(f"CAST({u} >= {p}::DOUBLE AS INT)" for p in POISSON1) + ")"
