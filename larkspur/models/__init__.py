@@ -1 +1 @@
-
+"""Estimators: closed forms as aggregates, the rest on pyspark.ml."""

@@ -40,6 +40,9 @@ def _top(qs: pd.DataFrame, bs: pd.DataFrame, k: int, metric: str, rule: str, rad
     for lo in range(0, len(query), step):
         q, ids, tags = query[lo : lo + step], qid[lo : lo + step], qtag[lo : lo + step]
         d = _distances(q, base, metric)
+        if rule == "min_tag":
+            found.append(_least_tag(q, ids, base, btag, d, size, radius))
+            continue
         if rule == "not_self":
             d[ids[:, None] == bid[None, :]] = np.inf
         elif rule == "earlier":
@@ -63,6 +66,16 @@ def _top(qs: pd.DataFrame, bs: pd.DataFrame, k: int, metric: str, rule: str, rad
     return pd.concat(found, ignore_index=True)
 
 
+def _least_tag(q, ids, base, btag, d, size, radius) -> pd.DataFrame:
+    """Smallest base tag within the radius of each query, returned as ``dist`` (nothing where none is near)."""
+    rows, cols = np.nonzero(d <= radius * radius + 1e-9 * (size + (q * q).sum(1))[:, None])
+    near = np.sqrt(((q[rows] - base[cols]) ** 2).sum(1)) <= radius
+    best = np.full(len(q), np.inf)
+    np.minimum.at(best, rows[near], btag[cols[near]])
+    hit = np.isfinite(best)
+    return pd.DataFrame({"qid": ids[hit], "bid": best[hit].astype("int64"), "dist": best[hit]})
+
+
 def _points(df: DataFrame, key: str, vec: str, tag: Column | None) -> DataFrame:
     return df.select(
         F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"),
@@ -92,11 +105,14 @@ def knn(
 ) -> DataFrame:
     """(qid, bid, dist, rn): the k nearest base rows per query, ties to the lower ``bid``.
 
-    ``rule``: ``any``, ``not_self`` (ids differ), ``earlier`` (base tag < query tag) or ``other_tag``.
+    ``rule``: ``any``, ``not_self`` (ids differ), ``earlier`` (base tag < query tag), ``other_tag``,
+    or ``min_tag`` (with k=1 and a radius: the smallest base tag within reach, as ``dist``).
     """
     q, b = _points(queries, qid, qvec, qtag), _points(base, bid, bvec, btag)
     n_base = b.count()
     n_pivots = max(1, min(max_pivots, math.ceil(2 * n_base / block_rows) if n_base > block_rows else 1))
+    if not n_base:
+        return queries.sparkSession.createDataFrame([], _OUT + ", rn int")
     picked = b.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
     pivots = np.array([r.vec for r in picked], dtype=float).reshape(len(picked), -1)
 
@@ -130,12 +146,15 @@ def knn(
         return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
             lambda x, y: _top(x, y, limit, metric, rule, radius), _OUT)
 
-    if cells > 1:
+    if cells > 1 and rule == "min_tag":
+        asked = q.withColumn("tau", F.lit(radius))
+    elif cells > 1:
         own = q.withColumn("_a", assign("vec")).select("id", "vec", "tag", F.col("_a.cell").alias("cell"), F.lit(0).alias("sub"))
         counts = {r.cell: r["count"] for r in own.groupBy("cell").count().collect()}
         first = search(own, b.filter("sub = 0"), counts, k)
         bound = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("tau"))
         asked = q.join(bound, q["id"] == bound["qid"], "left").drop("qid")
+    if cells > 1:
         cap = F.lit(radius)
 
         @F.pandas_udf("array<int>")
