@@ -113,8 +113,11 @@ def knn(
     n_pivots = max(1, min(max_pivots, math.ceil(2 * n_base / block_rows) if n_base > block_rows else 1))
     if not n_base:
         return queries.sparkSession.createDataFrame([], _OUT + ", rn int")
-    picked = b.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
-    pivots = np.array([r.vec for r in picked], dtype=float).reshape(len(picked), -1)
+    if n_pivots > 1:
+        picked = b.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
+        pivots = np.array([r.vec for r in picked], dtype=float)
+    else:
+        pivots = np.zeros((1, 1))
 
     def to_pivots(v: pd.Series) -> np.ndarray:
         x = np.stack(v.to_numpy()).astype(float)
@@ -131,6 +134,16 @@ def knn(
         cell = d.argmin(1)
         return pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell]})
 
+    if n_pivots == 1:
+        # one cell: nothing to prune, only the block and query bounds remain
+        parts = max(1, math.ceil(q.count() / query_rows))
+        one = [F.lit(0).alias("cell"), F.lit(0).alias("sub")]
+        left = q.select("*", *one, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+        right = b.select("*", *one, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        group = ["cell", "sub", "part"]
+        hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(lambda x, y: _top(x, y, k, metric, rule, radius), _OUT)
+        return hits.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy("dist", "bid")))
+
     b = b.withColumn("_a", assign("vec")).select("id", "vec", "tag", F.col("_a.cell").alias("cell"), F.col("_a.d").alias("d"))
     stats = {r.cell: r for r in b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).collect()}
     cells = len(pivots)
@@ -146,27 +159,24 @@ def knn(
         return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
             lambda x, y: _top(x, y, limit, metric, rule, radius), _OUT)
 
-    if cells > 1 and rule == "min_tag":
+    if rule == "min_tag":
         asked = q.withColumn("tau", F.lit(radius))
-    elif cells > 1:
+    else:
         own = q.withColumn("_a", assign("vec")).select("id", "vec", "tag", F.col("_a.cell").alias("cell"), F.lit(0).alias("sub"))
         counts = {r.cell: r["count"] for r in own.groupBy("cell").count().collect()}
         first = search(own, b.filter("sub = 0"), counts, k)
         bound = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("tau"))
         asked = q.join(bound, q["id"] == bound["qid"], "left").drop("qid")
-    if cells > 1:
-        cap = F.lit(radius)
+    cap = F.lit(radius)
 
-        @F.pandas_udf("array<int>")
-        def route(v: pd.Series, tau: pd.Series) -> pd.Series:
-            low = to_pivots(v) - reach
-            allowed = (low <= (tau.to_numpy() * (1 + 1e-9) + 1e-9)[:, None]) & (reach >= 0)
-            return pd.Series([np.flatnonzero(r).astype("int32") for r in allowed])
+    @F.pandas_udf("array<int>")
+    def route(v: pd.Series, tau: pd.Series) -> pd.Series:
+        low = to_pivots(v) - reach
+        allowed = (low <= (tau.to_numpy() * (1 + 1e-9) + 1e-9)[:, None]) & (reach >= 0)
+        return pd.Series([np.flatnonzero(r).astype("int32") for r in allowed])
 
-        tau = F.least(F.coalesce("tau", F.lit(math.inf)), cap)
-        asked = asked.withColumn("cell", F.explode(route("vec", tau))).drop("tau")
-    else:
-        asked = q.withColumn("cell", F.lit(0))
+    tau = F.least(F.coalesce("tau", F.lit(math.inf)), cap)
+    asked = asked.withColumn("cell", F.explode(route("vec", tau))).drop("tau")
     counts = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
     asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), _pick(subs, F.col("cell")) - 1)))
     hits = search(asked, b, counts, k)
