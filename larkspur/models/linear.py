@@ -42,7 +42,7 @@ def gradient_descent(
 ) -> np.ndarray:
     """Batch gradient descent on standardised columns; each step is one aggregate over the cached rows.
 
-    ``link``: identity (mean squared error), logit (log loss), hinge (y in -1/1), or a quantile ``q0.9``.
+    ``link``: identity (mean squared error), logit (log loss) or hinge (y in -1/1).
     """
     w, b = np.zeros(len(cols)), 0.0
     cached = df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("double").alias(y)).cache()
@@ -56,9 +56,6 @@ def gradient_descent(
         elif link == "hinge":
             bad = t * z < 1
             err, loss = F.when(bad, -t).otherwise(0.0), F.greatest(1 - t * z, F.lit(0.0))
-        elif link.startswith("q"):
-            q = float(link[1:])
-            err, loss = F.when(t > z, -q).otherwise(1 - q), F.greatest(q * (t - z), (q - 1) * (t - z))
         else:
             err, loss = 2 * (z - t), (z - t) * (z - t)
         row = cached.agg(F.avg(err), F.avg(loss), *[F.avg(err * F.col(c)) for c in cols]).first()
@@ -70,6 +67,41 @@ def gradient_descent(
     return np.concatenate([[b], w])
 
 
+def quantile_fit(df: DataFrame, cols: Sequence[str], y: str, qs: Sequence[float], steps: int = 30) -> list[np.ndarray]:
+    """Pinball-loss fits for several quantiles at once by reweighted least squares.
+
+    |e| is replaced by e^2 / (2 |e_old|) around the last fit; each step is one aggregate that carries the
+    cross-products of every quantile, followed by d x d solves.
+    """
+    names = [None, *cols]
+    d = len(names)
+    term = lambda i: F.lit(1.0) if names[i] is None else F.col(names[i])
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    start = normal_equation(df, cols, y)
+    scale = df.agg(F.stddev_pop(y)).first()[0]
+    fits = [np.array(start) for _ in qs]
+    for step in range(steps):
+        floor = max(scale * 0.5 ** (step + 1), scale * 1e-4)
+        aggs = []
+        for q, w in zip(qs, fits):
+            e = F.col(y) - dot(cols, w[1:], w[0])
+            weight = F.when(e >= 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(floor))
+            aggs += [F.sum(weight * term(i) * term(j)) for i, j in pairs] + [F.sum(weight * term(i) * F.col(y)) for i in range(d)]
+        row = [float(v) for v in df.agg(*aggs).first()]
+        size, moved = len(pairs) + d, 0.0
+        for k in range(len(qs)):
+            part = row[k * size:(k + 1) * size]
+            a = np.zeros((d, d))
+            for (i, j), v in zip(pairs, part):
+                a[i, j] = a[j, i] = v
+            new = np.linalg.solve(a, np.array(part[len(pairs):]))
+            moved = max(moved, float(np.abs(new - fits[k]).max()))
+            fits[k] = new
+        if moved < scale * 1e-4:
+            break
+    return fits
+
+
 def cox_fit(df: DataFrame, cols: Sequence[str], duration: str, event: str, l2: float = 0.01, steps: int = 8) -> np.ndarray:
     """Cox weights by Newton steps on the Breslow likelihood.
 

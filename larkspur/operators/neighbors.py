@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from larkspur import session
+
 _OUT = "qid bigint, bid bigint, dist double"
 
 
@@ -99,8 +101,8 @@ def knn(
     qtag: Column | None = None,
     btag: Column | None = None,
     radius: float = math.inf,
-    block_rows: int = 20_000,
-    query_rows: int = 20_000,
+    block_rows: int | None = None,
+    query_rows: int | None = None,
     max_pivots: int = 1024,
 ) -> DataFrame:
     """(qid, bid, dist, rn): the k nearest base rows per query, ties to the lower ``bid``.
@@ -108,6 +110,8 @@ def knn(
     ``rule``: ``any``, ``not_self`` (ids differ), ``earlier`` (base tag < query tag), ``other_tag``,
     or ``min_tag`` (with k=1 and a radius: the smallest base tag within reach, as ``dist``).
     """
+    block_rows = block_rows or session.block_rows(queries.sparkSession)
+    query_rows = query_rows or block_rows
     q, b = _points(queries, qid, qvec, qtag), _points(base, bid, bvec, btag)
     n_base = b.count()
     n_pivots = max(1, min(max_pivots, math.ceil(2 * n_base / block_rows) if n_base > block_rows else 1))

@@ -72,7 +72,7 @@ def linreg_gd(t):
     """Gradient descent on standardised columns, next to the normal equation it must reach."""
     r = en.standard_scale(reg(t).select("x1", "x2", "y"), ["x1", "x2"], F.lit(True))
     history = []
-    w = ln.gradient_descent(r, ["x1", "x2"], "y", rate=0.1, steps=60, history=history)
+    w = ln.gradient_descent(r, ["x1", "x2"], "y", rate=0.4, steps=25, history=history)
     exact = ln.normal_equation(r, ["x1", "x2"], "y")
     return rows(t.spark, [(n, float(a), float(b)) for n, a, b in zip(("bias", "x1", "x2"), w, exact)], "term string, descent double, exact double")
 
@@ -136,7 +136,7 @@ def logreg_binary(t):
 def logreg_gd(t):
     r = en.standard_scale(cls(t).select("score", "amount", "y"), ["score", "amount"], F.lit(True))
     history = []
-    w = ln.gradient_descent(r, ["score", "amount"], "y", rate=1.0, steps=40, link="logit", history=history)
+    w = ln.gradient_descent(r, ["score", "amount"], "y", rate=2.0, steps=20, link="logit", history=history)
     return rows(t.spark, [(i, float(v)) for i, v in enumerate(history)], "step int, loss double").withColumn("final_weight", F.lit(float(w[1])))
 
 
@@ -295,12 +295,11 @@ def glm_gamma(t):
 @query("quantile_linear")
 def quantile_linear(t):
     r = en.standard_scale(reg(t).select("x1", "x2", "y"), ["x1", "x2"], F.lit(True)).cache()
-    out = []
-    for q in (0.1, 0.5, 0.9):
-        w = ln.gradient_descent(r, ["x1", "x2"], "y", rate=5.0, steps=60, link=f"q{q}")
-        row = r.agg(F.avg(flag(F.col("y") <= ln.dot(["x1", "x2"], w[1:], w[0]))), mt.pinball("y", ln.dot(["x1", "x2"], w[1:], w[0]), q)).first()
-        out.append((q, float(row[0]), float(row[1])))
-    return rows(t.spark, out, "q double, share_below double, pinball double")
+    qs = (0.1, 0.5, 0.9)
+    fits = ln.quantile_fit(r, ["x1", "x2"], "y", qs)
+    fitted = {q: ln.dot(["x1", "x2"], w[1:], w[0]) for q, w in zip(qs, fits)}
+    row = r.agg(*[F.avg(flag(F.col("y") <= z)) for z in fitted.values()], *[mt.pinball("y", z, q) for q, z in fitted.items()]).first()
+    return rows(t.spark, [(q, float(row[i]), float(row[i + len(qs)])) for i, q in enumerate(qs)], "q double, share_below double, pinball double")
 
 
 @query("isotonic")
@@ -469,7 +468,7 @@ def oob_score(t):
     """Each bag's tree votes only on the rows its Poisson weights left out."""
     v = cls_vec(t)
     votes = None
-    for b in range(8):
+    for b in range(5):
         bag = v.withColumn("w", poisson1(mix_hash("id", 100 + b)).cast("double"))
         m = DecisionTreeClassifier(labelCol="y", weightCol="w", maxDepth=6, seed=b).fit(bag.filter("w > 0"))
         part = m.transform(bag.filter("w = 0")).select("id", "y", "prediction")
@@ -729,7 +728,7 @@ def ordinal_cumulative(t):
 @query("head_tail_router", """WITH p AS (SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'REJECT' END AS head, ((event_id * 7919) % 1009) / 1009.0::DOUBLE AS p FROM events),
     k AS (SELECT p.event_id, c.label, ((p.event_id * c.m) % 97) / 97.0::DOUBLE AS w FROM p, (VALUES ('click', 31), ('view', 57), ('error', 71), ('signup', 83)) c(label, m)),
     s AS (SELECT event_id, head AS label, p AS w FROM p WHERE head <> 'REJECT' UNION ALL SELECT k.event_id, label, CASE WHEN head = 'REJECT' THEN w ELSE w * .5::DOUBLE END FROM k JOIN p USING (event_id) WHERE head = 'REJECT' OR p < .55), g AS (SELECT event_id, label, sum(w) AS w FROM s GROUP BY 1, 2)
-    SELECT event_id, arg_max(label, round(w, 9)) AS label FROM (SELECT * FROM g ORDER BY label) GROUP BY 1""")
+    SELECT event_id, label FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(w, 9) DESC, label) AS rn FROM g) WHERE rn = 1""")
 def head_tail_router(t):
     """Confident head classes stay; rejected rows use the neighbour votes; unsure ones blend both (votes halved)."""
     e = t.events.select("event_id", F.when(F.col("event_type").isin("click", "view", "purchase"), F.col("event_type")).otherwise("REJECT").alias("head"), (((F.col("event_id") * 7919) % 1009) / F.lit(1009.0)).alias("p"))
@@ -738,7 +737,7 @@ def head_tail_router(t):
     own = F.array(F.struct(F.col("head").alias("label"), F.col("p").alias("w")))
     cells = F.when(reject, votes).when(unsure, F.concat(own, votes)).otherwise(own)
     g = e.select("event_id", F.explode(cells).alias("c")).groupBy("event_id", "c.label").agg(F.sum("c.w").alias("w"))
-    return g.groupBy("event_id").agg(F.max_by("label", F.round("w", 9)).alias("label"))
+    return g.groupBy("event_id").agg(F.min_by("label", F.struct((-F.round("w", 9)).alias("k"), "label")).alias("label"))
 
 
 def _arms(t):
@@ -775,7 +774,7 @@ def x_learner(t):
 def label_noise_scan(t):
     """Negatives that out-of-fold models score above .95."""
     v = cls_vec(t)
-    p = out_of_fold(v, lambda: LogisticRegression(labelCol="y", maxIter=20), "id", p1(), "p")
+    p = out_of_fold(v, forest, "id", p1(), "p")
     return v.select("id", "y").join(p, "id").filter("y = 0 AND p > .95").select("id", rnd("p").alias("p"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Largest group one task may hold before an operator takes its split path.
 GROUP_ROWS_CONF = "spark.larkspur.maxGroupRows"
 GROUP_ROWS_DEFAULT = 4_000_000
+BLOCK_ROWS_CONF = "spark.larkspur.blockRows"
+BLOCK_ROWS_DEFAULT = 20_000
 
 
 def build_session(cores: str = "*", app: str = "larkspur", **conf) -> SparkSession:
@@ -36,6 +38,11 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS_DEFAULT)))
 
 
+def block_rows(spark: SparkSession) -> int:
+    """Rows of one side of a neighbour-search block."""
+    return int(spark.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS_DEFAULT)))
+
+
 def n_buckets(spark: SparkSession) -> int:
     """How many ordered slices a global order is cut into: one per shuffle partition."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

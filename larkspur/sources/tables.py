@@ -15,6 +15,10 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+#: Tables whose rows cost much to process (long texts, vectors)
+HEAVY = {"documents", "pages", "conversations", "embeddings"}
+
+
 class Tables:
     """Lazy access to the parquet tables of one folder: ``Tables(spark, path).orders``."""
 
@@ -24,7 +28,12 @@ class Tables:
         self.path = path.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        # texts and vectors are heavy per row: a table of fewer files than cores would be one task
+        slots = self.spark.sparkContext.defaultParallelism
+        if name in HEAVY and len(df.inputFiles()) < slots:
+            df = df.repartition(slots, df.columns[0])
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
