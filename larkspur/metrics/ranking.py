@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from larkspur.operators.prefix import exact_quantiles, global_cumsum
 
-ONE = F.lit(1).cast("bigint")
+def one() -> Column:
+    return F.lit(1).cast("bigint")
 
 
 def score_table(df: DataFrame, score: str = "score", y: str = "y", keys: Sequence[str] = (), extra: dict[str, Column] | None = None) -> DataFrame:
@@ -16,7 +17,7 @@ def score_table(df: DataFrame, score: str = "score", y: str = "y", keys: Sequenc
 
     ``cum_n``/``cum_pos`` are the rows and hits at threshold = score (rule: score >= threshold).
     """
-    return global_cumsum(df, score, {"n": ONE, "pos": F.col(y).cast("bigint"), **(extra or {})}, keys, descending=True)
+    return global_cumsum(df, score, {"n": one(), "pos": F.col(y).cast("bigint"), **(extra or {})}, keys, descending=True)
 
 
 def with_rates(table: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def confusion_rates(table: DataFrame) -> DataFrame:
 
 def gini_lorenz(df: DataFrame, pred: str, loss: Column) -> DataFrame:
     """Gini of the loss when rows are ordered by prediction: 1 - 2 * area under the Lorenz curve."""
-    s = global_cumsum(df, pred, {"n": ONE, "loss": loss})
+    s = global_cumsum(df, pred, {"n": one(), "loss": loss})
     width = F.col("n") / F.col("tot_n")
     height = (2 * F.col("cum_loss") - F.col("loss")) / (2 * F.col("tot_loss"))
     return s.agg((1 - 2 * F.sum(width * height)).alias("gini"))
@@ -85,7 +86,7 @@ def qini_points(df: DataFrame, score: str, treatment: str, y: str) -> DataFrame:
     """Cumulative treated hits minus control hits rescaled to the treated count, highest score first."""
     t = F.col(treatment)
     s = global_cumsum(df, score, {
-        "n": ONE, "nt": t.cast("bigint"), "yt": (t * F.col(y)).cast("bigint"), "yc": ((1 - t) * F.col(y)).cast("bigint")}, descending=True)
+        "n": one(), "nt": t.cast("bigint"), "yt": (t * F.col(y)).cast("bigint"), "yc": ((1 - t) * F.col(y)).cast("bigint")}, descending=True)
 
     def q(n, nt, yt, yc):
         return yt - F.coalesce(F.try_divide(yc * nt, n - nt), F.lit(0.0))
@@ -116,7 +117,7 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 
 def order_pick(df: DataFrame, value: str, rank: Column, keys: Sequence[str] = ()) -> DataFrame:
     """The ``rank``-th smallest value per key (an exact order statistic; ``rank`` may use ``tot_n``)."""
-    s = global_cumsum(df, value, {"n": ONE}, keys)
+    s = global_cumsum(df, value, {"n": one()}, keys)
     hit = (F.col("cum_n") >= rank) & (F.col("cum_n") - F.col("n") < rank)
     return s.groupBy(*keys).agg(F.max(F.when(hit, F.col(value))).alias("picked"), F.max("tot_n").alias("n"))
 

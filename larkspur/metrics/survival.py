@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.operators.prefix import global_cumsum
 
-ONE = F.lit(1).cast("bigint")
+def one() -> Column:
+    return F.lit(1).cast("bigint")
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, duration, at_risk, events, survival); the product is a running sum of logs."""
     keys = list(keys)
-    t = global_cumsum(df, duration, {"n": ONE, "d": F.col(event).cast("bigint")}, keys, descending=True)
+    t = global_cumsum(df, duration, {"n": one(), "d": F.col(event).cast("bigint")}, keys, descending=True)
     t = t.select(*keys, duration, F.col("cum_n").alias("at_risk"), F.col("d").alias("events"))
     gone = F.col("events") >= F.col("at_risk")
     step = F.when(gone, 0.0).otherwise(F.ln(1 - F.col("events") / F.col("at_risk")))
@@ -32,7 +33,7 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFram
     """
     rows = df.groupBy(duration, risk).agg(F.sum(event).cast("bigint").alias("e"), F.count(F.lit(1)).alias("n"))
     times = rows.select(duration).distinct()
-    ranks = global_cumsum(times, duration, {"one": ONE}).select(F.col(duration).alias("_t"), (F.col("cum_one") - 1).alias("r"))
+    ranks = global_cumsum(times, duration, {"one": one()}).select(F.col(duration).alias("_t"), (F.col("cum_one") - 1).alias("r"))
     levels = max(1, math.ceil(math.log2(max(2, times.count()))))
     ranked = rows.join(ranks, F.col(duration) == F.col("_t"))
     cells = ranked.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))

@@ -9,7 +9,6 @@ from larkspur.operators.windows import group_values, over_rows
 from larkspur.plans.registry import query, r6
 from larkspur.plans.views import view
 
-ONE = F.lit(1)
 
 
 @query("profile_table", " UNION ALL ".join(
@@ -44,7 +43,7 @@ def approx_distinct(t):
 def group_stats(t):
     keys = ["l_returnflag", "l_linestatus"]
     li = t.lineitem.select(*keys, "l_extendedprice")
-    s = li.groupBy(*keys).agg(F.count(ONE).alias("n"), F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_extendedprice").alias("std"))
+    s = li.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_extendedprice").alias("std"))
     s = s.join(exact_quantiles(li, "l_extendedprice", {"median": 0.5}, keys), keys)
     return s.select(*keys, "n", rnd("mean", 3).alias("mean"), rnd("median", 3).alias("median"), rnd("std", 3).alias("std"))
 
@@ -143,7 +142,7 @@ def time_decay_weight(t):
 @query("hierarchy_rollup", f"""SELECT coalesce(r_name, 'ALL') AS region, coalesce(n_name, 'ALL') AS nation, CAST(grouping(r_name) * 2 + grouping(n_name) AS BIGINT) AS level, {r6('sum(c_acctbal)', 2)} AS total, count(*) AS n
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def hierarchy_rollup(t):
-    c = t.customer.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("v"), F.count(ONE).alias("c"))
+    c = t.customer.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("v"), F.count(F.lit(1)).alias("c"))
     h = c.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     r = h.rollup("r_name", "n_name").agg(F.grouping_id().alias("level"), F.sum("v").alias("total"), F.sum("c").alias("n"))
     return r.select(F.coalesce("r_name", F.lit("ALL")).alias("region"), F.coalesce("n_name", F.lit("ALL")).alias("nation"), "level", rnd("total", 2).alias("total"), "n")
@@ -257,7 +256,7 @@ def share_drift(t):
 @query("response_rate", f"SELECT c_mktsegment, count(*) AS asked, {r6('avg(CAST(EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP ' + chr(39) + '2001-01-01' + chr(39) + ') AS INT))')} AS rate FROM customer GROUP BY 1")
 def response_rate(t):
     did = t.orders.filter(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(1))
-    return t.customer.join(did, "c_custkey", "left").groupBy("c_mktsegment").agg(F.count(ONE).alias("asked"), rnd(F.avg(F.coalesce("hit", F.lit(0)))).alias("rate"))
+    return t.customer.join(did, "c_custkey", "left").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("asked"), rnd(F.avg(F.coalesce("hit", F.lit(0)))).alias("rate"))
 
 
 @query("shrink_to_group", f"""WITH o AS (SELECT l_returnflag AS g, l_suppkey AS u, count(*) AS n, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2), g AS (SELECT l_returnflag AS g, avg(l_extendedprice) AS gm FROM lineitem GROUP BY 1)
@@ -279,7 +278,7 @@ def level_contrast(t):
 @query("price_elasticity", f"SELECT l_returnflag, l_linestatus, {r6('regr_slope(ln(l_quantity), ln(l_extendedprice))')} AS elasticity, count(*) AS n FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1, 2")
 def price_elasticity(t):
     li = t.lineitem.filter("l_quantity > 0 AND l_extendedprice > 0")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(rnd(F.regr_slope(F.ln("l_quantity"), F.ln("l_extendedprice"))).alias("elasticity"), F.count(ONE).alias("n"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(rnd(F.regr_slope(F.ln("l_quantity"), F.ln("l_extendedprice"))).alias("elasticity"), F.count(F.lit(1)).alias("n"))
 
 
 @query("croston", f"""WITH d AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS u FROM events GROUP BY 1, 2),

@@ -18,7 +18,6 @@ from larkspur.sources import bundle as bd
 from larkspur.sources.tables import read_csv_typed, write_table
 from larkspur.streaming.runner import Replay, last_values, running_alarm
 
-ONE = F.lit(1)
 
 
 @query("scan_csv", f"SELECT p_partkey, p_name, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS p_size, {r6('p_retailprice')} AS p_retailprice FROM part")
@@ -27,7 +26,7 @@ def scan_csv(t):
     path = scratch_path(t.spark, "csv")
     p = t.part.select("p_partkey", "p_name", F.when(F.col("p_partkey") % 13 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("p_size"), "p_retailprice")
     write_table(p, path, fmt="csv")
-    schema = T.StructType().add("p_partkey", "bigint").add("p_name", "string").add("p_size", "double").add("p_retailprice", "double")
+    schema = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_size", T.DoubleType()), T.StructField("p_retailprice", T.DoubleType())])
     return read_csv_typed(t.spark, path, schema).withColumn("p_retailprice", rnd("p_retailprice"))
 
 
@@ -35,7 +34,7 @@ def scan_csv(t):
 def sink_table(t):
     path = scratch_path(t.spark, "table")
     write_table(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), path, ["o_orderstatus"])
-    return t.spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(ONE).alias("n"), rnd(F.sum("o_totalprice"), 2).alias("total"))
+    return t.spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def fitted(t):
@@ -64,13 +63,14 @@ def load_bundle(t):
     return a.join(b, "id")
 
 
-SCORE = ln.dot(list(WEIGHTS), list(WEIGHTS.values()), -15.0)
+def score_col():
+    return ln.dot(list(WEIGHTS), list(WEIGHTS.values()), -15.0)
 _SCORE = "1 / (1 + exp(-(-15.0::DOUBLE + " + " + ".join(f"{c} * {w}::DOUBLE" for c, w in WEIGHTS.items()) + ")))"
 
 
 @query("score_batch", f"""WITH p AS (SELECT l_orderkey, l_linenumber, {_SCORE} AS p FROM lineitem) SELECT l_orderkey, l_linenumber, {r6('p')} AS probability, CAST(p >= .5 AS INT) AS prediction, CASE WHEN p >= .5 THEN 'yes' ELSE 'no' END AS label, 'v1' AS version, 0.5::DOUBLE AS threshold FROM p""")
 def score_batch(t):
-    s = bd.decide(t.lineitem.select("l_orderkey", "l_linenumber", *WEIGHTS), 1 / (1 + F.exp(-SCORE)), 0.5, "v1")
+    s = bd.decide(t.lineitem.select("l_orderkey", "l_linenumber", *WEIGHTS), 1 / (1 + F.exp(-score_col())), 0.5, "v1")
     return s.select("l_orderkey", "l_linenumber", rnd("probability").alias("probability"), "prediction", "label", "version", "threshold")
 
 
@@ -78,11 +78,11 @@ def score_batch(t):
 def prediction_log(t):
     path = scratch_path(t.spark, "log")
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", *WEIGHTS)
-    s = bd.decide(contributions(li, WEIGHTS), 1 / (1 + F.exp(-SCORE)), 0.5, "v1")
+    s = bd.decide(contributions(li, WEIGHTS), 1 / (1 + F.exp(-score_col())), 0.5, "v1")
     codes = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
     s = s.filter(F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
     bd.append_log(s, path, ["l_orderkey", "l_linenumber"], F.transform(F.slice("cells", 1, 3), lambda x: codes[x["feature"]]), F.trunc("l_shipdate", "month").cast("timestamp"))
-    return t.spark.read.parquet(path).groupBy("day", "version").agg(F.count(ONE).alias("n"), rnd(F.avg("probability")).alias("mean_p"), F.min(F.length("input_hash")).alias("hash_len"), F.min(F.size("reasons")).alias("n_reasons"))
+    return t.spark.read.parquet(path).groupBy("day", "version").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("probability")).alias("mean_p"), F.min(F.length("input_hash")).alias("hash_len"), F.min(F.size("reasons")).alias("n_reasons"))
 
 
 # ---- streams -------------------------------------------------------------------------------------
@@ -122,7 +122,7 @@ LATE = "2 days"
 def stream_tumbling(t):
     def build(s):
         g = s.withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-        g = g.agg(F.count(ONE).alias("n"), rnd(F.avg("value")).alias("mean"), rnd(F.avg(flag(F.col("event_type") == "error"))).alias("error_rate"))
+        g = g.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value")).alias("mean"), rnd(F.avg(flag(F.col("event_type") == "error"))).alias("error_rate"))
         return g.select(F.unix_micros("w.start").alias("start"), "event_type", "n", "mean", "error_rate")
     return windows_of(t, "tumbling", build)
 
@@ -130,7 +130,7 @@ def stream_tumbling(t):
 @query("stream_sliding", f"SELECT CAST(s AS BIGINT) AS start, event_type, count(*) AS n, {r6('avg(value)')} AS mean FROM (SELECT event_type, value, unnest(list_transform(range(0, 6), lambda i: (epoch_us(ts) // 300000000 - i) * 300000000)) AS s FROM events) GROUP BY 1, 2")
 def stream_sliding(t):
     def build(s):
-        g = s.withWatermark("ts", LATE).groupBy(F.window("ts", "30 minutes", "5 minutes").alias("w"), "event_type").agg(F.count(ONE).alias("n"), rnd(F.avg("value")).alias("mean"))
+        g = s.withWatermark("ts", LATE).groupBy(F.window("ts", "30 minutes", "5 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value")).alias("mean"))
         return g.select(F.unix_micros("w.start").alias("start"), "event_type", "n", "mean")
     return windows_of(t, "sliding", build)
 
@@ -139,7 +139,7 @@ def stream_sliding(t):
     SELECT user_id, CAST(min(epoch_us(ts)) AS BIGINT) AS start, count(*) AS n, {r6('sum(value)')} AS total FROM s GROUP BY user_id, sid""")
 def stream_session(t):
     def build(s):
-        g = s.withWatermark("ts", LATE).groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count(ONE).alias("n"), rnd(F.sum("value")).alias("total"))
+        g = s.withWatermark("ts", LATE).groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("value")).alias("total"))
         return g.select("user_id", F.unix_micros("w.start").alias("start"), "n", "total")
     return windows_of(t, "session", build)
 
@@ -175,7 +175,7 @@ def stream_drift(t):
     edge = frozen.agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")).first()
     bin_no = F.coalesce(dr.bin_of("value", F.lit(edge.lo), F.lit(edge.hi), 10), F.lit(-1))
     def build(s):
-        g = s.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day").alias("w"), bin_no.alias("bin")).agg(F.count(ONE).alias("c"))
+        g = s.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day").alias("w"), bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
         return g.select(F.unix_micros("w.start").alias("start"), "bin", "c")
     hist = windows_of(t, "drift", build)
     n = hist.groupBy("start").agg(F.sum("c").alias("n"))
@@ -201,7 +201,7 @@ def stream_late(t):
     """The first part arrives last, behind the watermark: its rows are dropped and counted."""
     r = Replay(t.spark, "late")
     ps = parts(t)
-    build = lambda s: s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(ONE).alias("n")).select(F.unix_micros("w.start").alias("start"), "n")
+    build = lambda s: s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("w.start").alias("start"), "n")
     for p in (ps[1], ps[2]):
         r.land(p)
         r.run(build)

@@ -26,7 +26,6 @@ from larkspur.plans.series import events
 from larkspur.plans.texts import _STOP, _TERMS
 from larkspur.plans.views import view
 
-ONE = F.lit(1)
 NUM = ["score", "amount", "month", "noise"]
 
 
@@ -152,7 +151,7 @@ def logreg_multi(t):
 def linear_svm(t):
     train, test = halves(cls_vec(t))
     p = LinearSVC(labelCol="y", maxIter=20, regParam=0.01).fit(train).transform(test)
-    return p.groupBy("y", "prediction").agg(F.count(ONE).alias("n"))
+    return p.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fourier(df, cols, gamma, d=32, seed=3):
@@ -258,10 +257,10 @@ def language_id(t):
     Words are cut into n-grams once per distinct word; a word's class score is joined to the documents'
     word counts, so n-grams of the running text are never materialised.
     """
-    tok = t.documents.select("doc_id", "lang", F.explode(tx.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "lang", "w").agg(F.count(ONE).alias("tf"))
+    tok = t.documents.select("doc_id", "lang", F.explode(tx.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "lang", "w").agg(F.count(F.lit(1)).alias("tf"))
     grams = tok.select("w").distinct().select("w", F.explode(tx.char_ngrams(F.col("w"), 3, 4)).alias("term"))
     train = tok.filter("doc_id % 5 <> 0").groupBy(F.col("lang").alias("cls"), "w").agg(F.sum("tf").alias("n"))
-    table = train.join(grams, "w").groupBy("cls", "term").agg(F.sum("n").alias("n"), F.count(ONE).alias("docs"))
+    table = train.join(grams, "w").groupBy("cls", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     weights, bias = nb.multinomial_fit(table, t.documents.filter("doc_id % 5 <> 0").select("doc_id", "lang"), "lang")
     words = grams.join(weights.select("cls", "term", F.col("w").alias("lw")), "term").groupBy("w", "cls").agg(F.sum("lw").alias("lp"))
     s = tok.join(words, "w").groupBy("doc_id", "cls").agg(F.sum(F.col("tf") * F.col("lp")).alias("s")).join(bias, "cls")
@@ -473,8 +472,8 @@ def oob_score(t):
         m = DecisionTreeClassifier(labelCol="y", weightCol="w", maxDepth=6, seed=b).fit(bag.filter("w > 0"))
         part = m.transform(bag.filter("w = 0")).select("id", "y", "prediction")
         votes = part if votes is None else votes.unionByName(part)
-    per = votes.groupBy("id", "y").agg(F.avg("prediction").alias("p"), F.count(ONE).alias("k"))
-    return per.agg(F.count(ONE).alias("rows_voted"), rnd(F.avg(flag(flag(F.col("p") >= .5) == F.col("y")))).alias("oob_accuracy"))
+    per = votes.groupBy("id", "y").agg(F.avg("prediction").alias("p"), F.count(F.lit(1)).alias("k"))
+    return per.agg(F.count(F.lit(1)).alias("rows_voted"), rnd(F.avg(flag(flag(F.col("p") >= .5) == F.col("y")))).alias("oob_accuracy"))
 
 
 def gbt(n=15, **kw):
@@ -672,7 +671,7 @@ def two_stage_router(t):
     low = LinearRegression(labelCol="y", predictionCol="p_low").fit(r.filter("long = 0"))
     high = LinearRegression(labelCol="y", predictionCol="p_high").fit(r.filter("long = 1"))
     s = high.transform(low.transform(c.transform(r))).withColumn("p", F.when(F.col("regime") == 1, F.col("p_high")).otherwise(F.col("p_low")))
-    return s.groupBy(F.col("regime").cast("int").alias("regime")).agg(F.count(ONE).alias("n"), rnd(F.sqrt(F.avg(F.pow(F.col("p") - F.col("y"), 2)))).alias("rmse"))
+    return s.groupBy(F.col("regime").cast("int").alias("regime")).agg(F.count(F.lit(1)).alias("n"), rnd(F.sqrt(F.avg(F.pow(F.col("p") - F.col("y"), 2)))).alias("rmse"))
 
 
 def text_vec(t):
@@ -774,7 +773,7 @@ def x_learner(t):
 def label_noise_scan(t):
     """Negatives that out-of-fold models score above .95."""
     v = cls_vec(t)
-    p = out_of_fold(v, forest, "id", p1(), "p")
+    p = out_of_fold(v, lambda: DecisionTreeClassifier(labelCol="y", maxDepth=5), "id", p1(), "p")
     return v.select("id", "y").join(p, "id").filter("y = 0 AND p > .95").select("id", rnd("p").alias("p"))
 
 
@@ -785,7 +784,7 @@ def lifetime_value(t):
     from larkspur.operators.windows import over_rows
     k = over_rows(k, ["grp"], "duration", "duration", lambda w: {"t0": F.lag("duration", 1, 0.0).over(w), "s0": F.lag("survival", 1, 1.0).over(w)}, before=1)
     life = k.groupBy("grp").agg(F.least(F.sum((F.col("duration") - F.col("t0")) * (F.col("survival") + F.col("s0")) / 2), F.lit(36.0)).alias("months"))
-    spend = t.orders.groupBy("o_custkey").agg((F.sum("o_totalprice") / 79).alias("y"), F.count(ONE).cast("double").alias("orders"))
+    spend = t.orders.groupBy("o_custkey").agg((F.sum("o_totalprice") / 79).alias("y"), F.count(F.lit(1)).cast("double").alias("orders"))
     d = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("grp"), "c_acctbal").join(spend, F.col("id") == F.col("o_custkey"))
     v = assembled(d, ["c_acctbal", "orders"], ["grp"])
     m = LinearRegression(labelCol="y").fit(v).transform(v)

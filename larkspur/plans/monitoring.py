@@ -12,7 +12,6 @@ from larkspur.plans.registry import mix, query, r6
 from larkspur.plans.series import DAY_US, events
 from larkspur.plans.views import view
 
-ONE = F.lit(1)
 CUT = "2024-01-16"
 
 
@@ -68,7 +67,7 @@ def prediction_drift(t):
     li = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("seg"), F.unix_date(F.to_date("l_shipdate")).alias("day"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("x1"))
     j = r.join(li, ["l_orderkey", "l_linenumber", "y", "x1"])
     e = F.col("y_hat") - F.col("y")
-    d = j.groupBy("seg", "day").agg(F.count(ONE).alias("n1"), F.sum(e).alias("s1"), F.sum(e * e).alias("q1"), F.sum(F.abs(e) / F.col("y")).alias("a1"))
+    d = j.groupBy("seg", "day").agg(F.count(F.lit(1)).alias("n1"), F.sum(e).alias("s1"), F.sum(e * e).alias("q1"), F.sum(F.abs(e) / F.col("y")).alias("a1"))
     w = over_time(d, ["seg"], "day", 30, lambda w: {c: F.sum(f"{c}1").over(w.rangeBetween(-29, 0)) for c in "nsqa"})
     n = F.col("n")
     var = F.when(n > 1, (F.col("q") - F.col("s") * F.col("s") / n) / F.nullif(n - 1, F.lit(0)))
@@ -108,7 +107,7 @@ def randomization_check(t):
 def live_dashboard(t):
     hour = F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp")))
     e = t.events.select(hour.alias("hour_start"), "value", "event_type")
-    s = e.groupBy("hour_start").agg(F.count(ONE).alias("throughput"), rnd(F.avg(flag(F.col("event_type") == "purchase"))).alias("decision_rate"))
+    s = e.groupBy("hour_start").agg(F.count(F.lit(1)).alias("throughput"), rnd(F.avg(flag(F.col("event_type") == "purchase"))).alias("decision_rate"))
     q = exact_quantiles(e, "value", {"p99": .99, "median": .5}, ["hour_start"])
     return s.join(q, "hour_start").select("hour_start", "throughput", rnd("p99").alias("p99"), rnd("median").alias("median"), "decision_rate")
 
@@ -149,18 +148,19 @@ def reason_codes(t):
 # ---- decisions over given scores -----------------------------------------------------------------
 
 _P2 = "(CAST((id * 104729) % 997 AS DOUBLE) / CAST(997 AS DOUBLE))"
-P2 = ((F.col("id") * 104729) % 997).cast("double") / F.lit(997.0)
+def p2_col():
+    return ((F.col("id") * 104729) % 997).cast("double") / F.lit(997.0)
 
 
 @query("blend", f"SELECT id, {r6(f'.6::DOUBLE * score + .4::DOUBLE * {_P2}')} AS p FROM v_scores")
 def blend(t):
-    return view(t, "v_scores").select("id", rnd(.6 * F.col("score") + .4 * P2).alias("p"))
+    return view(t, "v_scores").select("id", rnd(.6 * F.col("score") + .4 * p2_col()).alias("p"))
 
 
 @query("blend_search", f"WITH w AS (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS w) SELECT {r6('w')} AS w, {r6(f'avg((w * score + (1 - w) * {_P2} - y) ^ 2)')} AS brier FROM v_scores, w GROUP BY 1")
 def blend_search(t):
     """Every weight from one pass: the squared error is a quadratic in w with three aggregated coefficients."""
-    d, e = F.col("score") - P2, P2 - F.col("y")
+    d, e = F.col("score") - p2_col(), p2_col() - F.col("y")
     c = view(t, "v_scores").agg(F.avg(d * d).alias("a"), F.avg(d * e).alias("b"), F.avg(e * e).alias("c"))
     w = c.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("w", F.col("w") / 20)
     return w.select(rnd("w").alias("w"), rnd(F.col("a") * F.col("w") * F.col("w") + 2 * F.col("b") * F.col("w") + F.col("c")).alias("brier"))
@@ -168,7 +168,7 @@ def blend_search(t):
 
 @query("error_correlation", f"SELECT {r6(f'corr(score - y, {_P2} - y)')} AS corr FROM v_scores")
 def error_correlation(t):
-    return view(t, "v_scores").agg(rnd(F.corr(F.col("score") - F.col("y"), P2 - F.col("y"))).alias("corr"))
+    return view(t, "v_scores").agg(rnd(F.corr(F.col("score") - F.col("y"), p2_col() - F.col("y"))).alias("corr"))
 
 
 @query("segment_models", f"WITH m AS (SELECT o_orderpriority AS g, regr_slope(o_totalprice, year(o_orderdate)) AS b, regr_intercept(o_totalprice, year(o_orderdate)) AS a FROM orders GROUP BY 1) SELECT o_orderkey, {r6('a + b * year(o_orderdate)', 2)} AS pred FROM orders JOIN m ON g = o_orderpriority")
@@ -181,7 +181,7 @@ def segment_models(t):
 @query("cold_start_fallback", f"WITH u AS (SELECT user_id, count(*) AS n, avg(value) AS m FROM events GROUP BY 1), k AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1) SELECT event_id, CASE WHEN n < 70 THEN 'attributes' ELSE 'history' END AS path, {r6('CASE WHEN n < 70 THEN k.m ELSE u.m END')} AS pred FROM events e JOIN u USING (user_id) JOIN k ON e.event_type = k.event_type")
 def cold_start_fallback(t):
     e = t.events.select("event_id", "user_id", "event_type", "value")
-    e = group_values(e, ["user_id"], {"n": F.count(ONE), "um": F.avg("value")})
+    e = group_values(e, ["user_id"], {"n": F.count(F.lit(1)), "um": F.avg("value")})
     e = group_values(e, ["event_type"], {"km": F.avg("value")})
     new = F.col("n") < 70
     return e.select("event_id", F.when(new, "attributes").otherwise("history").alias("path"), rnd(F.when(new, F.col("km")).otherwise(F.col("um"))).alias("pred"))
@@ -230,14 +230,14 @@ def bid_price(t):
 
 @query("expected_value_target", f"SELECT grp, count(*) AS targeted, {r6(f'sum(score * {_P2} * 450 - 170)', 2)} AS net_value FROM v_scores WHERE score > .25 AND {_P2} > .4 GROUP BY 1")
 def expected_value_target(t):
-    s = view(t, "v_scores").filter((F.col("score") > .25) & (P2 > .4))
-    return s.groupBy("grp").agg(F.count(ONE).alias("targeted"), rnd(F.sum(F.col("score") * P2 * 450 - 170), 2).alias("net_value"))
+    s = view(t, "v_scores").filter((F.col("score") > .25) & (p2_col() > .4))
+    return s.groupBy("grp").agg(F.count(F.lit(1)).alias("targeted"), rnd(F.sum(F.col("score") * p2_col() * 450 - 170), 2).alias("net_value"))
 
 
 @query("residual_correction", f"SELECT event_id, {r6('40 + coalesce(avg(value - 40) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS corrected FROM events")
 def residual_correction(t):
     """Outside forecast (here a constant 40) plus the entity's mean error on earlier rows."""
-    e = running(events(t), ["user_id"], "clock", "event_id", {"s": ("sum", F.col("value") - 40), "n": ("count", ONE)}, include_current=False)
+    e = running(events(t), ["user_id"], "clock", "event_id", {"s": ("sum", F.col("value") - 40), "n": ("count", F.lit(1))}, include_current=False)
     return e.select("event_id", rnd(40 + F.coalesce(ratio("s", "n"), F.lit(0.0))).alias("corrected"))
 
 

@@ -13,7 +13,6 @@ from larkspur.plans.registry import mix, poisson, query, r6
 from larkspur.plans.series import events
 from larkspur.plans.views import view
 
-ONE = F.lit(1)
 _TRAIN = "id % 5 <> 0"
 
 
@@ -22,12 +21,13 @@ def scores(t):
 
 
 _SC = "sc AS (SELECT v_scores.*, o_custkey % 301 AS unit FROM v_scores JOIN orders ON id = o_orderkey)"
-TRAIN = F.col("id") % 5 != 0
+def train_col():
+    return F.col("id") % 5 != 0
 
 
 @query("frequency_encode", f"WITH {_SC}, f AS (SELECT unit, count(*) / (SELECT count(*) FROM sc WHERE {_TRAIN} AND unit > 20) AS f FROM sc WHERE {_TRAIN} AND unit > 20 GROUP BY 1) SELECT id, {r6('coalesce(f, 0)', 8)} AS unit_freq FROM sc LEFT JOIN f USING (unit)")
 def frequency_encode(t):
-    return en.frequency_encode(scores(t), "unit", TRAIN & (F.col("unit") > 20), "f").select("id", rnd("f", 8).alias("unit_freq"))
+    return en.frequency_encode(scores(t), "unit", train_col() & (F.col("unit") > 20), "f").select("id", rnd("f", 8).alias("unit_freq"))
 
 
 _TE = f"WITH {_SC}, s AS (SELECT unit, count(*) AS n, avg(y) AS m FROM sc WHERE {_TRAIN} AND unit > 20 GROUP BY 1), g AS (SELECT avg(y) AS g FROM sc WHERE {_TRAIN} AND unit > 20)"
@@ -35,12 +35,12 @@ _TE = f"WITH {_SC}, s AS (SELECT unit, count(*) AS n, avg(y) AS m FROM sc WHERE
 
 @query("target_encode_sigmoid", f"{_TE} SELECT id, {r6('coalesce(m / (1 + exp(10.0::DOUBLE - n)) + (1 - 1 / (1 + exp(10.0::DOUBLE - n))) * g, g)')} AS enc FROM sc LEFT JOIN s USING (unit), g")
 def target_encode_sigmoid(t):
-    return en.target_encode(scores(t), "unit", "y", TRAIN & (F.col("unit") > 20), "e", 10, "sigmoid").select("id", rnd("e").alias("enc"))
+    return en.target_encode(scores(t), "unit", "y", train_col() & (F.col("unit") > 20), "e", 10, "sigmoid").select("id", rnd("e").alias("enc"))
 
 
 @query("target_encode_m", f"{_TE} SELECT id, {r6('coalesce((n * m + 10 * g) / (n + 10), g)')} AS enc FROM sc LEFT JOIN s USING (unit), g")
 def target_encode_m(t):
-    return en.target_encode(scores(t), "unit", "y", TRAIN & (F.col("unit") > 20), "e", 10).select("id", rnd("e").alias("enc"))
+    return en.target_encode(scores(t), "unit", "y", train_col() & (F.col("unit") > 20), "e", 10).select("id", rnd("e").alias("enc"))
 
 
 @query("target_encode_oof", f"""WITH {_SC}, f AS (SELECT *, id % 5 AS fold FROM sc), v AS (SELECT unit, sum(y) AS s, count(*) AS n FROM f GROUP BY 1), o AS (SELECT unit, fold, sum(y) AS s, count(*) AS n FROM f GROUP BY 1, 2), g AS (SELECT fold, ((SELECT sum(y) FROM f) - sum(y)) / ((SELECT count(*) FROM f) - count(*)) AS g FROM f GROUP BY 1)
@@ -60,7 +60,7 @@ def hash_features(t):
 def one_hot(t):
     p = t.part.select("p_partkey", "p_brand")
     keep = p.groupBy("p_brand").count().filter("count >= 70").orderBy(F.desc("count"), "p_brand").limit(10).agg(F.collect_list("p_brand")).scalar()
-    return p.select("p_partkey", F.when(F.array_contains(keep, F.col("p_brand")), F.col("p_brand")).otherwise("infrequent").alias("feature"), ONE.alias("value"))
+    return p.select("p_partkey", F.when(F.array_contains(keep, F.col("p_brand")), F.col("p_brand")).otherwise("infrequent").alias("feature"), F.lit(1).alias("value"))
 
 
 _ROWS = "l_orderkey, l_linenumber"
@@ -151,7 +151,7 @@ def date_split(t):
 def walk_forward(t):
     """Four years of training, five days of embargo, one test month; each day is sent to its folds by month arithmetic."""
     month = lambda d: F.trunc(d, "month")
-    days = t.orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count(ONE).alias("n"))
+    days = t.orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     first = F.add_months(month(F.date_add("d", 5)), 1)
     months = F.sequence(first, F.greatest(F.add_months(month("d"), 48), first), F.expr("interval 1 month"))
     train = days.select("n", "d", F.explode(months).alias("m")).filter((F.col("d") >= F.add_months("m", -48)) & (F.col("d") < F.date_add("m", -5))).groupBy("m").agg(F.sum("n").alias("n_train"))
@@ -170,7 +170,7 @@ def group_time_split(t):
 @query("bootstrap_sample", f"SELECT rep, count(*) AS n_rows, CAST(sum(w) AS BIGINT) AS n_drawn, CAST(sum(CAST(w = 0 AS INT)) AS BIGINT) AS out_of_bag FROM (SELECT CAST(rep AS INT) AS rep, {poisson(mix('id', 'rep'))} AS w FROM v_scores, range(0, 20) r(rep)) GROUP BY 1")
 def bootstrap_sample(t):
     w = sp.bootstrap_weights(view(t, "v_scores").select("id"), "id", 20)
-    return w.groupBy("rep").agg(F.count(ONE).alias("n_rows"), F.sum("w").alias("n_drawn"), F.sum(flag(F.col("w") == 0)).alias("out_of_bag"))
+    return w.groupBy("rep").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("w").alias("n_drawn"), F.sum(flag(F.col("w") == 0)).alias("out_of_bag"))
 
 
 @query("bootstrap_ci", f"""WITH b AS (SELECT rep, sum(w * CAST((score >= .5) = (y = 1) AS INT)) / sum(w) AS acc FROM (SELECT rep, y, score, {poisson('u')} AS w FROM (SELECT rep, y, score, {mix('id', 'rep')} AS u FROM v_scores, range(0, 1000) r(rep))) GROUP BY 1)
@@ -222,7 +222,7 @@ def under_sample(t):
 def learning_curve_samples(t):
     s = view(t, "v_scores").withColumn("u", mix_hash("id", 6))
     shares = F.filter(F.array(*[F.lit(x) for x in (.1, .25, .5, .75, 1.0)]), lambda x: F.col("u") < x)
-    return s.select("y", F.explode(shares).alias("share")).groupBy("share").agg(F.count(ONE).alias("n"), rnd(F.avg("y")).alias("rate"))
+    return s.select("y", F.explode(shares).alias("share")).groupBy("share").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("y")).alias("rate"))
 
 
 @query("exploration_arm", f"SELECT event_id, CAST({mix('user_id', 7)} < .05 AS INT) AS explore FROM events")
@@ -240,6 +240,6 @@ def cohort_split(t):
 def leave_one_group_out(t):
     """Each segment scored with the mean learned on all the others."""
     r = view(t, "v_reg").select("seg", "y")
-    g = r.groupBy("seg").agg(F.sum("y").alias("s"), F.count(ONE).alias("n"))
+    g = r.groupBy("seg").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
     g = attach_one(g, g.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))).select("seg", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("mean"))
-    return r.join(g, "seg").groupBy(F.col("seg").alias("held_out")).agg(F.count(ONE).alias("n"), rnd(F.sqrt(F.avg(F.pow(F.col("y") - F.col("mean"), 2))), 3).alias("rmse"))
+    return r.join(g, "seg").groupBy(F.col("seg").alias("held_out")).agg(F.count(F.lit(1)).alias("n"), rnd(F.sqrt(F.avg(F.pow(F.col("y") - F.col("mean"), 2))), 3).alias("rmse"))

@@ -12,7 +12,6 @@ from larkspur.plans.registry import query, r6
 from larkspur.plans.series import DAY_US, _HOURLY, events, hourly
 from larkspur.plans.views import view
 
-ONE = F.lit(1)
 _HIT = "CAST(score >= 0.5 AS INT)"
 
 
@@ -112,7 +111,7 @@ def ks_classifier(t):
 @query("decile_lift", f"""WITH {_QBIN}, b AS (SELECT bin, count(*) AS n, sum(y) AS pos FROM x GROUP BY 1) SELECT bin, n, {r6('(pos / n) / (sum(pos) OVER () / sum(n) OVER ())')} AS lift, {r6('sum(pos) OVER (ORDER BY bin DESC) / sum(pos) OVER ()')} AS capture FROM b""")
 def decile_lift(t):
     b = quantile_bins(view(t, "v_scores").select("score", "y"), "score", 10, "bin")
-    c = global_cumsum(b, "bin", {"n": ONE.cast("bigint"), "pos": F.col("y").cast("bigint")}, descending=True)
+    c = global_cumsum(b, "bin", {"n": F.lit(1).cast("bigint"), "pos": F.col("y").cast("bigint")}, descending=True)
     return c.select(F.col("bin").cast("int").alias("bin"), "n", rnd(F.col("pos") / F.col("n") / (F.col("tot_pos") / F.col("tot_n"))).alias("lift"), rnd(F.col("cum_pos") / F.col("tot_pos")).alias("capture"))
 
 
@@ -297,8 +296,8 @@ def rank_ic(t):
     p = p.join(ahead, ["user_id", "d2"]).select("h", "d", F.col("x").alias("pred"), "act")
     ra = average_rank(p, "pred", ["h", "d"]).select("h", "d", "pred", F.col("avg_rank").alias("ra"))
     rb = average_rank(p, "act", ["h", "d"]).select("h", "d", "act", F.col("avg_rank").alias("rb"))
-    c = p.join(ra, ["h", "d", "pred"]).join(rb, ["h", "d", "act"]).groupBy("h", "d").agg(F.corr("ra", "rb").alias("ic"), F.count(ONE).alias("n")).filter("n > 2")
-    return c.groupBy("h").agg(F.count(ONE).alias("days"), rnd(F.avg("ic"), 5).alias("mean_ic"))
+    c = p.join(ra, ["h", "d", "pred"]).join(rb, ["h", "d", "act"]).groupBy("h", "d").agg(F.corr("ra", "rb").alias("ic"), F.count(F.lit(1)).alias("n")).filter("n > 2")
+    return c.groupBy("h").agg(F.count(F.lit(1)).alias("days"), rnd(F.avg("ic"), 5).alias("mean_ic"))
 
 
 @query("ats_rate", f"SELECT {r6('avg(CAST((y_hat > x1 * x2 AND y > x1 * x2) OR (y_hat < x1 * x2 AND y < x1 * x2) AS INT))')} AS win_rate FROM v_reg")
@@ -318,7 +317,7 @@ def residual_table(t):
 @query("segment_metrics", f"SELECT seg, count(*) AS n, {r6('sqrt(avg((y_hat - y) ^ 2))', 4)} AS rmse, {r6('avg(abs(y_hat - y))', 4)} AS mae, {r6('avg(abs(y_hat - y) / y)')} AS mape FROM v_reg GROUP BY 1")
 def segment_metrics(t):
     m, p = mt.regression_metrics("y", "y_hat"), mt.percent_metrics("y", "y_hat", .1)
-    return view(t, "v_reg").groupBy("seg").agg(F.count(ONE).alias("n"), rnd(m["rmse"], 4).alias("rmse"), rnd(m["mae"], 4).alias("mae"), rnd(p["mape"]).alias("mape"))
+    return view(t, "v_reg").groupBy("seg").agg(F.count(F.lit(1)).alias("n"), rnd(m["rmse"], 4).alias("rmse"), rnd(m["mae"], 4).alias("mae"), rnd(p["mape"]).alias("mape"))
 
 
 # ---- survival ------------------------------------------------------------------------------------
@@ -341,7 +340,7 @@ def concordance_index(t):
 @query("survival_brier", f"SELECT {r6('avg(((1 - risk) - CAST(duration > 12 AS INT)) ^ 2)')} AS brier_12, count(*) AS n FROM v_surv WHERE duration > 12 OR event = 1")
 def survival_brier(t):
     s = view(t, "v_surv").filter("duration > 12 OR event = 1")
-    return s.agg(rnd(F.avg(F.pow((1 - F.col("risk")) - flag(F.col("duration") > 12), 2))).alias("brier_12"), F.count(ONE).alias("n"))
+    return s.agg(rnd(F.avg(F.pow((1 - F.col("risk")) - flag(F.col("duration") > 12), 2))).alias("brier_12"), F.count(F.lit(1)).alias("n"))
 
 
 @query("expected_lifetime", f"""WITH {_KM}, p AS (SELECT grp, duration, surv, lag(duration, 1, 0) OVER w AS t0, lag(surv, 1, 1.0::DOUBLE) OVER w AS s0 FROM s WINDOW w AS (PARTITION BY grp ORDER BY duration)) SELECT grp, {r6('sum((duration - t0) * (surv + s0) / 2)')} AS months, {r6('sum((duration - t0) * (surv + s0) / 2) * 99')} AS revenue FROM p GROUP BY 1""")
@@ -364,13 +363,13 @@ def ate():
 
 @query("ate_by_segment", f"SELECT coalesce(grp, 'ALL') AS grp, {r6(_ATE)} AS ate, count(*) AS n FROM v_scores GROUP BY GROUPING SETS ((grp), ())")
 def ate_by_segment(t):
-    return view(t, "v_scores").rollup("grp").agg(rnd(ate()).alias("ate"), F.count(ONE).alias("n")).select(F.coalesce("grp", F.lit("ALL")).alias("grp"), "ate", "n")
+    return view(t, "v_scores").rollup("grp").agg(rnd(ate()).alias("ate"), F.count(F.lit(1)).alias("n")).select(F.coalesce("grp", F.lit("ALL")).alias("grp"), "ate", "n")
 
 
 @query("uplift_decile", f"WITH {_QBIN} SELECT bin, count(*) AS n, {r6('avg(score)')} AS mean_score, {r6(_ATE)} AS ate FROM x GROUP BY 1")
 def uplift_decile(t):
     b = quantile_bins(view(t, "v_scores").select("score", "y", "treatment"), "score", 10, "bin")
-    return b.groupBy("bin").agg(F.count(ONE).alias("n"), rnd(F.avg("score")).alias("mean_score"), rnd(ate()).alias("ate"))
+    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("score")).alias("mean_score"), rnd(ate()).alias("ate"))
 
 
 @query("qini_auuc", f"""WITH s AS (SELECT score, count(*) AS n, sum(treatment) AS nt, sum(treatment * y) AS yt, sum((1 - treatment) * y) AS yc FROM v_scores GROUP BY 1),
@@ -388,7 +387,7 @@ def qini_auuc(t):
     {r6('avg((score - y) ^ 2)')} AS brier, {r6(_AUC)} AS auc FROM a GROUP BY 1 HAVING count(*) >= 100""")
 def fairness_audit(t):
     s = scored(t)
-    g = s.groupBy("grp").agg(F.count(ONE).alias("n"), *[rnd(c).alias(n) for n, c in mt.binary_rates("y", "pred").items()], rnd(F.avg(F.pow(F.col("score") - F.col("y"), 2))).alias("brier"))
+    g = s.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[rnd(c).alias(n) for n, c in mt.binary_rates("y", "pred").items()], rnd(F.avg(F.pow(F.col("score") - F.col("y"), 2))).alias("brier"))
     return g.filter("n >= 100").join(rk.roc_auc(s, keys=["grp"]).select("grp", rnd("auc").alias("auc")), "grp")
 
 

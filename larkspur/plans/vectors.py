@@ -17,7 +17,6 @@ from larkspur.plans.registry import query, r6
 from larkspur.plans.views import view
 
 DIMS = 64
-ONE = F.lit(1)
 
 
 def labelled(t, k, **kw):
@@ -38,13 +37,14 @@ def _vote(weight, name):
 
 _L1 = "list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: abs(z[1] - z[2])))"
 _WEIGHT = "CASE WHEN d = 0 THEN 1e10::DOUBLE ELSE 1 / d END"
-WEIGHT = F.when(F.col("dist") == 0, 1e10).otherwise(1 / F.col("dist"))
+def weight_col():
+    return F.when(F.col("dist") == 0, 1e10).otherwise(1 / F.col("dist"))
 
 
 @query("knn_classify", f"WITH {_nn(5)}, {_vote('1', 'u')}, {_vote(_WEIGHT, 'w')} SELECT u.q AS vec_id, u.pred AS uniform, w.pred AS weighted FROM u JOIN w ON u.q = w.q")
 def knn_classify(t):
     h = labelled(t, 5)
-    u, w = vote(h, "label").withColumnRenamed("pred", "uniform"), vote(h, "label", WEIGHT).withColumnRenamed("pred", "weighted")
+    u, w = vote(h, "label").withColumnRenamed("pred", "uniform"), vote(h, "label", weight_col()).withColumnRenamed("pred", "weighted")
     return u.join(w, "qid").select(F.col("qid").alias("vec_id"), "uniform", "weighted")
 
 
@@ -56,7 +56,7 @@ def knn_manhattan(t):
 @query("knn_regress", f"WITH {_nn(5)} SELECT q AS vec_id, {r6('avg(label)')} AS uniform, {r6(f'sum(label * {_WEIGHT}) / sum({_WEIGHT})')} AS weighted FROM n GROUP BY 1")
 def knn_regress(t):
     h = labelled(t, 5)
-    return h.groupBy(F.col("qid").alias("vec_id")).agg(rnd(F.avg("label")).alias("uniform"), rnd(F.sum(F.col("label") * WEIGHT) / F.sum(WEIGHT)).alias("weighted"))
+    return h.groupBy(F.col("qid").alias("vec_id")).agg(rnd(F.avg("label")).alias("uniform"), rnd(F.sum(F.col("label") * weight_col()) / F.sum(weight_col())).alias("weighted"))
 
 
 @query("knn_approx")
@@ -68,7 +68,7 @@ def knn_approx(t):
     reach = knn(v, v, 5, "vec_id", "vec_id", rule="not_self").agg(F.max("dist")).first()[0]
     pairs = model.approxSimilarityJoin(v, v, reach, "d").filter("datasetA.vec_id <> datasetB.vec_id").select(F.col("datasetA.vec_id").alias("qid"), F.col("datasetB.vec_id").alias("bid"))
     found = exact.join(pairs, ["qid", "bid"], "left_semi")
-    return exact.agg(F.count(ONE).alias("wanted")).withColumn("recall", rnd(found.agg(F.count(ONE)).scalar() / F.col("wanted")))
+    return exact.agg(F.count(F.lit(1)).alias("wanted")).withColumn("recall", rnd(found.agg(F.count(F.lit(1))).scalar() / F.col("wanted")))
 
 
 _COS = "(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
@@ -95,7 +95,7 @@ def unit_vector(v):
 def k_sweep(t):
     """Leave-one-out error for every k from one top-10 pass."""
     h = labelled(t, 10).withColumn("k", F.explode(F.sequence("rn", F.lit(10))))
-    per = h.groupBy("qid", "k", "label").agg(F.count(ONE).alias("v"), F.min("rn").alias("first"))
+    per = h.groupBy("qid", "k", "label").agg(F.count(F.lit(1)).alias("v"), F.min("rn").alias("first"))
     pred = per.groupBy("qid", "k").agg(F.max_by("label", F.struct("v", -F.col("first"))).alias("pred"))
     truth = vectors(t).select(F.col("vec_id").alias("qid"), "label")
     return pred.join(truth, "qid").groupBy("k").agg(rnd(F.avg(flag(F.col("pred") != F.col("label")))).alias("error"))
@@ -173,7 +173,7 @@ def kmeans(t):
     v = features(t)
     fits = [KMeans(k=10, seed=s, maxIter=20, tol=1e-4).fit(v) for s in (1, 2, 3)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(v).groupBy("prediction").agg(F.count(ONE).alias("n")).withColumn("inertia", F.lit(float(best.summary.trainingCost)))
+    return best.transform(v).groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("inertia", F.lit(float(best.summary.trainingCost)))
 
 
 _CENTRES = "c AS (SELECT label AS k, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
@@ -216,7 +216,7 @@ def minibatch_kmeans(t):
     v = vectors(t)
     start = np.array([r.vec for r in v.orderBy(F.xxhash64("vec_id")).limit(10).collect()])
     c = cl.minibatch_kmeans(v, "vec_id", start, 8)
-    return cl.assign_nearest(v, c).groupBy("cluster").agg(F.count(ONE).alias("n"), F.sum("d2").alias("inertia"))
+    return cl.assign_nearest(v, c).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("inertia"))
 
 
 def places(t):
@@ -234,7 +234,7 @@ def dbscan_noise_profile(t):
     out = None
     for eps in (0.06, 0.08, 0.1):
         c = cl.dbscan(p, "id", "vec", eps, 5, 2).join(p.select("id", "value"), "id")
-        g = c.groupBy((F.col("cluster") == -1).alias("noise")).agg(F.count(ONE).alias("n"), rnd(F.avg("value")).alias("mean_value"), F.countDistinct("cluster").alias("clusters")).withColumn("eps", F.lit(eps))
+        g = c.groupBy((F.col("cluster") == -1).alias("noise")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value")).alias("mean_value"), F.countDistinct("cluster").alias("clusters")).withColumn("eps", F.lit(eps))
         out = g if out is None else out.unionByName(g)
     return out
 
@@ -243,7 +243,7 @@ def dbscan_noise_profile(t):
 def cluster_feature(t):
     v = features(t)
     m = KMeans(k=10, seed=1, maxIter=20).fit(v)
-    return m.transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count(ONE).alias("n"), rnd(F.avg((F.col("label") == 0).cast("int"))).alias("rate"))
+    return m.transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg((F.col("label") == 0).cast("int"))).alias("rate"))
 
 
 @query("cluster_agreement")
