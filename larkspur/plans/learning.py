@@ -771,10 +771,10 @@ def x_learner(t):
 
 @query("label_noise_scan")
 def label_noise_scan(t):
-    """Negatives that out-of-fold models score above .95."""
+    """Every negative with its out-of-fold score; above .95 it goes to review."""
     v = cls_vec(t)
     p = out_of_fold(v, lambda: DecisionTreeClassifier(labelCol="y", maxDepth=5), "id", p1(), "p")
-    return v.select("id", "y").join(p, "id").filter("y = 0 AND p > .95").select("id", rnd("p").alias("p"))
+    return v.select("id", "y").join(p, "id").filter("y = 0").select("id", rnd("p").alias("p"), flag(F.col("p") > .95).alias("review"))
 
 
 @query("lifetime_value")
