@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Patterns of the text cleaners
 DIGITS = r"\p{Nd}+"
@@ -137,24 +137,42 @@ def char_ngrams(word: Column, low: int, high: int) -> Column:
     return F.concat(*parts)
 
 
-def term_counts(df: DataFrame, key: Sequence[str], text: str, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> DataFrame:
-    """(key.., term, tf): word 1..grams counts per document, after stop words."""
-    tok = df.select(*key, tokens(F.col(text), stop).alias("_t"))
-    terms = F.concat("_t", bigrams(F.col("_t"))) if grams > 1 else F.col("_t")
-    return tok.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def with_terms(df: DataFrame, text: str, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> DataFrame:
+    """Add ``terms``: the document's word 1..grams in order, after stop words."""
+    tok = df.withColumn("_t", tokens(F.col(text), stop))
+    return tok.withColumn("terms", F.concat("_t", bigrams(F.col("_t"))) if grams > 1 else F.col("_t")).drop("_t")
 
 
-def vocabulary(counts: DataFrame, n_docs: Column, min_df: int = 1, max_df: float = 1.0, size: int | None = None) -> DataFrame:
-    """(term, n, df) within the document-frequency limits, the ``size`` most frequent (ties by term)."""
-    v = counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+def term_counts(df: DataFrame, key: Sequence[str], vocab: DataFrame | None = None) -> DataFrame:
+    """(key.., term, tf) from ``terms``; with a vocabulary the other terms are dropped before any shuffle."""
+    flat = df.select(*key, F.explode("terms").alias("term"))
+    if vocab is not None:
+        flat = flat.join(vocab.select("term"), "term", "left_semi")
+    return flat.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def vocabulary(df: DataFrame, n_docs: Column, min_df: int = 1, max_df: float = 1.0, size: int | None = None) -> DataFrame:
+    """(term, n, df) within the document-frequency limits, the ``size`` most frequent (ties by term).
+
+    A document adds each term's occurrences and, once, its presence; both are summed per term map-side,
+    so nothing per document is shuffled.
+    """
+    cells = F.concat(
+        F.transform("terms", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
+    v = df.select(F.inline(cells)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     v = v.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     return v.orderBy(F.desc("n"), "term").limit(size) if size else v
 
 
-def tfidf(counts: DataFrame, key: str, vocab: DataFrame, n_docs: Column, sublinear: bool = False) -> DataFrame:
-    """Smoothed idf = ln((1+N)/(1+df)) + 1, rows scaled to unit length."""
+def tfidf(df: DataFrame, key: str, vocab: DataFrame, n_docs: Column, sublinear: bool = False) -> DataFrame:
+    """Smoothed idf = ln((1+N)/(1+df)) + 1, rows scaled to unit length.
+
+    The norm is a window over one document's vocabulary terms, a group bounded by the vocabulary.
+    """
+    counts = term_counts(df, [key], vocab)
     tf = (1 + F.ln("tf")) if sublinear else F.col("tf").cast("double")
     idf = F.ln((1 + n_docs) / (1 + F.col("df"))) + 1
     w = counts.join(vocab.select("term", "df"), "term").select(key, "term", (tf * idf).alias("_w"))
-    norm = w.groupBy(F.col(key).alias("_k")).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return w.join(norm, F.col(key) == F.col("_k")).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return w.select(key, "term", (F.col("_w") / norm).alias("weight"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from larkspur.operators.prefix import exact_quantiles, global_cumsum
+from larkspur.operators.prefix import global_cumsum, pick_ranks
 
 def one() -> Column:
     return F.lit(1).cast("bigint")
@@ -115,16 +115,9 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return out.select("d", F.when(lam < 1e-3, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))).alias("p_value"))
 
 
-def order_pick(df: DataFrame, value: str, rank: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """The ``rank``-th smallest value per key (an exact order statistic; ``rank`` may use ``tot_n``)."""
-    s = global_cumsum(df, value, {"n": one()}, keys)
-    hit = (F.col("cum_n") >= rank) & (F.col("cum_n") - F.col("n") < rank)
-    return s.groupBy(*keys).agg(F.max(F.when(hit, F.col(value))).alias("picked"), F.max("tot_n").alias("n"))
-
-
 def split_conformal(df: DataFrame, score: str, segment: str, alpha: float, min_rows: int = 100) -> DataFrame:
     """Conformal offset per segment; segments below ``min_rows`` use the overall offset."""
-    rank = F.least(F.ceil((F.col("tot_n") + 1) * (1 - alpha)), F.col("tot_n"))
-    overall = order_pick(df, score, rank).select("picked").scalar()
-    own = order_pick(df, score, rank, [segment])
-    return own.select(segment, "n", F.when(F.col("n") >= min_rows, F.col("picked")).otherwise(overall).alias("offset"))
+    rank = {"picked": lambda total: F.least(F.ceil((total + 1) * (1 - alpha)), total)}
+    overall = pick_ranks(df, score, rank).select("picked").scalar()
+    own = pick_ranks(df, score, rank, [segment])
+    return own.select(segment, F.col("tot_n").alias("n"), F.when(F.col("tot_n") >= min_rows, F.col("picked")).otherwise(overall).alias("offset"))

@@ -35,9 +35,17 @@ def gaussian_score(df: DataFrame, model: DataFrame, cols: Sequence[str]) -> Data
     return rows.withColumns({"pred": F.col("m")[F.array_position("_lp", top) - 1]["cls"], "prob": 1 / total}).drop("m", "total", "_lp")
 
 
-def class_term_counts(counts: DataFrame, labels: DataFrame, key: str, y: str) -> DataFrame:
-    """(cls, term, n, docs) over labelled documents."""
-    return counts.join(labels.select(key, F.col(y).alias("cls")), key).groupBy("cls", "term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
+def class_term_table(docs: DataFrame, y: str, vocab: DataFrame) -> DataFrame:
+    """(cls, term, n, docs) of the vocabulary terms, straight from the term lists.
+
+    Occurrences and first occurrences are summed per (class, term) map-side; no (document, term) pair
+    is shuffled.
+    """
+    cells = F.concat(
+        F.transform("terms", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
+        F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))))
+    flat = docs.select(F.col(y).alias("cls"), F.inline(cells))
+    return flat.groupBy("cls", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).join(vocab, "term", "left_semi")
 
 
 def _full(table: DataFrame, labels: DataFrame, y: str) -> tuple[DataFrame, DataFrame]:
@@ -75,12 +83,13 @@ def bernoulli_fit(table: DataFrame, labels: DataFrame, y: str, alpha: float = 1.
     return p.select("cls", "term", (F.ln("p") - F.ln(1 - F.col("p"))).alias("w")), absent.select("cls", (F.ln(F.col("n_docs") / total) + F.col("a")).alias("bias"))
 
 
-def term_scores(docs: DataFrame, counts: DataFrame, key: str, model: tuple[DataFrame, DataFrame], binary: bool = False) -> DataFrame:
+def term_scores(docs: DataFrame, key: str, model: tuple[DataFrame, DataFrame], binary: bool = False) -> DataFrame:
     """(key, cls, score) for every document and class, also for documents without a known term."""
     w, bias = model
     per_term = w.groupBy("term").agg(F.collect_list(F.struct("cls", "w")).alias("ws"))
-    tf = F.lit(1.0) if binary else F.col("tf").cast("double")
-    sums = counts.join(per_term, "term").select(key, tf.alias("tf"), F.explode("ws").alias("x")).groupBy(key, F.col("x.cls").alias("cls")).agg(F.sum(F.col("tf") * F.col("x.w")).alias("s"))
+    terms = F.array_distinct("terms") if binary else F.col("terms")
+    hits = docs.select(key, F.explode(terms).alias("term")).join(per_term, "term").select(key, F.inline("ws"))
+    sums = hits.groupBy(key, "cls").agg(F.sum("w").alias("s"))
     biases = bias.agg(F.collect_list(F.struct("cls", "bias"))).scalar()
     base = docs.select(key).withColumn("b", F.explode(biases)).select(key, "b.cls", "b.bias")
     return base.join(sums, [key, "cls"], "left").select(key, "cls", (F.col("bias") + F.coalesce("s", F.lit(0.0))).alias("score"))

@@ -140,7 +140,9 @@ def knn(
 
     if n_pivots == 1:
         # one cell: nothing to prune, only the block and query bounds remain
-        parts = max(1, math.ceil(q.count() / query_rows))
+        n_query = q.count()
+        slots = queries.sparkSession.sparkContext.defaultParallelism
+        parts = max(1, math.ceil(n_query / query_rows), min(slots, math.ceil(n_query / 500)))
         one = [F.lit(0).alias("cell"), F.lit(0).alias("sub")]
         left = q.select("*", *one, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
         right = b.select("*", *one, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

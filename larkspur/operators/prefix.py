@@ -13,7 +13,7 @@ The slice edges come from ``approxQuantile``; they decide only balance, never th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -81,6 +81,44 @@ def global_cumsum(
     )
 
 
+#: Slices used to narrow an order statistic down: more slices, fewer candidate rows to sort.
+PICK_SLICES = 64
+
+
+def pick_ranks(
+    df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: Sequence[str] = ()
+) -> DataFrame:
+    """Exact order statistics: per group the value at each 1-based rank (a function of the group's size).
+
+    Counting rows per value slice tells which slice holds each wanted rank; only the rows of those
+    slices (about ranks / slices of the data) are shuffled and sorted, after copies were combined.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    edges = slice_edges(rows, "_v", max(PICK_SLICES, n_buckets(df.sparkSession)))
+    sliced = with_slice(rows, "_v", edges)
+    sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *[F.col(k).alias(f"_k_{k}") for k in by], F.col("_slice").alias("_o_slice"), "_n",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"), F.sum("_n").over(W.partitionBy(*by)).alias("_tot"))
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        at = rank(F.col("_tot"))
+        wanted = wanted | ((at > F.col("_off")) & (at <= F.col("_off") + F.col("_n")))
+    cond = F.col("_slice") == F.col("_o_slice")
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    near = sliced.join(sizes.filter(wanted), cond).groupBy(*by, "_slice", "_off", "_tot", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = W.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    near = near.withColumn("_cum", F.col("_off") + F.sum("_c").over(inside))
+    picks = [
+        F.max(F.when((F.col("_cum") >= rank(F.col("_tot"))) & (F.col("_cum") - F.col("_c") < rank(F.col("_tot"))), F.col("_v"))).alias(name)
+        for name, rank in ranks.items()
+    ]
+    return near.groupBy(*by).agg(*picks, F.max("_tot").alias("tot_n"))
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -89,28 +127,21 @@ def exact_quantiles(
     Unlike the built-in ``percentile`` no aggregation buffer ever holds a group's distinct values.
     """
     by = list(by)
-    cum = global_cumsum(df.filter(F.col(value).isNotNull()), value, {"n": F.lit(1).cast("bigint")}, by)
-    aggs = []
+
+    def place(p: float, total: Column) -> Column:
+        return F.lit(float(p)) * (total - 1)
+
+    ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("tot_n") - 1)
-        for tag, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("cum_n") > at) & (F.col("cum_n") - F.col("n") <= at)
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{tag}_{name}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_fr_{name}"))
-    picked = cum.groupBy(*by).agg(*aggs)
-    return picked.select(
-        *by,
-        *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
-            for n in probs
-        ],
-    )
+        ranks[f"_lo_{name}"] = lambda total, p=p: F.floor(place(p, total)) + 1
+        ranks[f"_hi_{name}"] = lambda total, p=p: F.ceil(place(p, total)) + 1
+    picked = pick_ranks(df, value, ranks, by)
 
+    def between(name: str, p: float) -> Column:
+        low, high, at = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), place(p, F.col("tot_n"))
+        return (low + (high - low) * (at - F.floor(at))).alias(name)
 
-def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
-    """The quantiles as one row with an array column ``qs`` (for bin edges)."""
-    named = {f"q{i}": p for i, p in enumerate(probs)}
-    return exact_quantiles(df, value, named).select(F.array(*named).alias("qs"))
+    return picked.select(*by, *[between(n, p) for n, p in probs.items()])
 
 
 def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), descending: bool = False) -> DataFrame:

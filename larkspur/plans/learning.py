@@ -187,10 +187,9 @@ def gaussian_nb(t):
 
 
 def nb_input(t):
-    docs = view(t, "v_text")
-    counts = tx.term_counts(docs, ["doc_id"], "text")
-    vocab = tx.vocabulary(counts, F.lit(1), 3, 1e18, 500).select("term")
-    return docs.select("doc_id", "y"), counts.join(vocab, "term")
+    """Labelled documents with their terms, and the vocabulary: the 500 most frequent terms."""
+    docs = tx.with_terms(view(t, "v_text"), "text").select("doc_id", "y", "terms")
+    return docs, tx.vocabulary(docs, F.lit(1), 3, 1e18, 500).select("term")
 
 
 _TT = _TERMS.replace("FROM documents), g", "FROM v_text), g")
@@ -208,9 +207,9 @@ _PRIOR = "SELECT cls, ln(nd2 / (SELECT sum(nd2) FROM cl)) AS bias FROM cl"
 
 
 def _nb_query(t, fit, binary=False):
-    docs, counts = nb_input(t)
-    table = nb.class_term_counts(counts, docs, "doc_id", "y")
-    s = nb.term_scores(docs, counts, "doc_id", fit(table, docs, "y"), binary)
+    docs, vocab = nb_input(t)
+    table = nb.class_term_table(docs, "y", vocab)
+    s = nb.term_scores(docs, "doc_id", fit(table, docs, "y"), binary)
     return nb.best_class(s, "doc_id").select("doc_id", F.col("pred").cast("int").alias("pred"), rnd("score", 4).alias("score"))
 
 
@@ -231,12 +230,12 @@ def bernoulli_nb(t):
 
 @query("nb_alpha_sweep")
 def nb_alpha_sweep(t):
-    docs, counts = nb_input(t)
+    docs, vocab = nb_input(t)
     train = docs.filter("doc_id % 5 <> 0")
-    table = nb.class_term_counts(counts, train, "doc_id", "y").cache()
+    table = nb.class_term_table(train, "y", vocab).cache()
     out = None
     for a in (0.01, 0.1, 1.0, 10.0):
-        s = nb.best_class(nb.term_scores(docs, counts, "doc_id", nb.multinomial_fit(table, train, "y", a)), "doc_id").join(docs, "doc_id")
+        s = nb.best_class(nb.term_scores(docs, "doc_id", nb.multinomial_fit(table, train, "y", a)), "doc_id").join(docs, "doc_id")
         r = s.groupBy((F.col("doc_id") % 5 == 0).alias("held_out")).agg(rnd(F.avg(flag(F.col("pred") == F.col("y")))).alias("accuracy")).withColumn("alpha", F.lit(a))
         out = r if out is None else out.unionByName(r)
     return out
@@ -408,12 +407,8 @@ _KINDS = ("gini", "entropy", "mse")
 
 @query("split_search", f"WITH {_SPLIT}, {', '.join(_split_sql(k) for k in _KINDS)}, u AS ({' UNION ALL '.join(f'SELECT * FROM g_{k}' for k in _KINDS)}), r AS (SELECT *, row_number() OVER (PARTITION BY criterion ORDER BY round(gain, 9) DESC, fi, v) AS rn FROM u) SELECT criterion, feature, {r6('v')} AS threshold, {r6('gain')} AS gain FROM r WHERE rn = 1")
 def split_search(t):
-    d = cls(t).select(*_FEATS, "y")
-    out = None
-    for k in _KINDS:
-        b = tr.best_split(d, _FEATS, "y", 20, k).select(F.lit(k).alias("criterion"), "feature", rnd("threshold").alias("threshold"), rnd("gain").alias("gain"))
-        out = b if out is None else out.unionByName(b)
-    return out
+    b = tr.best_split(cls(t).select(*_FEATS, "y"), _FEATS, "y", 20, _KINDS)
+    return b.select("criterion", "feature", rnd("threshold").alias("threshold"), rnd("gain").alias("gain"))
 
 
 @query("tree_classifier")

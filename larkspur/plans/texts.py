@@ -105,7 +105,7 @@ _TERMS = f"""{_TOK}, g AS (SELECT doc_id, unnest(list_concat(tok, list_transform
 
 
 def doc_terms(t):
-    return tx.term_counts(t.documents, ["doc_id"], "text")
+    return tx.with_terms(t.documents, "text").select("doc_id", "terms")
 
 
 def n_docs(t):
@@ -114,7 +114,7 @@ def n_docs(t):
 
 @query("tokenize_ngrams", f"WITH {_TERMS} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_terms, count(*) AS n_distinct, max(tf) AS max_tf FROM c GROUP BY 1")
 def tokenize_ngrams(t):
-    return doc_terms(t).groupBy("doc_id").agg(F.sum("tf").alias("n_terms"), F.count(F.lit(1)).alias("n_distinct"), F.max("tf").alias("max_tf"))
+    return tx.term_counts(doc_terms(t), ["doc_id"]).groupBy("doc_id").agg(F.sum("tf").alias("n_terms"), F.count(F.lit(1)).alias("n_distinct"), F.max("tf").alias("max_tf"))
 
 
 @query("char_ngrams", """WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS w FROM documents), p AS (SELECT lang, ' ' || w || ' ' AS p, count(*) AS n FROM w GROUP BY 1, 2),
@@ -137,8 +137,8 @@ def _tfidf_sql(weight):
 
 
 def doc_tfidf(t, sublinear=False):
-    counts = doc_terms(t)
-    return tx.tfidf(counts, "doc_id", tx.vocabulary(counts, n_docs(t), 5, 0.95, 100), n_docs(t), sublinear)
+    docs = doc_terms(t)
+    return tx.tfidf(docs, "doc_id", tx.vocabulary(docs, n_docs(t), 5, 0.95, 100), n_docs(t), sublinear)
 
 
 @query("tfidf", f"WITH {_tfidf_sql('tf')} SELECT doc_id, term, {r6('weight')} AS weight FROM z")
