@@ -143,9 +143,18 @@ def with_terms(df: DataFrame, text: str, stop: Sequence[str] = STOP_WORDS, grams
     return tok.withColumn("terms", F.concat("_t", bigrams(F.col("_t"))) if grams > 1 else F.col("_t")).drop("_t")
 
 
+def each(array: str | Column) -> Column:
+    """One row per element.
+
+    Exploding a computed column lets the optimiser push ``size(..) > 0`` below the computation, which
+    then tokenises every text again at the scan; an identity transform keeps it computed once.
+    """
+    return F.explode(F.transform(array, lambda x: x))
+
+
 def term_counts(df: DataFrame, key: Sequence[str], vocab: DataFrame | None = None) -> DataFrame:
     """(key.., term, tf) from ``terms``; with a vocabulary the other terms are dropped before any shuffle."""
-    flat = df.select(*key, F.explode("terms").alias("term"))
+    flat = df.select(*key, each("terms").alias("term"))
     if vocab is not None:
         flat = flat.join(vocab.select("term"), "term", "left_semi")
     return flat.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -31,16 +31,15 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFram
     one bit, so each pair is counted at one level, where it shares the higher bits (the cell) and the
     earlier time has bit 0, the later bit 1.  Per cell one prefix sum over risk counts the pairs: n log n.
     """
-    rows = df.groupBy(duration, risk).agg(F.sum(event).cast("bigint").alias("e"), F.count(F.lit(1)).alias("n"))
-    times = rows.select(duration).distinct()
-    ranks = global_cumsum(times, duration, {"one": one()}).select(F.col(duration).alias("_t"), (F.col("cum_one") - 1).alias("r"))
+    rows = df.groupBy(F.col(duration).cast("double").alias("_t"), F.col(risk).cast("double").alias("_r")).agg(
+        F.sum(event).cast("bigint").alias("_e"), F.count(F.lit(1)).alias("_n"))
+    times = rows.select("_t").distinct()
+    ranks = global_cumsum(times, "_t", {"one": one()}).select(F.col("_t").alias("_t2"), (F.col("cum_one") - 1).alias("_rank"))
     levels = max(1, math.ceil(math.log2(max(2, times.count()))))
-    ranked = rows.join(ranks, F.col(duration) == F.col("_t"))
-    cells = ranked.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    bit = F.expr("cast(shiftright(r, lvl) as bigint) & 1")
-    cells = cells.withColumn("cell", F.expr("shiftright(r, lvl + 1)")).withColumn("late", bit)
-    s = global_cumsum(cells, risk, {
-        "a": F.when(F.col("late") == 0, F.col("e")).otherwise(0), "c": F.when(F.col("late") == 1, F.col("n")).otherwise(0)}, ["lvl", "cell"])
+    cells = rows.join(ranks, F.col("_t") == F.col("_t2")).withColumn("_lvl", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    cells = cells.withColumn("_cell", F.expr("shiftright(_rank, _lvl + 1)")).withColumn("_late", F.expr("cast(shiftright(_rank, _lvl) as bigint) & 1"))
+    s = global_cumsum(cells, "_r", {
+        "a": F.when(F.col("_late") == 0, F.col("_e")).otherwise(0), "c": F.when(F.col("_late") == 1, F.col("_n")).otherwise(0)}, ["_lvl", "_cell"])
     return s.agg(
         F.sum(F.col("a") * F.col("tot_c")).alias("comparable"),
         F.sum(F.col("a") * (F.col("cum_c") - F.col("c"))).alias("concordant"),

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.operators.clean import attach_one, unpivot
+from larkspur.functions.text import each
+from larkspur.operators.clean import attach_one
 
 VAR_FLOOR = 1e-9  # fixed value: absolute variance smoothing
 
@@ -83,16 +84,20 @@ def bernoulli_fit(table: DataFrame, labels: DataFrame, y: str, alpha: float = 1.
     return p.select("cls", "term", (F.ln("p") - F.ln(1 - F.col("p"))).alias("w")), absent.select("cls", (F.ln(F.col("n_docs") / total) + F.col("a")).alias("bias"))
 
 
+def wide_weights(w: DataFrame, classes: Sequence) -> DataFrame:
+    """(term, w0, w1, ..): one column per class, so a join with terms does not multiply rows by classes."""
+    return w.groupBy("term").agg(*[F.max(F.when(F.col("cls") == c, F.col("w"))).alias(f"w{i}") for i, c in enumerate(classes)])
+
+
 def term_scores(docs: DataFrame, key: str, model: tuple[DataFrame, DataFrame], binary: bool = False) -> DataFrame:
     """(key, cls, score) for every document and class, also for documents without a known term."""
     w, bias = model
-    per_term = w.groupBy("term").agg(F.collect_list(F.struct("cls", "w")).alias("ws"))
+    known = [(r.cls, r.bias) for r in bias.collect()]  # one row per class
     terms = F.array_distinct("terms") if binary else F.col("terms")
-    hits = docs.select(key, F.explode(terms).alias("term")).join(per_term, "term").select(key, F.inline("ws"))
-    sums = hits.groupBy(key, "cls").agg(F.sum("w").alias("s"))
-    biases = bias.agg(F.collect_list(F.struct("cls", "bias"))).scalar()
-    base = docs.select(key).withColumn("b", F.explode(biases)).select(key, "b.cls", "b.bias")
-    return base.join(sums, [key, "cls"], "left").select(key, "cls", (F.col("bias") + F.coalesce("s", F.lit(0.0))).alias("score"))
+    hits = docs.select(key, each(terms).alias("term")).join(wide_weights(w, [c for c, _ in known]), "term")
+    sums = hits.groupBy(key).agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(known))])
+    cells = F.array(*[F.struct(F.lit(c).alias("cls"), (F.lit(b) + F.coalesce(f"s{i}", F.lit(0.0))).alias("score")) for i, (c, b) in enumerate(known)])
+    return docs.select(key).join(sums, key, "left").select(key, F.inline(cells))
 
 
 def best_class(scores: DataFrame, key: str) -> DataFrame:

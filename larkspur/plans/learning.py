@@ -256,14 +256,17 @@ def language_id(t):
     Words are cut into n-grams once per distinct word; a word's class score is joined to the documents'
     word counts, so n-grams of the running text are never materialised.
     """
-    tok = t.documents.select("doc_id", "lang", F.explode(tx.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "lang", "w").agg(F.count(F.lit(1)).alias("tf"))
+    tok = t.documents.select("doc_id", "lang", tx.each(tx.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "lang", "w").agg(F.count(F.lit(1)).alias("tf"))
     grams = tok.select("w").distinct().select("w", F.explode(tx.char_ngrams(F.col("w"), 3, 4)).alias("term"))
     train = tok.filter("doc_id % 5 <> 0").groupBy(F.col("lang").alias("cls"), "w").agg(F.sum("tf").alias("n"))
     table = train.join(grams, "w").groupBy("cls", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     weights, bias = nb.multinomial_fit(table, t.documents.filter("doc_id % 5 <> 0").select("doc_id", "lang"), "lang")
-    words = grams.join(weights.select("cls", "term", F.col("w").alias("lw")), "term").groupBy("w", "cls").agg(F.sum("lw").alias("lp"))
-    s = tok.join(words, "w").groupBy("doc_id", "cls").agg(F.sum(F.col("tf") * F.col("lp")).alias("s")).join(bias, "cls")
-    return s.groupBy("doc_id").agg(F.max_by("cls", F.round(F.col("s") + F.col("bias"), 5)).alias("pred"))
+    known = [(r.cls, r.bias) for r in bias.collect()]  # one row per language
+    cols = [f"w{i}" for i in range(len(known))]
+    words = grams.join(nb.wide_weights(weights, [c for c, _ in known]), "term").groupBy("w").agg(*[F.sum(c).alias(c) for c in cols])
+    s = tok.join(words, "w").groupBy("doc_id").agg(*[F.sum(F.col("tf") * F.col(c)).alias(c) for c in cols])
+    cells = F.array(*[F.struct(F.round(F.col(f"w{i}") + b, 5).alias("score"), F.lit(c).alias("cls")) for i, (c, b) in enumerate(known)])
+    return s.select("doc_id", F.array_max(cells)["cls"].alias("pred"))
 
 
 # ---- generalised linear, calibration, survival ---------------------------------------------------
