@@ -97,7 +97,7 @@ def quantile_fit(df: DataFrame, cols: Sequence[str], y: str, qs: Sequence[float]
             new = np.linalg.solve(a, np.array(part[len(pairs):]))
             moved = max(moved, float(np.abs(new - fits[k]).max()))
             fits[k] = new
-        if moved < scale * 1e-4:
+        if moved < scale * 1e-3 and floor <= scale * 1e-2:
             break
     return fits
 

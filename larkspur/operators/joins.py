@@ -59,6 +59,20 @@ def first_flag_before(marks: DataFrame, flags: DataFrame, keys: Sequence[str], m
     return out.withColumn("lead", F.when(F.col("r_clock") < F.col(mark_clock), F.col(mark_clock) - F.col("r_clock"))).drop("_from", "r_clock")
 
 
+def calibrate(
+    sensor: DataFrame, reference: DataFrame, keys: Sequence[str], clock: str, value: str, ref_value: str, tolerance: int, min_pairs: int = 100
+) -> DataFrame:
+    """Slope and offset of the reference on the sensor per key, from readings paired in time.
+
+    Keys with fewer than ``min_pairs`` pairs keep (1, 0).
+    """
+    pairs = asof(sensor, reference, keys, clock, clock, [ref_value], tolerance=tolerance)
+    x, y = F.col(value), F.col(f"r_{ref_value}")
+    fit = pairs.groupBy(*keys).agg(F.count(y).alias("n_pairs"), F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
+    enough = F.col("n_pairs") >= min_pairs
+    return fit.select(*keys, "n_pairs", F.when(enough, F.col("_b")).otherwise(1.0).alias("slope"), F.when(enough, F.col("_a")).otherwise(0.0).alias("offset"))
+
+
 def on_sphere(lat: str, lon: str) -> Column:
     """Point on the unit sphere; straight-line distance there is monotone in great-circle distance."""
     la, lo = F.radians(lat), F.radians(lon)

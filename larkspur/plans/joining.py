@@ -53,6 +53,18 @@ def asof_join(t):
     return joins.asof(q, r, ["user_id"], "clock", "clock", ["value"], tolerance=48 * HOUR_US).select("event_id", rnd("r_value").alias("ref"))
 
 
+_CAL = """WITH e AS (SELECT *, user_id % 23 AS station FROM events), q AS (SELECT * FROM e WHERE event_type = 'click'), r AS (SELECT station, ts, value FROM e WHERE event_type = 'view'),
+    p AS (SELECT q.station, q.value AS x, CASE WHEN epoch_us(q.ts) - epoch_us(r.ts) <= 172800000000 THEN r.value END AS y FROM q ASOF LEFT JOIN r ON q.station = r.station AND q.ts >= r.ts)"""
+
+
+@query("sensor_calibration", f"""{_CAL} SELECT station, count(y) AS n_pairs, {r6('CASE WHEN count(y) >= 100 THEN regr_slope(y, x) ELSE 1 END')} AS slope, {r6('CASE WHEN count(y) >= 100 THEN regr_intercept(y, x) ELSE 0 END')} AS "offset" FROM p GROUP BY 1""")
+def sensor_calibration(t):
+    """Each station's click readings against its latest view reading of the last 48 hours."""
+    e = events(t).withColumn("station", F.col("user_id") % 23)
+    c = joins.calibrate(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), ["station"], "clock", "value", "value", 48 * HOUR_US)
+    return c.select("station", "n_pairs", rnd("slope").alias("slope"), rnd("offset").alias("offset"))
+
+
 @query("point_in_time_join", f"""SELECT o.o_orderkey, {r6('r.o_totalprice', 2)} AS prior_price FROM (SELECT * FROM orders WHERE o_orderstatus = 'O') o ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_totalprice) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) r
     ON o.o_custkey = r.o_custkey AND o.o_orderdate >= r.o_orderdate""")
 def point_in_time_join(t):

@@ -122,6 +122,17 @@ def precision_at_k(t):
     return s.orderBy(F.desc("score"), "id").limit(500).agg(rnd(F.avg("y")).alias("precision_at_500"), rnd(F.sum("y") / total).alias("recall_at_500"))
 
 
+@query("recall_at_k", "WITH k AS (SELECT g, CAST(sum(y) AS BIGINT) AS hits FROM (SELECT unnest([100, 500, 1000]) AS g) b, (SELECT y, row_number() OVER (ORDER BY score DESC, id) AS rn FROM v_scores) s WHERE rn <= g GROUP BY 1) " + f"SELECT CAST(g AS INT) AS k, hits, {r6('hits / (SELECT sum(y) FROM v_scores)')} AS recall FROM k")
+def recall_at_k(t):
+    """Recall at several budgets from one top-k pass (the largest budget bounds the rows)."""
+    s = view(t, "v_scores").select("id", "score", "y")
+    top = s.orderBy(F.desc("score"), "id").limit(1000).withColumn("one", F.lit(1))
+    ranked = top.withColumn("rn", F.row_number().over(W.partitionBy("one").orderBy(F.desc("score"), "id")))
+    hits = ranked.agg(*[F.sum(F.when(F.col("rn") <= k, F.col("y")).otherwise(0)).alias(f"h{k}") for k in (100, 500, 1000)]).withColumn("total", s.agg(F.sum("y")).scalar())
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits")) for k in (100, 500, 1000)])
+    return hits.select(F.inline(cells), "total").select("k", "hits", rnd(F.col("hits") / F.col("total")).alias("recall"))
+
+
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 _GRID = ", ".join(f"({g}::DOUBLE)" for g in GRID)
 _SW = f"""w AS (SELECT g AS threshold, sum(CAST(score >= g AS INT) * y)::DOUBLE AS tp, sum(CAST(score >= g AS INT) * (1 - y))::DOUBLE AS fp, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n FROM v_scores, (VALUES {_GRID}) v(g) GROUP BY 1)"""
