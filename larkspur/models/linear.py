@@ -82,12 +82,13 @@ def quantile_fit(df: DataFrame, cols: Sequence[str], y: str, qs: Sequence[float]
     fits = [np.array(start) for _ in qs]
     for step in range(steps):
         floor = max(scale * 0.5 ** (step + 1), scale * 1e-4)
-        aggs = []
-        for q, w in zip(qs, fits):
+        aggs, weights = [], {}
+        for k, (q, w) in enumerate(zip(qs, fits)):
             e = F.col(y) - dot(cols, w[1:], w[0])
-            weight = F.when(e >= 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(floor))
+            weights[f"_w{k}"] = F.when(e >= 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(floor))
+            weight = F.col(f"_w{k}")
             aggs += [F.sum(weight * term(i) * term(j)) for i, j in pairs] + [F.sum(weight * term(i) * F.col(y)) for i in range(d)]
-        row = [float(v) for v in df.agg(*aggs).first()]
+        row = [float(v) for v in df.withColumns(weights).agg(*aggs).first()]
         size, moved = len(pairs) + d, 0.0
         for k in range(len(qs)):
             part = row[k * size:(k + 1) * size]

@@ -7,6 +7,7 @@ Everything lives in the shared folder, so a lost executor or driver resumes from
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +15,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from larkspur.session import scratch_path
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """State stores no more than twice the cores: each is a file set committed by every batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 class Replay:
     """Feeds parts of a table to a streaming query, one available-now run per part."""
 
@@ -32,9 +44,10 @@ class Replay:
 
     def run(self, build: Callable[[DataFrame], DataFrame]) -> None:
         """One run to the end of the landed data, appended to the file sink."""
-        q = (build(self.source()).writeStream.format("parquet").outputMode("append")
-             .option("path", f"{self.root}/out").option("checkpointLocation", f"{self.root}/check").trigger(availableNow=True).start())
-        q.awaitTermination()
+        with state_partitions(self.spark):
+            q = (build(self.source()).writeStream.format("parquet").outputMode("append")
+                 .option("path", f"{self.root}/out").option("checkpointLocation", f"{self.root}/check").trigger(availableNow=True).start())
+            q.awaitTermination()
         self.last = q
 
     def run_batches(self, build: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame, int], None]) -> None:
