@@ -152,6 +152,37 @@ def running(
     )
 
 
+def range_sums(
+    df: DataFrame, row_key: str, keys: Sequence[str], clock: str, items: dict[str, tuple[int, Column]]
+) -> DataFrame:
+    """Sums over the rows of the last ``span`` clock units before each row (the row's own instant excluded).
+
+    ``items`` maps a name to (span, expression); 0 where no row is in range.  In a hot series even one
+    span may be too long for a task, so there each sum is the difference of two running totals, read at
+    ``t - 1`` and ``t - span - 1`` by probe rows in a running sum.
+    """
+    keys = list(keys)
+    if not has_hot_group(df, keys):
+        w = W.partitionBy(*keys).orderBy(clock)
+        return df.withColumns({n: F.coalesce(F.sum(e).over(w.rangeBetween(-span, -1)), F.lit(0)) for n, (span, e) in items.items()})
+    names = list(items)
+    spans = sorted({span for span, _ in items.values()})
+    facts = df.select(*keys, F.col(clock).alias("_at"), F.lit(0).alias("_side"), *[e.alias(f"_x_{n}") for n, (_, e) in items.items()])
+    probes = df.select(*keys, row_key, F.explode(F.array(
+        F.struct((F.col(clock) - 1).alias("_at"), F.lit(0).alias("_span")),
+        *[F.struct((F.col(clock) - 1 - s).alias("_at"), F.lit(s).alias("_span")) for s in spans])).alias("_p"))
+    probes = probes.select(*keys, row_key, "_p._at", "_p._span", F.lit(1).alias("_side"))
+    both = facts.unionByName(probes, allowMissingColumns=True)
+    seen = running(both, keys, "_at", "_side", {f"_c_{n}": ("sum", F.col(f"_x_{n}")) for n in names}).filter("_side = 1")
+
+    def change(n: str, span: int) -> Column:
+        sign = F.when(F.col("_span") == 0, 1).when(F.col("_span") == span, -1)
+        return F.coalesce(F.sum(sign * F.coalesce(f"_c_{n}", F.lit(0))), F.lit(0)).alias(n)
+
+    sums = seen.groupBy(F.col(row_key).alias("_row")).agg(*[change(n, span) for n, (span, _) in items.items()])
+    return df.join(sums, F.col(row_key) == F.col("_row")).drop("_row")
+
+
 def group_values(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
     """Attach per-group aggregates to every row: a partial aggregate joined back.
 

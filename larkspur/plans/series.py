@@ -5,7 +5,7 @@ from pyspark.sql import Window as W, functions as F
 from larkspur.functions.scalar import flag, ratio, rnd
 from larkspur.operators.calendar import densify
 from larkspur.operators.prefix import average_rank, exact_quantiles
-from larkspur.operators.windows import at_least, group_values, over_rows, over_time, running
+from larkspur.operators.windows import at_least, group_values, over_rows, range_sums, running
 from larkspur.plans.registry import query, r6
 from larkspur.plans.views import view
 
@@ -93,11 +93,8 @@ def rolling_current(t):
 @query("rolling_by_time", f"""WITH e AS (SELECT *, epoch_us(ts) AS c FROM events) SELECT event_id, count(value) OVER w AS n_30m, {r6('avg(value) OVER w')} AS mean_30m FROM e WINDOW w AS (PARTITION BY event_type ORDER BY c RANGE BETWEEN 1800000000 PRECEDING AND 1 PRECEDING)""")
 def rolling_by_time(t):
     span = 1_800_000_000
-    def feats(w):
-        f = w.rangeBetween(-span, -1)
-        return {"n_30m": F.count("value").over(f), "mean_30m": F.avg("value").over(f)}
-    e = over_time(events(t), ["event_type"], "clock", span, feats)
-    return e.select("event_id", "n_30m", rnd("mean_30m").alias("mean_30m"))
+    e = range_sums(events(t), "event_id", ["event_type"], "clock", {"n_30m": (span, F.lit(1).cast("bigint")), "sum_30m": (span, F.col("value"))})
+    return e.select("event_id", "n_30m", rnd(ratio("sum_30m", "n_30m")).alias("mean_30m"))
 
 
 @query("history_mean_3", f"SELECT event_id, {r6('avg(value) OVER w3')} AS hist_3, {r6('CASE WHEN count(value) OVER w10 >= 5 THEN avg(value) OVER w10 END')} AS hist_10 FROM events WINDOW w3 AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
@@ -206,11 +203,9 @@ def days_since_event(t):
     FROM e WINDOW d AS (PARTITION BY user_id ORDER BY c RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING), m AS (PARTITION BY user_id ORDER BY c RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING)""")
 def velocity_features(t):
     e = rows(events(t), lambda w: {"last5_mean": F.avg("value").over(w.rowsBetween(-5, -1))}, before=5)
-    def recent(w):
-        d, m = w.rangeBetween(-DAY_US, -1), w.rangeBetween(-30 * DAY_US, -1)
-        return {"n_24h": F.count(F.lit(1)).over(d), "sum_24h": F.sum("value").over(d), "n_30d": F.count(F.lit(1)).over(m)}
-    e = over_time(e, KEY, "clock", 30 * DAY_US, recent)
-    return e.select("event_id", rnd("last5_mean").alias("last5_mean"), "n_24h", rnd("sum_24h").alias("sum_24h"), rnd(F.col("n_24h") / (F.col("n_30d") / F.lit(30.0) + 0.01)).alias("vs_month"))
+    one = F.lit(1).cast("bigint")
+    e = range_sums(e, "event_id", KEY, "clock", {"n_24h": (DAY_US, one), "sum_24h": (DAY_US, F.col("value")), "n_30d": (30 * DAY_US, one)})
+    return e.select("event_id", rnd("last5_mean").alias("last5_mean"), "n_24h", rnd(F.when(F.col("n_24h") > 0, F.col("sum_24h"))).alias("sum_24h"), rnd(F.col("n_24h") / (F.col("n_30d") / F.lit(30.0) + 0.01)).alias("vs_month"))
 
 
 @query("expanding_target_mean", f"""SELECT event_id, {r6("avg(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")} AS prior_rate FROM events""")
@@ -282,6 +277,6 @@ def rolling_threshold_alert(t):
 
 @query("fatigue_counts", f"""WITH e AS (SELECT *, epoch_us(ts) AS c FROM events) SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY c RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING) AS times_30d, {r6('(c - lag(c) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 86400000000.0::DOUBLE')} AS days_since FROM e""")
 def fatigue_counts(t):
-    e = over_time(events(t), KEY, "clock", 30 * DAY_US, lambda w: {"times_30d": F.count(F.lit(1)).over(w.rangeBetween(-30 * DAY_US, -1))})
+    e = range_sums(events(t), "event_id", KEY, "clock", {"times_30d": (30 * DAY_US, F.lit(1).cast("bigint"))})
     e = rows(e, lambda w: {"prev": F.lag("clock").over(w)}, before=1)
     return e.select("event_id", "times_30d", rnd((F.col("clock") - F.col("prev")) / F.lit(float(DAY_US))).alias("days_since"))

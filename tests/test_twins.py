@@ -8,7 +8,7 @@ from tests.conftest import SF
 from tools.check import TABLES, same
 
 PLAIN = ["rolling_mean", "profile_table", "quantile_bins", "roc_auc", "threshold_sweep", "target_encode_oof", "kfold", "psi", "km_curve", "hierarchy_rollup", "text_stats", "split_headers"]
-SPLIT = ["lag_features", "lead_features", "rolling_by_time", "ffill", "interpolate_linear", "asof_join", "range_label_join", "run_length", "expanding_target_mean", "days_since_event", "radius_join",
+SPLIT = ["lag_features", "lead_features", "rolling_by_time", "velocity_features", "fatigue_counts", "prediction_drift", "ffill", "interpolate_linear", "asof_join", "range_label_join", "run_length", "expanding_target_mean", "days_since_event", "radius_join",
          "knn_classify", "spatial_knn_mean", "knn_manhattan", "k_distance", "nearest_distance"]
 
 
