@@ -14,6 +14,9 @@ GROUP_ROWS_DEFAULT = 4_000_000
 BLOCK_ROWS_CONF = "spark.larkspur.blockRows"
 BLOCK_ROWS_DEFAULT = 20_000
 
+#: Folders made for local sessions without the setting, by application
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(cores: str = "*", app: str = "larkspur", **conf) -> SparkSession:
     """A local session with the settings the library expects (UTC, AQE, few shuffle partitions)."""
@@ -49,11 +52,15 @@ def n_buckets(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a local session takes a temporary folder of its own; a cluster must name a shared one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(spark.sparkContext.applicationId)
     if not named:
-        named = tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _LOCAL_DIRS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="larkspur-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
