@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm.common import read_documents
+from larkspur.llm.common import read_documents, read_table
+from larkspur.llm.jaccard import jaccard_components
 from larkspur.llm.mixing import MIX_SQL, mix_report
 from larkspur.llm.packing import pack_report
 from larkspur.llm.token_counts import token_counts
+from larkspur.llm.vectors import nearest, vector_links
 
 
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +27,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def op5_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(read_table(spark, sf_dir, "embeddings"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curve_packing, op2_systematic_mix, op3_token_counts)}
+    return {f.__name__: f for f in (op1_curve_packing, op2_systematic_mix, op3_token_counts, op4_multi_index_neighbours, op5_hyperplane_dedup,
+                                   op8_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
