@@ -11,6 +11,7 @@ from larkspur.llm.common import read_documents, read_table
 from larkspur.llm.jaccard import jaccard_components
 from larkspur.llm.mixing import MIX_SQL, mix_report
 from larkspur.llm.packing import pack_report
+from larkspur.llm.passages import removal_report
 from larkspur.llm.token_counts import token_counts
 from larkspur.llm.vectors import nearest, vector_links
 
@@ -40,9 +41,13 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_documents(spark, sf_dir))
 
 
+def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_curve_packing, op2_systematic_mix, op3_token_counts, op4_multi_index_neighbours, op5_hyperplane_dedup,
-                                   op8_ngram_jaccard)}
+                                   op8_ngram_jaccard, op9_phrase_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
