@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from larkspur.llm.common import groups, partitions, prepare, table
+from larkspur.llm.common import groups, prepare, table
 from larkspur.llm.components import components
 from larkspur.llm.words import scramble, sequences, word_numbers
 
@@ -34,6 +34,8 @@ NUM, DEN = 3, 4
 BLOCK_BYTES, FRAGMENT, TILE = 8 << 20, 4_000_000, 4096
 LOW48 = np.uint64((1 << 48) - 1)
 BITMAP_WORDS = 16
+#: Prefix entries of a fragment (on average), and the fewest fragments
+ENTRIES, LEAST_FRAGMENTS = 1_000_000, 8
 
 
 def pack48(x: np.ndarray) -> bytes:
@@ -338,14 +340,14 @@ def jaccard_components(docs: DataFrame, k: int = K) -> DataFrame:
     sets = shingle_sets(docs, k)
     open_ = sets.filter("hashes is not null and doc_id is not null")
     first = F.min(F.struct("doc_id", "row")).alias("first")
-    same = open_.filter("digest is not null").groupBy("digest").agg(first)
+    same = table(open_.filter("digest is not null").groupBy("digest").agg(first), "firsts")
     copies = open_.filter("digest is not null").select("digest", "doc_id").join(same, "digest").select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b"))
     copies = table(copies.filter("a <> b").distinct(), "copies")
     keep = same.select(F.col("first.row").alias("row"))
     kept = open_.filter("digest is null").unionByName(open_.filter("digest is not null").join(keep, "row", "left_semi"))
     kept = table(kept.withColumn("comp", F.col("doc_id")), "kept")
     entries = kept.agg(F.sum(F.col("n") / DEN)).first()[0] or 0
-    fragments = max(partitions(docs.sparkSession), int(entries / 1_000_000))
+    fragments = max(LEAST_FRAGMENTS, int(entries / ENTRIES))
     near = _links(kept, fragments, every=False)
     roots = table(components(near.unionAll(copies)), "roots")
     marked = kept.drop("comp").join(roots, kept.doc_id == roots.node, "left").withColumn("comp", F.coalesce("root", "doc_id"))
