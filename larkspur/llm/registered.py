@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.common import read_documents, read_table
 from larkspur.llm.jaccard import jaccard_components
+from larkspur.llm.language import language_scores
 from larkspur.llm.mixing import MIX_SQL, mix_report
 from larkspur.llm.packing import pack_report
 from larkspur.llm.passages import removal_report
 from larkspur.llm.token_counts import token_counts
+from larkspur.llm.toxicity import toxicity_scores
 from larkspur.llm.vectors import nearest, vector_links
 
 
@@ -37,6 +39,14 @@ def op5_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(read_documents(spark, sf_dir))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_documents(spark, sf_dir))
 
@@ -47,7 +57,7 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_curve_packing, op2_systematic_mix, op3_token_counts, op4_multi_index_neighbours, op5_hyperplane_dedup,
-                                   op8_ngram_jaccard, op9_phrase_automata)}
+                                   op6_toxicity, op7_language, op8_ngram_jaccard, op9_phrase_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
