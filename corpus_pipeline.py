@@ -1 +1,53 @@
-"""Placeholder until its operators stand."""
+"""The documents on their way to training: toxicity, near copies, secrets, mixture, packing."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from larkspur.llm.common import read_documents, read_table, table
+from larkspur.llm.jaccard import keep_one
+from larkspur.llm.mixing import mix
+from larkspur.llm.packing import pack
+from larkspur.llm.secrets import redact
+from larkspur.llm.toxicity import reject_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the limit stay; the model learns from the labels of documents that are not held out."""
+    return reject_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their shingles, the one with the smallest doc_id stays."""
+    return keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; the secrets in it are masked."""
+    return redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of 2048 ids, neighbours on the curve together."""
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", toxicity), ("near copies", near_copies), ("secret scan", secret_scan), ("source mix", source_mix), ("packing", packing)]
+
+#: Learned scores and tokenizers can't be written in SQL; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each kept is written to the shared folder and read by the next."""
+    docs = read_documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ from larkspur.llm.language import language_scores
 from larkspur.llm.mixing import MIX_SQL, mix_report
 from larkspur.llm.packing import pack_report
 from larkspur.llm.passages import removal_report
+from larkspur.llm.secrets import scan_report
 from larkspur.llm.token_counts import token_counts
 from larkspur.llm.toxicity import toxicity_scores
 from larkspur.llm.vectors import nearest, vector_links
@@ -55,9 +57,13 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(read_documents(spark, sf_dir))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_report(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_curve_packing, op2_systematic_mix, op3_token_counts, op4_multi_index_neighbours, op5_hyperplane_dedup,
-                                   op6_toxicity, op7_language, op8_ngram_jaccard, op9_phrase_automata)}
+                                   op6_toxicity, op7_language, op8_ngram_jaccard, op9_phrase_automata, op10_secret_scan)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
