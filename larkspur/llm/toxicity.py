@@ -74,7 +74,7 @@ class Lexicon:
         if odd:
             for w in low.translate(_PLAIN).split():
                 plain = w.translate(_LEET).translate(None, b"*#+")
-                odd_hits += w not in kinds and (plain in self.words or plain in _SEEDS)
+                odd_hits += plain != w and (plain in self.words or plain in _SEEDS)
         return [
             float(np.log1p(len(words))), float(np.log1p(hits)), hits / n, float(np.log1p(stem_hits)), stem_hits / n, float(np.log1p(seed_hits)), seed_hits / n,
             float(addressed), second / n, (size - len(raw.translate(None, _UPPER))) / size, float(len(_SHOUTED.findall(raw))) / n,
