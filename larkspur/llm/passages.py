@@ -27,7 +27,9 @@ from larkspur.llm.words import powers, scramble, word_numbers
 
 WINDOW, PHRASE = 50, 16
 #: Confirmed phrases of an automaton; occurrences that one task reads for it
-SHARD_PHRASES, PART_OCCURRENCES = 20_000, 100_000
+SHARD_PHRASES, PART_OCCURRENCES = 8_000, 120_000
+#: Text bytes that stream through an automaton at a time
+STEP_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,13 +90,13 @@ class _Shard:
         """Spell the wanted phrases out of the documents that hold them first."""
         if self.known is None:
             self.known = np.sort(np.concatenate(self.wanted)) if self.wanted else np.zeros(0, np.uint64)
-        for i in range(batch.num_rows):
-            words, offsets = word_numbers(batch.column("text").slice(i, 1))
+        for rows in blocks([batch], STEP_BYTES):
+            words, offsets = word_numbers(rows.column("text").combine_chunks())
             numbers, _, _, at = standing(words, offsets)
             at = np.unique(at)
-            at = at[np.isin(numbers[at], self.known)]
-            for p in at.tolist():
-                self.patterns[int(numbers[p])] = self.spell(words[p:p + PHRASE])
+            spelled = self.spell(words)
+            for p in at[np.isin(numbers[at], self.known)].tolist():
+                self.patterns[int(numbers[p])] = spelled[p:p + PHRASE]
         self.waiting.append(batch)
 
     def read(self, batch: pa.RecordBatch) -> None:
@@ -111,17 +113,20 @@ class _Shard:
             self.waiting = []
         if not len(self.automaton):
             return
-        for i in np.flatnonzero(batch.column("emit").to_numpy(zero_copy_only=False)).tolist():
-            words, offsets = word_numbers(batch.column("text").slice(i, 1))
-            numbers, starts, _, at = standing(words, offsets)
-            hit = np.zeros(len(numbers) + 1, bool)
+        for rows in blocks([batch.filter(batch.column("emit"))], STEP_BYTES):
+            words, offsets = word_numbers(rows.column("text").combine_chunks())
+            numbers, starts, text, at = standing(words, offsets)
+            if not len(starts):
+                continue
+            hit = np.zeros(len(words) + 1, bool)
             for end, number in self.automaton.iter(self.spell(words)):
                 p = end - PHRASE + 1
                 hit[p] |= int(numbers[p]) == number
-            starts = starts[hit[at]]
+            of = hit[at]
+            starts, text = starts[of], text[of]
             if len(starts):
-                own = [np.full(len(starts), batch.column(c)[i].as_py()) for c in ("doc_id", "version")]
-                self.found.append((runs(words, starts, WINDOW), *own, starts))
+                own = [rows.column(c).to_numpy()[text] for c in ("doc_id", "version")]
+                self.found.append((runs(words, starts, WINDOW), *own, starts - offsets[text]))
 
     def windows(self):
         if self.automaton is None and self.waiting:
@@ -211,7 +216,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     stream = wanted.unionByName(read.select(*cols)).repartition("tile").sortWithinPartitions("tile", "kind")
     found = table(stream.mapInArrow(_streamed, "doc_id bigint, version bigint, number bigint, start bigint, stop bigint"), "windows")
     apart = found.filter("number is not null")
-    least = apart.groupBy("number").agg(F.min("doc_id").alias("least"))
+    least = table(apart.groupBy("number").agg(F.min("doc_id").alias("least")), "least")
     apart = apart.join(least, "number").filter("doc_id > least").select("doc_id", "version", "start", (F.col("start") + WINDOW).alias("stop"))
     return table(found.filter("number is null").select("doc_id", "version", "start", "stop").unionAll(apart), "spans")
 
