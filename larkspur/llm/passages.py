@@ -128,26 +128,20 @@ class _Shard:
                 own = [rows.column(c).to_numpy()[text] for c in ("doc_id", "version")]
                 self.found.append((runs(words, starts, WINDOW), *own, starts - offsets[text]))
 
-    def windows(self):
+    def closed(self) -> Iterator[pa.RecordBatch]:
+        """The spans that a smaller document in this part covers; of a shard read in parts, also the holders that are smallest here."""
         if self.automaton is None and self.waiting:
             self.read(self.waiting.pop(0))
-        got = [np.concatenate(x) for x in zip(*self.found)] if self.found else None
-        self.found = []
-        return got
-
-    def closed(self) -> Iterator[pa.RecordBatch]:
-        """What remains at the end: of a whole shard the covered spans, of a part its windows."""
-        got = self.windows()
-        if got is None:
-            return
-        number, doc, version, start = got
-        if self.parts > 1:
-            yield _batch(doc, version, number, start, None)
+        if not self.found:
             return
+        number, doc, version, start = (np.concatenate(x) for x in zip(*self.found))
+        self.found = []
         order = np.lexsort((doc, number))
         number, doc, version, start = number[order], doc[order], version[order], start[order]
         first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         later = doc > np.repeat(doc[first], np.diff(np.append(first, len(number))))
+        if self.parts > 1 and not later.all():
+            yield _batch(doc[~later], version[~later], number[~later], start[~later], None)
         doc, version, start = doc[later], version[later], start[later]
         order = np.lexsort((start, version, doc))
         doc, version, start = doc[order], version[order], start[order]
@@ -184,8 +178,6 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shard.learn(rows)
             else:
                 shard.read(rows)
-                if shard.parts > 1 and (got := shard.windows()) is not None:
-                    yield _batch(got[1], got[2], got[0], got[3], None)
     if shard is not None:
         yield from shard.closed()
 
@@ -211,7 +203,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         tile, F.lit(0).alias("kind"), "parts", "phrase", none["doc_id"].alias("doc_id"), none["version"].alias("version"), none["text"].alias("text"), none["emit"].alias("emit"))
     early = F.col("early")
     parts = F.when(early, F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
-    read = held.join(text, "doc_id").select("doc_id", "text", "shard", "parts", "early", F.explode(parts).alias("part")).select(
+    # the texts are always shuffled, at every size: whether the other side could be broadcast depends on how much recurs
+    read = held.join(text.hint("merge"), "doc_id").select("doc_id", "text", "shard", "parts", "early", F.explode(parts).alias("part")).select(
         tile, F.when(early, 1).otherwise(2).alias("kind"), "parts", none["phrase"].alias("phrase"), "doc_id", F.xxhash64("text").alias("version"), "text", (~early | (F.col("part") == 0)).alias("emit"))
     stream = wanted.unionByName(read.select(*cols)).repartition("tile").sortWithinPartitions("tile", "kind")
     found = table(stream.mapInArrow(_streamed, "doc_id bigint, version bigint, number bigint, start bigint, stop bigint"), "windows")
@@ -229,7 +222,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Other columns are not read; an empty table gives no row.
     """
     spans = repeated_spans(docs).groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version")).join(spans, ["doc_id", "version"], "left")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version")).join(spans.hint("merge"), ["doc_id", "version"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
