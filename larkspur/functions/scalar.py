@@ -55,25 +55,23 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
-    """Uniform [0, 1) number from a key: stable under repartitioning and retries."""
-    h = F.xxhash64(*[col(c) for c in cols], F.lit(seed))
-    return F.pmod(h, F.lit(2**31)).cast("double") / F.lit(float(2**31))
-
-
-MIX_PRIME = 1_000_003
+#: A Mersenne prime: products of two residues stay below 2**62
+MIX_PRIME = 2_147_483_647
 
 
 def mix_hash(key: Column | str, seed: Column | int = 0) -> Column:
-    """Uniform [0, 1) number from an integer key and a seed, in plain modular arithmetic.
+    """Uniform [0, 1) number from an integer key and a seed, in plain modular arithmetic over the key's low 62 bits.
 
     Any SQL engine reproduces it (twin: ``mix``), and it is stable under repartitioning and retries.
     """
-    m = F.lit(MIX_PRIME)
+    m, mask = F.lit(MIX_PRIME).cast("bigint"), F.lit(MIX_PRIME).cast("bigint")
+    k = col(key).cast("bigint")
     s = F.lit(seed).cast("bigint") if isinstance(seed, int) else seed.cast("bigint")
-    a = F.pmod(F.pmod(col(key).cast("bigint"), m) * 48271 + s * 16807 + 1, m)
-    b = F.pmod(a * a + 31 * a, m)
-    return F.pmod(b * 69621 + a * (s + 7), m).cast("double") / F.lit(float(MIX_PRIME))
+    low, high = k.bitwiseAND(mask), F.shiftright(k, 31).bitwiseAND(mask)
+    a = (low * 48271 + high * 69621 + s * 16807 + 1) % m
+    b = (a * a + 31 * a + high * 127773) % m
+    c = (b * 69621 + a * (s + 7)) % m
+    return ((c * c + 8191 * c + a) % m).cast("double") / F.lit(float(MIX_PRIME))
 
 
 # Cumulative Poisson(1) probabilities

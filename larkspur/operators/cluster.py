@@ -49,29 +49,8 @@ def minibatch_kmeans(df: DataFrame, key: str, centres: np.ndarray, batches: int,
     return c
 
 
-#: Edge lists up to this checked size are merged on the driver; longer ones by label spreading.
-DRIVER_EDGES = 200_000
-
-
-def _union_find(pairs) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
-
-    def top(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in pairs:
-        low, high = sorted((top(x), top(y)))
-        parent[high] = low
-    return [(x, top(x)) for x in list(parent)]
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): smallest node of each connected component, by label spreading with pointer jumping."""
-    if edges.limit(DRIVER_EDGES + 1).count() <= DRIVER_EDGES:
-        return edges.sparkSession.createDataFrame(_union_find(edges.select(a, b).collect()), "node bigint, root bigint")
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
     both = cut(both)
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")))

@@ -36,11 +36,12 @@ def target_encode_oof(df: DataFrame, c: str, y: str, fold: str, out: str, smooth
     folds = cells.groupBy(F.col("_f").alias("_f2")).agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
     whole = folds.agg(F.sum("_fs").alias("_ts"), F.sum("_fn").alias("_tn"))
     folds = attach_one(folds, whole).select("_f2", ((F.col("_ts") - F.col("_fs")) / (F.col("_tn") - F.col("_fn"))).alias("_rest"))
-    table = cells.join(value, F.col("_k") == F.col("_k2")).join(folds, F.col("_f") == F.col("_f2"))
+    table = cells.join(value, F.col("_k").eqNullSafe(F.col("_k2"))).join(folds, F.col("_f").eqNullSafe(F.col("_f2")))
     n = F.col("_vn") - F.col("_n")
-    enc = (F.col("_vs") - F.col("_s") + smoothing * F.col("_rest")) / (n + smoothing)
+    # sums of a category without a known target are null: it gets the rest's mean
+    enc = (F.coalesce("_vs", F.lit(0.0)) - F.coalesce("_s", F.lit(0.0)) + smoothing * F.col("_rest")) / (n + smoothing)
     table = table.select("_k", "_f", enc.alias(out))
-    return df.join(table, (F.col(c) == F.col("_k")) & (F.col(fold) == F.col("_f"))).drop("_k", "_f")
+    return df.join(table, F.col(c).eqNullSafe(F.col("_k")) & F.col(fold).eqNullSafe(F.col("_f")), "left").drop("_k", "_f")
 
 
 def signed_hash(cols: Sequence[str], crosses: Sequence[Sequence[str]], dims: int) -> Column:

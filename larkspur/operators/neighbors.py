@@ -103,7 +103,6 @@ def knn(
     radius: float = math.inf,
     block_rows: int | None = None,
     query_rows: int | None = None,
-    max_pivots: int = 1024,
 ) -> DataFrame:
     """(qid, bid, dist, rn): the k nearest base rows per query, ties to the lower ``bid``.
 
@@ -114,7 +113,7 @@ def knn(
     query_rows = query_rows or block_rows
     q, b = _points(queries, qid, qvec, qtag), _points(base, bid, bvec, btag)
     n_base = b.count()
-    n_pivots = max(1, min(max_pivots, math.ceil(2 * n_base / block_rows) if n_base > block_rows else 1))
+    n_pivots = math.ceil(2 * n_base / block_rows) if n_base > block_rows else 1
     if not n_base:
         return queries.sparkSession.createDataFrame([], _OUT + ", rn int")
     if n_pivots > 1:

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from larkspur.functions.scalar import flag, ratio, rnd
 from larkspur.operators import aggregates as agg, clean
+from larkspur.operators.calendar import densify
 from larkspur.operators.prefix import exact_quantiles
 from larkspur.operators.windows import group_values, over_rows
 from larkspur.plans.registry import query, r6
@@ -282,7 +283,7 @@ def price_elasticity(t):
 
 
 @query("croston", f"""WITH d AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS u FROM events GROUP BY 1, 2),
-    g AS (SELECT user_id, unnest(range(0, 30)) AS day FROM (SELECT DISTINCT user_id FROM events)),
+    g AS (SELECT user_id, unnest(range((SELECT min(day) FROM d), (SELECT max(day) + 1 FROM d))) AS day FROM (SELECT DISTINCT user_id FROM events)),
     h AS (SELECT g.user_id, g.day, coalesce(u, 0) AS u FROM g LEFT JOIN d ON g.user_id = d.user_id AND g.day = d.day),
     p AS (SELECT user_id, u, row_number() OVER w - 1 AS i, lead(day) OVER w - day AS gap, count(*) OVER (PARTITION BY user_id) AS n FROM h WHERE u > 0 WINDOW w AS (PARTITION BY user_id ORDER BY day)),
     s AS (SELECT user_id, sum(CASE WHEN i = 0 THEN 1 ELSE 0.1 END * power(0.9::DOUBLE, n - 2 - i) * u) / sum(CASE WHEN i = 0 THEN 1 ELSE 0.1 END * power(0.9::DOUBLE, n - 2 - i) * gap) AS f FROM p WHERE gap IS NOT NULL GROUP BY 1),
@@ -291,6 +292,4 @@ def price_elasticity(t):
 def croston(t):
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     d = t.events.groupBy("user_id", day.alias("day")).agg(F.sum(flag(F.col("event_type") == "purchase")).alias("u"))
-    grid = t.events.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(29))))
-    full = grid.join(d, ["user_id", "day"], "left").fillna(0, ["u"])
-    return agg.croston(full, ["user_id"], "day", "u").select("user_id", "n_demand", rnd("forecast").alias("forecast"))
+    return agg.croston(densify(d, ["user_id"], "day", {"u": 0}), ["user_id"], "day", "u").select("user_id", "n_demand", rnd("forecast").alias("forecast"))

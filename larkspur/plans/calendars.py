@@ -7,8 +7,7 @@ from larkspur.operators.calendar import calendar_parts, cyclical, densify
 from larkspur.operators.joins import asof
 from larkspur.plans.registry import query, r6
 
-# Holidays of the calendar features (Christmas and Thanksgiving)
-HOLIDAYS = [f"{y}-12-25" for y in range(1995, 2002)] + ["1995-11-23", "1996-11-28", "1997-11-27", "1998-11-26", "1999-11-25", "2000-11-23", "2001-11-22"]
+#: Distances beyond this many days count as this many
 MAX_HOLIDAY_DAYS = 60
 
 
@@ -35,16 +34,16 @@ def time_flags(t):
         flag(F.dayofmonth("ts") <= 5).alias("billing_peak"), flag((F.month("ts") == 1) & (F.dayofmonth("ts") == 1)).alias("new_year"))
 
 
-_HOL = ", ".join(f"(DATE '{h}')" for h in HOLIDAYS)
-
-
-@query("holiday_distance", f"""WITH h(d) AS (VALUES {_HOL}), o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
+@query("holiday_distance", """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), y AS (SELECT unnest(range((SELECT min(year(d)) - 1 FROM o), (SELECT max(year(d)) + 2 FROM o))) AS y),
+    h AS (SELECT make_date(y, 12, 25) AS d FROM y UNION ALL SELECT make_date(y, 11, 1) + CAST((11 - isodow(make_date(y, 11, 1))) % 7 + 21 AS INT) FROM y)
     SELECT o_orderkey, CAST(coalesce(min(CASE WHEN h.d >= o.d THEN least(date_diff('day', o.d, h.d), 60) END), 60) AS INT) AS days_to, CAST(coalesce(min(CASE WHEN h.d <= o.d THEN least(date_diff('day', h.d, o.d), 60) END), 60) AS INT) AS days_since
     FROM o, h GROUP BY o_orderkey""")
 def holiday_distance(t):
-    # the calendar is a fixed list: the distances of each order day are read off the day's own small table
-    days = F.array(*[F.lit(h).cast("date") for h in HOLIDAYS])
+    """Days to and since the nearest Christmas or Thanksgiving (fourth Thursday of November); those of three years can be in reach."""
     d = F.to_date("o_orderdate")
+    years = [F.year(d) + i for i in (-1, 0, 1)]
+    thanks = [F.date_add(F.next_day(F.make_date(y, F.lit(10), F.lit(31)), "Thu"), 21) for y in years]
+    days = F.array(*[F.make_date(y, F.lit(12), F.lit(25)) for y in years], *thanks)
     ahead = F.array_min(F.transform(F.filter(days, lambda h: h >= d), lambda h: F.datediff(h, d)))
     behind = F.array_min(F.transform(F.filter(days, lambda h: h <= d), lambda h: F.datediff(d, h)))
     cap = F.lit(MAX_HOLIDAY_DAYS)

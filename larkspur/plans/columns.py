@@ -242,10 +242,10 @@ def row_extremes(t):
                              rnd(F.least("l_discount", "l_tax")).alias("lo"), rnd(F.col("l_discount") - F.col("l_tax")).alias("diff"))
 
 
-@query("capacity_clip", f"""SELECT o.o_orderkey, {r6('least(o.o_totalprice, c.c_acctbal * 50)')} AS capped FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
+@query("capacity_clip", f"""SELECT o.o_orderkey, {r6('least(o.o_totalprice, c.c_acctbal * 50)')} AS capped FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
 def capacity_clip(t):
     cap = t.customer.select("c_custkey", (F.col("c_acctbal") * 50).alias("ceiling"))
-    return t.orders.join(cap, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", rnd(F.least("o_totalprice", "ceiling")).alias("capped"))
+    return t.orders.join(cap, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", rnd(F.least("o_totalprice", "ceiling")).alias("capped"))
 
 
 @query("deflate_by_index", f"""WITH idx AS (SELECT extract(year FROM o_orderdate) AS y, avg(o_totalprice) AS level FROM orders GROUP BY 1),

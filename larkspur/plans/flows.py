@@ -80,7 +80,6 @@ def prediction_log(t):
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", *WEIGHTS)
     s = bd.decide(contributions(li, WEIGHTS), 1 / (1 + F.exp(-score_col())), 0.5, "v1")
     codes = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
-    s = s.filter(F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
     bd.append_log(s, path, ["l_orderkey", "l_linenumber"], F.transform(F.slice("cells", 1, 3), lambda x: codes[x["feature"]]), F.trunc("l_shipdate", "month").cast("timestamp"))
     return t.spark.read.parquet(path).groupBy("day", "version").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("probability")).alias("mean_p"), F.min(F.length("input_hash")).alias("hash_len"), F.min(F.size("reasons")).alias("n_reasons"))
 
@@ -94,8 +93,11 @@ def stream_events(t):
 def parts(t, n=3):
     """Events in ``n`` consecutive time ranges."""
     e = stream_events(t)
-    cuts = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-15"]
-    return [e.filter((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts, cuts[1:])]
+    ends = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    low, high = (ends[0] or 0), (ends[1] or 0)
+    clock = F.coalesce(F.unix_micros("ts"), F.lit(low))
+    part = F.least(F.floor((clock - low) * n / max(1, high - low)), F.lit(n - 1))
+    return [e.filter(part == i) for i in range(n)]
 
 
 def flush(t):

@@ -85,10 +85,11 @@ def mi_stability(t):
     return m.select("wk", rnd("mi", 8).alias("mi"), rnd(F.col("mi") - past, 8).alias("change"), flag(F.col("mi") < .5 * past).alias("alert"))
 
 
-@query("feature_freshness", f"SELECT user_id, {r6('(epoch_us(TIMESTAMP ' + chr(39) + '2024-01-30' + chr(39) + ') - max(epoch_us(ts))) / 1000000.0::DOUBLE', 3)} AS age_s, CAST(epoch_us(TIMESTAMP '2024-01-30') - max(epoch_us(ts)) > 60000000 AS INT) AS stale FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1")
-def feature_freshness(t):
-    now = F.unix_micros(F.lit("2024-01-30").cast("timestamp"))
-    e = events(t).filter(F.col("ts") < F.lit("2024-01-30").cast("timestamp_ntz"))
+@query("feature_freshness", f"SELECT user_id, {r6('((SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts))) / 1000000.0::DOUBLE', 3)} AS age_s, CAST((SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) > 60000000 AS INT) AS stale FROM events GROUP BY 1")
+def feature_freshness(t, now=None):
+    """Age of each user's newest event at the instant ``now`` (microseconds; by default the newest event of all)."""
+    e = events(t)
+    now = e.agg(F.max("clock")).scalar() if now is None else F.lit(now)
     age = now - F.max("clock")
     return e.groupBy("user_id").agg(rnd(age / F.lit(1e6), 3).alias("age_s"), flag(age > 60_000_000).alias("stale"))
 

@@ -146,7 +146,7 @@ def date_split(t):
     return o.select("o_orderkey", F.when(F.col("day") > cut, "test").when(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"), "valid").otherwise("train").alias("part_of"))
 
 
-@query("walk_forward", """WITH f AS (SELECT CAST(m AS DATE) AS m FROM range(TIMESTAMP '1999-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 MONTH) r(m)), o AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1)
+@query("walk_forward", """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT CAST(unnest(generate_series((SELECT date_trunc('month', min(d)) + INTERVAL 48 MONTH FROM o), (SELECT date_trunc('month', max(d))::TIMESTAMP FROM o), INTERVAL 1 MONTH)) AS DATE) AS m)
     SELECT CAST(m AS VARCHAR) AS test_month, CAST(coalesce(sum(n) FILTER (d >= m - INTERVAL 48 MONTH AND d < m - INTERVAL 5 DAY), 0) AS BIGINT) AS n_train, CAST(coalesce(sum(n) FILTER (d >= m AND d < m + INTERVAL 1 MONTH), 0) AS BIGINT) AS n_test FROM f, o GROUP BY 1""")
 def walk_forward(t):
     """Four years of training, five days of embargo, one test month; each day is sent to its folds by month arithmetic."""
@@ -156,7 +156,8 @@ def walk_forward(t):
     months = F.sequence(first, F.greatest(F.add_months(month("d"), 48), first), F.expr("interval 1 month"))
     train = days.select("n", "d", F.explode(months).alias("m")).filter((F.col("d") >= F.add_months("m", -48)) & (F.col("d") < F.date_add("m", -5))).groupBy("m").agg(F.sum("n").alias("n_train"))
     test = days.groupBy(month("d").alias("m")).agg(F.sum("n").alias("n_test"))
-    spine = t.spark.range(1).select(F.explode(F.expr("sequence(date'1999-01-01', date'2001-07-01', interval 1 month)")).alias("m"))
+    ends = days.agg(F.add_months(month(F.min("d")), 48).alias("a"), month(F.max("d")).alias("b")).filter("a <= b")
+    spine = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
     return spine.join(train, "m", "left").join(test, "m", "left").select(F.col("m").cast("string").alias("test_month"), F.coalesce("n_train", F.lit(0)).alias("n_train"), F.coalesce("n_test", F.lit(0)).alias("n_test"))
 
 
@@ -202,7 +203,7 @@ def smote(t):
 _D = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query("tomek_links", f"""WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(a.label < 5 AS INT) AS ca, CAST(b.label < 5 AS INT) AS cb, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D}, b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), n AS (SELECT * FROM d WHERE rn = 1)
+@query("tomek_links", f"""WITH d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, CAST(a.label < 5 AS INT) AS ca, CAST(b.label < 5 AS INT) AS cb, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D}, b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), n AS MATERIALIZED (SELECT * FROM d WHERE rn = 1)
     SELECT x.a, x.b FROM n x JOIN n y ON x.a = y.b AND x.b = y.a WHERE x.ca <> x.cb AND x.a < x.b""")
 def tomek_links(t):
     v = vectors(t)

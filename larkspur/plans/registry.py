@@ -42,9 +42,11 @@ def r6(expr: str, digits: int = 6) -> str:
 
 def mix(key: str, seed: int | str = 0) -> str:
     """Twin of :func:`larkspur.functions.scalar.mix_hash`."""
-    m = MIX_PRIME
-    a = f"((({key}) % {m} * 48271 + ({seed}) * 16807 + 1) % {m})"
-    return f"(((({a} * {a} + 31 * {a}) % {m}) * 69621 + {a} * (({seed}) + 7)) % {m} / {float(m)}::DOUBLE)"
+    m = f"{MIX_PRIME}::BIGINT"
+    low, high = f"(({key})::BIGINT & {m})", f"((({key})::BIGINT >> 31) & {m})"
+    a = f"(({low} * 48271 + {high} * 69621 + ({seed})::BIGINT * 16807 + 1) % {m})"
+    c = f"((({a} * {a} + 31 * {a} + {high} * 127773) % {m} * 69621 + {a} * (({seed})::BIGINT + 7)) % {m})"
+    return f"((({c} * {c} + 8191 * {c} + {a}) % {m}) / {float(MIX_PRIME)}::DOUBLE)"
 
 
 def poisson(u: str) -> str:

@@ -266,10 +266,10 @@ def quantile_sort(t):
 
 @query("conformal_offset", f"""WITH s AS (SELECT seg, abs(y - y_hat) AS e FROM v_reg), g AS (SELECT e, row_number() OVER (ORDER BY e) AS rn, count(*) OVER () AS n FROM s), o AS (SELECT max(e) AS e FROM g WHERE rn = least(ceil((n + 1) * 0.9), n)),
     k AS (SELECT seg, e, row_number() OVER (PARTITION BY seg ORDER BY e) AS rn, count(*) OVER (PARTITION BY seg) AS n FROM s)
-    SELECT seg, n, {r6('CASE WHEN n >= 20000 THEN k.e ELSE o.e END', 3)} AS "offset" FROM k, o WHERE rn = least(ceil((n + 1) * 0.9), n)""")
+    SELECT seg, n, {r6('CASE WHEN n >= 100 THEN k.e ELSE o.e END', 3)} AS "offset" FROM k, o WHERE rn = least(ceil((n + 1) * 0.9), n)""")
 def conformal_offset(t):
     s = view(t, "v_reg").select("seg", F.abs(F.col("y") - F.col("y_hat")).alias("e"))
-    return rk.split_conformal(s, "e", "seg", 0.1, 20000).select("seg", "n", rnd("offset", 3).alias("offset"))
+    return rk.split_conformal(s, "e", "seg", 0.1, 100).select("seg", "n", rnd("offset", 3).alias("offset"))
 
 
 @query("asymmetric_loss", "SELECT " + ", ".join(r6(f"avg(CASE WHEN y > y_hat THEN {k} * (y - y_hat) ELSE y_hat - y END)", 3) + f" AS under_{k}" for k in (3, 4, 10)) + " FROM v_reg")

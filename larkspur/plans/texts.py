@@ -126,19 +126,23 @@ def char_ngrams(t):
     return g.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n >= 20")
 
 
-@query("count_vectorize", f"WITH {_TERMS} SELECT term, n, df FROM v, nd WHERE df >= 5 AND df <= 0.95::DOUBLE * nd ORDER BY n DESC, term LIMIT 1000")
+#: Fewest documents of a term, and most terms, of a vocabulary
+MIN_DF, MAX_TERMS = 2, 5000
+
+
+@query("count_vectorize", f"WITH {_TERMS} SELECT term, n, df FROM v, nd WHERE df >= {MIN_DF} AND df <= 0.95::DOUBLE * nd ORDER BY n DESC, term LIMIT {MAX_TERMS}")
 def count_vectorize(t):
-    return tx.vocabulary(doc_terms(t), n_docs(t), 5, 0.95, 1000)
+    return tx.vocabulary(doc_terms(t), n_docs(t), MIN_DF, 0.95, MAX_TERMS)
 
 
 def _tfidf_sql(weight):
-    return f"""{_TERMS}, voc AS (SELECT term, df FROM v, nd WHERE df >= 5 AND df <= 0.95::DOUBLE * nd ORDER BY n DESC, term LIMIT 100),
+    return f"""{_TERMS}, voc AS (SELECT term, df FROM v, nd WHERE df >= {MIN_DF} AND df <= 0.95::DOUBLE * nd ORDER BY n DESC, term LIMIT {MAX_TERMS}),
     w AS (SELECT doc_id, term, {weight} * (ln((1 + nd)::DOUBLE / (1 + df)) + 1) AS w FROM c JOIN voc USING (term), nd), z AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
 
 
 def doc_tfidf(t, sublinear=False):
     docs = doc_terms(t)
-    return tx.tfidf(docs, "doc_id", tx.vocabulary(docs, n_docs(t), 5, 0.95, 100), n_docs(t), sublinear)
+    return tx.tfidf(docs, "doc_id", tx.vocabulary(docs, n_docs(t), MIN_DF, 0.95, MAX_TERMS), n_docs(t), sublinear)
 
 
 @query("tfidf", f"WITH {_tfidf_sql('tf')} SELECT doc_id, term, {r6('weight')} AS weight FROM z")

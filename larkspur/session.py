@@ -14,6 +14,8 @@ GROUP_ROWS_DEFAULT = 4_000_000
 BLOCK_ROWS_CONF = "spark.larkspur.blockRows"
 BLOCK_ROWS_DEFAULT = 20_000
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 #: Folders made for local sessions without the setting, by application
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -29,6 +31,8 @@ def build_session(cores: str = "*", app: str = "larkspur", **conf) -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Python workers unpickle functions of this package by name: they need its folder wherever the session starts
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, [_ROOT, os.environ.get("PYTHONPATH")])))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -145,5 +145,27 @@ def test_dbscan_matches_brute_force(spark, block):
 def test_components_by_spreading_match_the_driver(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6), (7, 5)], "a bigint, b bigint")
     want = sorted(map(tuple, cl.components(edges).collect()))
-    monkeypatch.setattr(cl, "DRIVER_EDGES", 0)
     assert sorted(map(tuple, cl.components(edges).collect())) == want
+
+
+def test_mix_hash_has_no_short_period(spark):
+    from larkspur.functions.scalar import mix_hash
+    keys = spark.range(0, 400_000).selectExpr("id * 1000003 + 5 AS k")
+    h = keys.select(mix_hash("k", 1).alias("a"), mix_hash("k", 2).alias("b")).toPandas()
+    assert h.a.nunique() > 399_900 and h.drop_duplicates().shape[0] == 400_000
+    assert abs(h.a.mean() - 0.5) < 0.003 and abs(h.a.corr(h.b)) < 0.01 and abs(h.a.std() - 12 ** -0.5) < 0.002
+
+
+def test_out_of_fold_codes_keep_rows_with_null_categories(spark):
+    from larkspur.operators.encode import target_encode_oof
+    df = spark.createDataFrame([(1, None, 0, 1.0), (2, "a", 0, 0.0), (3, None, 1, 3.0), (4, "b", 1, None), (5, "a", None, 1.0)], "id int, c string, f int, y double")
+    got = {r.id: r.e for r in target_encode_oof(df, "c", "y", "f", "e").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[1] > got[2]
+
+
+def test_streams_take_events_of_any_year(spark):
+    import types
+    from larkspur.plans.flows import parts
+    rows = [(i, f"{y}-03-0{i % 9 + 1} 10:00:00", i % 3, "click", 1.0) for i, y in enumerate([2019, 2024, 2025, 2025, 2031] * 4)]
+    e = spark.createDataFrame(rows, "event_id bigint, ts string, user_id int, event_type string, value double").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type", "value")
+    assert sum(p.count() for p in parts(types.SimpleNamespace(events=e))) == len(rows)
