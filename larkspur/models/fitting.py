@@ -29,9 +29,9 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str] = (), scal
     return stages
 
 
-def assembled(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), scale: bool = True) -> DataFrame:
-    """Fitted and applied feature stages; helper vectors dropped."""
-    made = Pipeline(stages=feature_stages(numeric, categorical, scale)).fit(df).transform(df)
+def assembled(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), scale: bool = True, train: Column | None = None) -> DataFrame:
+    """Feature stages fitted on the ``train`` rows (all rows where none is given) and applied to every row; helper vectors dropped."""
+    made = Pipeline(stages=feature_stages(numeric, categorical, scale)).fit(df if train is None else df.filter(train)).transform(df)
     return made.drop(*[c for c in made.columns if c.startswith("_")])
 
 
