@@ -266,7 +266,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that share a prefix shingle and may link: chains through each list, or with ``every`` all pairs of different components."""
+    """Pairs of a tile that share a prefix shingle and may link: neighbours at 1, 2, 4, .. places in each list, or with ``every`` all pairs of different components."""
     for _, g in groups(batches, "tile"):
         row, ids, comp, n, alone = (g.column(c).to_numpy() for c in ("row", "doc_id", "comp", "n", "alone"))
         bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), "<u8").reshape(-1, BITMAP_WORDS)
@@ -294,9 +294,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Record
         spots, step = np.arange(len(h)), 1
         while len(spots := spots[left[spots] > step]):
             test(doc[spots], doc[spots + step])
-            if not every:
-                break
-            step += 1
+            step += 1 if every else step
         both = np.unique(np.concatenate(found))
         x, y = both // len(row), both % len(row)
         if not every:
