@@ -1,9 +1,11 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest trained on labelled findings.
 
 Everything here is DataFrame and SQL functions and JVM-side models.  A candidate is a word that holds a long run of
-key characters with a digit, or that assigns a value to a name such as ``password``.  The forest sees the candidate's
+key characters with a digit, that starts a value with an issuer's prefix, that assigns a value to a name such as
+``password``, or that follows such a name and its ``=``, ``:`` or "is" within two words.  The forest sees the candidate's
 length, its changes between kinds of characters, how much of it is dictionary words, whether it is a path or address,
-and its neighbouring words.
+and its neighbouring words.  Values of fewer than 6 characters and values that hold spaces are not found as such, and a
+value made of plain words only looks like prose to the forest.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ RUN, FINDINGS, TREES, DEPTH, LIMIT = 12, 12_000, 60, 9, 0.5
 MASK = "<secret>"
 
 # Names that secrets are assigned to, and issuers' prefixes
-NAMES = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+NAMES = "pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|rk_live_|AIza|eyJ|npm_|SG\\."
 # Words beside numbers and hashes that are no secrets
 HARMLESS = "commit|sha|md5|checksum|digest|hash|uuid|guid|isbn|issn|doi|card|order|invoice|phone|tel|fax|version|build|id|ref|etag|revision"
@@ -48,7 +50,20 @@ FEATURES = ["length", "digits", "upper", "lower", "marks", "kinds", "changes", "
 def split_value(word: Column) -> Column:
     """The value of an assignment, or the word itself, without the quotes and marks around it."""
     value = F.when(word.rlike(r"^[\"'(<\[{]*[A-Za-z][A-Za-z0-9_.-]{1,40}[\"']?[=:][^/]"), F.regexp_replace(word, r"^[^=:]*[=:]+", "")).otherwise(word)
-    return F.regexp_replace(value, r"^[\"'`(<\[{]+|[\"'`)>\]},;.:!?]+$", "")
+    return bare(value)
+
+
+def bare(word: Column) -> Column:
+    """The word without the quotes and marks around it."""
+    return F.regexp_replace(word, r"^[\"'`(<\[{=:]+|[\"'`)>\]},;.:!?]+$", "")
+
+
+def named(word: Column, before: Column, before2: Column) -> Column:
+    """Do the one or two words before ``word`` assign it to one of ``NAMES``?"""
+    near = F.concat_ws(" ", before2, before)
+    assigns = before.rlike(r"[=:]|^(?i:is)$") | before2.rlike("[=:]") | word.rlike("^[=:]")
+    after_name = near.rlike(f"(?i)({NAMES})\\S*( \\S+)?( is| ?[=:>]+[\"'`]?)$") | near.rlike(f"(?i)({NAMES})\\S*[=:]+[\"'`]?( |$)") | (word.rlike("^[=:]") & before.rlike(f"(?i)({NAMES})"))
+    return F.when(assigns, after_name).otherwise(False)
 
 
 def share(value: Column, kind: str) -> Column:
@@ -70,7 +85,7 @@ def features(word: Column, value: Column, before: Column, before2: Column, after
         share(value, "(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"), F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(40)),
         F.coalesce(F.array_max(F.transform(runs, lambda w: F.length(w))), F.lit(0)), covered(known), covered(F.filter(runs, lambda w: w.rlike("[aeiouy]"))),
         flag(value, "^[0-9a-fA-F]+$"), flag(value, r"^[0-9 .()+-]+$"), flag(value, "/.*/|://|^www\\.|\\\\"), flag(low, r"\.[a-z]{1,4}[0-9]?$"), flag(value, f"^({PREFIXES})"),
-        flag(low, "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"), flag(low, PLACEHOLDER), flag(key, NAMES), flag(near, f"({NAMES})\\W*(is|=|:)?\\W*$"),
+        flag(low, "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"), flag(low, PLACEHOLDER), flag(key, NAMES), flag(near, f"({NAMES})\\W*(key|value|string|code)?\\W*(is|=|:)?\\W*$"),
         flag(word, "[=:]") | flag(before, "[=:]$"), flag(near, f"\\b({HARMLESS})\\b"), flag(F.lower(after), f"^({HARMLESS})\\b"), flag(word, "[\"'`]"), share(value, r"\."),
     ]
     return F.array(*[c.cast("double") for c in cols])
@@ -80,20 +95,25 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """(key, word_no, word, value, before, before2, after): every candidate of every whole text; word numbers start at 0."""
     digit, name = r"[0-9]", f"(?i)({NAMES})"
     long = "[A-Za-z0-9+/_=.-]{%d,}" % RUN
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").rlike(f"{digit}|{name}"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").rlike(f"{digit}|{PREFIXES}|{name}"))
     rows = rows.select("_key", F.split("_text", SPACE).alias("_words"))
     at = lambda i, n: F.coalesce(F.try_element_at("_words", (i + n + 1).cast("int")), F.lit(""))
 
+    before = lambda i, n: F.when(i >= n, at(i, F.lit(-n))).otherwise("")
+
     def suspect(w: Column, i: Column) -> Column:
         assigned = w.rlike(f"(?i)({NAMES})[a-z_-]*[\"']?[=:][\"']?\\S{{6,}}")
-        return F.when(F.length(w) < 6, False).otherwise(F.when(w.rlike(digit) & w.rlike(long), True).otherwise(assigned))
+        issued = w.rlike(f"(^|[^A-Za-z0-9])({PREFIXES})")
+        return F.when(F.length(w) < 6, False).when(w.rlike(digit) & w.rlike(long), True).when(assigned | issued, True).otherwise(named(w, before(i, 1), before(i, 2)))
 
     found = F.filter(F.transform("_words", lambda w, i: F.when(suspect(w, i), i).otherwise(-1)), lambda i: i >= 0)
     rows = rows.select("_key", "_words", F.explode(found).alias("word_no"))
     i = F.col("word_no")
-    before = lambda n: F.when(i >= n, at(i, F.lit(-n))).otherwise("")
     word = at(i, F.lit(0))
-    return rows.select(F.col("_key").alias(key), "word_no", word.alias("word"), split_value(word).alias("value"), before(1).alias("before"), before(2).alias("before2"), at(i, F.lit(1)).alias("after")
+    # a value may hold = or : itself: cut off only what is a name
+    own_name = word.rlike(f"(?i)^[\"'(<\\[{{]*[a-z0-9_.-]*({NAMES})[a-z0-9_.-]*[\"']?[=:]")
+    value = F.when(named(word, before(i, 1), before(i, 2)) & ~own_name, bare(word)).otherwise(split_value(word))
+    return rows.select(F.col("_key").alias(key), "word_no", word.alias("word"), value.alias("value"), before(i, 1).alias("before"), before(i, 2).alias("before2"), at(i, F.lit(1)).alias("after")
                        ).filter(F.length("value") >= 6)
 
 
@@ -115,6 +135,21 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     sep, quote, said = pick("sep", "=", ":", "=\"", "='"), pick("quote", "\"", "", "'"), word("said")
     upper32 = F.upper(F.translate(F.substring(h, 9, 16), "0189", "QXZW"))
     none, other = F.lit(""), word("near")
+    mark, mark2 = pick("mark", "!", "#", "$", "@", "%", "&", "*", "-", "?", "^"), pick("mark2", "!", "#", "$", "@", "%", "&", "*", "_", "=", "~")
+    small, few = (F.pmod(F.xxhash64("id", F.lit("small")), F.lit(7)) + 6).cast("int"), (F.pmod(F.xxhash64("id", F.lit("few")), F.lit(3)) + 1).cast("int")
+    odd = lambda text: F.translate(text, "aeisot", "43!507")
+    # values that people make up: a word with digits, a word in odd spelling, short letters and digits, marks between them
+    made_up = F.element_at(F.array(
+        F.concat(word("v"), cut(digits, few)), F.concat(word("v"), cut(digits, 1), cut(letters, 1)), F.concat(F.initcap(word("v")), cut(digits, few), mark), F.concat(F.initcap(odd(word("v"))), mark, cut(letters, few)),
+        F.concat(odd(word("v")), mark, cut(b64, few)), cut(b64, small), cut(h, small), F.concat(cut(b64, 3), mark, F.substring(b64, 4, 3), mark2, F.substring(b64, 7, 3), mark, F.substring(b64, 10, 2)),
+        F.concat(cut(b64, 3), mark, F.substring(b64, 4, 4), mark2), cut(digits, small)), (F.pmod(F.xxhash64("id", F.lit("made")), F.lit(10)) + 1).cast("int"))
+    # what stands after such a name in prose and code
+    spoken = F.element_at(F.array(
+        word("v"), F.initcap(word("v")), F.concat(word("v"), pick("end", ",", ".", ";", "s", "ed")), F.concat(word("v"), F.lit("_"), word("w")), F.concat(word("v"), F.lit("."), word("w")), F.concat(word("v"), F.lit("-"), word("w")),
+        F.concat(word("v"), F.initcap(word("w"))), F.concat(word("v"), F.lit("("), word("w"), F.lit(")")), F.concat(word("v"), F.lit("[\"DB_"), F.upper(word("w")), F.lit("\"]")), F.upper(word("v")),
+        pick("p2", "changeme", "your_token_here", "${DB_PASSWORD}", "********", "xxxxxxxx", "<password>", "example", "[redacted]", "placeholder", "Bearer", "Basic", "required", "optional", "undefined", "process.env.TOKEN")),
+        (F.pmod(F.xxhash64("id", F.lit("spoken")), F.lit(11)) + 1).cast("int"))
+    colon, comma = pick("colon", ":", "="), pick("comma", "", ",", ";", "\",", "\"")
     yes = [
         (F.concat(key, sep, cut(h, size)), other, said, word("next")), (F.concat(key, sep, cut(b64, size)), other, said, word("next")),
         (F.concat(quote, cut(h, size), quote), pick("eq", "=", ":"), key, word("next")), (F.concat(quote, cut(b64, size), quote), pick("eq", "=", ":"), key, word("next")),
@@ -122,6 +157,10 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(pick("issuer", "AKIA", "ASIA"), upper32), pick("eq", "=", "key", "id"), key, word("next")), (F.concat(F.lit("ghp_"), cut(b64, 36)), other, said, word("next")),
         (F.concat(pick("issuer", "sk_live_", "xoxb-", "glpat-", "AIza", "npm_"), cut(b64, 32)), other, said, word("next")), (F.concat(F.lit("eyJ"), cut(b64, 40), F.lit("."), cut(F.reverse(b64), 24)), pick("b", "Bearer", "token"), said, none),
         (cut(b64, 40), key, said, word("next")), (F.concat(key, sep, cut(letters, 12), F.lit("#"), cut(h, 4)), other, said, word("next")),
+        (made_up, F.concat(key, colon), other, word("next")), (F.concat(F.lit("\""), made_up, F.lit("\""), pick("comma", "", ",", "}")), F.concat(F.lit("\""), key, F.lit("\":")), other, word("next")),
+        (F.concat(quote, made_up, quote), pick("eq", "=", ":", ":=", "is"), key, word("next")), (F.concat(key, sep, made_up, quote), other, said, word("next")),
+        (F.concat(pick("issuer", "AKIA", "ASIA"), F.translate(upper32, "234567", "GHIJKL")), pick("eq", "=", "key", "id", "is"), other, word("next")),
+        (F.concat(quote, pick("issuer", "AKIA", "ghp_", "sk_live_", "glpat-", "npm_"), F.translate(cut(b64, 36), "0123456789", "qrstuvwxyz"), quote), other, said, word("next")),
     ]
     no = [
         (cut(h, 40), pick("c", "commit", "sha", "revision", "sha1"), said, word("next")), (cut(h, 32), pick("m", "md5", "checksum", "etag", "digest:"), said, word("next")),
@@ -136,6 +175,11 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(cut(letters, 14), cut(digits, 1)), other, said, word("next")), (F.concat_ws(".", cut(digits, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 3), F.substring(digits, 10, 3)), other, said, word("next")),
         (F.concat_ws("-", F.lit("2024"), cut(digits, 2), F.concat(F.substring(digits, 3, 2), F.lit("T10:20:30Z"))), other, said, word("next")), (F.concat(word("x"), F.lit("@"), word("y"), cut(digits, 3), F.lit(".com")), other, said, none),
         (F.concat(word("x"), F.lit("="), word("y"), F.lit("-"), cut(digits, 6)), other, said, word("next")), (F.concat(word("x"), F.lit(":"), cut(digits, 8), F.lit("/"), word("y")), other, said, none),
+        (spoken, F.concat(key, colon), other, word("next")), (F.concat(F.lit("\""), spoken, comma), F.concat(F.lit("\""), key, F.lit("\":")), other, word("next")),
+        (F.concat(quote, spoken, quote), pick("eq", "=", ":", ":=", "is"), key, word("next")), (F.concat(key, sep, spoken, quote), other, said, word("next")),
+        (F.concat(F.initcap(word("v")), comma), pick("by", "author:", "authors:", "passenger:", "secretary:", "tokens:", "authority:"), other, word("next")),
+        (F.concat(cut(digits, small)), pick("by", "tokens:", "authors:", "passengers:", "passes:"), other, word("next")),
+        (F.concat(pick("issuer", "npm_", "SG.", "sk_live_", "ghp_"), word("v"), pick("joint", "_", "", "."), word("w")), other, said, word("next")),
     ]
     kinds = [F.struct(w.alias("word"), b.alias("before"), b2.alias("before2"), a.alias("after"), F.lit(s).alias("secret")) for group, s in ((yes, 1.0), (no, 0.0)) for w, b, b2, a in group]
     rows = spark.range(n).withColumn("f", F.element_at(F.array(*kinds), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int")))
