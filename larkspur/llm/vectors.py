@@ -58,7 +58,10 @@ def codes_of(x: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> np.ndar
 
 
 def learn_radius(sample: np.ndarray, codes: np.ndarray, k: int, reach: float = REACH, queries: int = 400) -> int:
-    """Hamming radius that holds ``reach`` of the sample's true neighbours; among more rows neighbours are nearer, so it holds more."""
+    """Hamming radius that holds ``reach`` of the sample's true neighbours; among more rows neighbours are nearer, so it holds more.
+
+    The first ``queries`` rows are measured: ``sample`` must hold distinct vectors in an order that has nothing to do with the table's.
+    """
     q = min(queries, len(sample))
     apart = np.empty((q, min(k, len(sample) - 1)), np.int64)
     for i in range(q):
@@ -69,6 +72,14 @@ def learn_radius(sample: np.ndarray, codes: np.ndarray, k: int, reach: float = R
     return int(np.quantile(apart, reach, method="higher")) if apart.size else 0
 
 
+def draw(base: DataFrame) -> np.ndarray:
+    """At most ``FIT_ROWS`` distinct vectors ``v``, chosen and ordered by their hash, so that copies count once wherever they stand."""
+    hashed = base.select("v", F.xxhash64("v").alias("_at"))
+    distinct = hashed.agg(F.approx_count_distinct("_at", 0.02)).first()[0]
+    share = F.pmod("_at", F.lit(1 << 30)) < int(min(1.0, 1.1 * FIT_ROWS / max(distinct, 1)) * (1 << 30))
+    return matrix(hashed.filter(share).groupBy("_at").agg(F.min("v").alias("v")).orderBy("_at").limit(FIT_ROWS).select("v").toArrow().column("v"))
+
+
 class MultiIndex:
     """One block of rows: a table per substring of the code, probed within radius // substrings of each."""
 
@@ -117,7 +128,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
 
     Unusable vectors, other lengths than the usual one and null keys take no part on either side; a repeated query key
     asks once, with its smallest vector.  Ties go to the smaller key; if there are fewer rows, all are returned.  The
-    rotation and the radius are learned from at most ``FIT_ROWS`` rows; every row is indexed.  Queries visit each block
+    rotation and the radius are learned from at most ``FIT_ROWS`` distinct vectors; every row is indexed.  Queries visit each block
     of ``block_rows`` rows once and stream past it; a block returns k rows a query.
     """
     prepare(df.sparkSession)
@@ -131,8 +142,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     out = f"query_id bigint, {key} bigint, score double"
     if not n:
         return df.sparkSession.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, FIT_ROWS / n) * (1 << 30))
-    sample = matrix(base.filter(share).limit(FIT_ROWS).select("v").toArrow().column("v")) if n > 1 else np.zeros((0, size))
+    sample = draw(base) if n > 1 else np.zeros((0, size))
     if len(sample) < 2:
         sample = np.concatenate([np.eye(size), -np.eye(size)])
     bits = min(64, size)

@@ -50,6 +50,20 @@ def test_nearest_finds_at_least_nine_tenths(spark):
     assert len({r.query_id for r in got}) == total // 10 and hits >= 0.9 * total
 
 
+def test_nearest_after_a_beginning_of_copies(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.standard_normal((1, 64)), 1000, 0), rng.standard_normal((3000, 64))]).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist(), 1, "x", 1) for i, v in enumerate(x)], SCHEMA).coalesce(1)
+    asked = range(1000, 4000, 50)
+    got = nearest(df, df.filter("vec_id >= 1000 and vec_id % 50 = 0")).collect()
+    hits = 0
+    for i in asked:
+        d = ((x.astype(float) - x[i].astype(float)) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == i} & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_few_rows_and_none(spark):
     rows = [(0, [1.0, 2.0], 1, "x", 1), (100, [1.0, 2.0], 1, "x", 1), (3, [2.0, 2.0], 1, "x", 1), (2, [0.0, 2.0], 1, "x", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
