@@ -70,10 +70,10 @@ def over_time(
     if not has_hot_group(df, keys):
         return df.withColumns(exprs(W.partitionBy(*keys).orderBy(clock)))
     home = F.floor(F.col(clock) / span)
-    copies = F.array(home, home - 1) if ahead else F.array(home, home + 1)
+    copies = F.when(home.isNull(), F.array(home)).otherwise(F.array(home, home - 1) if ahead else F.array(home, home + 1))
     spread = df.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
     series = W.partitionBy(*keys, "_chunk").orderBy(clock)
-    return spread.withColumns(exprs(series)).filter(F.col("_chunk") == F.col("_home")).drop("_home", "_chunk")
+    return spread.withColumns(exprs(series)).filter(F.col("_chunk").eqNullSafe(F.col("_home"))).drop("_home", "_chunk")
 
 
 _MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
@@ -157,30 +157,38 @@ def range_sums(
 ) -> DataFrame:
     """Sums over the rows of the last ``span`` clock units before each row (the row's own instant excluded).
 
-    ``items`` maps a name to (span, expression); 0 where no row is in range.  In a hot series even one
-    span may be too long for a task, so there each sum is the difference of two running totals, read at
-    ``t - 1`` and ``t - span - 1`` by probe rows in a running sum.
+    ``items`` maps a name to (span, expression); 0 where no row is in range.  One path at every size: rows
+    are first summed per instant, time is cut into chunks one span long, and a range is the end of the chunk
+    before plus the beginning of the row's own.  Both are running sums inside a chunk, so nothing outside the
+    range enters a sum and nothing is subtracted.  The sums depend on the series and the instant alone and
+    are joined back by these, null-safe: ``row_key`` is not read and may be null or repeated.  Rows with a
+    null clock form one instant of their own, as in a plain window.
     """
     keys = list(keys)
-    if not has_hot_group(df, keys):
-        w = W.partitionBy(*keys).orderBy(clock)
-        return df.withColumns({n: F.coalesce(F.sum(e).over(w.rangeBetween(-span, -1)), F.lit(0)) for n, (span, e) in items.items()})
-    names = list(items)
-    spans = sorted({span for span, _ in items.values()})
-    facts = df.select(*keys, F.col(clock).alias("_at"), F.lit(0).alias("_side"), *[e.alias(f"_x_{n}") for n, (_, e) in items.items()])
-    probes = df.select(*keys, row_key, F.explode(F.array(
-        F.struct((F.col(clock) - 1).alias("_at"), F.lit(0).alias("_span")),
-        *[F.struct((F.col(clock) - 1 - s).alias("_at"), F.lit(s).alias("_span")) for s in spans])).alias("_p"))
-    probes = probes.select(*keys, row_key, "_p._at", "_p._span", F.lit(1).alias("_side"))
-    both = facts.unionByName(probes, allowMissingColumns=True)
-    seen = running(both, keys, "_at", "_side", {f"_c_{n}": ("sum", F.col(f"_x_{n}")) for n in names}).filter("_side = 1")
-
-    def change(n: str, span: int) -> Column:
-        sign = F.when(F.col("_span") == 0, 1).when(F.col("_span") == span, -1)
-        return F.coalesce(F.sum(sign * F.coalesce(f"_c_{n}", F.lit(0))), F.lit(0)).alias(n)
-
-    sums = seen.groupBy(F.col(row_key).alias("_row")).agg(*[change(n, span) for n, (span, _) in items.items()])
-    return df.join(sums, F.col(row_key) == F.col("_row")).drop("_row")
+    kinds = dict(df.agg(*[F.sum(e).alias(n) for n, (_, e) in items.items()]).dtypes)
+    series = [f"_k{i}" for i in range(len(keys))]
+    instants = df.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, series)], F.col(clock).alias("_t")).agg(
+        *[F.sum(e).alias(f"_x_{n}") for n, (_, e) in items.items()])
+    parts = [instants.filter("_t is null").select(*series, "_t", *[F.col(f"_x_{n}").alias(n) for n in items])]
+    for span in sorted({span for span, _ in items.values()}):
+        mine = [n for n, (s, _) in items.items() if s == span]
+        sums = {n: ("sum", F.col(f"_x_{n}")) for n in mine}
+        facts = instants.filter("_t is not null").select(*series, "_t", F.col("_t").alias("_at"), F.lit(1).alias("_side"), *[f"_x_{n}" for n in mine])
+        # read from the latest backwards: at one instant facts (1) come before the probe (0) that asks for them
+        probes = facts.select(*series, "_t", (F.col("_at") - span).alias("_at"), F.lit(0).alias("_side"))
+        both = facts.unionByName(probes, allowMissingColumns=True)
+        chunk = F.col("_at") - F.pmod(F.col("_at"), F.lit(span))
+        begin = running(facts.withColumn("_chunk", chunk), [*series, "_chunk"], "_at", "_side", sums, include_current=False)
+        end = running(both.withColumn("_chunk", chunk), [*series, "_chunk"], "_at", "_side", sums, descending=True).filter("_side = 0")
+        parts += [p.select(*series, "_t", *mine) for p in (begin, end)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    whole = whole.groupBy(*series, "_t").agg(*[F.coalesce(F.sum(n).cast(kinds[n]), F.lit(0)).alias(n) for n in items])
+    same = F.col(clock).eqNullSafe(F.col("_t"))
+    for k, c in zip(keys, series):
+        same = same & F.col(k).eqNullSafe(F.col(c))
+    return df.drop(*items).join(whole, same, "left").drop(*series, "_t")
 
 
 def group_values(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
