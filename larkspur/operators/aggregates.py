@@ -114,20 +114,26 @@ def sensor_features(df: DataFrame, keys: Sequence[str], order: str, tie: str, x:
     return feats.join(quants, keys)
 
 
-def spectral_features(df: DataFrame, keys: Sequence[str], order: str, tie: str, x: str, frame: int, high_from: int) -> DataFrame:
-    """DFT magnitudes of consecutive frames of ``frame`` readings: dominant bin, energy, high-frequency share.
+def spectral_features(df: DataFrame, keys: Sequence[str], order: str, tie: str, x: str, frame: int | None = None, high_from: int = 30) -> DataFrame:
+    """DFT magnitudes of each whole series: dominant bin, energy, high-frequency share.
 
-    A frame bounds the work: each reading meets at most frame/2 + 1 frequencies, whatever the series length.
+    Every reading meets all n/2 + 1 frequencies of its series of n; the products are summed map-side per (series, k).
+    With ``frame``, consecutive frames of that many readings are transformed instead (column ``frame``): the work
+    is bounded by frame/2 + 1 frequencies a reading, but no longer period can be seen.
     """
     keys = list(keys)
     rows = running(df.select(*keys, order, tie, x), keys, order, tie, {"_i": ("count", F.lit(1))})
-    rows = rows.withColumn("frame", F.floor((F.col("_i") - 1) / frame)).withColumn("_t", (F.col("_i") - 1) % frame)
-    rows = group_values(rows, [*keys, "frame"], {"_n": F.count(F.lit(1))})
+    rows = rows.withColumn("_t", F.col("_i") - 1)
+    if frame:
+        rows = rows.withColumn("frame", F.floor(F.col("_t") / frame)).withColumn("_t", F.col("_t") % frame)
+    series = [*keys, "frame"] if frame else keys
+    rows = group_values(rows, series, {"_n": F.count(F.lit(1))})
     waves = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int"))))
-    angle = F.lit(2 * pi) * F.col("k") * F.col("_t") / F.col("_n")
-    mags = waves.groupBy(*keys, "frame", "k").agg(
+    # k * t modulo n leaves the angle as it is and keeps it small: long series lose no digits
+    angle = F.lit(2 * pi) * (F.col("k") * F.col("_t") % F.col("_n")) / F.col("_n")
+    mags = waves.groupBy(*series, "k").agg(
         F.sqrt(F.pow(F.sum(F.col(x) * F.cos(angle)), 2) + F.pow(F.sum(F.col(x) * F.sin(angle)), 2)).alias("mag"))
-    return mags.groupBy(*keys, "frame").agg(
+    return mags.groupBy(*series).agg(
         F.max_by("k", F.when(F.col("k") > 0, F.struct(F.round("mag", 6), -F.col("k")))).alias("dominant"),
         F.sum(F.pow("mag", 2)).alias("energy"),
         (F.sum(F.when(F.col("k") >= high_from, F.col("mag")).otherwise(0.0)) / (F.sum("mag") + 1e-10)).alias("high_share"))

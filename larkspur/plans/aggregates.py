@@ -204,6 +204,18 @@ def spectral_features(t):
     return s.select("user_id", "frame", rnd("dominant").alias("dominant"), rnd("energy", 3).alias("energy"), rnd("high_share").alias("high_share"))
 
 
+@query("spectral_whole", f"""WITH f AS (SELECT user_id, value AS x, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS tt, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    w AS (SELECT *, unnest(range(0, CAST(n // 2 + 1 AS BIGINT))) AS k FROM f),
+    m AS (SELECT user_id, k, sqrt(sum(x * cos(2 * pi() * (k * tt % n) / n)) ^ 2 + sum(x * sin(2 * pi() * (k * tt % n) / n)) ^ 2) AS mag FROM w GROUP BY ALL),
+    d AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY round(mag, 6) DESC, k) AS rn FROM m WHERE k > 0)
+    SELECT m.user_id, {r6('max(d.k)')} AS dominant, {r6('sum(mag ^ 2)', 3)} AS energy, {r6('coalesce(sum(mag) FILTER (m.k >= 30), 0) / (sum(mag) + 1e-10)')} AS high_share
+    FROM m LEFT JOIN d ON m.user_id = d.user_id AND d.rn = 1 GROUP BY 1""")
+def spectral_whole(t):
+    e = t.events.withColumn("clock", F.unix_micros(F.col("ts").cast("timestamp")))
+    s = agg.spectral_features(e, ["user_id"], "clock", "event_id", "value")
+    return s.select("user_id", rnd("dominant").alias("dominant"), rnd("energy", 3).alias("energy"), rnd("high_share").alias("high_share"))
+
+
 @query("linear_detrend", f"""WITH m AS (SELECT extract(year FROM o_orderdate) AS y, avg(o_totalprice) AS m FROM orders GROUP BY 1), l AS (SELECT regr_slope(m, y) AS b, regr_intercept(m, y) AS a FROM m)
     SELECT o_orderkey, {r6('o_totalprice - (a + b * extract(year FROM o_orderdate))', 2)} AS detrended FROM orders, l""")
 def linear_detrend(t):
