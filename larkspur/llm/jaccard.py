@@ -356,6 +356,15 @@ def jaccard_components(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = K) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the smallest doc_id stays; rows with a null doc_id stay."""
-    found = jaccard_components(docs, k).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` without near copies: of each component one row stays, that of the smallest doc_id.
+
+    Rows are numbered and stored, and the components are those of the rows: rows that repeat a doc_id are judged by their
+    own texts and only one of their copies stays; rows with a null doc_id are compared too and give way to any other.
+    Null and empty texts link with nothing and stay.
+    """
+    prepare(docs.sparkSession)
+    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row")
+    stay = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first)
+    return rows.join(stay.select("_row"), "_row", "left_semi").select(*docs.columns)

@@ -104,3 +104,9 @@ def test_word_numbers(monkeypatch):
     monkeypatch.setattr(words, "CHUNK", 7)
     again, ends = word_numbers(pa.array(texts).slice(2))
     assert again.tolist() == whole[offsets[2]:].tolist() and ends.tolist() == (offsets[2:] - offsets[2]).tolist()
+
+
+def test_keep_one_of_repeated_rows_and_null_ids(spark, make_docs):
+    a, b, c = ("one two three four five six seven eight nine ten", "red orange yellow green blue indigo violet black white grey", "alpha beta gamma delta epsilon zeta eta theta iota kappa")
+    docs = make_docs([(1, a, "a"), (1, a, "a"), (2, a, "a"), (None, a, "a"), (None, b, "a"), (None, b, "a"), (1, c, "a"), (5, None, "a"), (5, None, "a")])
+    assert sorted((str(r.doc_id), str(r.text)) for r in keep_one(docs).collect()) == sorted([("1", a), ("None", b), ("1", c), ("5", "None"), ("5", "None")])
