@@ -224,12 +224,13 @@ def scan_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
     """All rows of ``docs`` with every secret in ``text`` replaced by ``MASK``; ``n_chars``, if there, follows.
 
-    Rows are matched to their findings by doc_id, so all rows of a repeated doc_id lose the values found in any; a null
-    doc_id matches null.
+    Rows are numbered, stored and matched to their own findings by that number: doc_id is not read, may be null or repeated,
+    and a text is searched only for the values found in it.
     """
-    found = scan(docs, model).filter("secret").groupBy("doc_id").agg(F.collect_set("value").alias("_values"))
-    found = table(found, "found").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    prepare(docs.sparkSession)
+    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = scan(rows, model, key="_row").filter("secret").groupBy("_row").agg(F.collect_set("value").alias("_values"))
+    rows = rows.join(table(found, "found"), "_row", "left")
     longest = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK))))
     out = rows.withColumn("text", text)
