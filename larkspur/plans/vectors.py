@@ -223,18 +223,51 @@ def places(t):
     return view(t, "v_place").select("id", "value", F.array("lat", "lon").alias("vec"))
 
 
-@query("dbscan")
+def density_sql(settings: str, tail: str) -> str:
+    """Clusters by a recursive walk over core points; ``settings`` lists (eps, least)."""
+    return f"""
+WITH RECURSIVE settings(eps, least) AS (VALUES {settings}),
+near AS (
+  SELECT eps, least, p.id AS a, q.id AS b FROM settings, v_place p, v_place q
+  WHERE sqrt((p.lat - q.lat) * (p.lat - q.lat) + (p.lon - q.lon) * (p.lon - q.lon)) <= eps),
+core AS (SELECT eps, least, a AS id FROM near GROUP BY ALL HAVING count(*) >= least),
+link AS (
+  SELECT n.* FROM near n JOIN core x ON x.id = n.a AND x.eps = n.eps AND x.least = n.least
+  JOIN core y ON y.id = n.b AND y.eps = n.eps AND y.least = n.least),
+walk AS (
+  SELECT eps, least, id, id AS root FROM core
+  UNION
+  SELECT w.eps, w.least, l.b, w.root FROM walk w JOIN link l ON l.a = w.id AND l.eps = w.eps AND l.least = w.least),
+inner_ AS (SELECT eps, least, id, min(root) AS cluster FROM walk GROUP BY ALL),
+outer_ AS (
+  SELECT n.eps, n.least, n.a AS id, min(i.cluster) AS cluster FROM near n
+  JOIN inner_ i ON i.id = n.b AND i.eps = n.eps AND i.least = n.least GROUP BY ALL),
+found AS (
+  SELECT s.eps, s.least, p.id, p.value, coalesce(i.cluster, o.cluster, -1)::BIGINT AS cluster, i.id IS NOT NULL AS is_core
+  FROM settings s CROSS JOIN v_place p LEFT JOIN inner_ i ON i.id = p.id AND i.eps = s.eps AND i.least = s.least
+  LEFT JOIN outer_ o ON o.id = p.id AND o.eps = s.eps AND o.least = s.least)
+{tail}"""
+
+
+@query("dbscan", density_sql("(0.08::DOUBLE, 5)", "SELECT id, cluster, is_core FROM found"))
 def dbscan(t):
     return cl.dbscan(places(t), "id", "vec", 0.08, 5, 2)
 
 
-@query("dbscan_noise_profile")
+SWEEP = [(0.06, 5), (0.08, 5), (0.1, 5), (0.08, 3), (0.08, 10)]
+
+
+@query("dbscan_noise_profile", density_sql(", ".join(f"({e}::DOUBLE, {m})" for e, m in SWEEP), f"""
+SELECT eps, least, cluster = -1 AS noise, count(*)::BIGINT AS n, {r6("avg(value)")} AS mean_value, count(DISTINCT cluster)::BIGINT AS clusters
+FROM found GROUP BY ALL"""))
 def dbscan_noise_profile(t):
+    """Noise against clustered rows, for radii and for least neighbours."""
     p = places(t)
     out = None
-    for eps in (0.06, 0.08, 0.1):
-        c = cl.dbscan(p, "id", "vec", eps, 5, 2).join(p.select("id", "value"), "id")
-        g = c.groupBy((F.col("cluster") == -1).alias("noise")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value")).alias("mean_value"), F.countDistinct("cluster").alias("clusters")).withColumn("eps", F.lit(eps))
+    for eps, least in SWEEP:
+        c = cl.dbscan(p, "id", "vec", eps, least, 2).join(p.select("id", "value"), "id")
+        g = c.groupBy((F.col("cluster") == -1).alias("noise")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value")).alias("mean_value"), F.countDistinct("cluster").alias("clusters"))
+        g = g.withColumns({"eps": F.lit(eps), "least": F.lit(least)})
         out = g if out is None else out.unionByName(g)
     return out
 

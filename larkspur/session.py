@@ -75,6 +75,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder and read back: lineage, plan and size estimate all begin anew.
+
+    A checkpoint would keep the estimate of the plan it cuts, and estimates multiply over the rounds of an iteration.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables that :func:`cut` wrote for ``frames``; nothing lazy may still read them."""
+    for df in frames:
+        path = df.__dict__.pop("_scratch", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)

@@ -142,10 +142,38 @@ def test_dbscan_matches_brute_force(spark, block):
     assert [got[i].cluster for i in range(len(x))] == list(lab)
 
 
-def test_components_by_spreading_match_the_driver(spark, monkeypatch):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6), (7, 5)], "a bigint, b bigint")
-    want = sorted(map(tuple, cl.components(edges).collect()))
-    assert sorted(map(tuple, cl.components(edges).collect())) == want
+def test_components(spark):
+    """Scattered edges with loops and null ends; a path of 100,000 edges, in order and shuffled."""
+    import time
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6), (7, 5), (8, 8), (None, 4)], "a bigint, b bigint")
+    assert sorted(map(tuple, cl.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 5), (8, 8), (9, 1)]
+    assert cl.components(edges.filter("false")).count() == 0
+    t0 = time.time()
+    for name in ("id", "id * 48271 % 2147483647"):
+        path = spark.range(100_000).selectExpr(f"{name} AS a", name.replace("id", "(id + 1)") + " AS b")
+        got = cl.components(path).agg(F.countDistinct("root"), F.min("root"), F.count("node")).first()
+        assert tuple(got) == (1, 0, 100_001)
+    assert time.time() - t0 < 120
+
+
+def test_dbscan_of_crowded_cells_measures_few_distances(spark):
+    """Two crowded neighbours and a far one: 300,000 points settle by cells; squares of distances would not end."""
+    rows = spark.range(300_000).selectExpr("id", "array(0.001 * (id % 997) / 10 + CASE WHEN id % 3 = 0 THEN 0.12 WHEN id % 3 = 1 THEN 0.0 ELSE 5.0 END, 0.0001 * (id % 991)) AS vec")
+    got = cl.dbscan(rows, "id", "vec", 0.15, 10, 2, block_rows=5000).groupBy("cluster", "is_core").count().collect()
+    assert sorted((r.cluster, r.is_core, r["count"]) for r in got) == [(0, True, 200_000), (2, True, 100_000)]
+
+
+def test_dbscan_in_five_axes_nulls_and_empty(spark):
+    rng = np.random.default_rng(8)
+    for dims in (5,):
+        x = np.concatenate([rng.normal(0, .3, (50, dims)), rng.normal(2, .3, (50, dims)), rng.uniform(-2, 4, (20, dims))])
+        rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(500, None)]
+        df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+        got = {r.id: r for r in cl.dbscan(df, "id", "vec", 0.7, 4, dims, block_rows=16).collect()}
+        lab, core = brute_dbscan(x, 0.7, 4)
+        assert [got[i].is_core for i in range(len(x))] == list(core) and [got[i].cluster for i in range(len(x))] == list(lab)
+        assert (got[500].cluster, got[500].is_core) == (-1, False)
+    assert cl.dbscan(df.filter("false"), "id", "vec", 0.7, 4, 5).count() == 0
 
 
 def test_mix_hash_has_no_short_period(spark):
