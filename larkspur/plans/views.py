@@ -54,8 +54,9 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
     text = sql.strip()
-    if text[:5].upper() == "WITH ":
-        return f"WITH {ctes}, {text[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(head):
+            return f"{head}{ctes}, {text[len(head):]}"
     return f"WITH {ctes} {text}"
 
 
