@@ -1,6 +1,7 @@
 """Phrase collocations per language from a weighted de Bruijn graph.
 
-1. Words are counted per language.  A word rarer than the least count can stand in no candidate, so it ends a piece there.
+1. Words and pairs of neighbours are counted per language.  What is rarer than the least count can stand in no candidate,
+   so a piece ends at such a word, and between the words of such a pair.
 2. From every word of a piece runs one edge of five words; where the piece ends sooner, a shorter one, the piece-end
    correction.  Equal edges are added up inside a task before they leave it.
 3. Edges are cut into ranges and sorted.  Phrases with the same beginning then lie side by side, so one pass derives the
@@ -24,11 +25,12 @@ from larkspur.llm.jaccard import blocks
 from larkspur.llm.words import CHUNK, powers, scramble, text_bytes
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Words of the dictionary that may travel to the tasks (eight bytes each); an edge then takes two numbers, beyond it six
+#: Frequent words, and frequent pairs, that may travel to the tasks (eight bytes each).  An edge then takes two numbers; with more
+#: words it takes six and nothing is cut, with more pairs only words are: the counts are the same
 DICTIONARY = (1 << 21) - 1
 _BITS = np.uint64(21)
 #: Text bytes of a block, words of one slice of edges
-BLOCK_BYTES, SLICE = 8 << 20, 1 << 20
+BLOCK_BYTES, SLICE = 4 << 20, 1 << 19
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _GAP = _BREAK.copy()
@@ -99,19 +101,26 @@ def _entries(block: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[np.nda
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, entry, word, n): the words of a block, added up; an entry is a word's number in its language."""
+    """(lang, word, n): the words of a block, added up."""
     for block in blocks(batches, BLOCK_BYTES):
         names = block.column("lang").to_pylist()
         raw, offsets, parts, languages = _entries(block)
         for numbers, starts, ends, _ in parts:
             text = np.searchsorted(offsets, starts, side="right") - 1
-            entries = scramble(numbers + languages[text])
-            found, first, n = np.unique(entries, return_index=True, return_counts=True)
-            data = raw.tobytes() if len(parts) == 1 else raw[starts[0]:ends[-1]].tobytes()
-            base = 0 if len(parts) == 1 else int(starts[0])
+            _, first, n = np.unique(scramble(numbers + languages[text]), return_index=True, return_counts=True)
+            data, base = raw[starts[0]:ends[-1]].tobytes(), int(starts[0])
             spelled = [data[s - base:e - base].translate(_FOLD) for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([names[t] for t in text[first].tolist()], pa.string()), pa.array(found.view(np.int64)),
-                                              pa.array(spelled, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "entry", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[t] for t in text[first].tolist()], pa.string()),
+                                              pa.array(spelled, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+
+
+def _with_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n, entry): an entry is a word's number in its language."""
+    for b in batches:
+        if b.num_rows:
+            _, _, parts, languages = _entries(pa.Table.from_arrays([b.column("word"), b.column("lang")], names=["text", "lang"]))
+            entry = scramble(np.concatenate([p[0] for p in parts]) + languages)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(entry.view(np.int64))], names=[*b.schema.names, "entry"])
 
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -122,8 +131,44 @@ def _pack(ids: np.ndarray) -> np.ndarray:
     return np.stack([ids[:, 0] << _BITS | ids[:, 1], ids[:, 2] << (_BITS + _BITS) | ids[:, 3] << _BITS | ids[:, 4]], 1)
 
 
-def _edges(known, packed: bool):
-    """(c0.., n): the edges of a block, equal ones added up.  ``known``: broadcast sorted entries, or None where any word may occur."""
+def _ids(block: pa.Table, known) -> tuple[np.ndarray, np.ndarray]:
+    """(id of every word, whether a piece begins there); with a dictionary, words outside it are 0 and pieces of their own."""
+    _, offsets, parts, languages = _entries(block)
+    ids, begin = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for numbers, starts, _, new in parts:
+        entry = scramble(numbers + languages[np.searchsorted(offsets, starts, side="right") - 1])
+        if known is not None:
+            entry = entry.view(np.int64)
+            at = np.minimum(np.searchsorted(known.value, entry), len(known.value) - 1)
+            entry = np.where(known.value[at] == entry, at + 1, 0).astype(np.uint64)
+        ids.append(entry)
+        begin.append(new)
+    ids, begin = np.concatenate(ids), np.concatenate(begin)
+    if known is not None:
+        rare = ids == 0
+        begin |= rare
+        begin[1:] |= rare[:-1]
+    return ids, begin
+
+
+def _pairs(known):
+    """(c0, n): neighbouring words of a piece as one number, added up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, BLOCK_BYTES):
+            ids, begin = _ids(block, known)
+            pair = (ids[:-1] << _BITS | ids[1:])[~begin[1:]]
+            found, n = np.unique(pair, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["c0", "n"])
+    return run
+
+
+def _edges(known, pairs):
+    """(c0.., n): the edges of a block, equal ones added up.
+
+    ``known``, ``pairs``: broadcast sorted entries of words and numbers of pairs that are frequent, or None where any may occur.
+    """
+    packed = known is not None
+
     def emit(ids: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
         ids = np.where(np.arange(LONGEST) < length[:, None], ids, np.uint64(0))
         keys = _pack(ids) if packed else np.concatenate([ids, length[:, None].astype(np.uint64)], 1)
@@ -136,22 +181,13 @@ def _edges(known, packed: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
-            _, offsets, parts, languages = _entries(block)
-            if not parts:
+            ids, begin = _ids(block, known)
+            if not len(ids):
                 continue
-            ids, begin = [], []
-            for numbers, starts, _, new in parts:
-                entry = scramble(numbers + languages[np.searchsorted(offsets, starts, side="right") - 1])
-                if known is not None:
-                    entry = entry.view(np.int64)
-                    at = np.minimum(np.searchsorted(known.value, entry), len(known.value) - 1)
-                    entry = np.where(known.value[at] == entry, at + 1, 0).astype(np.uint64)
-                ids.append(entry)
-                begin.append(new)
-            ids, begin = np.concatenate(ids), np.concatenate(begin)
-            rare = ids == 0 if known is not None else np.zeros(len(ids), bool)
-            begin |= rare
-            begin[1:] |= rare[:-1]
+            if pairs is not None:
+                pair = (ids[:-1] << _BITS | ids[1:]).view(np.int64)
+                at = np.minimum(np.searchsorted(pairs.value, pair), len(pairs.value) - 1)
+                begin[1:] |= pairs.value[at] != pair
             stops = np.append(np.flatnonzero(begin), len(ids))
             length = stops[np.searchsorted(stops, np.arange(len(ids)), side="right")] - np.arange(len(ids))
             length = np.minimum(length, LONGEST)
@@ -219,34 +255,45 @@ def _flows(least: int, packed: bool):
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Stored (lang, entry, word, n): how often each word occurs in each language."""
-    text = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    made = text.mapInArrow(_count_words, "lang string, entry bigint, word string, n bigint")
-    return table(made.groupBy("lang", "entry").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "words")
+    """Stored (lang, word, n): how often each word occurs in each language."""
+    made = _texts(docs).mapInArrow(_count_words, "lang string, word string, n bigint")
+    return table(made.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
 
 
 def phrase_counts(docs: DataFrame, counts: DataFrame, least: int, dictionary: int = DICTIONARY) -> tuple[DataFrame, DataFrame]:
     """(phrases: stored (k, ids, n) of 2 to 5 words counted ``least`` times or more; words: stored (id, lang, word, n) of such words)."""
-    spark = docs.sparkSession
-    frequent = counts.filter(F.col("n") >= least)
-    some = frequent.select("entry").limit(dictionary + 1).toArrow().column("entry").to_numpy()
-    packed = len(some) <= dictionary
-    known = np.sort(some) if packed else None
+    spark, text = docs.sparkSession, _texts(docs)
+    frequent = table(counts.filter(F.col("n") >= least).mapInArrow(_with_entry, "lang string, word string, n bigint, entry bigint"), "entries")
+
+    def sorted_if_few(df: DataFrame) -> np.ndarray | None:
+        some = df.limit(dictionary + 1).toArrow().column(0).to_numpy()
+        return np.sort(some) if len(some) <= dictionary else None
+
+    entries = sorted_if_few(frequent.select("entry"))
+    packed = entries is not None
     if packed:
         # a word's id is its place among the sorted entries
-        places = spark.createDataFrame(pa.table({"entry": known, "id": np.arange(1, len(known) + 1)}))
+        places = spark.createDataFrame(pa.table({"entry": entries, "id": np.arange(1, len(entries) + 1)}))
         words = table(frequent.join(places, "entry").select("id", "lang", "word", "n"), "frequent")
     else:
         words = table(frequent.select(F.col("entry").alias("id"), "lang", "word", "n"), "frequent")
     columns = [f"c{c}" for c in range(2 if packed else LONGEST + 1)]
     longs = ", ".join(f"{c} bigint" for c in columns)
-    text = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    held = spark.sparkContext.broadcast(known) if packed and len(known) else None
-    if packed and not len(known):
+    known = pairs = None
+    if packed and len(entries):
+        known = spark.sparkContext.broadcast(entries)
+        often = text.mapInArrow(_pairs(known), "c0 bigint, n bigint").groupBy("c0").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        pairs = sorted_if_few(table(often, "pairs").select("c0"))
+    if packed and (not len(entries) or pairs is not None and not len(pairs)):
         edges = spark.createDataFrame([], f"{longs}, n bigint")
     else:
-        edges = table(text.mapInArrow(_edges(held, packed), f"{longs}, n bigint"), "edges")
+        held = spark.sparkContext.broadcast(pairs) if pairs is not None else None
+        edges = table(text.mapInArrow(_edges(known, held), f"{longs}, n bigint"), "edges")
     # ranges of whole edges: a beginning may go on in the next range, so none is too frequent for a task
     ranged = edges.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).sortWithinPartitions(*columns)
     flows = ranged.mapInArrow(_flows(least, packed), f"k int, {longs}, n bigint").groupBy("k", *columns).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)

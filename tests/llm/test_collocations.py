@@ -53,9 +53,9 @@ def corpus(seed, docs=120):
 SCHEMA = "text string, lang string, n string, k double, word int"
 
 
-@pytest.mark.parametrize("dictionary,share", [(module.DICTIONARY, 100), (module.DICTIONARY, 60), (5, 100)])
+@pytest.mark.parametrize("dictionary,share", [(module.DICTIONARY, 100), (module.DICTIONARY, 60), (5, 100), (45, 100)])
 def test_against_brute_force(spark, dictionary, share):
-    """With the words' dictionary in the tasks, and beyond its bound."""
+    """With the dictionaries in the tasks, beyond the bound of words, and beyond that of pairs alone."""
     rows = corpus(4)
     docs = spark.createDataFrame([(*r, "theirs", 0.5, 1) for r in rows], SCHEMA).repartition(7)
     got = sorted(tuple(r) for r in collocations(docs, 5, 40, share, dictionary).collect())
