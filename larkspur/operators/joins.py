@@ -20,21 +20,26 @@ def asof(
     """Attach the nearest right row before (``backward``) or after (``forward``) each left row.
 
     One union and one running ``last`` per key instead of a theta join: linear in rows, and a hot key is
-    cut into time slices by the running operator.  ``clock`` columns are integers of one unit.
+    cut into ranges by the running operator.  ``clock`` columns are integers of one unit.  A null key or clock matches
+    nothing; such left rows stay, with nulls.
     """
     keys = list(keys)
     back = direction == "backward"
     right_side = (0 if inclusive else 1) if back else (1 if inclusive else 0)
     hit = F.struct(F.col(right_clock).alias("at"), *[F.col(c).alias(c) for c in take])
-    r = right.select(*keys, F.col(right_clock).cast("bigint").alias("_clock"), F.lit(right_side).alias("_side"), hit.alias("_hit"))
+    usable = F.col(right_clock).isNotNull()
+    for k in keys:
+        usable = usable & F.col(k).isNotNull()
+    r = right.filter(usable).select(*keys, F.col(right_clock).cast("bigint").alias("_clock"), F.lit(right_side).alias("_side"), hit.alias("_hit"))
     rest = [c for c in left.columns]
     lft = left.select(*keys, F.col(clock).cast("bigint").alias("_clock"), F.lit(1 - right_side).alias("_side"), F.struct(*rest).alias("_row"))
-    both = lft.unionByName(r, allowMissingColumns=True)
-    seen = running(both, keys, "_clock", "_side", {"_m": ("last", F.col("_hit"))}, descending=not back)
+    # of right rows at one instant the last by their values is taken, whichever way the search goes
+    both = lft.unionByName(r, allowMissingColumns=True).withColumn("_tie", F.struct("_side", "_hit"))
+    seen = running(both, keys, "_clock", "_tie", {"_m": ("last", F.when(F.col("_clock").isNotNull(), F.col("_hit")))}, descending=not back)
     out = seen.filter(F.col("_row").isNotNull())
-    hit_col = F.col("_m")
+    hit_col = F.when(F.col("_clock").isNotNull(), F.col("_m"))
     if tolerance is not None:
-        hit_col = F.when(F.abs(F.col("_clock") - F.col("_m.at")) <= tolerance, F.col("_m"))
+        hit_col = F.when(F.abs(F.col("_clock") - F.col("_m.at")) <= tolerance, hit_col)
     out = out.select("_row", hit_col.alias("_m"))
     return out.select(*[F.col(f"_row.{c}").alias(c) for c in rest], F.col("_m.at").alias(f"{prefix}clock"),
                       *[F.col(f"_m.{c}").alias(f"{prefix}{c}") for c in take])

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from larkspur.session import n_buckets
+from larkspur.session import cut, n_buckets
 
 
 def slice_edges(df: DataFrame, order: str, slices: int | None = None) -> list[float]:
@@ -154,35 +154,51 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), descending
     )
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_slice") -> DataFrame:
+    """``df`` sorted into ranges of (keys, order) and stored, with the range's number as ``name``.
+
+    Ranges are cut by Spark over the columns' own types: a series too long for a task is many ranges, rows alike in all
+    columns share one, and null orders come first, as in an ascending window.
+    """
+    return cut(df.repartitionByRange(n_buckets(df.sparkSession), *keys, *order).withColumn(name, F.spark_partition_id()))
+
+
+def same_keys(keys: Sequence[str], prefix: str = "_k_") -> Column:
+    """Null-safe equality of ``keys`` with their copies."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return cond
+
+
 def numbered(
     df: DataFrame, order: str, tie: str | Sequence[str], keys: Sequence[str] = (), name: str = "rn", descending: bool = False
 ) -> DataFrame:
-    """``row_number`` over (keys) ordered by (order, tie), with the long orders sliced.
+    """``row_number`` over (keys) ordered by (order, tie), and the group's size as ``{name}_total``; no task holds a whole order.
 
-    Slices follow ``order``; rows that tie on ``order`` share a slice, so ``order`` should spread
-    (pass a hash or a timestamp, not a flag).
+    ``descending`` turns ``order`` only.  Rows with a null key, order or tie are numbered as a window numbers them:
+    nulls first, and last where ``order`` descends.  A value that very many rows share is cut by the tie.
     """
     keys = list(keys)
     ties = [tie] if isinstance(tie, str) else list(tie)
-    dated = df.withColumn("_ord", F.col(order).cast("double"))
-    sliced = with_slice(dated, "_ord", slice_edges(dated, "_ord"))
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    slot = F.col("_slice").desc() if descending else F.col("_slice")
-    earlier = W.partitionBy(*keys).orderBy(slot).rowsBetween(W.unboundedPreceding, -1)
+    if descending:
+        # ranges ascend: the order is turned by its type's own descending sort
+        stored = cut(df.repartitionByRange(n_buckets(df.sparkSession), *keys, F.col(order).desc(), *ties).withColumn("_slice", F.spark_partition_id()))
+    else:
+        stored = ranged(df, keys, [order, *ties])
+    sizes = stored.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_slice").alias("_o_slice"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
         F.sum("_n").over(W.partitionBy(*keys)).alias("_group_n"),
     )
-    cond = F.col("_slice") == F.col("_o_slice")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    first = F.col("_ord").desc() if descending else F.col("_ord")
+    first = F.col(order).desc() if descending else F.col(order)
     inside = W.partitionBy(*keys, "_slice").orderBy(first, *ties)
     return (
-        sliced.join(offsets, cond)
+        stored.join(offsets, (F.col("_slice") == F.col("_o_slice")) & same_keys(keys))
         .withColumn(name, (F.col("_off") + F.row_number().over(inside)).cast("bigint"))
-        .drop("_ord", "_slice", "_o_slice", "_off", *[f"_k_{k}" for k in keys])
+        .drop("_slice", "_o_slice", "_off", *[f"_k_{k}" for k in keys])
         .withColumnRenamed("_group_n", f"{name}_total")
     )

@@ -1,10 +1,10 @@
 """Per-entity series features that survive an entity holding a third of all rows.
 
-Every operator takes plain window expressions.  One cheap count per entity decides the path: if no
-entity exceeds ``spark.larkspur.maxGroupRows`` the expressions run over ``partitionBy(entity)``;
-otherwise each series is cut into chunks and each chunk carries the context it needs (a halo of
-preceding/following rows for bounded frames, a carried aggregate for unbounded ones), so the result
-is the same row for row.
+Every operator takes plain window expressions.  One count per entity says how the work is laid out: if no entity exceeds
+``spark.larkspur.maxGroupRows`` the expressions run over ``partitionBy(entity)``; otherwise each series is cut into
+ranges of its own order and each range carries the context it needs (a halo of preceding/following rows for bounded
+frames, a carried aggregate for unbounded ones).  Both layouts give the same rows and values, those with a null key or
+order included; only sums of doubles may differ in their last digits, as additions are grouped differently.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-from larkspur.operators.prefix import numbered, slice_edges, with_slice
+from larkspur.operators.prefix import numbered, ranged, same_keys
 from larkspur.session import max_group_rows
 
 Exprs = Callable[[WindowSpec], dict[str, Column]]
@@ -69,7 +69,9 @@ def over_time(
     keys = list(keys)
     if not has_hot_group(df, keys):
         return df.withColumns(exprs(W.partitionBy(*keys).orderBy(clock)))
-    home = F.floor(F.col(clock) / span)
+    whole = df.schema[clock].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    # whole clocks are divided as whole numbers: a double would move those above 2**53 into another span
+    home = F.expr(f"(`{clock}` - pmod(`{clock}`, {span})) div {span}") if whole else F.floor(F.col(clock) / span)
     copies = F.when(home.isNull(), F.array(home)).otherwise(F.array(home, home - 1) if ahead else F.array(home, home + 1))
     spread = df.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
     series = W.partitionBy(*keys, "_chunk").orderBy(clock)
@@ -92,8 +94,8 @@ def running(
     """Running ``sum/count/max/min/last`` from the start of each series.
 
     ``last`` keeps the newest non-null value (forward fill).  ``items`` maps the output name to
-    (kind, expression).  On the split path each time slice is aggregated once and the carried value
-    of all earlier slices is merged in.
+    (kind, expression).  A long series is cut into ranges; each is aggregated once and what all earlier
+    ranges carry is merged in.  Rows with a null order come first (last where ``descending``), as in a window.
     """
     keys = list(keys)
     end = 0 if include_current else -1
@@ -112,17 +114,14 @@ def running(
         frame = W.partitionBy(*keys).orderBy(way(order), way(tie)).rowsBetween(W.unboundedPreceding, end)
         return base.withColumns({n: own(n, k, frame) for n, (k, _) in items.items()}).drop(*args)
 
-    dated = base.withColumn("_ord", F.col(order).cast("double"))
-    limit = max_group_rows(df.sparkSession)
-    slices = max(2, int(4 * df.count() // limit))
-    sliced = with_slice(dated, "_ord", slice_edges(dated, "_ord", slices))
-    newest = F.struct("_ord", F.col(tie))
+    stored = ranged(base, keys, [order, tie])
+    newest = F.struct(F.col(order), F.col(tie))
     pick = F.min_by if descending else F.max_by
     aggs = [
         (pick(F.col(f"_x_{n}"), F.when(F.col(f"_x_{n}").isNotNull(), newest)) if k == "last" else _OWN[k](f"_x_{n}")).alias(f"_a_{n}")
         for n, (k, _) in items.items()
     ]
-    parts = sliced.groupBy(*keys, "_slice").agg(*aggs)
+    parts = stored.groupBy(*keys, "_slice").agg(*aggs)
     earlier = W.partitionBy(*keys).orderBy(way("_slice")).rowsBetween(W.unboundedPreceding, -1)
     carried = parts.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
@@ -132,10 +131,7 @@ def running(
             for n, (k, _) in items.items()
         ],
     )
-    cond = F.col("_slice") == F.col("_o_slice")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    frame = W.partitionBy(*keys, "_slice").orderBy(way("_ord"), way(tie)).rowsBetween(W.unboundedPreceding, end)
+    frame = W.partitionBy(*keys, "_slice").orderBy(way(order), way(tie)).rowsBetween(W.unboundedPreceding, end)
 
     def merged(name: str, kind: str) -> Column:
         mine, past = own(name, kind, frame), F.col(f"_c_{name}")
@@ -146,9 +142,9 @@ def running(
         return (F.greatest if kind == "max" else F.least)(mine, past)
 
     return (
-        sliced.join(carried, cond)
+        stored.join(carried, (F.col("_slice") == F.col("_o_slice")) & same_keys(keys))
         .withColumns({n: merged(n, k) for n, (k, _) in items.items()})
-        .drop("_ord", "_slice", "_o_slice", *args, *[f"_k_{k}" for k in keys], *[f"_c_{n}" for n in items])
+        .drop("_slice", "_o_slice", *args, *[f"_k_{k}" for k in keys], *[f"_c_{n}" for n in items])
     )
 
 
