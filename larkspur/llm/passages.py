@@ -8,7 +8,9 @@ number stands for the window, so equal windows are stood for by equal phrases.
    Aho-Corasick automaton.  All documents that hold a shard's phrases stream through it.  A shard with much to read is
    read in parts.
 3. Every occurrence names the windows it stands for; the smallest document of each window is found, and all later
-   documents lose the words the window covers.
+   documents lose the words the window covers.  The first holder of a phrase is the first of every window the phrase
+   stands for, and first holders are read in all parts.  So a part settles its own windows; only those it finds first in
+   a document that is not its phrase's first holder are compared between parts, as runs, once each.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ class _Shard:
     def __init__(self, tile: int, parts: int):
         self.tile, self.parts = tile, parts
         self.wanted, self.patterns, self.waiting = [], {}, []
-        self.known = None
+        self.known = self.first = None
         self.automaton = None
         self.found: list[tuple[np.ndarray, ...]] = []
 
@@ -86,10 +88,16 @@ class _Shard:
         """A text with one character for each word."""
         return (words % np.uint64(0xF0000) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
 
+    def settle(self) -> None:
+        """Sort the wanted phrases, each with the smallest document that holds it."""
+        if self.known is None:
+            phrase, first = (np.concatenate(x) for x in zip(*self.wanted)) if self.wanted else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            order = np.argsort(phrase)
+            self.known, self.first = phrase[order], first[order]
+
     def learn(self, batch: pa.RecordBatch) -> None:
         """Spell the wanted phrases out of the documents that hold them first."""
-        if self.known is None:
-            self.known = np.sort(np.concatenate(self.wanted)) if self.wanted else np.zeros(0, np.uint64)
+        self.settle()
         for rows in blocks([batch], STEP_BYTES):
             words, offsets = word_numbers(rows.column("text").combine_chunks())
             numbers, _, _, at = standing(words, offsets)
@@ -102,6 +110,7 @@ class _Shard:
     def read(self, batch: pa.RecordBatch) -> None:
         """Let documents stream through the automaton and gather the windows its phrases stand for."""
         if self.automaton is None:
+            self.settle()
             self.automaton = ahocorasick.Automaton()
             for number, phrase in self.patterns.items():
                 self.automaton.add_word(phrase, number)
@@ -113,7 +122,7 @@ class _Shard:
             self.waiting = []
         if not len(self.automaton):
             return
-        for rows in blocks([batch.filter(batch.column("emit"))], STEP_BYTES):
+        for rows in blocks([batch], STEP_BYTES):
             words, offsets = word_numbers(rows.column("text").combine_chunks())
             numbers, starts, text, at = standing(words, offsets)
             if not len(starts):
@@ -123,40 +132,45 @@ class _Shard:
                 p = end - PHRASE + 1
                 hit[p] |= int(numbers[p]) == number
             of = hit[at]
-            starts, text = starts[of], text[of]
+            starts, text, phrase = starts[of], text[of], numbers[at[of]]
             if len(starts):
-                own = [rows.column(c).to_numpy()[text] for c in ("doc_id", "version")]
-                self.found.append((runs(words, starts, WINDOW), *own, starts - offsets[text]))
+                own = [rows.column(c).to_numpy()[text] for c in ("doc_id", "version", "emit")]
+                self.found.append((runs(words, starts, WINDOW), *own, starts - offsets[text], self.first[np.searchsorted(self.known, phrase)]))
 
     def closed(self) -> Iterator[pa.RecordBatch]:
-        """The spans that a smaller document in this part covers; of a shard read in parts, also the holders that are smallest here."""
+        """The spans that a smaller document in this part covers, and runs of windows whose smallest document may be in another part."""
         if self.automaton is None and self.waiting:
             self.read(self.waiting.pop(0))
         if not self.found:
             return
-        number, doc, version, start = (np.concatenate(x) for x in zip(*self.found))
+        number, doc, version, emit, start, holder = (np.concatenate(x) for x in zip(*self.found))
         self.found = []
         order = np.lexsort((doc, number))
-        number, doc, version, start = number[order], doc[order], version[order], start[order]
+        number, doc, version, emit, start, holder = (x[order] for x in (number, doc, version, emit, start, holder))
         first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         later = doc > np.repeat(doc[first], np.diff(np.append(first, len(number))))
-        if self.parts > 1 and not later.all():
-            yield _batch(doc[~later], version[~later], number[~later], start[~later], None)
-        doc, version, start = doc[later], version[later], start[later]
-        order = np.lexsort((start, version, doc))
-        doc, version, start = doc[order], version[order], start[order]
-        if len(doc):
-            other = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
-            new = np.flatnonzero(np.concatenate([[True], other | (start[1:] > start[:-1] + WINDOW)]))
-            last = np.append(new[1:], len(doc)) - 1
-            yield _batch(doc[new], version[new], None, start[new], start[last] + WINDOW)
-
-
-def _batch(doc, version, number, start, stop) -> pa.RecordBatch:
-    empty = pa.nulls(len(doc), pa.int64())
-    return pa.RecordBatch.from_arrays([
-        pa.array(doc.astype(np.int64)), pa.array(version.astype(np.int64)), empty if number is None else pa.array(number.view(np.int64)), pa.array(start.astype(np.int64)),
-        empty if stop is None else pa.array(stop.astype(np.int64))], names=["doc_id", "version", "number", "start", "stop"])
+        yield from _runs(doc, version, start, None, later & emit)
+        if self.parts > 1:
+            yield from _runs(doc, version, start, number, ~later & emit & (doc != holder))
+
+
+def _runs(doc, version, start, number, wanted) -> Iterator[pa.RecordBatch]:
+    """(doc_id, version, numbers, start, stop): windows of a document one word apart as one row; without numbers, any that touch."""
+    doc, version, start = doc[wanted], version[wanted], start[wanted]
+    if not len(doc):
+        return
+    order = np.lexsort((start, version, doc))
+    doc, version, start = doc[order], version[order], start[order]
+    other = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    new = np.flatnonzero(np.concatenate([[True], other | (start[1:] > start[:-1] + (WINDOW if number is None else 1))]))
+    if number is None:
+        numbers = pa.nulls(len(new), pa.list_(pa.int64()))
+    else:
+        # a text that stands in several rows gives a window more than once: it then begins a run of its own
+        numbers = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)), pa.int32()), pa.array(number[wanted][order].view(np.int64)))
+    last = np.append(new[1:], len(doc)) - 1
+    yield pa.RecordBatch.from_arrays([pa.array(doc[new].astype(np.int64)), pa.array(version[new].astype(np.int64)), numbers, pa.array(start[new].astype(np.int64)),
+                                      pa.array((start[last] + WINDOW).astype(np.int64))], names=["doc_id", "version", "numbers", "start", "stop"])
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +187,7 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from shard.closed()
                 shard = _Shard(int(tile[lo]), int(parts[lo]))
             if kind[lo] == 0:
-                shard.wanted.append(rows.column("phrase").to_numpy().view(np.uint64))
+                shard.wanted.append((rows.column("phrase").to_numpy().view(np.uint64), rows.column("doc_id").to_numpy()))
             elif kind[lo] == 1:
                 shard.learn(rows)
             else:
@@ -199,19 +213,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     none = {"phrase": F.lit(None).cast("bigint"), "doc_id": F.lit(None).cast("bigint"), "version": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string"), "emit": F.lit(False)}
     cols = ["tile", "kind", "parts", "phrase", "doc_id", "version", "text", "emit"]
     held = held.join(load, "shard")
-    wanted = recurring.join(load, "shard").select("phrase", "shard", "parts", every).select(
-        tile, F.lit(0).alias("kind"), "parts", "phrase", none["doc_id"].alias("doc_id"), none["version"].alias("version"), none["text"].alias("text"), none["emit"].alias("emit"))
+    wanted = recurring.join(load, "shard").select("phrase", "first", "shard", "parts", every).select(
+        tile, F.lit(0).alias("kind"), "parts", "phrase", F.col("first").alias("doc_id"), none["version"].alias("version"), none["text"].alias("text"), none["emit"].alias("emit"))
     early = F.col("early")
     parts = F.when(early, F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
     # the texts are always shuffled, at every size: whether the other side could be broadcast depends on how much recurs
     read = held.join(text.hint("merge"), "doc_id").select("doc_id", "text", "shard", "parts", "early", F.explode(parts).alias("part")).select(
         tile, F.when(early, 1).otherwise(2).alias("kind"), "parts", none["phrase"].alias("phrase"), "doc_id", F.xxhash64("text").alias("version"), "text", (~early | (F.col("part") == 0)).alias("emit"))
     stream = wanted.unionByName(read.select(*cols)).repartition("tile").sortWithinPartitions("tile", "kind")
-    found = table(stream.mapInArrow(_streamed, "doc_id bigint, version bigint, number bigint, start bigint, stop bigint"), "windows")
-    apart = found.filter("number is not null")
-    least = table(apart.groupBy("number").agg(F.min("doc_id").alias("least")), "least")
-    apart = apart.join(least, "number").filter("doc_id > least").select("doc_id", "version", "start", (F.col("start") + WINDOW).alias("stop"))
-    return table(found.filter("number is null").select("doc_id", "version", "start", "stop").unionAll(apart), "spans")
+    found = table(stream.mapInArrow(_streamed, "doc_id bigint, version bigint, numbers array<bigint>, start bigint, stop bigint"), "windows")
+    apart = found.filter("numbers is not null").select("doc_id", "version", "start", F.posexplode("numbers").alias("i", "number"))
+    # of one window each part names one document at most, so no number gathers more rows than there are parts
+    least = table(apart.groupBy("number").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("number", "least"), "least")
+    at = F.col("start") + F.col("i")
+    apart = apart.join(least, "number").filter("doc_id > least").select("doc_id", "version", at.alias("start"), (at + WINDOW).alias("stop"))
+    return table(found.filter("numbers is null").select("doc_id", "version", "start", "stop").unionAll(apart), "spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
