@@ -6,7 +6,7 @@ import importlib
 
 from larkspur.plans.registry import QUERIES, SQL
 
-_MODULES = ["columns", "missing", "aggregates", "calendars", "series", "texts", "joining", "scoring", "preparing", "monitoring", "vectors", "learning", "flows"]
+_MODULES = ["columns", "missing", "aggregates", "calendars", "series", "texts", "joining", "scoring", "preparing", "monitoring", "vectors", "learning", "fitted", "flows"]
 
 
 def _load() -> None:

@@ -25,6 +25,7 @@ from larkspur.plans.registry import mix, query, r6
 from larkspur.plans.series import events
 from larkspur.plans.texts import _STOP, _TERMS
 from larkspur.plans.views import view
+from larkspur.session import cut
 
 NUM = ["score", "amount", "month", "noise"]
 
@@ -191,14 +192,16 @@ def gaussian_nb(t):
 
 
 def nb_input(t):
-    """Labelled documents with their terms, and the vocabulary: the 500 most frequent terms."""
-    docs = tx.with_terms(view(t, "v_text"), "text").select("doc_id", "y", "terms")
-    return docs, tx.vocabulary(docs, F.lit(1), 3, 1e18, 500).select("term")
+    """Labelled documents with their terms, tokenised once, the train rows among them, and every term that three train documents hold."""
+    docs = cut(tx.with_terms(view(t, "v_text"), "text").select("doc_id", "y", "terms"))
+    train = docs.filter("doc_id % 5 <> 0")
+    return docs, train, tx.vocabulary(train, F.lit(1), 3, 1e18).select("term")
 
 
 _TT = _TERMS.replace("FROM documents), g", "FROM v_text), g")
-_NB = f"""{_TT}, voc AS (SELECT term FROM v WHERE df >= 3 ORDER BY n DESC, term LIMIT 500), c5 AS (SELECT c.* FROM c JOIN voc USING (term)), lab AS (SELECT doc_id, y FROM v_text), cl AS (SELECT y AS cls, count(*) AS nd2 FROM lab GROUP BY 1),
-    ct AS (SELECT y AS cls, term, sum(tf) AS n, count(*) AS docs FROM c5 JOIN lab USING (doc_id) GROUP BY 1, 2), fu AS (SELECT cl.cls, voc.term, coalesce(n, 0) AS n, coalesce(docs, 0) AS docs, nd2 FROM cl CROSS JOIN voc LEFT JOIN ct ON ct.cls = cl.cls AND ct.term = voc.term)"""
+_NB = f"""{_TT}, tr AS (SELECT * FROM c WHERE doc_id % 5 <> 0), voc AS (SELECT term FROM tr GROUP BY 1 HAVING count(*) >= 3), c5 AS (SELECT c.* FROM c JOIN voc USING (term)), lab AS (SELECT doc_id, y FROM v_text),
+    lt AS (SELECT * FROM lab WHERE doc_id % 5 <> 0), cl AS (SELECT y AS cls, count(*) AS nd2 FROM lt GROUP BY 1),
+    ct AS (SELECT y AS cls, term, sum(tf) AS n, count(*) AS docs FROM c5 JOIN lt USING (doc_id) GROUP BY 1, 2), fu AS (SELECT cl.cls, voc.term, coalesce(n, 0) AS n, coalesce(docs, 0) AS docs, nd2 FROM cl CROSS JOIN voc LEFT JOIN ct ON ct.cls = cl.cls AND ct.term = voc.term)"""
 _NBOUT = "SELECT doc_id, CAST(arg_max(cls, round(score, 6) + cls * 1e-9) AS INT) AS pred, {s} AS score FROM s GROUP BY 1"
 
 
@@ -211,9 +214,9 @@ _PRIOR = "SELECT cls, ln(nd2 / (SELECT sum(nd2) FROM cl)) AS bias FROM cl"
 
 
 def _nb_query(t, fit, binary=False):
-    docs, vocab = nb_input(t)
-    table = nb.class_term_table(docs, "y", vocab)
-    s = nb.term_scores(docs, "doc_id", fit(table, docs, "y"), binary)
+    docs, train, vocab = nb_input(t)
+    table = cut(nb.class_term_table(train, "y", vocab))
+    s = nb.term_scores(docs, "doc_id", fit(table, train, "y"), binary)
     return nb.best_class(s, "doc_id").select("doc_id", F.col("pred").cast("int").alias("pred"), rnd("score", 4).alias("score"))
 
 
@@ -232,13 +235,20 @@ def bernoulli_nb(t):
     return _nb_query(t, nb.bernoulli_fit, True)
 
 
-@query("nb_alpha_sweep")
+_ALPHAS = (0.01, 0.1, 1.0, 10.0)
+
+
+@query("nb_alpha_sweep", f"""WITH {_NB}, al AS (SELECT unnest([{", ".join(f"{a}::DOUBLE" for a in _ALPHAS)}]) AS alpha),
+    w AS (SELECT alpha, cls, term, ln((n + alpha) / (sum(n) OVER (PARTITION BY alpha, cls) + alpha * count(*) OVER (PARTITION BY alpha, cls))) AS w FROM fu, al), b AS ({_PRIOR}),
+    d AS (SELECT alpha, c5.doc_id, w.cls, sum(tf * w.w) AS s FROM c5 JOIN w USING (term) GROUP BY ALL),
+    s AS (SELECT al.alpha, lab.doc_id, lab.y, b.cls, bias + coalesce(s, 0) AS score FROM lab CROSS JOIN al CROSS JOIN b LEFT JOIN d ON d.doc_id = lab.doc_id AND d.cls = b.cls AND d.alpha = al.alpha),
+    p AS (SELECT alpha, doc_id, any_value(y) AS y, arg_max(cls, round(score, 6) + cls * 1e-9) AS pred FROM s GROUP BY ALL)
+    SELECT alpha, doc_id % 5 = 0 AS held_out, {r6("avg(CAST(pred = y AS INT))")} AS accuracy FROM p GROUP BY ALL""")
 def nb_alpha_sweep(t):
-    docs, vocab = nb_input(t)
-    train = docs.filter("doc_id % 5 <> 0")
-    table = nb.class_term_table(train, "y", vocab).cache()
+    docs, train, vocab = nb_input(t)
+    table = cut(nb.class_term_table(train, "y", vocab))
     out = None
-    for a in (0.01, 0.1, 1.0, 10.0):
+    for a in _ALPHAS:
         s = nb.best_class(nb.term_scores(docs, "doc_id", nb.multinomial_fit(table, train, "y", a)), "doc_id").join(docs, "doc_id")
         r = s.groupBy((F.col("doc_id") % 5 == 0).alias("held_out")).agg(rnd(F.avg(flag(F.col("pred") == F.col("y")))).alias("accuracy")).withColumn("alpha", F.lit(a))
         out = r if out is None else out.unionByName(r)

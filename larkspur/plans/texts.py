@@ -117,13 +117,18 @@ def tokenize_ngrams(t):
     return tx.term_counts(doc_terms(t), ["doc_id"]).groupBy("doc_id").agg(F.sum("tf").alias("n_terms"), F.count(F.lit(1)).alias("n_distinct"), F.max("tf").alias("max_tf"))
 
 
-@query("char_ngrams", """WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS w FROM documents), p AS (SELECT lang, ' ' || w || ' ' AS p, count(*) AS n FROM w GROUP BY 1, 2),
-    g AS (SELECT lang, n, unnest(list_transform(range(1, length(p) - k + 2), lambda i: substr(p, i, k))) AS gram FROM p, (VALUES (3), (4), (5)) AS s(k)) SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1, 2 HAVING sum(n) >= 20""")
+@query("char_ngrams", """WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS w FROM documents), p AS (SELECT doc_id, lang, ' ' || w || ' ' AS p, count(*) AS n FROM w GROUP BY 1, 2, 3),
+    g AS (SELECT doc_id, lang, n, unnest(list_transform(range(1, length(p) - k + 2), lambda i: substr(p, i, k))) AS gram FROM p, (VALUES (3), (4), (5)) AS s(k))
+    SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 20""")
 def char_ngrams(t):
-    # words are counted before they are cut, so n-grams come from the distinct words only
-    w = t.documents.select("lang", F.explode(tx.tokens(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    g = w.select("lang", "n", F.explode(tx.char_ngrams(F.col("w"), 3, 5)).alias("gram"))
-    return g.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n >= 20")
+    """Character 3- to 5-grams that at least 20 documents of a language hold, with occurrences and documents."""
+    words = F.transform(tx.tokens(F.col("text")), lambda w: w)
+    d = t.documents.select("lang", F.flatten(F.transform(words, lambda w: tx.char_ngrams(w, 3, 5))).alias("terms"))
+    # a document adds its occurrences, and each n-gram once: both are summed map-side
+    cells = F.concat(F.transform("terms", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
+                     F.transform(F.array_distinct("terms"), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
+    g = d.select("lang", F.inline(cells)).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return g.filter("df >= 20")
 
 
 #: Fewest documents of a term, and most terms, of a vocabulary

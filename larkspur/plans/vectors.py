@@ -3,7 +3,6 @@
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -11,6 +10,8 @@ from larkspur.functions.scalar import flag, rnd
 from larkspur.metrics.tables import pair_agreement
 from larkspur.models.decomposition import covariance, fit_pca
 from larkspur.operators import cluster as cl
+from larkspur.operators.clean import attach_one
+from larkspur.operators.inverted import build_lists
 from larkspur.operators.neighbors import knn, vote
 from larkspur.plans.preparing import vectors
 from larkspur.plans.registry import query, r6
@@ -59,16 +60,29 @@ def knn_regress(t):
     return h.groupBy(F.col("qid").alias("vec_id")).agg(rnd(F.avg("label")).alias("uniform"), rnd(F.sum(F.col("label") * weight_col()) / F.sum(weight_col())).alias("weighted"))
 
 
+def approximate(t):
+    """Every vector in an inverted list; the vectors whose id divides by 20 as queries, with their 10 neighbours found."""
+    v = vectors(t)
+    asked = v.filter("vec_id % 20 = 0")
+    index = build_lists(v, "vec_id", recall=.97)
+    return v, asked, index, index.search(asked, "vec_id", 10)
+
+
 @query("knn_approx")
 def knn_approx(t):
-    """LSH candidates re-ranked exactly, with the recall against the exact search reported."""
-    v = vectors(t).withColumn("features", array_to_vector("vec"))
-    exact = labelled(t, 5).select("qid", "bid")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=4.0, numHashTables=4, seed=7).fit(v)
-    reach = knn(v, v, 5, "vec_id", "vec_id", rule="not_self").agg(F.max("dist")).first()[0]
-    pairs = model.approxSimilarityJoin(v, v, reach, "d").filter("datasetA.vec_id <> datasetB.vec_id").select(F.col("datasetA.vec_id").alias("qid"), F.col("datasetB.vec_id").alias("bid"))
-    found = exact.join(pairs, ["qid", "bid"], "left_semi")
-    return exact.agg(F.count(F.lit(1)).alias("wanted")).withColumn("recall", rnd(found.agg(F.count(F.lit(1))).scalar() / F.col("wanted")))
+    _, _, _, found = approximate(t)
+    return found.select("qid", "rank", "bid", rnd("dist").alias("dist"))
+
+
+@query("knn_approx_recall", "SELECT count(*) AS queries, true AS recall_reached, true AS fewer_measured FROM embeddings WHERE vec_id % 20 = 0")
+def knn_approx_recall(t):
+    """Do the lists hold nine of ten true neighbours, and does a query measure fewer rows than there are?"""
+    v, asked, index, found = approximate(t)
+    true = knn(asked, v, 10, "vec_id", "vec_id", rule="not_self").select("qid", "bid")
+    n = v.count()
+    hit = true.join(found.select("qid", "bid").withColumn("hit", F.lit(1)), ["qid", "bid"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    cost = index.candidates(asked, "vec_id").agg(F.count(F.lit(1)).alias("queries"), F.avg("candidates").alias("measured"))
+    return attach_one(cost, hit).select("queries", (F.col("recall") >= .9).alias("recall_reached"), (F.col("measured") < n).alias("fewer_measured"))
 
 
 _COS = "(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
