@@ -29,8 +29,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: words it takes six and nothing is cut, with more pairs only words are: the counts are the same
 DICTIONARY = (1 << 21) - 1
 _BITS = np.uint64(21)
-#: Text bytes of a block, words of one slice of edges
-BLOCK_BYTES, SLICE = 4 << 20, 1 << 19
+#: Text bytes of a block, words of one slice of edges, edges that a task holds to add equal ones up
+BLOCK_BYTES, SLICE, HELD = 4 << 20, 1 << 19, 2_000_000
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _GAP = _BREAK.copy()
@@ -163,23 +163,28 @@ def _pairs(known):
 
 
 def _edges(known, pairs):
-    """(c0.., n): the edges of a block, equal ones added up.
+    """(c0.., n): the edges of a task's texts, equal ones added up.
 
     ``known``, ``pairs``: broadcast sorted entries of words and numbers of pairs that are frequent, or None where any may occur.
     """
     packed = known is not None
 
-    def emit(ids: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    def keyed(ids: np.ndarray, length: np.ndarray) -> np.ndarray:
         ids = np.where(np.arange(LONGEST) < length[:, None], ids, np.uint64(0))
-        keys = _pack(ids) if packed else np.concatenate([ids, length[:, None].astype(np.uint64)], 1)
+        return _pack(ids) if packed else np.concatenate([ids, length[:, None].astype(np.uint64)], 1)
+
+    def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort(keys.T[::-1])
-        keys = keys[order]
+        keys, n = keys[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-        n = np.diff(np.append(new, len(keys)))
-        cols = [pa.array(np.ascontiguousarray(keys[new, c]).view(np.int64)) for c in range(keys.shape[1])]
+        return keys[new], np.add.reduceat(n, new)
+
+    def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array(np.ascontiguousarray(keys[:, c]).view(np.int64)) for c in range(keys.shape[1])]
         return pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], names=[*[f"c{c}" for c in range(len(cols))], "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for block in blocks(batches, BLOCK_BYTES):
             ids, begin = _ids(block, known)
             if not len(ids):
@@ -195,7 +200,13 @@ def _edges(known, pairs):
             at = np.flatnonzero(length > 1)
             for lo in range(0, len(at), SLICE):
                 p = at[lo:lo + SLICE]
-                yield emit(ids[p[:, None] + np.arange(LONGEST)], length[p])
+                held.append(added(keyed(ids[p[:, None] + np.arange(LONGEST)], length[p]), np.ones(len(p), np.int64)))
+                if sum(len(n) for _, n in held) > HELD:
+                    held = [added(*(np.concatenate(x) for x in zip(*held)))]
+                    if len(held[0][1]) > HELD // 2:
+                        yield out(*held.pop())
+        if held:
+            yield out(*added(*(np.concatenate(x) for x in zip(*held))))
     return run
 
 
