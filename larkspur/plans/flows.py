@@ -4,7 +4,6 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from larkspur.functions.scalar import flag, rnd
 from larkspur.metrics import drift as dr
@@ -16,7 +15,9 @@ from larkspur.plans.registry import query, r6
 from larkspur.session import scratch_path
 from larkspur.sources import bundle as bd
 from larkspur.sources.tables import read_csv_typed, write_table
-from larkspur.streaming.runner import Replay, last_values, running_alarm
+from larkspur.streaming.durable import BatchState, late_split
+from larkspur.streaming.ordered import in_time_order, last_mean, running_alarm
+from larkspur.streaming.runner import Replay
 
 
 
@@ -146,33 +147,36 @@ def stream_session(t):
     return windows_of(t, "session", build)
 
 
-def keyed(t, label, step, out, state):
-    r = Replay(t.spark, label)
-    for p in parts(t):
-        r.land(p)
-        r.run(lambda s: s.groupBy("user_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout))
-    return r.result()
+def keyed(t, label, step):
+    """Replay the parts through a processor that takes each user's rows in time order; the flush releases the last."""
+    run, carry = step
+    return windows_of(t, label, lambda s: in_time_order(s, "user_id", run, carry, LATE))
 
 
 @query("stream_velocity", f"SELECT event_id, {r6('avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)')} AS mean_5 FROM events")
 def stream_velocity(t):
-    v = keyed(t, "velocity", last_values(5), "event_id bigint, mean double", "kept array<double>")
-    return v.select("event_id", rnd(F.when(~F.isnan("mean"), F.col("mean"))).alias("mean_5"))
+    v = keyed(t, "velocity", last_mean(5))
+    return v.select("event_id", rnd(F.when(~F.isnan("out"), F.col("out"))).alias("mean_5"))
 
 
 @query("stream_threshold", "SELECT event_id, CAST(coalesce(count(*) OVER w >= 10 AND abs(value - avg(value) OVER w) > 3 * stddev_samp(value) OVER w, false) AS INT) AS alarm FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def stream_threshold(t):
-    return keyed(t, "threshold", running_alarm(3.0, 10), "event_id bigint, alarm int", "n bigint, mean double, m2 double")
+    return keyed(t, "threshold", running_alarm(3.0, 10)).select("event_id", F.col("out").cast("int").alias("alarm"))
+
 
+def third_sql(part):
+    """Rows of one of the three time ranges that :func:`parts` replays."""
+    return f"SELECT e.* FROM events e, (SELECT epoch_us(min(ts)) AS t0, epoch_us(max(ts)) AS t1 FROM events) WHERE least(floor((epoch_us(ts) - t0) * 3 / greatest(1, t1 - t0)), 2) = {part}"
 
-_FIRST = "SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-11'"
+
+_FIRST = third_sql(0)
 
 
 @query("stream_drift", f"""WITH r AS ({_FIRST}), e AS (SELECT min(value) AS lo, max(value) AS hi FROM r), b AS (SELECT unnest(range(0, 10)) AS b), h AS (SELECT b, greatest((SELECT count(*) FROM r, e WHERE least(floor((value - lo) * 10 / (hi - lo)), 9) = b) / (SELECT count(*) FROM r), 1e-4::DOUBLE) AS p FROM b),
     d AS (SELECT CAST(epoch_us(date_trunc('day', ts)::TIMESTAMP) AS BIGINT) AS start, CASE WHEN value BETWEEN lo AND hi THEN least(floor((value - lo) * 10 / (hi - lo)), 9) END AS b FROM events, e), n AS (SELECT start, count(*) AS n FROM d GROUP BY 1), c AS (SELECT start, b, count(*) AS c FROM d GROUP BY 1, 2)
     SELECT n.start, {r6('sum((greatest(coalesce(c, 0) / n.n, 1e-4::DOUBLE) - p) * ln(greatest(coalesce(c, 0) / n.n, 1e-4::DOUBLE) / p))', 8)} AS psi FROM n CROSS JOIN h LEFT JOIN c ON c.start = n.start AND c.b = h.b GROUP BY 1""")
 def stream_drift(t):
-    """Daily histograms on bins frozen from the first ten days; the index is computed from the histogram table."""
+    """Daily histograms on bins frozen from the first third of the time span; the index is computed from the histogram table."""
     frozen = dr.frozen_bins(parts(t)[0], "value")
     edge = frozen.agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")).first()
     bin_no = F.coalesce(dr.bin_of("value", F.lit(edge.lo), F.lit(edge.hi), 10), F.lit(-1))
@@ -198,19 +202,22 @@ def stream_dedupe(t):
     return r.result()
 
 
-@query("stream_late")
+@query("stream_late", f"""WITH a AS ({third_sql(1)}), b AS ({third_sql(2)}), c AS ({third_sql(0)}), w AS (SELECT (SELECT max(ts) FROM a) - INTERVAL 1 HOUR AS wb, (SELECT max(ts) FROM (SELECT ts FROM a UNION ALL SELECT ts FROM b)) - INTERVAL 1 HOUR AS wc),
+    r AS (SELECT event_id, ts, false AS late FROM a UNION ALL SELECT event_id, ts, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= wb FROM b, w UNION ALL SELECT event_id, ts, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= wc FROM c, w)
+    SELECT late, CASE WHEN late THEN -1 ELSE CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) END AS start, CASE WHEN late THEN event_id ELSE -1 END AS event_id, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def stream_late(t):
-    """The first part arrives last, behind the watermark: its rows are dropped and counted."""
+    """The first part arrives last, behind the watermark: windows count the rows in time, late rows go to a table of their own."""
     r = Replay(t.spark, "late")
     ps = parts(t)
-    build = lambda s: s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("w.start").alias("start"), "n")
-    for p in (ps[1], ps[2]):
+    each = late_split(t.spark, f"{r.root}/state", "ts", "1 hour", "1 hour", lambda d: d.groupBy("start").agg(F.count(F.lit(1)).alias("n")))
+    for p in (ps[1], ps[2], ps[0]):
         r.land(p)
-        r.run(build)
-    r.land(ps[0])
-    r.run(build)
-    dropped = r.dropped()
-    return r.result().agg(F.sum("n").alias("counted")).withColumn("late_dropped", F.lit(dropped))
+        r.run_batches(lambda s: s, each)
+    kept = BatchState(t.spark, f"{r.root}/state/kept").all().groupBy("start").agg(F.sum("n").alias("n"))
+    late = BatchState(t.spark, f"{r.root}/state/late").all()
+    none = F.lit(-1).cast("bigint")
+    return kept.select(F.lit(False).alias("late"), F.unix_micros("start").alias("start"), none.alias("event_id"), "n").unionByName(
+        late.select(F.lit(True).alias("late"), none.alias("start"), "event_id", F.lit(1).cast("bigint").alias("n")))
 
 
 @query("stream_score")
@@ -225,19 +232,38 @@ def stream_score(t):
     return r.result().select("id", rnd("probability").alias("probability"), "prediction", "version")
 
 
-@query("stream_online_fit")
+def _online_sql(batches, rate=0.5, l1=1e-4, l2=1e-4):
+    """The steps of :func:`online_steps` one after the other, a batch each."""
+    d = "d AS (SELECT id, score, amount / 1e5::DOUBLE AS amount, CAST(y AS DOUBLE) AS y FROM v_scores)"
+    steps = ["w0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS s, 0.0::DOUBLE AS a)"]
+    shrink = lambda g, w: f"sign({w} - {rate}::DOUBLE * {g}) * greatest(abs({w} - {rate}::DOUBLE * {g}) * {1 - rate * l2!r}::DOUBLE - {rate * l1!r}::DOUBLE, 0)"
+    for i, cond in enumerate(batches):
+        steps.append(f"g{i} AS (SELECT avg(e) AS gb, avg(e * score) AS gs, avg(e * amount) AS ga FROM (SELECT score, amount, 1 / (1 + exp(-(b + s * score + a * amount))) - y AS e FROM d, w{i} WHERE {cond}))")
+        steps.append(f"w{i + 1} AS (SELECT b - {rate}::DOUBLE * gb AS b, {shrink('gs', 's')} AS s, {shrink('ga', 'a')} AS a FROM w{i}, g{i})")
+    return ", ".join([d, *steps])
+
+
+@query("stream_online_fit", f"WITH {_online_sql([f'id % 4 = {i}' for i in range(4)])} " + " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS batch, {r6('b', 7)} AS bias, {r6('s', 7)} AS w_score, {r6('a', 7)} AS w_amount FROM w{i + 1}" for i in range(4)))
 def stream_online_fit(t):
-    """Weights move with every micro-batch; a batch id seen before is not applied twice."""
+    """Weights move with every micro-batch; they are stored by batch id, so a batch that runs again and a new session find them."""
     d = cls(t).select("id", "score", "amount", "y")
     r = Replay(t.spark, "fit")
-    w, log = {-1: np.zeros(3)}, []
+    state = BatchState(t.spark, f"{r.root}/weights")
+    for i in range(4):
+        r.land(d.filter(F.col("id") % 4 == i))
+        r.run_batches(lambda s: s, online_fit(state, ["score", "amount"], "y"))
+    w = F.col("weights")
+    return state.all().select(F.col("batch").cast("bigint").alias("batch"), rnd(w[0], 7).alias("bias"), rnd(w[1], 7).alias("w_score"), rnd(w[2], 7).alias("w_amount"))
 
+
+def online_fit(state, cols, y):
+    """A foreachBatch function: one step from the weights of the batch before, stored whole under the batch's own id."""
     def each(batch, batch_id):
-        if batch_id not in w and batch.limit(1).count():
-            w[batch_id] = online_steps(batch, ["score", "amount"], "y", w[max(w)])
-            log.append((int(batch_id), *[float(v) for v in w[batch_id]]))
+        past = state.before(batch_id)
+        w = np.array(past.first().weights) if past is not None else np.zeros(len(cols) + 1)
+        if batch.limit(1).count():
+            w = online_steps(batch, cols, y, w)
+        state.write(batch_id, state.spark.createDataFrame([([float(v) for v in w],)], "weights array<double>").coalesce(1))
 
-    for i in range(4):
-        r.land(d.filter(F.col("id") % 4 == i))
-        r.run_batches(lambda s: s, each)
-    return t.spark.createDataFrame(log, "batch bigint, bias double, w_score double, w_amount double")
+    return each

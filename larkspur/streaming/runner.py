@@ -6,24 +6,25 @@ Everything lives in the shared folder, so a lost executor or driver resumes from
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.session import scratch_path
+from larkspur.streaming.ordered import PROVIDER
 
 
 @contextmanager
-def state_partitions(spark: SparkSession):
-    """State stores no more than twice the cores: each is a file set committed by every batch."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+def keyed_state(spark: SparkSession):
+    """The state store that processors with their own state need; a query's checkpoint remembers it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 class Replay:
@@ -39,62 +40,24 @@ class Replay:
         self.schema = df.schema
         df.write.mode("append").parquet(f"{self.root}/in")
 
-    def source(self) -> DataFrame:
-        return self.spark.readStream.schema(self.schema).parquet(f"{self.root}/in")
+    def source(self, files: int | None = None) -> DataFrame:
+        reader = self.spark.readStream.schema(self.schema)
+        return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{self.root}/in")
 
     def run(self, build: Callable[[DataFrame], DataFrame]) -> None:
         """One run to the end of the landed data, appended to the file sink."""
-        with state_partitions(self.spark):
+        with keyed_state(self.spark):
             q = (build(self.source()).writeStream.format("parquet").outputMode("append")
                  .option("path", f"{self.root}/out").option("checkpointLocation", f"{self.root}/check").trigger(availableNow=True).start())
             q.awaitTermination()
         self.last = q
 
-    def run_batches(self, build: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame, int], None]) -> None:
-        """One run handing every micro-batch to ``each`` (which must be safe to repeat for a batch id)."""
-        q = (build(self.source()).writeStream.outputMode("append").foreachBatch(each)
+    def run_batches(self, build: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame, int], None], files: int | None = None) -> None:
+        """One run handing every micro-batch (``files`` of them at a time) to ``each``, which must be safe to repeat for a batch id."""
+        q = (build(self.source(files)).writeStream.outputMode("append").foreachBatch(each)
              .option("checkpointLocation", f"{self.root}/check").trigger(availableNow=True).start())
         q.awaitTermination()
         self.last = q
 
     def result(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/out")
-
-    def dropped(self) -> int:
-        """Rows the watermark rejected in the last run."""
-        return sum(int(s["numRowsDroppedByWatermark"]) for p in self.last.recentProgress for s in p["stateOperators"])
-
-
-def last_values(n: int) -> Callable:
-    """Keyed state: mean of the previous ``n`` values of each key; rows of one run are taken in time order."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state):
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        means = []
-        for v in rows["value"]:
-            means.append(sum(kept) / len(kept) if kept else None)
-            kept = (kept + [float(v)])[-n:]
-        state.update((kept,))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "mean": pd.array(means, dtype="Float64").to_numpy(dtype="float64", na_value=float("nan"))})
-
-    return step
-
-
-def running_alarm(k: float, need: int) -> Callable:
-    """Keyed state (n, mean, m2): alarm where a value leaves mean +- k deviations of everything before it."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state):
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        alarms = []
-        for v in rows["value"]:
-            alarms.append(int(n >= need and abs(v - mean) > k * (m2 / (n - 1)) ** 0.5))
-            n += 1
-            delta = v - mean
-            mean += delta / n
-            m2 += delta * (v - mean)
-        state.update((n, mean, m2))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "alarm": pd.array(alarms, dtype="int32").to_numpy()})
-
-    return step
