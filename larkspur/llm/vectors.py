@@ -27,17 +27,16 @@ def usable(vec: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
-def usual_length(df: DataFrame, vec: str) -> int:
-    """The commonest vector length (ties: the smaller); vectors of other lengths can't be compared and take no part."""
-    row = df.groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return row.d if row else 0
-
-
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def unit_scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, so that squares neither overflow nor vanish; directions stay."""
+    return x / np.abs(x).max(1)[:, None] if x.size else x
+
+
 def learn_codes(sample: np.ndarray, bits: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """(centre, rotation): principal directions turned so that the signs lose as little as possible."""
     centre = sample.mean(0)
@@ -126,28 +125,35 @@ class MultiIndex:
 def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding", block_rows: int = INDEX_ROWS) -> DataFrame:
     """(query_id, rank, key, score): for each row of ``queries`` the ``k`` nearest rows of ``df`` with another key.
 
-    Unusable vectors, other lengths than the usual one and null keys take no part on either side; a repeated query key
-    asks once, with its smallest vector.  Ties go to the smaller key; if there are fewer rows, all are returned.  The
-    rotation and the radius are learned from at most ``FIT_ROWS`` distinct vectors; every row is indexed.  Queries visit each block
-    of ``block_rows`` rows once and stream past it; a block returns k rows a query.
+    Unusable vectors and null keys take no part on either side; vectors of each length are searched among themselves, as
+    distances between lengths are not defined.  A query key that is repeated asks once a length, with its smallest
+    vector.  Ties go to the smaller key; if there are fewer rows, all are returned; an empty table gives no row; other
+    columns are not read.  The rotation and the radius are learned from at most ``FIT_ROWS`` distinct vectors of a length; every
+    row is indexed.  Queries visit each block of ``block_rows`` rows once and stream past it; a block returns k rows a query.
     """
     prepare(df.sparkSession)
     base = df.filter(F.col(key).isNotNull() & usable(vec)).select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    size = usual_length(base, "v")
-    base = table(base.filter(F.size("v") == size), "vectors")
+    base = table(base, "vectors")
     asked = queries.filter(F.col(key).isNotNull() & usable(vec)).select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    asked = asked.filter(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v"))
-    n = base.count()
+    found = df.sparkSession.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
+    # one row for each length that occurs
+    for r in base.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():
+        near = _nearest(base.filter(F.size("v") == r.d), asked.filter(F.size("v") == r.d).groupBy("id").agg(F.min("v").alias("v")), r.d, r["count"], k, key, block_rows)
+        found = found.unionByName(near)
+    return found
+
+
+def _nearest(base: DataFrame, asked: DataFrame, size: int, n: int, k: int, key: str, block_rows: int) -> DataFrame:
     blocks = max(1, math.ceil(n / block_rows))
     out = f"query_id bigint, {key} bigint, score double"
-    if not n:
-        return df.sparkSession.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
     sample = draw(base) if n > 1 else np.zeros((0, size))
     if len(sample) < 2:
         sample = np.concatenate([np.eye(size), -np.eye(size)])
     bits = min(64, size)
-    centre, rotation = learn_codes(sample, bits)
-    radius = learn_radius(sample, codes_of(sample, centre, rotation), k)
+    # a power of two keeps products of very large or small components finite and changes no digit
+    scale = 2.0 ** -int(np.frexp(np.abs(sample).max())[1])
+    centre, rotation = learn_codes(sample * scale, bits)
+    radius = learn_radius(sample * scale, codes_of(sample * scale, centre, rotation), k)
 
     indexed = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "id", "v")
     visiting = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(1).alias("kind"), "id", "v")
@@ -171,9 +177,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
                         continue
                     rows = pa.Table.from_batches(held)
                     x = matrix(rows.column("v"))
-                    index = MultiIndex(rows.column("id").to_numpy(), x, codes_of(x, centre, rotation), bits)
+                    index = MultiIndex(rows.column("id").to_numpy(), x, codes_of(x * scale, centre, rotation), bits)
                 q = matrix(part.column("v"))
-                found = [(int(i), *index.search(int(i), v, c, radius, k)) for i, v, c in zip(part.column("id").to_numpy(), q, codes_of(q, centre, rotation))]
+                found = [(int(i), *index.search(int(i), v, c, radius, k)) for i, v, c in zip(part.column("id").to_numpy(), q, codes_of(q * scale, centre, rotation))]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()),
                     pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]), pa.float64())],
@@ -211,44 +217,46 @@ def vector_links(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", ve
     Equal vectors of a label are joined first and stand for each other.  Distinct ones meet where the signs against a
     table's random hyperplanes agree; each meeting pair is measured exactly, and counted only in the first table where
     it meets.  A bucket of many rows is cut into tiles, so that no task grows with it; a tile returns counts and
-    one edge per row, never its pairs.  Null labels and unusable vectors link with nothing; rows with a null key are
-    left out; rows that repeat key, label and vector are one.  An empty table gives no row.
+    one edge per row, never its pairs.  Vectors of different lengths link with nothing, as do null labels and unusable
+    vectors; rows with a null key are left out; rows that repeat key, label and vector are one.  An empty table gives no row.
     """
     prepare(df.sparkSession)
     every = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vec).cast("array<double>").alias("v")).distinct()
     every = table(every.withColumn("ok", F.coalesce(usable("v"), F.lit(False)) & F.col("label").isNotNull()), "vectors")
     good = every.filter("ok")
-    size = usual_length(good, "v")
-    good = good.filter(F.size("v") == size)
     reps = table(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct")
     bits, tables = hyperplanes(reps.count(), threshold)
-    normals = np.random.default_rng(11).standard_normal((size, bits * tables)) if size else np.zeros((0, bits * tables))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-        for b in batches:
-            on = (matrix(b.column("v")) @ normals > 0).reshape(b.num_rows, tables, bits)
+        normals: dict[int, np.ndarray] = {}
+        for whole, size in ((b, d) for b in batches for d in np.unique(b.column("size").to_numpy()).tolist()):
+            b = whole.filter(pa.array(whole.column("size").to_numpy() == size))
+            if size not in normals:
+                normals = {size: np.random.default_rng([11, size]).standard_normal((size, bits * tables))}
+            on = (unit_scaled(matrix(b.column("v"))) @ normals[size] > 0).reshape(b.num_rows, tables, bits)
             code = (on * weight).sum(2, dtype=np.uint64).astype("<u8")
             lab = b.column("h").to_numpy().view(np.uint64)
             spot = scramble(scramble(code + lab[:, None]) + np.arange(tables, dtype=np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("rep"), b.column("copies"), b.column("v"), pa.array([c.tobytes() for c in code], pa.binary()),
-                                              pa.array(spot.tolist(), pa.list_(pa.int64()))], names=["label", "rep", "copies", "v", "codes", "spots"])
+                                              pa.array(spot.tolist(), pa.list_(pa.int64())), b.column("size")], names=["label", "rep", "copies", "v", "codes", "spots", "size"])
 
     kind = dict(good.dtypes)["label"]
-    coded = reps.select("label", "rep", "copies", "v", F.xxhash64("label").alias("h")).mapInArrow(codes, f"label {kind}, rep bigint, copies bigint, v array<double>, codes binary, spots array<bigint>")
+    # a length is a group of its own, as a label is
+    coded = reps.select("label", "rep", "copies", "v", F.size("v").alias("size"), F.xxhash64("label", F.size("v")).alias("h")).mapInArrow(codes, f"label {kind}, rep bigint, copies bigint, v array<double>, codes binary, spots array<bigint>, size int")
     coded = table(coded, "codes")
-    spots = coded.select("label", "rep", F.posexplode("spots").alias("at", "spot"))
-    crowd = spots.groupBy("label", "at", "spot").count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / TILE_ROWS))
-    met = spots.join(crowd, ["label", "at", "spot"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    spots = coded.select("label", "size", "rep", F.posexplode("spots").alias("at", "spot"))
+    crowd = spots.groupBy("label", "size", "at", "spot").count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / TILE_ROWS))
+    met = spots.join(crowd, ["label", "size", "at", "spot"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
     tiles = met.withColumn("other", other).select(
-        F.xxhash64("label", "at", "spot", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "rep", "at", "part")
+        F.xxhash64("label", "size", "at", "spot", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "rep", "at", "part")
     rows = tiles.join(coded.select("rep", "copies", "v", "codes"), "rep")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in groups(batches, "tile"):
             rep, copies, part, at = (g.column(c).to_numpy() for c in ("rep", "copies", "part", "at"))
-            x = matrix(g.column("v"))
+            x = unit_scaled(matrix(g.column("v")))
             x /= np.linalg.norm(x, axis=1)[:, None]
             code = np.frombuffer(b"".join(g.column("codes").to_pylist()), "<u8").reshape(len(rep), tables)
             near = x @ x.T >= threshold
@@ -274,7 +282,7 @@ def vector_links(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", ve
     edges = found.select("a", "b").distinct().unionAll(members.filter("id <> rep").select("id", "rep"))
     roots = components(edges)
     counted = members.join(counts, F.col("rep") == F.col("a"), "left").select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    alone = every.filter(~F.col("ok") | (F.size("v") != size)).select("id", F.lit(0).cast("bigint").alias("links"))
+    alone = every.filter(~F.col("ok")).select("id", F.lit(0).cast("bigint").alias("links"))
     out = counted.unionByName(alone).join(roots, F.col("id") == F.col("node"), "left")
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias(key), F.col("links").alias("n_links"), root.alias("component_id"), (root == F.col("id")).alias("kept"))

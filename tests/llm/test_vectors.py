@@ -98,3 +98,15 @@ def test_vector_links(spark, monkeypatch, tile):
     assert all(got[i][0] <= len(links[i]) for i in ids)
     assert [i for i in ids if got[i][1] != root[i]] == []
     assert all(k == (i == c) for i, (_, c, k) in got.items())
+
+
+def test_lengths_and_magnitudes(spark):
+    """Every length is a space of its own; very large and very small vectors have a direction too."""
+    rows = [(i, [1.0, 0.0, float(i)], 1) for i in range(6)] + [(10, [3.0, 4.0], 1), (11, [3.0, 4.0], 1), (12, [1e200, 0.0, 1.0], 2), (13, [1e200, 0.0, 2.0], 2),
+            (14, [1e-200, 0.0, 1e-202], 2), (15, [1e-200, 0.0, 0.0], 2), (16, [1e-200, 1e-200, 0.0], 2), (20, [5.0], 1), (21, [-5.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links(df).collect()}
+    assert got[10] == (1, 10) and got[11] == (1, 10) and got[20] == (0, 20) and got[21] == (0, 21)
+    assert [got[i] for i in (12, 13, 14, 15, 16)] == [(3, 12)] * 4 + [(0, 16)]
+    near = [(r.query_id, r.rank, r.vec_id) for r in nearest(df, df.filter("vec_id in (10, 20, 3)"), 2).collect()]
+    assert {q: sorted((k, v) for p, k, v in near if p == q) for q in (10, 20, 3)} == {10: [(1, 11)], 20: [(1, 21)], 3: [(1, 2), (2, 4)]}
