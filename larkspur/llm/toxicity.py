@@ -20,7 +20,7 @@ from larkspur.llm.common import prepare, table
 from larkspur.llm.words import sequences, word_numbers
 
 #: Most labelled rows for the lexicons, the trees and the calibration; least toxic texts for a lexicon entry; entries per lexicon
-LEXICON_ROWS, TREE_ROWS, CALIBRATION_ROWS, LEAST, ENTRIES = 30_000, 16_000, 12_000, 4, 3_000
+LEXICON_ROWS, TREE_ROWS, CALIBRATION_ROWS, LEAST = 30_000, 16_000, 12_000, 4
 TREES, DEPTH = 40, 4
 LIMIT = 0.3
 #: Bytes of the stems that words are also known by
@@ -109,11 +109,18 @@ def without_copies(rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"low": low, "high": high})
 
     rows = table(rows.withColumn("_ends", ends("text")), "sketched")
-    return rows.withColumns({"_low": F.col("_ends.low"), "_high": F.col("_ends.high")}).dropDuplicates(["toxic", "_low"]).dropDuplicates(["toxic", "_high"]).drop("_ends", "_low", "_high")
+    kept = rows.select("toxic", F.col("_ends.low").alias("low"), F.col("_ends.high").alias("high"), "text", F.xxhash64("text").alias("h"))
+    for end in ("low", "high"):  # of rows alike the one with the smallest hash stays, in every run
+        kept = kept.groupBy("toxic", end).agg(F.min(F.struct("h", *[c for c in ("low", "high", "text") if c != end])).alias("r"))
+        kept = kept.select("toxic", *[F.col(c) if c == end else F.col(f"r.{c}") for c in ("low", "high", "text", "h") if c != "h"], "r.h")
+    return kept.select("text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Words and stems whose texts are toxic nine times in ten, from rows (text, toxic); at most ``ENTRIES`` of each reach the driver."""
+    """All words and stems whose texts are toxic nine times in ten, from rows (text, toxic).
+
+    ``LEAST`` texts must hold an entry and the rows are bounded, so what reaches the driver is too.
+    """
 
     def count(frames):
         for frame in frames:
@@ -126,7 +133,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     counts = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(count, "kind int, term binary, clean bigint, toxic bigint")
     counts = counts.groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sure = counts.filter((F.col("toxic") >= LEAST) & (F.col("toxic") >= 9 * F.col("clean")))
-    best = [r for k in (0, 1) for r in sure.filter(F.col("kind") == k).orderBy(F.desc(F.col("toxic") - 9 * F.col("clean")), "term").limit(ENTRIES).collect()]
+    best = sure.select("kind", "term").collect()
     return Lexicon(frozenset(bytes(r.term) for r in best if r.kind == 0), frozenset(bytes(r.term) for r in best if r.kind == 1))
 
 
@@ -214,6 +221,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score stays below the limit, all columns kept."""
+    """The rows of ``docs`` whose score stays below the limit, all columns kept, whatever their names.
+
+    Null and empty texts have the score of a text without words; rows with a null or repeated doc_id are judged by
+    their own texts; an empty table gives no row.
+    """
     model = learn_toxicity(docs, labels.filter(~held_out()))
-    return model.score(docs).filter(F.col("_score") < LIMIT).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return model.score(rows).filter(F.col("_score") < LIMIT).select("doc.*")
