@@ -96,7 +96,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     digit, name = r"[0-9]", f"(?i)({NAMES})"
     long = "[A-Za-z0-9+/_=.-]{%d,}" % RUN
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").rlike(f"{digit}|{PREFIXES}|{name}"))
-    rows = rows.select("_key", F.split("_text", SPACE).alias("_words"))
+    # a text that begins with white space has no word before its first
+    rows = rows.select("_key", F.array_remove(F.split("_text", SPACE), "").alias("_words"))
     at = lambda i, n: F.coalesce(F.try_element_at("_words", (i + n + 1).cast("int")), F.lit(""))
 
     before = lambda i, n: F.when(i >= n, at(i, F.lit(-n))).otherwise("")
@@ -217,23 +218,37 @@ def scan(docs: DataFrame, model: SecretModel | None = None, key: str = "doc_id",
 
 
 def scan_report(docs: DataFrame) -> DataFrame:
-    """The findings with the values masked: four characters, the length, and a hash to compare by."""
-    return scan(docs).select("doc_id", "word_no", F.substring("value", 1, 4).alias("starts"), F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+    """The findings with the values masked: the issuer's prefix if they begin with one, the length, and a hash to compare by."""
+    return scan(docs).select("doc_id", "word_no", F.regexp_extract("value", f"^({PREFIXES})", 1).alias("starts"), F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "secret")
 
 
 def redact(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
     """All rows of ``docs`` with every secret in ``text`` replaced by ``MASK``; ``n_chars``, if there, follows.
 
-    Rows are numbered, stored and matched to their own findings by that number: doc_id is not read, may be null or repeated,
-    and a text is searched only for the values found in it.
+    A secret is masked inside the word where it was found, and where it stands alone as another word of that text;
+    longer words that only contain its letters stay.  Rows are numbered, stored and matched to their own findings by that
+    number: doc_id is not read, may be null or repeated.  Null and empty texts stay; all columns are kept, whatever their
+    names; an empty table gives no row.
     """
     prepare(docs.sparkSession)
-    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = scan(rows, model, key="_row").filter("secret").groupBy("_row").agg(F.collect_set("value").alias("_values"))
-    rows = rows.join(table(found, "found"), "_row", "left")
-    longest = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK))))
-    out = rows.withColumn("text", text)
+    rows = table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    hits = scan(rows.select("row", F.col("doc.text").alias("text")), model, key="row").filter("secret")
+    hits = table(hits.groupBy("row").agg(F.collect_set(F.struct("word_no", "value")).alias("hits")), "found")
+    rows = rows.join(hits, "row", "left")
+    text, mask = F.col("doc.text"), F.lit(MASK)
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    # longer values first: one may hold another
+    held = F.array_sort("hits", lambda a, b: F.length(b.value) - F.length(a.value))
+
+    def clean(word: Column, i: Column) -> Column:
+        word = F.aggregate(F.filter(held, lambda h: h.word_no == i), word, lambda w, h: F.replace(w, h.value, mask))
+        own = bare(F.regexp_replace(word, r"^[\x20\x09-\x0D]+", ""))
+        return F.when(F.exists("hits", lambda h: h.value == own), F.replace(word, own, mask)).otherwise(word)
+
+    rest = F.regexp_extract(text, r"([\x20\x09-\x0D]*)\z", 1)
+    masked = F.when(F.col("hits").isNull(), text).otherwise(F.concat(F.array_join(F.transform(words, clean), ""), rest))
+    out = rows.select("hits", masked.alias("masked"), "doc")
+    columns = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("hits").isNull(), F.col("doc.n_chars")).otherwise(F.length("masked").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[columns[c].alias(c) for c in docs.columns])

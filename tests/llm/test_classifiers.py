@@ -152,3 +152,22 @@ def test_redact_matches_rows_not_ids(spark, make_docs, secret_model):
     docs = make_docs([(None, "The password: hunter2x of", "a")] * 20 + [(None, "The word hunter2x and", "a")])
     out = [r.text for r in redact(docs, secret_model).collect()]
     assert sorted(out) == [f"The password: {MASK} of"] * 20 + ["The word hunter2x and"]  # another row's value is not searched for here
+
+
+def test_secrets_are_masked_where_they_stand(spark, make_docs):
+    from larkspur.llm.secrets import redact, scan
+    texts = ["password: hunter2x then xhunter2xy and hunter2xtra, hunter2x.", "  \n password: hunter2x", "  password: hunter2x \t\n", None, ""]
+    docs = make_docs(texts)
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert got == {0: "password: <secret> then xhunter2xy and hunter2xtra, <secret>.", 1: "  \n password: <secret>", 2: "  password: <secret> \t\n", 3: None, 4: ""}
+    assert {(r.doc_id, r.word_no) for r in scan(docs).filter("secret").collect()} == {(0, 1), (1, 1), (2, 1)}
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark, make_docs):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=20)) + (" nasty" + str(i % 7) if i % 3 == 0 else ""), "a") for i in range(300)]
+    rows += [(300 + i, rows[i % 30][1], "a") for i in range(60)]
+    label = spark.createDataFrame([(d, int(" nasty" in t)) for d, t, _ in rows], "doc_id bigint, toxic int")
+    a, b = ({(r.doc_id, r.score) for r in toxicity_scores(make_docs(r).coalesce(1), label).collect()} for r in (rows, rows[::-1]))
+    assert a == b
