@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,34 @@ def prepare(spark: SparkSession) -> None:
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later jobs neither recompute nor reorder it."""
     path = scratch_path(df.sparkSession, label)
+    for made in _MADE:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Lists that take the paths of the tables now being written; see :func:`tables_into`
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def tables_into(paths: list[str]):
+    """Add the paths of all tables written inside the block to ``paths``."""
+    _MADE.append(paths)
+    try:
+        yield
+    finally:
+        _MADE.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables by path and empty the list; no frame that still has to run may read them."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    while paths:
+        target = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        target.getFileSystem(conf).delete(target, True)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 

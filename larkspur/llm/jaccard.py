@@ -360,11 +360,11 @@ def keep_one(docs: DataFrame, k: int = K) -> DataFrame:
 
     Rows are numbered and stored, and the components are those of the rows: rows that repeat a doc_id are judged by their
     own texts and only one of their copies stays; rows with a null doc_id are compared too and give way to any other.
-    Null and empty texts link with nothing and stay.
+    Null and empty texts link with nothing and stay.  All columns are kept, whatever their names; an empty table gives none.
     """
     prepare(docs.sparkSession)
-    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row")
-    stay = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first)
-    return rows.join(stay.select("_row"), "_row", "left_semi").select(*docs.columns)
+    rows = table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    found = jaccard_components(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), k).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")
+    stay = found.join(rows.select("row", F.col("doc.doc_id").alias("doc_id")), "row").groupBy("component_id").agg(first)
+    return rows.join(stay.select("row"), "row", "left_semi").select("doc.*")

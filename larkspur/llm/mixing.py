@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.llm.common import WORD, ordered, table, unit
 
@@ -53,7 +53,7 @@ def mix_plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     than the longest document's.  Equal input gives equal output.  ``sizes`` must be a stored table.
     """
     targets = source_targets(sizes, weights, share, most)
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()]
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last(), *[c for c in ("row",) if c in sizes.columns]]
     ranked = ordered(sizes, order, label="ranks")
     starts = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     starts = ordered(starts, [F.col("source").asc_nulls_last()], "rows", label="starts")
@@ -71,20 +71,21 @@ def document_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The mixed documents: every row of ``docs`` as often as :func:`mix_plan` says, all columns kept.
+    """The mixed documents: every row of ``docs`` as often as :func:`mix_plan` says, all columns kept, whatever their names.
 
-    Null text has size 0; a null source is a source of its own, the last one.  Ties in size go by doc_id; rows alike
-    in doc_id, source and size are interchangeable.  An empty table gives an empty mix.
+    Null text has size 0; a null source is a source of its own, the last one.  Ties in size go by doc_id, then by a
+    hash of the row; rows alike in all columns are one row with the copies of all.  An empty table gives an empty mix.
+    Rows are told apart by doc_id and that hash (64 bits).  Texts are shuffled once, and equal rows meet before that.
     """
-    plan = mix_plan(document_sizes(docs), weights, share, most)
-    same = Window.partitionBy("doc_id", "source", "size")
-    plan = plan.withColumn("_row", F.row_number().over(same.orderBy("copies"))).select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_src"), F.col("size").alias("_size"), "_row", "copies")
-    rows = docs.withColumn("size", word_count()) if "size" not in docs.columns else docs.withColumn("_kept_size", F.col("size")).withColumn("size", word_count())
-    rows = rows.withColumn("_n", F.row_number().over(same.orderBy(F.xxhash64("text"))))
-    hit = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_size")) & (F.col("_n") == F.col("_row"))
-    out = rows.join(plan, hit).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col("_kept_size").alias("size") if c == "size" else F.col(c) for c in docs.columns])
+    # a null moves no hash: which columns are null is hashed as well
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    sizes = table(docs.select("doc_id", "source", word_count().alias("size"), row.alias("row")), "sizes")
+    plan = mix_plan(sizes, weights, share, most).groupBy("doc_id", "row").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), row.alias("row"), F.struct(*docs.columns).alias("doc"))
+    once = whole.groupBy("id", "row").agg(F.first("doc").alias("doc"))
+    plan = plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "row", "copies")
+    out = once.join(plan.hint("merge"), ["id", "row"])
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

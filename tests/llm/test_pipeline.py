@@ -65,7 +65,32 @@ def test_mix_and_packing(kept):
     assert starts == dict(Counter(d for d, _ in mixed))
 
 
+def test_nulls_repeats_clashing_names_and_no_rows(spark, tmp_path):
+    """Every stage with odd rows, columns named as the stages' own, and with an empty table."""
+    from pyspark.sql import functions as F
+    docs = read_documents(spark, SF)
+    odd = docs.limit(12).unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("bigint")))
+    odd = odd.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(900).cast("bigint"), "text": F.lit(None).cast("string")})).unionByName(
+        docs.limit(1).withColumns({"doc_id": F.lit(901).cast("bigint"), "text": F.lit(""), "source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}))
+    names = ["copies", "row", "doc", "_row", "_score", "hits", "size", "id", "before", "_features"]
+    odd = odd.withColumns({n: F.lit(7) for n in names})
+    odd.write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    for rows in (odd, odd.filter("false")):
+        seen = rows
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, seen, SF)
+            if i < 4:
+                assert out.columns == odd.columns
+                out.write.parquet(str(tmp_path / f"{i}-{rows is odd}"))
+                seen = spark.read.schema(out.schema).parquet(str(tmp_path / f"{i}-{rows is odd}"))
+                assert all(r[n] == 7 for r in seen.collect() for n in names)
+                assert {900, 901} <= {r.doc_id for r in seen.collect()} or i == 3 or rows is not odd
+            else:
+                assert (out.count() > 0) == (rows is odd)
+
+
 def test_registered():
     names = [n for n in entry.queries() if n == "pipeline" or re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(entry.queries())
