@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import PolynomialExpansion, UnivariateFeatureSelector, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
-    AFTSurvivalRegression, DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression,
+    AFTSurvivalRegression, DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression,
     RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from larkspur.functions.scalar import flag, mix_hash, poisson1, ratio, rnd
 from larkspur.metrics import ranking as rk, survival as sv, tables as mt
 from larkspur.models import bayes as nb, linear as ln, trees as tr
 from larkspur.models.fitting import assembled, out_of_fold, p1, rows, with_fold
+from larkspur.models.isotonic import isotonic_apply, isotonic_blocks
 from larkspur.operators import encode as en
 from larkspur.operators.clean import attach_one
 from larkspur.operators.prefix import exact_quantiles, global_cumsum
@@ -317,12 +318,19 @@ def quantile_linear(t):
     return rows(t.spark, [(q, float(row[i]), float(row[i + len(qs)])) for i, q in enumerate(qs)], "q double, share_below double, pinball double")
 
 
-@query("isotonic")
+IN_TRAIN_SQL = mix("id % 1099511627776", 31) + " < .8::DOUBLE"
+
+
+@query("isotonic", f"""WITH t AS (SELECT score AS x, avg(y) AS m, count(*) AS w, sum(y) AS s FROM v_scores WHERE {IN_TRAIN_SQL} GROUP BY 1), c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs, w, s FROM t),
+    p AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM c a JOIN c b ON b.i >= a.i), lo AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM p),
+    f AS (SELECT c.x, max(lo.m) AS v FROM lo JOIN c ON c.i = lo.b GROUP BY 1),
+    q AS (SELECT id, score FROM v_scores WHERE NOT ({IN_TRAIN_SQL})), u AS (SELECT q.id, q.score, f.x AS x0, f.v AS v0 FROM q ASOF LEFT JOIN f ON q.score >= f.x), o AS (SELECT u.*, f.x AS x1, f.v AS v1 FROM u ASOF LEFT JOIN f ON u.score <= f.x)
+    SELECT id, {r6("CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL OR x0 = x1 THEN v0 ELSE v0 + (v1 - v0) * (score - x0) / (x1 - x0) END")} AS calibrated FROM o""")
 def isotonic(t):
+    """Adjacent violators pooled in slices on the train rows; held-out rows read their level between the blocks."""
     s = view(t, "v_scores").select("id", "score", F.col("y").cast("double").alias("y"))
     train, test = halves(s)
-    m = IsotonicRegression(featuresCol="score", labelCol="y").fit(train)
-    return m.transform(test).select("id", rnd(F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).alias("calibrated"))
+    return isotonic_apply(test, isotonic_blocks(train, "score", "y"), "score", "p").select("id", rnd("p").alias("calibrated"))
 
 
 @query("platt")
