@@ -7,8 +7,10 @@ from larkspur.operators import aggregates as agg, clean
 from larkspur.operators.calendar import densify
 from larkspur.operators.prefix import exact_quantiles
 from larkspur.operators.windows import group_values, over_rows
+from larkspur.operators.sketches import add_days, distinct_between, quantiles_between
 from larkspur.plans.registry import query, r6
 from larkspur.plans.views import view
+from larkspur.session import scratch_path
 
 
 
@@ -34,9 +36,21 @@ def distinct_count(t):
     return o.groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("customers"), F.countDistinct("day").alias("days"))
 
 
-@query("approx_distinct")
+def order_sketches(t):
+    """Orders sketched by day in two runs; the second adds its days and reads none of the first's."""
+    path = scratch_path(t.spark, "sketches")
+    o = t.orders.select("o_orderdate", "o_orderstatus", "o_custkey", "o_totalprice")
+    for part in (F.year("o_orderdate") < 1998, F.year("o_orderdate") >= 1998):
+        add_days(o.filter(part).withColumn("o_orderdate", F.trunc("o_orderdate", "month")), path, "o_orderdate", ["o_orderstatus"], "o_custkey", "o_totalprice")
+    return o, path
+
+
+@query("approx_distinct", "SELECT o_orderstatus, count(*) AS n, true AS near FROM orders GROUP BY 1")
 def approx_distinct(t):
-    return t.orders.groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"))
+    """Distinct customers from stored sketches, and whether they lie within 5 per cent of the exact count."""
+    o, path = order_sketches(t)
+    exact = o.groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("exact"))
+    return distinct_between(t.spark, path, ["o_orderstatus"]).join(exact, "o_orderstatus").select("o_orderstatus", "n", (F.abs(F.col("distinct") - F.col("exact")) <= .05 * F.col("exact")).alias("near"))
 
 
 @query("group_stats", f"""SELECT l_returnflag, l_linestatus, count(*) AS n, {r6('avg(l_extendedprice)', 3)} AS mean, {r6('quantile_cont(l_extendedprice, 0.5)', 3)} AS median,
@@ -72,9 +86,15 @@ def quantiles_exact(t):
     return q.select(*[rnd(c).alias(c) for c in q.columns])
 
 
-@query("quantiles_approx")
+@query("quantiles_approx", "SELECT o_orderstatus, p, true AS near FROM (SELECT DISTINCT o_orderstatus FROM orders), (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS p)")
 def quantiles_approx(t):
-    return t.events.groupBy("event_type").agg(F.percentile_approx("value", [0.1, 0.5, 0.9], 10000).alias("qs"))
+    """Quantiles from stored sketches, and whether their rank is within one per cent of what was asked."""
+    o, path = order_sketches(t)
+    q = quantiles_between(t.spark, path, ["o_orderstatus"], [.1, .5, .9])
+    wide = q.groupBy("o_orderstatus").agg(F.collect_list(F.struct("p", "value")).alias("qs"))
+    below = o.join(wide, "o_orderstatus").select("o_orderstatus", "o_totalprice", F.inline("qs"))
+    ranks = below.groupBy("o_orderstatus", "p").agg(F.avg((F.col("o_totalprice") <= F.col("value")).cast("int")).alias("rank"))
+    return ranks.select("o_orderstatus", "p", (F.abs(F.col("rank") - F.col("p")) <= .01).alias("near"))
 
 
 @query("shape_moments", f"""SELECT event_type, {r6('skewness(value)', 5)} AS skew_corrected, {r6('skewness(value) * (count(*) - 2) / sqrt(count(*)::DOUBLE * (count(*) - 1))', 5)} AS skew, {r6('kurtosis_pop(value)', 5)} AS kurtosis FROM events GROUP BY 1""")

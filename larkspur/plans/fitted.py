@@ -4,6 +4,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalar import rnd
+from larkspur.models import gram
 from larkspur.models.estimators import FrequencyEncoder, GroupImputer, QuantileCapper, TargetEncoder, TextBayes
 from larkspur.plans.learning import _NB
 from larkspur.plans.registry import query, r6
@@ -34,3 +35,17 @@ def class_terms(t):
     """The 20 terms of the largest log probability per class."""
     model = TextBayes(textCol="text", labelCol="y").fit(view(t, "v_text").filter("doc_id % 5 <> 0"))
     return model.top_terms(20).select("cls", "rank", "term", rnd("w").alias("weight"))
+
+
+PENALTIES = (0.001, 0.1, 1.0, 10.0)
+
+
+@query("ridge_path", f"""WITH r AS (SELECT x1, x2, y, l_orderkey % 5 AS f FROM v_reg), k AS (SELECT unnest(range(0, 5)) AS f), l AS (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in PENALTIES)}]) AS lam),
+    m AS (SELECT k.f, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS c, covar_pop(x1, y) / stddev_pop(x1) AS a, covar_pop(x2, y) / stddev_pop(x2) AS b FROM k JOIN r ON r.f <> k.f GROUP BY 1),
+    w AS (SELECT *, (a * (1 + lam) - c * b) / ((1 + lam) * (1 + lam) - c * c) / s1 AS w1, (b * (1 + lam) - c * a) / ((1 + lam) * (1 + lam) - c * c) / s2 AS w2 FROM m, l)
+    SELECT lam AS penalty, {r6('sqrt(avg((y - my - w1 * (x1 - m1) - w2 * (x2 - m2)) ^ 2))', 2)} AS rmse FROM r JOIN w USING (f) GROUP BY 1""")
+def ridge_path(t):
+    """The whole penalty path over five folds from one job: a fold's fit is the total's matrix less its own."""
+    r = view(t, "v_reg").select("x1", "x2", "y", (F.col("l_orderkey") % 5).alias("f"))
+    path = gram.ridge_path(gram.fold_grams(r, ["x1", "x2"], "y", ["f"]), PENALTIES)
+    return t.spark.createDataFrame(path, "penalty double, rmse double").select("penalty", rnd("rmse", 2).alias("rmse"))

@@ -8,6 +8,7 @@ from larkspur.operators import encode as en
 from larkspur.operators.clean import attach_one
 from larkspur.operators.prefix import exact_quantiles
 from larkspur.operators.windows import group_values, over_rows, over_time, running
+from larkspur.models.gram import pooled_segments, predict_segments
 from larkspur.plans.registry import mix, query, r6
 from larkspur.plans.series import DAY_US, events
 from larkspur.plans.views import view
@@ -172,11 +173,14 @@ def error_correlation(t):
     return view(t, "v_scores").agg(rnd(F.corr(F.col("score") - F.col("y"), p2_col() - F.col("y"))).alias("corr"))
 
 
-@query("segment_models", f"WITH m AS (SELECT o_orderpriority AS g, regr_slope(o_totalprice, year(o_orderdate)) AS b, regr_intercept(o_totalprice, year(o_orderdate)) AS a FROM orders GROUP BY 1) SELECT o_orderkey, {r6('a + b * year(o_orderdate)', 2)} AS pred FROM orders JOIN m ON g = o_orderpriority")
+@query("segment_models", f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE o_custkey % 400 END AS g, CAST(year(o_orderdate) - 1998 AS DOUBLE) AS x, o_totalprice AS y FROM orders), a AS (SELECT avg(x) AS mx, avg(x * x) AS mxx, avg(y) AS my, avg(x * y) AS mxy FROM o),
+    w AS (SELECT *, (mxy - mx * my) / (mxx - mx * mx) AS b1, my - (mxy - mx * my) / (mxx - mx * mx) * mx AS b0 FROM a), s AS (SELECT g, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM o GROUP BY 1),
+    e AS (SELECT g, n + 20 AS a11, sx + 20 * mx AS a12, sxx + 20 * mxx AS a22, sy + 20 * (b0 + b1 * mx) AS c1, sxy + 20 * (b0 * mx + b1 * mxx) AS c2 FROM s, w)
+    SELECT o_orderkey, {r6('(a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a12) + (a11 * c2 - a12 * c1) / (a11 * a22 - a12 * a12) * x', 2)} AS pred FROM o JOIN e ON o.g IS NOT DISTINCT FROM e.g""")
 def segment_models(t):
-    o = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("g"), F.year("o_orderdate").alias("x"), "o_totalprice")
-    m = o.groupBy("g").agg(F.regr_slope("o_totalprice", "x").alias("b"), F.regr_intercept("o_totalprice", "x").alias("a"))
-    return o.join(m, "g").select("o_orderkey", rnd(F.col("a") + F.col("b") * F.col("x"), 2).alias("pred"))
+    """A line per segment, pulled towards the line of all rows; thin segments and the null one included."""
+    o = t.orders.select("o_orderkey", F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey") % 400).alias("g"), (F.year("o_orderdate") - 1998).cast("double").alias("x"), "o_totalprice")
+    return predict_segments(o, pooled_segments(o, "g", ["x"], "o_totalprice"), "g", ["x"], "p").select("o_orderkey", rnd("p", 2).alias("pred"))
 
 
 @query("cold_start_fallback", f"WITH u AS (SELECT user_id, count(*) AS n, avg(value) AS m FROM events GROUP BY 1), k AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1) SELECT event_id, CASE WHEN n < 70 THEN 'attributes' ELSE 'history' END AS path, {r6('CASE WHEN n < 70 THEN k.m ELSE u.m END')} AS pred FROM events e JOIN u USING (user_id) JOIN k ON e.event_type = k.event_type")
