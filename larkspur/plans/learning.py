@@ -1,5 +1,7 @@
 """Estimators: closed forms, pyspark.ml models and compositions of them."""
 
+import time
+
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -17,11 +19,12 @@ from larkspur.functions import text as tx
 from larkspur.functions.scalar import flag, mix_hash, poisson1, ratio, rnd
 from larkspur.metrics import ranking as rk, survival as sv, tables as mt
 from larkspur.models import bayes as nb, linear as ln, trees as tr
-from larkspur.models.fitting import assembled, out_of_fold, p1, rows, with_fold
+from larkspur.models.fitting import assembled, feature_stages, out_of_fold, p1, rows, with_fold
 from larkspur.models.isotonic import isotonic_apply, isotonic_blocks
 from larkspur.operators import encode as en
 from larkspur.operators.clean import attach_one
 from larkspur.operators.prefix import exact_quantiles, global_cumsum
+from larkspur.operators.split import kfold
 from larkspur.plans.registry import mix, query, r6
 from larkspur.plans.series import events
 from larkspur.plans.texts import _STOP, _TERMS
@@ -522,7 +525,7 @@ def staged_eval(t):
 
 @query("early_stopping")
 def early_stopping(t):
-    v = cls_vec(t).withColumn("is_val", mix_hash("id", 51) < .2)
+    v = halves(cls_vec(t))[0].withColumn("is_val", mix_hash("id", 51) < .2)
     m = gbt(40, validationIndicatorCol="is_val", validationTol=.01, stepSize=.3).fit(v)
     return rows(t.spark, [(m.getNumTrees, 40)], "trees_kept int, trees_allowed int")
 
@@ -546,11 +549,11 @@ def impurity_importance(t):
 
 @query("permutation_importance")
 def permutation_importance(t):
-    """Loss of AUC when one column is replaced by another row's value, matched by two hash orders."""
-    d = cls(t).select("id", "y", *NUM).cache()
-    v = assembled(d, NUM, scale=False)
-    m = forest().fit(v)
-    base = auc(m.transform(v))
+    """Loss of AUC on held-out rows when one column is replaced by another row's value, matched by two hash orders."""
+    train, d = halves(cls(t).select("id", "y", *NUM))
+    d = cut(d)
+    m = forest().fit(assembled(train, NUM, scale=False))
+    base = auc(m.transform(assembled(d, NUM, scale=False)))
     from larkspur.operators.prefix import numbered
     here = numbered(d.withColumn("h", mix_hash("id", 61)), "h", "id", (), "a").drop("h", "a_total").cache()
     there = numbered(d.withColumn("h", mix_hash("id", 62)), "h", "id", (), "a").select("a", *[F.col(c).alias(f"s_{c}") for c in NUM]).cache()
@@ -608,28 +611,48 @@ def rfe(t):
 
 @query("l1_select")
 def l1_select(t):
-    v = assembled(cls(t), NUM)
+    v, _ = halves(assembled(cls(t), NUM, train=in_train()))
     m = LogisticRegression(labelCol="y", elasticNetParam=1.0, regParam=.02, maxIter=30).fit(v)
     return rows(t.spark, [(n, float(c)) for n, c in zip(NUM, m.coefficients) if abs(c) > 1e-9], "feature string, weight double")
 
 
+def folded(t):
+    """Raw rows with five stratified folds: the feature stages are fitted inside each fold."""
+    return cut(kfold(cls(t), "id", 5, ["y"]))
+
+
+def crossed(rows, est, maps, evaluator, numeric, cats):
+    """Feature stages and the model as one estimator, refitted for every fold."""
+    whole = Pipeline(stages=[*feature_stages(numeric, cats), est])
+    return CrossValidator(estimator=whole, estimatorParamMaps=maps, evaluator=evaluator, numFolds=5, foldCol="fold", parallelism=4).fit(rows)
+
+
 @query("model_bakeoff")
 def model_bakeoff(t):
-    """Several models under the same folds: mean, deviation and test AUC."""
-    train, test = halves(with_fold(cls_vec(t), "id", 3).cache())
-    ev = BinaryClassificationEvaluator(labelCol="y")
-    out = []
+    """Classifiers and regressors under the same five folds, preprocessing fitted per fold: mean and deviation of the score, test score, seconds of one fit."""
+    train, test = halves(folded(t))
+    ev, out = BinaryClassificationEvaluator(labelCol="y"), []
+    none = ParamGridBuilder().build()
+
+    def entry(task, name, est, rows, held, evaluator, numeric, cats):
+        cv = crossed(rows, est, none, evaluator, numeric, cats)
+        t0 = time.time()
+        Pipeline(stages=[*feature_stages(numeric, cats), est]).fit(rows)
+        out.append((task, name, float(cv.avgMetrics[0]), float(cv.stdMetrics[0]), float(evaluator.evaluate(cv.bestModel.transform(held))), time.time() - t0))
+
     for name, est in (("logreg", LogisticRegression(labelCol="y", maxIter=15)), ("tree", DecisionTreeClassifier(labelCol="y", maxDepth=4)), ("forest", forest()), ("svm", LinearSVC(labelCol="y", maxIter=10))):
-        cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev, numFolds=3, foldCol="fold", parallelism=3).fit(train)
-        out.append((name, float(cv.avgMetrics[0]), float(cv.stdMetrics[0]), auc(cv.bestModel.transform(test))))
-    return rows(t.spark, out, "model string, cv_mean double, cv_std double, test_auc double")
+        entry("auc", name, est, train, test, ev, NUM, ("grp",))
+    r_train, r_test = halves(cut(kfold(reg(t), "id", 5)))
+    rm = RegressionEvaluator(labelCol="y", metricName="rmse")
+    for name, est in (("linear", LinearRegression(labelCol="y")), ("ridge", LinearRegression(labelCol="y", regParam=.1)), ("tree", DecisionTreeRegressor(labelCol="y", maxDepth=5))):
+        entry("rmse", name, est, r_train, r_test, rm, ["x1", "x2", "x3"], ("seg",))
+    return rows(t.spark, out, "score string, model string, cv_mean double, cv_std double, test double, fit_seconds double")
 
 
 def _search(t, grid):
     est = DecisionTreeClassifier(labelCol="y")
     maps = [{est.maxDepth: d, est.minInstancesPerNode: m} for d, m in grid]
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=3, foldCol="fold", parallelism=4)
-    m = cv.fit(with_fold(cls_vec(t), "id", 3))
+    m = crossed(halves(folded(t))[0], est, maps, BinaryClassificationEvaluator(labelCol="y"), NUM, ("grp",))
     return rows(t.spark, [(d, k, float(s)) for (d, k), s in zip(grid, m.avgMetrics)], "max_depth int, min_rows int, auc double").orderBy(F.desc("auc"))
 
 
@@ -736,13 +759,14 @@ def classifier_chain(t):
 
 @query("ordinal_cumulative")
 def ordinal_cumulative(t):
-    """One model per threshold P(rank > k), turned into class probabilities by differences."""
+    """One model per threshold P(rank > k), turned into class probabilities by differences, on held-out rows."""
     from larkspur.plans.columns import PRIORITY_RANK
     ranks = F.create_map(*[F.lit(x) for kv in PRIORITY_RANK.items() for x in kv])
-    v = assembled(cls(t).withColumn("rank", ranks[F.col("grp")] - 1), NUM).cache()
-    out, tails = v, []
+    v = assembled(cls(t).withColumn("rank", ranks[F.col("grp")] - 1), NUM, train=in_train()).cache()
+    learn, out = halves(v)
+    tails = []
     for k in range(4):
-        lab = v.withColumn("y", (F.col("rank") > k).cast("double"))
+        lab = learn.withColumn("y", (F.col("rank") > k).cast("double"))
         m = LogisticRegression(labelCol="y", maxIter=10, probabilityCol=f"pr{k}", rawPredictionCol=f"rw{k}", predictionCol=f"pd{k}").fit(lab)
         out = m.transform(out)
         tails.append(p1(f"pr{k}"))
@@ -765,34 +789,44 @@ def head_tail_router(t):
     return g.groupBy("event_id").agg(F.min_by("label", F.struct((-F.round("w", 9)).alias("k"), "label")).alias("label"))
 
 
-def _arms(t):
-    v = cls_vec(t)
-    fit = lambda df: gbt(8).fit(df)
-    return v, fit(v.filter("treatment = 1")), fit(v.filter("treatment = 0"))
-
-
 def both_arms(v, m1, m0):
     ren = lambda df, n: df.withColumn(n, p1()).drop("probability", "rawPrediction", "prediction")
     return ren(m0.transform(ren(m1.transform(v), "p1")), "p0")
 
 
+def _by_fold(t, effect, k=3):
+    """Every row's effect from models of the other folds: ``effect(learn, score)`` returns (id, uplift) of ``score``."""
+    v, out = cut(with_fold(cls_vec(t), "id", k, "_fold")), None
+    for i in range(k):
+        part = effect(v.filter(F.col("_fold") != i), v.filter(F.col("_fold") == i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _arms(learn):
+    return [gbt(8).fit(learn.filter(F.col("treatment") == a)) for a in (1, 0)]
+
+
 @query("t_learner")
 def t_learner(t):
-    v, m1, m0 = _arms(t)
-    return both_arms(v, m1, m0).select("id", rnd(F.col("p1") - F.col("p0")).alias("uplift"))
+    """A model per arm; each row is scored by models that did not see it."""
+    return _by_fold(t, lambda learn, score: both_arms(score, *_arms(learn)).select("id", rnd(F.col("p1") - F.col("p0")).alias("uplift")))
 
 
 @query("x_learner")
 def x_learner(t):
-    """Pseudo-effects of each arm regressed on the features, mixed by the propensity."""
-    v, m1, m0 = _arms(t)
-    s = both_arms(v, m1, m0).cache()
-    fit = lambda df, e, n: GBTRegressor(labelCol="e", maxIter=6, maxDepth=3, predictionCol=n, seed=1).fit(df.withColumn("e", e))
-    t1 = fit(s.filter("treatment = 1"), F.col("y") - F.col("p0"), "tau1")
-    t0 = fit(s.filter("treatment = 0"), F.col("p1") - F.col("y"), "tau0")
-    g = LogisticRegression(labelCol="arm", maxIter=10).fit(s.withColumn("arm", F.col("treatment").cast("double")))
-    out = g.transform(t0.transform(t1.transform(s)))
-    return out.select("id", rnd(p1() * F.col("tau0") + (1 - p1()) * F.col("tau1")).alias("uplift"))
+    """Pseudo-effects of each arm regressed on the features, mixed by the propensity; each row is scored by models that did not see it."""
+    def effect(learn, score):
+        s = both_arms(learn, *_arms(learn)).cache()
+        fit = lambda df, e, n: GBTRegressor(labelCol="e", maxIter=6, maxDepth=3, predictionCol=n, seed=1).fit(df.withColumn("e", e))
+        t1 = fit(s.filter("treatment = 1"), F.col("y") - F.col("p0"), "tau1")
+        t0 = fit(s.filter("treatment = 0"), F.col("p1") - F.col("y"), "tau0")
+        g = LogisticRegression(labelCol="arm", maxIter=10).fit(s.withColumn("arm", F.col("treatment").cast("double")))
+        s.unpersist()
+        out = g.transform(t0.transform(t1.transform(score)))
+        return out.select("id", rnd(p1() * F.col("tau0") + (1 - p1()) * F.col("tau1")).alias("uplift"))
+
+    return _by_fold(t, effect)
 
 
 @query("label_noise_scan")
@@ -811,15 +845,16 @@ def lifetime_value(t):
     k = over_rows(k, ["grp"], "duration", "duration", lambda w: {"t0": F.lag("duration", 1, 0.0).over(w), "s0": F.lag("survival", 1, 1.0).over(w)}, before=1)
     life = k.groupBy("grp").agg(F.least(F.sum((F.col("duration") - F.col("t0")) * (F.col("survival") + F.col("s0")) / 2), F.lit(36.0)).alias("months"))
     spend = t.orders.groupBy("o_custkey").agg((F.sum("o_totalprice") / 79).alias("y"), F.count(F.lit(1)).cast("double").alias("orders"))
-    d = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("grp"), "c_acctbal").join(spend, F.col("id") == F.col("o_custkey"))
-    v = assembled(d, ["c_acctbal", "orders"], ["grp"])
-    m = LinearRegression(labelCol="y").fit(v).transform(v)
-    return m.join(life, "grp").select("id", rnd("months", 4).alias("months"), rnd(F.col("months") * F.greatest("prediction", F.lit(0.0)), 2).alias("value"))
+    # a customer without orders has spent nothing; a segment without a curve lives for no expected month
+    d = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("grp"), "c_acctbal").join(spend, F.col("id") == F.col("o_custkey"), "left").fillna(0.0, ["y", "orders"])
+    v = assembled(d, ["c_acctbal", "orders"], ["grp"], train=in_train())
+    m = out_of_fold(v, lambda: LinearRegression(labelCol="y"), "id", F.col("prediction"), "prediction").join(d.select("id", "grp"), "id")
+    return m.join(life, m["grp"].eqNullSafe(life["grp"]), "left").fillna(0.0, ["months"]).select("id", rnd("months", 4).alias("months"), rnd(F.col("months") * F.greatest("prediction", F.lit(0.0)), 2).alias("value"))
 
 
 @query("randomization_auc")
 def randomization_auc(t):
     """A classifier of the arm should do no better than chance."""
-    v = assembled(cls(t), ["score", "amount", "month"]).withColumn("arm", F.col("treatment").cast("double"))
-    m = LogisticRegression(labelCol="arm", maxIter=10).fit(v)
+    learn, v = halves(assembled(cls(t), ["score", "amount", "month"], train=in_train()).withColumn("arm", F.col("treatment").cast("double")))
+    m = LogisticRegression(labelCol="arm", maxIter=10).fit(learn)
     return rk.roc_auc(m.transform(v).select(p1().alias("score"), F.col("treatment").alias("y"))).select(rnd("auc").alias("auc"))
