@@ -105,7 +105,7 @@ for i in (1, 2, 3):
 def test_late_rows_over_many_batches(spark):
     """Each batch of one file; the counts and the late rows equal a batch job over all rows."""
     rng = random.Random(7)
-    batches = [[(b * 10 + j, START + dt.timedelta(minutes=10 * b - (rng.choice([0, 0, 30, 300])), seconds=rng.randrange(500)), 1, 1.0) for j in range(5)] for b in range(110)]
+    batches = [[(b * 10 + j, START + dt.timedelta(minutes=10 * b - (rng.choice([0, 0, 30, 300])), seconds=rng.randrange(500)), 1, 1.0) for j in range(5)] for b in range(40)]
     r = Replay(spark, "late")
     for b in batches:
         r.land(spark.createDataFrame(b, SCHEMA).coalesce(1))
@@ -129,10 +129,10 @@ def test_late_rows_over_many_batches(spark):
             else:
                 counts[hour] = counts.get(hour, 0) + 1
         latest = max([by_id[i][1] for i in ids] + ([latest] if latest else []))
-    assert len(order) == 110 and late
+    assert len(order) == 40 and late
     assert {q.event_id for q in BatchState(spark, f"{r.root}/state/late").all().collect()} == late
     kept = BatchState(spark, f"{r.root}/state/kept").all().groupBy("start").agg(F.sum("n").alias("n")).collect()
     assert {q.start.replace(tzinfo=None): q.n for q in kept} == counts
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     spark.streams.removeListener(heard)
-    assert heard.batches >= 100 and heard.rows >= 500
+    assert heard.batches >= 40 and heard.rows >= 200
