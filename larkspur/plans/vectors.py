@@ -1,10 +1,13 @@
 """Neighbours, components and clusters on vectors."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from larkspur.functions.scalar import flag, rnd
 from larkspur.metrics.tables import pair_agreement
@@ -277,13 +280,16 @@ FROM found GROUP BY ALL"""))
 def dbscan_noise_profile(t):
     """Noise against clustered rows, for radii and for least neighbours."""
     p = places(t)
-    out = None
-    for eps, least in SWEEP:
+
+    def profile(setting):
+        eps, least = setting
         c = cl.dbscan(p, "id", "vec", eps, least, 2).join(p.select("id", "value"), "id")
         g = c.groupBy((F.col("cluster") == -1).alias("noise")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value")).alias("mean_value"), F.countDistinct("cluster").alias("clusters"))
-        g = g.withColumns({"eps": F.lit(eps), "least": F.lit(least)})
-        out = g if out is None else out.unionByName(g)
-    return out
+        return g.withColumns({"eps": F.lit(eps), "least": F.lit(least)})
+
+    # the settings are independent and each is many short jobs: their jobs share the cluster
+    with ThreadPoolExecutor(len(SWEEP)) as threads:
+        return reduce(DataFrame.unionByName, threads.map(profile, SWEEP))
 
 
 @query("cluster_feature")
