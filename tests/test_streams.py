@@ -7,12 +7,13 @@ import subprocess
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.plans.flows import online_fit
 from larkspur.streaming.durable import BatchState, Progress, late_split
-from larkspur.streaming.ordered import in_time_order, last_mean, running_alarm
+from larkspur.streaming.ordered import InOrder, in_time_order, last_mean, running_alarm
 from larkspur.streaming.runner import Replay
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -57,6 +58,106 @@ def test_values_before_come_in_time_order(spark):
     assert all((got[i] is None if want[i] is None else abs(got[i] - want[i]) < 1e-9) for i in want)
 
 
+class Store:
+    """State of one key in memory; every call that would cross to the engine is counted."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.calls = {}, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return Cell(self, self.values, name)
+
+    def getMapState(self, name, key, value):
+        return Cell(self, self.maps.setdefault(name, {}), None)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Cell:
+    def __init__(self, store, data, name):
+        self.store, self.data, self.name = store, data, name
+
+    def _at(self, key):
+        self.store.calls += 1
+        return self.name if key is None else key
+
+    def exists(self):
+        return self._at(None) in self.data
+
+    def get(self):
+        return self.data[self._at(None)]
+
+    def update(self, value):
+        self.data[self._at(None)] = value
+
+    def clear(self):
+        self.data.pop(self._at(None), None)
+
+    def containsKey(self, key):
+        return self._at(key) in self.data
+
+    def getValue(self, key):
+        return self.data[self._at(key)]
+
+    def updateValue(self, key, value):
+        self.data[self._at(key)] = value
+
+    def removeKey(self, key):
+        del self.data[self._at(key)]
+
+    def keys(self):
+        self.store.calls += 1
+        return list(self.data)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def played(held_rows, batches):
+    """(outputs by event id, state calls): batches of (event_id, hour, value) of one key, with the watermark after each."""
+    store, order = Store(), InOrder(*last_mean(5), held_rows=held_rows)
+    order.init(store)
+    got, seen = {}, []
+    for rows, watermark in batches:
+        frame = pd.DataFrame(rows, columns=["event_id", "hour", "value"])
+        frame["ts"] = pd.to_datetime(frame["hour"], unit="h")
+        list(order.handleInputRows((1,), iter([frame]), Clock(watermark)))
+        while due := sorted(x for x in store.timers if x <= watermark):
+            store.timers.discard(due[-1])  # the engine promises no order
+            for out in order.handleExpiredTimer((1,), Clock(watermark), Clock(due[-1])):
+                seen += out["event_id"].tolist()
+                got |= dict(zip(out["event_id"], out["out"]))
+    assert not store.maps["open"] and not store.maps["waiting"]
+    return got, seen, store.calls
+
+
+def test_sparse_keys_cost_few_state_calls_and_crowded_ones_agree():
+    rng = random.Random(4)
+    hours = sorted(rng.uniform(0, 400) for _ in range(90))
+    rows = [(i, h, float(rng.randrange(50))) for i, h in enumerate(hours)]
+    batches = []
+    for part, watermark in ((rows[:30], hours[25]), (rows[30:50], hours[28]), (rows[50:], 900.0), ([(90, 850.5, 1.0)], 10_000.0)):
+        part = list(part)
+        rng.shuffle(part)
+        batches.append((part, int(watermark * 3_600_000)))
+    whole, seen, calls = played(8_192, batches)
+    assert seen == list(range(91))
+    assert calls < 91
+    for few in (0, 3, 25):
+        got, seen, _ = played(few, batches)
+        assert seen == list(range(91))
+        assert all(np.isnan(got[i]) if np.isnan(whole[i]) else got[i] == whole[i] for i in whole)
+
+
 def test_alarms_go_on_over_batches(spark):
     rows = events(450, 3)
     got = replayed(spark, rows, running_alarm(3.0, 10))
