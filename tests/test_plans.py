@@ -3,8 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from larkspur.functions.scalar import MIX_PRIME, POISSON1, mix_hash, poisson1
+from larkspur.plans.learning import cls_vec
+from larkspur.sources.tables import Tables
 from tests.conftest import SF
 
 
@@ -27,3 +31,24 @@ def test_scan_is_pruned_and_filtered(spark):
 def test_one_shuffle_for_many_window_features(spark):
     text = plan(spark, "lag_features").split("== Physical Plan ==")[1]
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_a_row_hash_is_computed_once_in_a_filter(spark):
+    rows = spark.range(200).selectExpr("id * 7919 AS id", "double(id) AS y")
+    key = F.pmod(F.xxhash64("id", "y"), F.lit(1 << 40))
+    kept = rows.filter(poisson1(mix_hash(key, 31)) > 0)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("48271") == 1 and plan.count("xxhash64") == 1
+    m, got = MIX_PRIME, rows.select("id", mix_hash("id", 7).alias("u"), poisson1(mix_hash("id", 7)).alias("w")).collect()
+    for r in got:
+        low, high = r.id & m, (r.id >> 31) & m
+        a = (low * 48271 + high * 69621 + 7 * 16807 + 1) % m
+        c = ((a * a + 31 * a + high * 127773) % m * 69621 + a * 14) % m
+        u = (c * c + 8191 * c + a) % m / m
+        assert r.u == u and r.w == sum(u >= p for p in POISSON1)
+    assert spark.range(1).select(mix_hash(F.lit(None).cast("bigint")).alias("u")).first().u is None
+
+
+def test_vectors_for_fits_lie_on_every_core(spark):
+    v = cls_vec(Tables(spark, SF))
+    assert v.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
