@@ -4,11 +4,15 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from larkspur.metrics.bootstrap import bootstrap_auc, mix_numbers, poisson_weights
 from larkspur.models import gram
 from larkspur.operators.sketches import add_days, distinct_between, quantiles_between
+from larkspur.plans.learning import bakeoff
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +108,16 @@ def test_sketches_by_day(spark, tmp_path):
     assert {k: r.n for k, r in got.items()} == {"x": 15_000, None: 15_000} and all(abs(r.distinct - 2500) < 125 for r in got.values())
     assert sum(r.n for r in distinct_between(spark, path, ["k"], "2024-01-02", "2024-01-02").collect()) == 10_000
     assert all(abs(r.value / 30_000 - r.p) < .02 for r in quantiles_between(spark, path, ["k"], [.1, .5, .9]).collect())
+
+
+def test_models_of_a_fold_share_its_feature_stages(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id", "double(id % 17) AS a", "double((id * 7) % 11) AS b", "CASE WHEN id % 2 = 0 THEN 'u' ELSE 'v' END AS g",
+                                       "double(id % 17 + (id * 7) % 11 > 13) AS y", "int(id % 3) AS fold").cache()
+    fits, plain = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: fits.append(1) or plain(self, df, *a))
+    models = {"logreg": LogisticRegression(labelCol="y", maxIter=5), "tree": DecisionTreeClassifier(labelCol="y", maxDepth=3)}
+    train, held = rows.filter("id < 240"), rows.filter("id >= 240")
+    found = bakeoff("auc", models, train, held, BinaryClassificationEvaluator(labelCol="y"), ["a", "b"], ("g",), folds=3)
+    assert len(fits) == 4  # three folds and the whole, for both models
+    assert [f[1] for f in found] == ["logreg", "tree"]
+    assert all(f[2] > .7 and f[3] >= 0 and f[4] > .7 and f[5] > 0 for f in found)
