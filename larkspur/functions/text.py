@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from larkspur.functions.scalar import let
+
 # Patterns of the text cleaners
 DIGITS = r"\p{Nd}+"
 URL = r"http[s]?://\S+"
@@ -160,6 +162,34 @@ def term_counts(df: DataFrame, key: Sequence[str], vocab: DataFrame | None = Non
     return flat.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def run_lengths(array: Column) -> Column:
+    """How often each distinct element of ``array`` is there, in the order of the elements; one sort, no pair of elements compared twice."""
+    def of_sorted(s: Column) -> Column:
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return let(first, lambda at: F.transform(at, lambda a, j: F.coalesce(F.get(at, j + 1), n) - a))
+
+    return let(F.sort_array(array), of_sorted)
+
+
+def term_measures(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> DataFrame:
+    """(key, n_terms, n_distinct, max_tf) of every document with a term; texts of one key count as one document.
+
+    Texts are shuffled once; their terms never leave the row.
+    """
+    def one(t: Column) -> Column:
+        return let(tokens(t, stop), lambda tok: F.concat(tok, bigrams(tok)) if grams > 1 else tok)
+
+    def measures(runs: Column) -> Column:
+        return F.struct(F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_terms"),
+                        F.size(runs).cast("bigint").alias("n_distinct"), F.array_max(runs).cast("bigint").alias("max_tf"))
+
+    whole = df.groupBy(key).agg(F.collect_list(text).alias("_texts"))
+    runs = run_lengths(F.flatten(F.transform("_texts", one)))
+    # a filter on the measures would compute them twice, an empty array yields no row
+    return whole.select(key, F.inline(F.filter(F.array(let(runs, measures)), lambda m: m["n_terms"] > 0)))
+
+
 def vocabulary(df: DataFrame, n_docs: Column, min_df: int = 1, max_df: float = 1.0, size: int | None = None) -> DataFrame:
     """(term, n, df) within the document-frequency limits, the ``size`` most frequent (ties by term).
 

@@ -114,7 +114,7 @@ def n_docs(t):
 
 @query("tokenize_ngrams", f"WITH {_TERMS} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_terms, count(*) AS n_distinct, max(tf) AS max_tf FROM c GROUP BY 1")
 def tokenize_ngrams(t):
-    return tx.term_counts(doc_terms(t), ["doc_id"]).groupBy("doc_id").agg(F.sum("tf").alias("n_terms"), F.count(F.lit(1)).alias("n_distinct"), F.max("tf").alias("max_tf"))
+    return tx.term_measures(t.documents, "doc_id", "text")
 
 
 @query("char_ngrams", """WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS w FROM documents), p AS (SELECT doc_id, lang, ' ' || w || ' ' AS p, count(*) AS n FROM w GROUP BY 1, 2, 3),
