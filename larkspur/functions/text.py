@@ -129,14 +129,16 @@ def bigrams(tok: Column) -> Column:
 
 def char_ngrams(word: Column, low: int, high: int) -> Column:
     """Character n-grams of ``' word '`` (word borders included), a padded word shorter than n counted once whole."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    parts = []
-    for n in range(low, high + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-        width = F.lit(n)
-        grams = F.transform(starts, lambda i: F.substring(padded, i, width))  # noqa: B023 (built at once)
-        parts.append(F.when((F.length(padded) >= n) | F.lit(n == low), grams).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+    def of_padded(padded: Column) -> Column:
+        parts = []
+        for n in range(low, high + 1):
+            starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
+            width = F.lit(n)
+            grams = F.transform(starts, lambda i: F.substring(padded, i, width))  # noqa: B023 (built at once)
+            parts.append(F.when((F.length(padded) >= n) | F.lit(n == low), grams).otherwise(F.array().cast("array<string>")))
+        return F.concat(*parts)
+
+    return let(F.concat(F.lit(" "), word, F.lit(" ")), of_padded)
 
 
 def with_terms(df: DataFrame, text: str, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> DataFrame:
@@ -162,12 +164,12 @@ def term_counts(df: DataFrame, key: Sequence[str], vocab: DataFrame | None = Non
     return flat.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def run_lengths(array: Column) -> Column:
-    """How often each distinct element of ``array`` is there, in the order of the elements; one sort, no pair of elements compared twice."""
+def run_counts(array: Column) -> Column:
+    """(term, tf) of each distinct element of ``array``, in order: one sort, no pair of elements compared twice."""
     def of_sorted(s: Column) -> Column:
         n = F.size(s)
         first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
-        return let(first, lambda at: F.transform(at, lambda a, j: F.coalesce(F.get(at, j + 1), n) - a))
+        return let(first, lambda at: F.transform(at, lambda a, j: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, j + 1), n) - a).alias("tf"))))
 
     return let(F.sort_array(array), of_sorted)
 
@@ -185,7 +187,7 @@ def term_measures(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP
                         F.size(runs).cast("bigint").alias("n_distinct"), F.array_max(runs).cast("bigint").alias("max_tf"))
 
     whole = df.groupBy(key).agg(F.collect_list(text).alias("_texts"))
-    runs = run_lengths(F.flatten(F.transform("_texts", one)))
+    runs = F.transform(run_counts(F.flatten(F.transform("_texts", one))), lambda r: r["tf"])
     # a filter on the measures would compute them twice, an empty array yields no row
     return whole.select(key, F.inline(F.filter(F.array(let(runs, measures)), lambda m: m["n_terms"] > 0)))
 

@@ -122,13 +122,13 @@ def tokenize_ngrams(t):
     SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 20""")
 def char_ngrams(t):
     """Character 3- to 5-grams that at least 20 documents of a language hold, with occurrences and documents."""
-    words = F.transform(tx.tokens(F.col("text")), lambda w: w)
-    d = t.documents.select("lang", F.flatten(F.transform(words, lambda w: tx.char_ngrams(w, 3, 5))).alias("terms"))
-    # a document adds its occurrences, and each n-gram once: both are summed map-side
-    cells = F.concat(F.transform("terms", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
-                     F.transform(F.array_distinct("terms"), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
-    g = d.select("lang", F.inline(cells)).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    return g.filter("df >= 20")
+    # occurrences: a word is cut once per language and task, not where it stands
+    words = t.documents.select("lang", tx.each(tx.tokens(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    n = words.select("lang", "n", tx.each(tx.char_ngrams(F.col("w"), 3, 5)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # documents: the n-grams of a document's distinct words, each once
+    grams = F.array_distinct(F.flatten(F.transform(F.array_distinct(tx.tokens(F.col("text"))), lambda w: tx.char_ngrams(w, 3, 5))))
+    df = t.documents.select("lang", tx.each(grams).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("df")).filter("df >= 20")
+    return df.join(n, df["lang"].eqNullSafe(n["lang"]) & (df["gram"] == n["gram"])).select(df["lang"], df["gram"], "n", "df")
 
 
 #: Fewest documents of a term, and most terms, of a vocabulary

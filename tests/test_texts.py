@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from larkspur.functions import text as tx
 
 TEXTS = [(1, "the cat saw the cat and a dog"), (1, "cat saw"), (2, ""), (3, None), (4, "aa bb aa bb aa"), (5, "x ."), (6, "Größe größe 42 42 42"), (None, "no key no key")]
@@ -24,7 +25,21 @@ def test_term_measures_merge_texts_of_a_key_and_shuffle_no_terms(spark):
     assert {r.k: (r.n_terms, r.n_distinct, r.max_tf) for r in got.collect()} == {k: (c.total(), len(c), max(c.values())) for k, c in want.items() if c}
 
 
-def test_run_lengths(spark):
+def test_run_counts(spark):
     lists = [([],), (["b"],), (["b", "a", "b", "c", "b"],), (["a", "a"],)]
-    got = spark.createDataFrame(lists, "v array<string>").select(tx.run_lengths(F.col("v")).alias("n"), "v").collect()
-    assert all(r.n == [Counter(r.v)[w] for w in sorted(set(r.v))] for r in got)
+    got = spark.createDataFrame(lists, "v array<string>").select(tx.run_counts(F.col("v")).alias("n"), "v").collect()
+    assert all([tuple(x) for x in r.n] == sorted(Counter(r.v).items()) for r in got)
+
+
+def test_character_ngrams_count_words_before_they_cut_them(spark, tmp_path):
+    texts = [(i, "Tee tee Kaffee" if i % 2 else "tee", "de" if i < 50 else None) for i in range(75)]
+    spark.createDataFrame(texts, "doc_id int, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["char_ngrams"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[lang#\d+, w#\d+\]", plan)
+    n, df = Counter(), Counter()
+    for _, text, lang in texts:
+        grams = [f" {w} "[i:i + k] for w in text.lower().split() for k in (3, 4, 5) for i in range(len(w) + 3 - k)]
+        n.update((lang, g) for g in grams)
+        df.update((lang, g) for g in set(grams))
+    assert {(r.lang, r.gram): (r.n, r.df) for r in got.collect()} == {k: (n[k], d) for k, d in df.items() if d >= 20}
