@@ -21,12 +21,30 @@ from larkspur import session
 _OUT = "qid bigint, bid bigint, dist double"
 
 
+#: Sides of a tile of L1 distances: two such tiles fit a core's cache
+_TILE_Q, _TILE_B = 16, 2048
+
+
+def _l1(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of absolute differences, dimension by dimension inside tiles that stay in cache."""
+    out = np.empty((len(q), len(b)))
+    qt, bt = np.ascontiguousarray(q.T), np.ascontiguousarray(b.T)
+    for lo in range(0, len(q), _TILE_Q):
+        for at in range(0, len(b), _TILE_B):
+            x, y = qt[:, lo : lo + _TILE_Q, None], bt[:, None, at : at + _TILE_B]
+            total = np.zeros((x.shape[1], y.shape[2]))
+            part = np.empty_like(total)
+            for j in range(len(x)):
+                np.subtract(x[j], y[j], out=part)
+                np.abs(part, out=part)
+                total += part
+            out[lo : lo + _TILE_Q, at : at + _TILE_B] = total
+    return out
+
+
 def _distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l1":
-        out = np.zeros((len(q), len(b)))
-        for j in range(q.shape[1]):
-            out += np.abs(q[:, j : j + 1] - b[:, j])
-        return out
+        return _l1(q, b)
     return (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * q @ b.T
 
 

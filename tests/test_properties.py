@@ -1,5 +1,7 @@
 """Properties of operators that have no fair SQL twin, on small planted inputs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspur.metrics.survival import concordance
 from larkspur.models import linear as ln
 from larkspur.models.decomposition import fit_pca
-from larkspur.operators import cluster as cl
+from larkspur.operators import cluster as cl, neighbors
 from larkspur.operators.clean import impute, quantile_bins
 from larkspur.operators.encode import target_encode_oof
 from larkspur.operators.prefix import exact_quantiles, global_cumsum, numbered
@@ -197,3 +199,16 @@ def test_streams_take_events_of_any_year(spark):
     rows = [(i, f"{y}-03-0{i % 9 + 1} 10:00:00", i % 3, "click", 1.0) for i, y in enumerate([2019, 2024, 2025, 2025, 2031] * 4)]
     e = spark.createDataFrame(rows, "event_id bigint, ts string, user_id int, event_type string, value double").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type", "value")
     assert sum(p.count() for p in parts(types.SimpleNamespace(events=e))) == len(rows)
+
+
+def test_manhattan_distances_stay_in_tiles():
+    rng = np.random.default_rng(8)
+    q, b = rng.normal(size=(201, 5)), rng.normal(size=(2500, 5))
+    tracemalloc.start()
+    got = neighbors._distances(q, b, "l1")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = sum(np.abs(q[:, [j]] - b[:, j]) for j in range(5))
+    assert (got == want).all()
+    # the result and a few tiles; whole matrices of differences took three times the result
+    assert peak < 2 * got.nbytes
