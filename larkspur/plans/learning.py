@@ -183,7 +183,8 @@ def fourier(df, cols, gamma, d=32, seed=3):
 
 @query("kernel_svm_rff")
 def kernel_svm_rff(t):
-    base = en.standard_scale(cls(t), NUM, in_train()).select("id", "y", *NUM).cache()
+    # a fit is some 70 passes, and each task of a pass reports to the driver: few parts of many rows
+    base = spread(en.standard_scale(cls(t), NUM, in_train()).select("id", "y", *NUM), t.orders.count()).cache()
     n, out = base.filter(in_train()).count(), []
     for gamma, c in ((0.1, 1.0), (0.5, 1.0), (0.5, 10.0)):
         train, test = halves(fourier(base, NUM, gamma).cache())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from larkspur.functions.scalar import MIX_PRIME, POISSON1, mix_hash, poisson1
+from larkspur.plans import learning
 from larkspur.plans.learning import cls_vec
 from larkspur.sources.tables import Tables
 from tests.conftest import SF
@@ -52,3 +53,17 @@ def test_a_row_hash_is_computed_once_in_a_filter(spark):
 def test_vectors_for_fits_lie_on_every_core(spark):
     v = cls_vec(Tables(spark, SF))
     assert v.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_kernel_fit_has_no_more_parts_than_cores_for_few_rows(spark, monkeypatch):
+    seen, fourier = [], learning.fourier
+    monkeypatch.setattr(learning, "fourier", lambda df, *a, **k: seen.append(df.rdd.getNumPartitions()) or fourier(df, *a, **k))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("64", "false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        entry.queries()["kernel_svm_rff"](spark, SF)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert seen == [spark.sparkContext.defaultParallelism] * 3
