@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.scalar import let
+from larkspur.session import cut
 
 # Patterns of the text cleaners
 DIGITS = r"\p{Nd}+"
@@ -122,8 +123,9 @@ def tokens(c: Column, stop: Sequence[str] = ()) -> Column:
 
 
 def bigrams(tok: Column) -> Column:
+    """Pairs of neighbours, none over a null."""
     rest = F.slice(tok, F.lit(2), F.greatest(F.size(tok) - 1, F.lit(0)))
-    both = F.zip_with(tok, rest, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    both = F.zip_with(tok, rest, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
     return F.array_compact(both)
 
 
@@ -156,14 +158,6 @@ def each(array: str | Column) -> Column:
     return F.explode(F.transform(array, lambda x: x))
 
 
-def term_counts(df: DataFrame, key: Sequence[str], vocab: DataFrame | None = None) -> DataFrame:
-    """(key.., term, tf) from ``terms``; with a vocabulary the other terms are dropped before any shuffle."""
-    flat = df.select(*key, each("terms").alias("term"))
-    if vocab is not None:
-        flat = flat.join(vocab.select("term"), "term", "left_semi")
-    return flat.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def run_counts(array: Column) -> Column:
     """(term, tf) of each distinct element of ``array``, in order: one sort, no pair of elements compared twice."""
     def of_sorted(s: Column) -> Column:
@@ -174,46 +168,76 @@ def run_counts(array: Column) -> Column:
     return let(F.sort_array(array), of_sorted)
 
 
-def term_measures(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> DataFrame:
-    """(key, n_terms, n_distinct, max_tf) of every document with a term; texts of one key count as one document.
-
-    Texts are shuffled once; their terms never leave the row.
-    """
+def key_runs(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> tuple[DataFrame, Column]:
+    """(the texts of each key as one row, its distinct terms with their occurrences): texts are shuffled once, their terms never leave the row."""
     def one(t: Column) -> Column:
         return let(tokens(t, stop), lambda tok: F.concat(tok, bigrams(tok)) if grams > 1 else tok)
 
+    return df.groupBy(key).agg(F.collect_list(text).alias("_texts")), run_counts(F.flatten(F.transform("_texts", one)))
+
+
+def key_counts(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> DataFrame:
+    """(key, term, tf); texts of one key count as one document."""
+    whole, runs = key_runs(df, key, text, stop, grams)
+    return whole.select(key, F.inline(runs))
+
+
+def term_measures(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> DataFrame:
+    """(key, n_terms, n_distinct, max_tf) of every document with a term; texts of one key count as one document."""
     def measures(runs: Column) -> Column:
         return F.struct(F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_terms"),
                         F.size(runs).cast("bigint").alias("n_distinct"), F.array_max(runs).cast("bigint").alias("max_tf"))
 
-    whole = df.groupBy(key).agg(F.collect_list(text).alias("_texts"))
-    runs = F.transform(run_counts(F.flatten(F.transform("_texts", one))), lambda r: r["tf"])
+    whole, runs = key_runs(df, key, text, stop, grams)
     # a filter on the measures would compute them twice, an empty array yields no row
-    return whole.select(key, F.inline(F.filter(F.array(let(runs, measures)), lambda m: m["n_terms"] > 0)))
+    return whole.select(key, F.inline(F.filter(F.array(let(F.transform(runs, lambda r: r["tf"]), measures)), lambda m: m["n_terms"] > 0)))
 
 
 def vocabulary(df: DataFrame, n_docs: Column, min_df: int = 1, max_df: float = 1.0, size: int | None = None) -> DataFrame:
     """(term, n, df) within the document-frequency limits, the ``size`` most frequent (ties by term).
 
-    A document adds each term's occurrences and, once, its presence; both are summed per term map-side,
-    so nothing per document is shuffled.
+    A document adds a term once, with its occurrences; both counts are summed per term map-side, so nothing per document
+    is shuffled.
     """
-    cells = F.concat(
-        F.transform("terms", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
-    v = df.select(F.inline(cells)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    v = v.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    return within(counted(df), n_docs, min_df, max_df, size)
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """(term, n, df) of ``terms``: occurrences and documents."""
+    return df.select(F.inline(run_counts(F.col("terms")))).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+
+
+def within(counts: DataFrame, n_docs: Column, min_df: int, max_df: float, size: int | None = None) -> DataFrame:
+    v = counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     return v.orderBy(F.desc("n"), "term").limit(size) if size else v
 
 
-def tfidf(df: DataFrame, key: str, vocab: DataFrame, n_docs: Column, sublinear: bool = False) -> DataFrame:
+def frequent_terms(df: DataFrame, text: str, n_docs: Column, min_df: int, max_df: float, size: int, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """:func:`vocabulary` of words and pairs of neighbours, its ``size`` most frequent terms, without a count of every pair.
+
+    Words are counted first.  Where ``size`` words lie within the limits, the last of them bounds the counts of the result from
+    below, and no pair is more frequent than either of its words: only pairs of words that reach the bound are counted.
+    Their number does not grow with the table.  Where more than twice ``size`` words reach it, all pairs are counted.
+    """
+    words = cut(counted(with_terms(df, text, stop, 1)))
+    bound = within(words, n_docs, min_df, max_df, size).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).first()
+    reach = [r.term for r in words.filter(F.col("n") >= bound.least).select("term").limit(2 * size + 1).collect()] if bound.k == size else []
+    if not 0 < len(reach) <= 2 * size:
+        return vocabulary(with_terms(df, text, stop), n_docs, min_df, max_df, size)
+    known = F.transform(tokens(F.col(text), stop), lambda w: F.when(w.isin(reach), w))
+    pairs = counted(df.select(let(known, bigrams).alias("terms")))
+    return within(words.unionByName(pairs), n_docs, min_df, max_df, size)
+
+
+def tfidf(df: DataFrame, key: str, text: str, vocab: DataFrame, n_docs: Column, sublinear: bool = False, stop: Sequence[str] = STOP_WORDS, grams: int = 2) -> DataFrame:
     """Smoothed idf = ln((1+N)/(1+df)) + 1, rows scaled to unit length.
 
-    The norm is a window over one document's vocabulary terms, a group bounded by the vocabulary.
+    Texts are shuffled once, by ``key``; a document's terms are counted inside its row.  The norm is a window over one
+    document's vocabulary terms, a group bounded by the vocabulary.
     """
-    counts = term_counts(df, [key], vocab)
+    counts = key_counts(df, key, text, stop, grams).join(vocab.select("term", "df"), "term")
     tf = (1 + F.ln("tf")) if sublinear else F.col("tf").cast("double")
     idf = F.ln((1 + n_docs) / (1 + F.col("df"))) + 1
-    w = counts.join(vocab.select("term", "df"), "term").select(key, "term", (tf * idf).alias("_w"))
+    w = counts.select(key, "term", (tf * idf).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("_w") / norm).alias("weight"))

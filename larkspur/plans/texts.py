@@ -104,10 +104,6 @@ _TERMS = f"""{_TOK}, g AS (SELECT doc_id, unnest(list_concat(tok, list_transform
     c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), v AS (SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM c GROUP BY 1), nd AS (SELECT count(*) AS nd FROM documents)"""
 
 
-def doc_terms(t):
-    return tx.with_terms(t.documents, "text").select("doc_id", "terms")
-
-
 def n_docs(t):
     return t.documents.agg(F.count(F.lit(1))).scalar()
 
@@ -137,7 +133,7 @@ MIN_DF, MAX_TERMS = 2, 5000
 
 @query("count_vectorize", f"WITH {_TERMS} SELECT term, n, df FROM v, nd WHERE df >= {MIN_DF} AND df <= 0.95::DOUBLE * nd ORDER BY n DESC, term LIMIT {MAX_TERMS}")
 def count_vectorize(t):
-    return tx.vocabulary(doc_terms(t), n_docs(t), MIN_DF, 0.95, MAX_TERMS)
+    return tx.frequent_terms(t.documents, "text", n_docs(t), MIN_DF, 0.95, MAX_TERMS)
 
 
 def _tfidf_sql(weight):
@@ -146,8 +142,8 @@ def _tfidf_sql(weight):
 
 
 def doc_tfidf(t, sublinear=False):
-    docs = doc_terms(t)
-    return tx.tfidf(docs, "doc_id", tx.vocabulary(docs, n_docs(t), MIN_DF, 0.95, MAX_TERMS), n_docs(t), sublinear)
+    vocab = tx.frequent_terms(t.documents, "text", n_docs(t), MIN_DF, 0.95, MAX_TERMS)
+    return tx.tfidf(t.documents, "doc_id", "text", vocab, n_docs(t), sublinear)
 
 
 @query("tfidf", f"WITH {_tfidf_sql('tf')} SELECT doc_id, term, {r6('weight')} AS weight FROM z")

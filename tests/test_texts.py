@@ -43,3 +43,34 @@ def test_character_ngrams_count_words_before_they_cut_them(spark, tmp_path):
         n.update((lang, g) for g in grams)
         df.update((lang, g) for g in set(grams))
     assert {(r.lang, r.gram): (r.n, r.df) for r in got.collect()} == {k: (n[k], d) for k, d in df.items() if d >= 20}
+
+
+def test_frequent_terms_count_only_pairs_of_words_that_reach_the_bound(spark, monkeypatch):
+    """The same terms as counting everything, with far fewer pairs in the count; ties beyond the bound count all pairs."""
+    texts = [(i, " ".join(["alpha beta"] * (i % 4) + [f"w{i}a{j} w{i}b{j}" for j in range(30)] + ["gamma delta eps"] * 2)) for i in range(40)]
+    texts += [(40, None), (41, ""), (42, "alpha the beta"), (43, "solo")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    n, df = Counter(), Counter()
+    for _, text in texts:
+        terms = Counter(python_terms(text))
+        n.update(terms)
+        df.update(terms.keys())
+    made, counted = [], tx.counted
+    monkeypatch.setattr(tx, "counted", lambda d: made.append(counted(d)) or made[-1])
+    for size, lowest, pruned in ((4, 1, True), (5, 2, True), (6, 2, False), (50, 1, False)):
+        made.clear()
+        got = tx.frequent_terms(docs, "text", F.lit(len(texts)), lowest, 0.95, size)
+        want = sorted((t for t in n if lowest <= df[t] <= 0.95 * len(texts)), key=lambda t: (-n[t], t))[:size]
+        assert [(r.term, r.n, r.df) for r in got.collect()] == [(t, n[t], df[t]) for t in want]
+        assert (made[-1].count() < 30) == pruned
+
+
+def test_tfidf_counts_terms_inside_the_row(spark):
+    docs = spark.createDataFrame(TEXTS[:-1], "k int, text string").repartition(3)
+    vocab = tx.vocabulary(tx.with_terms(docs, "text"), F.lit(7), 1, 1.0)
+    got = tx.tfidf(docs, "k", "text", vocab, F.lit(7))
+    assert not re.search(r"Aggregate \[k#\d+, term#\d+", got._jdf.queryExecution().optimizedPlan().toString())
+    per = {}
+    for r in got.collect():
+        per.setdefault(r.k, {})[r.term] = r.weight
+    assert set(per[1]) == set(python_terms(TEXTS[0][1])) and all(abs(sum(w * w for w in d.values()) - 1) < 1e-12 for d in per.values())
