@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.text import each
 from larkspur.operators.clean import attach_one
+from larkspur.session import cut
 
 VAR_FLOOR = 1e-9  # fixed value: absolute variance smoothing
 
@@ -89,6 +90,27 @@ def wide_weights(w: DataFrame, classes: Sequence) -> DataFrame:
     return w.groupBy("term").agg(*[F.max(F.when(F.col("cls") == c, F.col("w"))).alias(f"w{i}") for i, c in enumerate(classes)])
 
 
+#: Most frequent terms whose weights travel to the tasks; occurrences of the others are shuffled to them
+HELD_TERMS = 100_000
+
+
+def summed(pairs: DataFrame, key: str, term: str, weights: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(key, sums) of ``pairs`` joined to ``weights`` by ``term``, over all pairs with a weight.
+
+    ``weights`` also holds ``n``, how often a term occurs.  The most frequent terms make up most pairs: these are joined where they
+    lie and leave a task as one row per key; only pairs with rarer terms are shuffled.
+    """
+    stored = cut(weights)
+    held = stored.orderBy(F.desc("n"), term).limit(HELD_TERMS)
+    if stored.count() <= HELD_TERMS:
+        found = pairs.join(F.broadcast(stored), term)
+        return found.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    held = cut(held)
+    near = pairs.join(F.broadcast(held), term).groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    far = pairs.join(F.broadcast(held.select(term)), term, "left_anti").join(stored.hint("merge"), term).groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return near.unionByName(far).groupBy(key).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def term_scores(docs: DataFrame, key: str, model: tuple[DataFrame, DataFrame], binary: bool = False) -> DataFrame:
     """(key, cls, score) for every document and class, also for documents without a known term."""
     w, bias = model

@@ -282,18 +282,20 @@ _CH = """w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p
 def language_id(t):
     """Multinomial Bayes on character 3- and 4-grams.
 
-    Words are cut into n-grams once per distinct word; a word's class score is joined to the documents'
-    word counts, so n-grams of the running text are never materialised.
+    Words are cut into n-grams once per distinct word; a word's class scores are added up where its documents lie.
     """
-    tok = t.documents.select("doc_id", "lang", tx.each(tx.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "lang", "w").agg(F.count(F.lit(1)).alias("tf"))
-    grams = tok.select("w").distinct().select("w", F.explode(tx.char_ngrams(F.col("w"), 3, 4)).alias("term"))
-    train = tok.filter("doc_id % 5 <> 0").groupBy(F.col("lang").alias("cls"), "w").agg(F.sum("tf").alias("n"))
-    table = train.join(grams, "w").groupBy("cls", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    docs = t.documents.select("doc_id", "lang", tx.tokens(F.col("text")).alias("tok"))
+    flat = docs.select("lang", (F.col("doc_id") % 5 != 0).alias("train"), tx.each("tok").alias("w"))
+    counts = cut(flat.groupBy("lang", "train", "w").agg(F.count(F.lit(1)).alias("n")))
+    gram = F.explode(tx.char_ngrams(F.col("w"), 3, 4)).alias("term")
+    table = counts.filter("train").select(F.col("lang").alias("cls"), "n", gram).groupBy("cls", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     weights, bias = nb.multinomial_fit(table, t.documents.filter("doc_id % 5 <> 0").select("doc_id", "lang"), "lang")
     known = [(r.cls, r.bias) for r in bias.collect()]  # one row per language
     cols = [f"w{i}" for i in range(len(known))]
-    words = grams.join(nb.wide_weights(weights, [c for c, _ in known]), "term").groupBy("w").agg(*[F.sum(c).alias(c) for c in cols])
-    s = tok.join(words, "w").groupBy("doc_id").agg(*[F.sum(F.col("tf") * F.col(c)).alias(c) for c in cols])
+    grams = counts.groupBy("w").agg(F.sum("n").alias("n")).select("w", "n", gram)
+    # n-grams are many rows made of a small table: its size says nothing of theirs
+    words = grams.hint("merge").join(nb.wide_weights(weights, [c for c, _ in known]), "term").groupBy("w", "n").agg(*[F.sum(c).alias(c) for c in cols])
+    s = nb.summed(docs.select("doc_id", F.inline(tx.run_counts(F.col("tok")))).withColumnsRenamed({"term": "w", "tf": "k"}), "doc_id", "w", words, {c: F.col("k") * F.col(c) for c in cols})
     cells = F.array(*[F.struct(F.round(F.col(f"w{i}") + b, 5).alias("score"), F.lit(c).alias("cls")) for i, (c, b) in enumerate(known)])
     return s.select("doc_id", F.array_max(cells)["cls"].alias("pred"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from larkspur.functions import text as tx
+from larkspur.models import bayes as nb
 
 TEXTS = [(1, "the cat saw the cat and a dog"), (1, "cat saw"), (2, ""), (3, None), (4, "aa bb aa bb aa"), (5, "x ."), (6, "Größe größe 42 42 42"), (None, "no key no key")]
 
@@ -74,3 +75,18 @@ def test_tfidf_counts_terms_inside_the_row(spark):
     for r in got.collect():
         per.setdefault(r.k, {})[r.term] = r.weight
     assert set(per[1]) == set(python_terms(TEXTS[0][1])) and all(abs(sum(w * w for w in d.values()) - 1) < 1e-12 for d in per.values())
+
+
+def test_sums_of_frequent_and_rare_terms(spark, monkeypatch):
+    """Frequent terms are summed where they lie, rare ones are shuffled: the same sums, terms without a weight left out."""
+    pairs = [(i % 7, f"t{i * i % 13}", i) for i in range(200)]
+    weights = [(f"t{j}", j % 3, float(j + 1)) for j in range(10)]
+    made = spark.createDataFrame(pairs, "k int, term string, tf int").repartition(3), spark.createDataFrame(weights, "term string, n int, w double")
+    want, w = Counter(), {t: x for t, _, x in weights}
+    for k, term, tf in pairs:
+        want[k] += tf * w.get(term, 0)
+    for held in (100, 3):
+        monkeypatch.setattr(nb, "HELD_TERMS", held)
+        got = nb.summed(made[0], "k", "term", made[1], {"s": F.col("tf") * F.col("w")})
+        assert {r.k: r.s for r in got.collect()} == {k: x for k, x in want.items() if x}
+        assert ("LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()) == (held == 3)
