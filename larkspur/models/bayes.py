@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.functions.text import each
 from larkspur.operators.clean import attach_one
 from larkspur.session import cut
 
@@ -37,17 +37,15 @@ def gaussian_score(df: DataFrame, model: DataFrame, cols: Sequence[str]) -> Data
     return rows.withColumns({"pred": F.col("m")[F.array_position("_lp", top) - 1]["cls"], "prob": 1 / total}).drop("m", "total", "_lp")
 
 
-def class_term_table(docs: DataFrame, y: str, vocab: DataFrame) -> DataFrame:
-    """(cls, term, n, docs) of the vocabulary terms, straight from the term lists.
+def class_term_table(docs: DataFrame, y: str, min_docs: int) -> DataFrame:
+    """(cls, term, n, docs) of the terms that ``min_docs`` documents hold, from each document's ``runs`` of (term, tf).
 
-    Occurrences and first occurrences are summed per (class, term) map-side; no (document, term) pair
-    is shuffled.
+    A document adds a term once; occurrences and documents are summed per (class, term) map-side, then brought together per term:
+    texts are read once, and no (document, term) pair is shuffled.
     """
-    cells = F.concat(
-        F.transform("terms", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
-        F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))))
-    flat = docs.select(F.col(y).alias("cls"), F.inline(cells))
-    return flat.groupBy("cls", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).join(vocab, "term", "left_semi")
+    cells = docs.select(F.col(y).alias("cls"), F.inline("runs")).groupBy("cls", "term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
+    terms = cells.groupBy("term").agg(F.collect_list(F.struct("cls", "n", "docs")).alias("cells"), F.sum("docs").alias("docs"))
+    return terms.filter(F.col("docs") >= min_docs).select("term", F.inline("cells")).select("cls", "term", "n", "docs")
 
 
 def _full(table: DataFrame, labels: DataFrame, y: str) -> tuple[DataFrame, DataFrame]:
@@ -111,15 +109,24 @@ def summed(pairs: DataFrame, key: str, term: str, weights: DataFrame, sums: dict
     return near.unionByName(far).groupBy(key).agg(*[F.sum(n).alias(n) for n in sums])
 
 
-def term_scores(docs: DataFrame, key: str, model: tuple[DataFrame, DataFrame], binary: bool = False) -> DataFrame:
-    """(key, cls, score) for every document and class, also for documents without a known term."""
-    w, bias = model
-    known = [(r.cls, r.bias) for r in bias.collect()]  # one row per class
-    terms = F.array_distinct("terms") if binary else F.col("terms")
-    hits = docs.select(key, each(terms).alias("term")).join(wide_weights(w, [c for c, _ in known]), "term")
-    sums = hits.groupBy(key).agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(known))])
-    cells = F.array(*[F.struct(F.lit(c).alias("cls"), (F.lit(b) + F.coalesce(f"s{i}", F.lit(0.0))).alias("score")) for i, (c, b) in enumerate(known)])
-    return docs.select(key).join(sums, key, "left").select(key, F.inline(cells))
+def term_scores(docs: DataFrame, key: str, table: DataFrame, models: Sequence[tuple[DataFrame, DataFrame]], binary: bool = False) -> list[DataFrame]:
+    """(key, cls, score) of each model for every document and class, also for documents without a known term.
+
+    The weights of all models lie side by side, so that documents' ``runs`` meet them once.
+    """
+    parts, known = [], []
+    for m, (w, bias) in enumerate(models):
+        known.append([(r.cls, r.bias) for r in bias.collect()])  # one row per class
+        parts.append(w.select("term", F.lit(m).alias("m"), "cls", "w"))
+    slots = {f"{m}_{i}": (F.col("m") == m) & (F.col("cls") == c) for m, k in enumerate(known) for i, (c, _) in enumerate(k)}
+    wide = reduce(DataFrame.unionByName, parts).groupBy("term").agg(*[F.max(F.when(mine, F.col("w"))).alias(f"w{s}") for s, mine in slots.items()])
+    weights = wide.join(table.groupBy("term").agg(F.sum("n").alias("n")), "term")
+    times = F.lit(1) if binary else F.col("tf")
+    sums = summed(docs.select(key, F.inline("runs")), key, "term", weights, {f"s{s}": times * F.col(f"w{s}") for s in slots})
+    scored = docs.select(key).join(sums, key, "left")
+    scored = cut(scored) if len(models) > 1 else scored
+    return [scored.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("cls"), (F.lit(b) + F.coalesce(f"s{m}_{i}", F.lit(0.0))).alias("score")) for i, (c, b) in enumerate(k)])))
+            for m, k in enumerate(known)]
 
 
 def best_class(scores: DataFrame, key: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasOutputCols, Ha
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.functions.text import each, vocabulary, with_terms
+from larkspur.functions.text import each, run_counts, with_terms
 from larkspur.models import bayes
 from larkspur.operators.prefix import exact_quantiles
 from larkspur.session import cut
@@ -287,10 +287,8 @@ class TextBayes(StateEstimator, _BayesParams):
 
     def learn(self, dataset: DataFrame) -> DataFrame:
         rows = dataset.select(F.col(self.getLabelCol()).cast("double").alias("cls"), F.col(self.getOrDefault(self.textCol)).alias("_body")).filter("cls is not null")
-        # tokenised once: vocabulary and class counts read the stored terms
-        docs = cut(with_terms(rows, "_body", grams=self.getOrDefault(self.grams)).select("cls", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")))
-        vocab = vocabulary(docs, F.lit(1), self.getOrDefault(self.minDocs), 1e18).select("term")
-        table = cut(bayes.class_term_table(docs, "cls", vocab))
+        docs = with_terms(rows, "_body", grams=self.getOrDefault(self.grams)).select("cls", run_counts(F.col("terms")).alias("runs"))
+        table = cut(bayes.class_term_table(docs, "cls", self.getOrDefault(self.minDocs)))
         fit = {"multinomial": bayes.multinomial_fit, "complement": bayes.complement_fit, "bernoulli": bayes.bernoulli_fit}[self.getOrDefault(self.modelType)]
         weights, bias = fit(table, docs, "cls", self.getOrDefault(self.alpha))
         return weights.select("term", "cls", "w").unionByName(bias.select(F.lit(None).cast("string").alias("term"), "cls", F.col("bias").alias("w")))

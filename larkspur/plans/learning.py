@@ -207,10 +207,10 @@ def gaussian_nb(t):
 
 
 def nb_input(t):
-    """Labelled documents with their terms, tokenised once, the train rows among them, and every term that three train documents hold."""
-    docs = cut(tx.with_terms(view(t, "v_text"), "text").select("doc_id", "y", "terms"))
+    """Labelled documents with their distinct terms and occurrences, tokenised once, the train rows among them, and the class counts of every term that three train documents hold."""
+    docs = cut(tx.with_terms(view(t, "v_text"), "text").select("doc_id", "y", tx.run_counts(F.col("terms")).alias("runs")))
     train = docs.filter("doc_id % 5 <> 0")
-    return docs, train, tx.vocabulary(train, F.lit(1), 3, 1e18).select("term")
+    return docs, train, cut(nb.class_term_table(train, "y", 3))
 
 
 _TT = _TERMS.replace("FROM documents), g", "FROM v_text), g")
@@ -229,9 +229,8 @@ _PRIOR = "SELECT cls, ln(nd2 / (SELECT sum(nd2) FROM cl)) AS bias FROM cl"
 
 
 def _nb_query(t, fit, binary=False):
-    docs, train, vocab = nb_input(t)
-    table = cut(nb.class_term_table(train, "y", vocab))
-    s = nb.term_scores(docs, "doc_id", fit(table, train, "y"), binary)
+    docs, train, table = nb_input(t)
+    s, = nb.term_scores(docs, "doc_id", table, [fit(table, train, "y")], binary)
     return nb.best_class(s, "doc_id").select("doc_id", F.col("pred").cast("int").alias("pred"), rnd("score", 4).alias("score"))
 
 
@@ -260,11 +259,12 @@ _ALPHAS = (0.01, 0.1, 1.0, 10.0)
     p AS (SELECT alpha, doc_id, any_value(y) AS y, arg_max(cls, round(score, 6) + cls * 1e-9) AS pred FROM s GROUP BY ALL)
     SELECT alpha, doc_id % 5 = 0 AS held_out, {r6("avg(CAST(pred = y AS INT))")} AS accuracy FROM p GROUP BY ALL""")
 def nb_alpha_sweep(t):
-    docs, train, vocab = nb_input(t)
-    table = cut(nb.class_term_table(train, "y", vocab))
+    docs, train, table = nb_input(t)
+    labels = docs.select("doc_id", "y")
     out = None
-    for a in _ALPHAS:
-        s = nb.best_class(nb.term_scores(docs, "doc_id", nb.multinomial_fit(table, train, "y", a)), "doc_id").join(docs, "doc_id")
+    # documents meet the weights of all settings in one join
+    for a, scores in zip(_ALPHAS, nb.term_scores(docs, "doc_id", table, [nb.multinomial_fit(table, train, "y", a) for a in _ALPHAS])):
+        s = nb.best_class(scores, "doc_id").join(labels, "doc_id")
         r = s.groupBy((F.col("doc_id") % 5 == 0).alias("held_out")).agg(rnd(F.avg(flag(F.col("pred") == F.col("y")))).alias("accuracy")).withColumn("alpha", F.lit(a))
         out = r if out is None else out.unionByName(r)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from larkspur.functions import text as tx
 from larkspur.models import bayes as nb
+from tests.conftest import SF
 
 TEXTS = [(1, "the cat saw the cat and a dog"), (1, "cat saw"), (2, ""), (3, None), (4, "aa bb aa bb aa"), (5, "x ."), (6, "Größe größe 42 42 42"), (None, "no key no key")]
 
@@ -90,3 +91,13 @@ def test_sums_of_frequent_and_rare_terms(spark, monkeypatch):
         got = nb.summed(made[0], "k", "term", made[1], {"s": F.col("tf") * F.col("w")})
         assert {r.k: r.s for r in got.collect()} == {k: x for k, x in want.items() if x}
         assert ("LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()) == (held == 3)
+
+
+def test_bayes_settings_share_one_pass_over_the_documents(spark, monkeypatch):
+    calls, summed = [], nb.summed
+    monkeypatch.setattr(nb, "summed", lambda *a: calls.append(1) or summed(*a))
+    assert entry.queries()["nb_alpha_sweep"](spark, SF).count() == 8 and len(calls) == 1
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (0, ["a", "c"]), (1, ["b"]), (None, ["c"]), (0, None)], "y int, terms array<string>")
+    table = nb.class_term_table(docs.select("y", tx.run_counts(F.col("terms")).alias("runs")), "y", 2)
+    assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.cls, r.term, r.n, r.docs) for r in table.collect()} == {(1, "a", 2, 1), (0, "a", 1, 1), (1, "b", 2, 2), (0, "c", 1, 1), (None, "c", 1, 1)}
