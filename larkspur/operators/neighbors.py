@@ -48,8 +48,60 @@ def _distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * q @ b.T
 
 
+#: In so few dimensions a block is searched by boxes of so many points
+_LOW_DIMS, _BOX = 8, 256
+
+
+def _boxes(x: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of ``x`` in boxes of at most ``_BOX`` points: halves along the widest side."""
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= _BOX:
+            done.append(at)
+            continue
+        side = x[at]
+        order = np.argpartition(side[:, np.ptp(side, axis=0).argmax()], len(at) // 2)
+        todo += [at[order[:len(at) // 2]], at[order[len(at) // 2:]]]
+    return done
+
+
 def _top(qs: pd.DataFrame, bs: pd.DataFrame, k: int, metric: str, rule: str, radius: float) -> pd.DataFrame:
-    """k nearest base rows of each query inside one block."""
+    """k nearest base rows of each query inside one block.
+
+    In few dimensions queries and base points are cut into boxes; a box of queries meets boxes of base points from the nearest
+    on, until the next is farther than the k-th neighbour of each of its queries.
+    """
+    if rule == "min_tag" or len(bs) <= 2 * _BOX or not len(qs) or len(qs["vec"].iloc[0]) > _LOW_DIMS:
+        return _top_of_all(qs, bs, k, metric, rule, radius)
+    base, query = np.stack(bs["vec"].to_numpy()).astype(float), np.stack(qs["vec"].to_numpy()).astype(float)
+    boxes = _boxes(base)
+    low, high = np.array([base[b].min(0) for b in boxes]), np.array([base[b].max(0) for b in boxes])
+    found = []
+    for mine in _boxes(query):
+        q = query[mine]
+        gaps = np.maximum(0.0, np.maximum(low - q.max(0), q.min(0) - high))
+        far = gaps.sum(1) if metric == "l1" else np.sqrt((gaps * gaps).sum(1))
+        order, asked = np.argsort(far, kind="stable"), qs.iloc[mine]
+        # distances of the boxes are rounded as well: a margin far above that, far below any distance that matters
+        far = far[order] * (1 - 1e-9) - 1e-12
+        best, at, reach = None, 0, radius
+        while at < len(order) and far[at] <= reach:
+            step = np.searchsorted(far, 0.0, side="right") if at == 0 else at * 2
+            step = min(max(step, at + 1), int(np.searchsorted(far, reach, side="right")))
+            part = _top_of_all(asked, bs.iloc[np.concatenate([boxes[b] for b in order[at:step]])], k, metric, rule, radius)
+            best = part if best is None else pd.concat([best, part], ignore_index=True).sort_values(["qid", "dist", "bid"]).groupby("qid").head(k)
+            kth = best.groupby("qid")["dist"].agg(["size", "max"])
+            if len(kth) == asked["id"].nunique() and kth["size"].min() >= k:
+                reach = min(radius, kth["max"].max())
+            at = step
+        if best is not None:
+            found.append(best)
+    return pd.concat(found, ignore_index=True) if found else _top_of_all(qs, bs.iloc[:0], k, metric, rule, radius)
+
+
+def _top_of_all(qs: pd.DataFrame, bs: pd.DataFrame, k: int, metric: str, rule: str, radius: float) -> pd.DataFrame:
+    """k nearest of all base rows, for each query."""
     if not len(qs) or not len(bs):
         return pd.DataFrame({"qid": [], "bid": [], "dist": []}).astype({"qid": "int64", "bid": "int64", "dist": "float64"})
     base, bid, btag = np.stack(bs["vec"].to_numpy()).astype(float), bs["id"].to_numpy(), bs["tag"].to_numpy()
@@ -199,7 +251,9 @@ def knn(
         return pd.Series([np.flatnonzero(r).astype("int32") for r in allowed])
 
     tau = F.least(F.coalesce("tau", F.lit(math.inf)), cap)
-    asked = asked.withColumn("cell", F.explode(route("vec", tau))).drop("tau")
+    # stored: the first search is behind it, and the counts and the search below both read it
+    asked = session.cut(asked.withColumn("cells", route("vec", tau)).drop("tau"))
+    asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
     counts = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
     asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), _pick(subs, F.col("cell")) - 1)))
     hits = search(asked, b, counts, k)
