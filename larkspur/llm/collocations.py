@@ -2,10 +2,11 @@
 
 1. Words and pairs of neighbours are counted per language.  What is rarer than the least count can stand in no candidate,
    so a piece ends at such a word, and between the words of such a pair.
-2. From every word of a piece runs one edge of five words; where the piece ends sooner, a shorter one, the piece-end
-   correction.  Equal edges are added up inside a task before they leave it.
+2. What is left of a text, its runs of three words and more, is stored, and its triples are counted; runs then also end
+   inside rare triples.  From every word of a run of four or more goes one edge of five words; where the run ends sooner,
+   a shorter one, the piece-end correction.  Equal edges are added up inside a task before they leave it.
 3. Edges are cut into ranges and sorted.  Phrases with the same beginning then lie side by side, so one pass derives the
-   flow through every node: the count of a phrase of two to five words is the weight of all edges that begin with it.
+   flow through every node: the count of a phrase is the weight of all edges that begin with it.
    Runs that touch the border of a range are added up over the ranges, so no phrase is too frequent for a task.
 4. Where the whole flow of a phrase goes on through one longer phrase, the path between them is unary: it is compacted,
    and only the longer phrase stays.  Cuts of a candidate read their counts from the same nodes.
@@ -25,8 +26,8 @@ from larkspur.llm.jaccard import blocks
 from larkspur.llm.words import CHUNK, powers, scramble, text_bytes
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Frequent words, and frequent pairs, that may travel to the tasks (eight bytes each).  An edge then takes two numbers; with more
-#: words it takes six and nothing is cut, with more pairs only words are: the counts are the same
+#: Frequent words, pairs and triples that may travel to the tasks (eight bytes each).  An edge then takes two numbers; with more
+#: words it takes six and nothing is cut, with more pairs only words are, with more triples runs stay whole: the counts are the same
 DICTIONARY = (1 << 21) - 1
 _BITS = np.uint64(21)
 #: Text bytes of a block, words of one slice of edges, edges that a task holds to add equal ones up
@@ -131,85 +132,159 @@ def _pack(ids: np.ndarray) -> np.ndarray:
     return np.stack([ids[:, 0] << _BITS | ids[:, 1], ids[:, 2] << (_BITS + _BITS) | ids[:, 3] << _BITS | ids[:, 4]], 1)
 
 
-def _ids(block: pa.Table, known) -> tuple[np.ndarray, np.ndarray]:
-    """(id of every word, whether a piece begins there); with a dictionary, words outside it are 0 and pieces of their own."""
+def _ids(block: pa.Table, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id of every word, whether a piece begins there, its text); with a dictionary, words outside it are 0 and pieces of their own."""
     _, offsets, parts, languages = _entries(block)
-    ids, begin = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    ids, begin, text = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
     for numbers, starts, _, new in parts:
-        entry = scramble(numbers + languages[np.searchsorted(offsets, starts, side="right") - 1])
+        text.append(np.searchsorted(offsets, starts, side="right") - 1)
+        entry = scramble(numbers + languages[text[-1]])
         if known is not None:
             entry = entry.view(np.int64)
             at = np.minimum(np.searchsorted(known.value, entry), len(known.value) - 1)
             entry = np.where(known.value[at] == entry, at + 1, 0).astype(np.uint64)
         ids.append(entry)
         begin.append(new)
-    ids, begin = np.concatenate(ids), np.concatenate(begin)
+    ids, begin, text = np.concatenate(ids), np.concatenate(begin), np.concatenate(text)
     if known is not None:
         rare = ids == 0
         begin |= rare
         begin[1:] |= rare[:-1]
-    return ids, begin
+    return ids, begin, text
 
 
 def _pairs(known):
     """(c0, n): neighbouring words of a piece as one number, added up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
-            ids, begin = _ids(block, known)
+            ids, begin, _ = _ids(block, known)
             pair = (ids[:-1] << _BITS | ids[1:])[~begin[1:]]
             found, n = np.unique(pair, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["c0", "n"])
     return run
 
 
-def _edges(known, pairs):
-    """(c0.., n): the edges of a task's texts, equal ones added up.
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows of ``keys`` added up, sorted."""
+    order = np.lexsort(keys.T[::-1])
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+    return keys[new], np.add.reduceat(n, new)
 
-    ``known``, ``pairs``: broadcast sorted entries of words and numbers of pairs that are frequent, or None where any may occur.
-    """
-    packed = known is not None
-
-    def keyed(ids: np.ndarray, length: np.ndarray) -> np.ndarray:
-        ids = np.where(np.arange(LONGEST) < length[:, None], ids, np.uint64(0))
-        return _pack(ids) if packed else np.concatenate([ids, length[:, None].astype(np.uint64)], 1)
-
-    def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort(keys.T[::-1])
-        keys, n = keys[order], n[order]
-        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-        return keys[new], np.add.reduceat(n, new)
 
+def _sums(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(c0.., n): the keys that a task finds, equal ones added up; at most ``HELD`` wait."""
     def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         cols = [pa.array(np.ascontiguousarray(keys[:, c]).view(np.int64)) for c in range(keys.shape[1])]
         return pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], names=[*[f"c{c}" for c in range(len(cols))], "n"])
 
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for keys in found:
+        if len(keys):
+            held.append(_added(keys, np.ones(len(keys), np.int64)))
+        if sum(len(n) for _, n in held) > HELD:
+            held = [_added(*(np.concatenate(x) for x in zip(*held)))]
+            if len(held[0][1]) > HELD // 2:
+                yield out(*held.pop())
+    if held:
+        yield out(*_added(*(np.concatenate(x) for x in zip(*held))))
+
+
+def _lengths(begin: np.ndarray) -> np.ndarray:
+    """Words from each word to the end of its piece, itself included."""
+    stops = np.append(np.flatnonzero(begin), len(begin))
+    return stops[np.searchsorted(stops, np.arange(len(begin)), side="right")] - np.arange(len(begin))
+
+
+def _keyed(ids: np.ndarray, length: np.ndarray, shortest: int, packed: bool) -> Iterator[np.ndarray]:
+    """The edges of ``shortest`` words and more; ``length``: words left from each word on."""
+    ids = np.append(ids, np.zeros(LONGEST, np.uint64))
+    at, length = np.flatnonzero(length >= shortest), np.minimum(length, LONGEST)
+    for lo in range(0, len(at), SLICE):
+        p = at[lo:lo + SLICE]
+        edge = np.where(np.arange(LONGEST) < length[p][:, None], ids[p[:, None] + np.arange(LONGEST)], np.uint64(0))
+        yield _pack(edge) if packed else np.concatenate([edge, length[p][:, None].astype(np.uint64)], 1)
+
+
+def _edges(known):
+    """(c0.., n): the edges of two words and more of a task's texts; ``known``: broadcast sorted entries of frequent words, or None where any may occur."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for block in blocks(batches, BLOCK_BYTES):
+            ids, begin, _ = _ids(block, known)
+            yield from _keyed(ids, _lengths(begin), 2, known is not None)
+    return lambda batches: _sums(found(batches))
+
+
+def _runs(known, pairs):
+    """(ids): per text its runs of three words and more in which all pairs are frequent, a 0 after each; none for texts without.
+
+    ``pairs``: broadcast sorted numbers of the frequent pairs.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         for block in blocks(batches, BLOCK_BYTES):
-            ids, begin = _ids(block, known)
+            ids, begin, text = _ids(block, known)
             if not len(ids):
                 continue
-            if pairs is not None:
-                pair = (ids[:-1] << _BITS | ids[1:]).view(np.int64)
-                at = np.minimum(np.searchsorted(pairs.value, pair), len(pairs.value) - 1)
-                begin[1:] |= pairs.value[at] != pair
+            pair = (ids[:-1] << _BITS | ids[1:]).view(np.int64)
+            at = np.minimum(np.searchsorted(pairs.value, pair), len(pairs.value) - 1)
+            begin[1:] |= pairs.value[at] != pair
             stops = np.append(np.flatnonzero(begin), len(ids))
-            length = stops[np.searchsorted(stops, np.arange(len(ids)), side="right")] - np.arange(len(ids))
-            length = np.minimum(length, LONGEST)
-            ids = np.append(ids, np.zeros(LONGEST, np.uint64))
-            at = np.flatnonzero(length > 1)
-            for lo in range(0, len(at), SLICE):
-                p = at[lo:lo + SLICE]
-                held.append(added(keyed(ids[p[:, None] + np.arange(LONGEST)], length[p]), np.ones(len(p), np.int64)))
-                if sum(len(n) for _, n in held) > HELD:
-                    held = [added(*(np.concatenate(x) for x in zip(*held)))]
-                    if len(held[0][1]) > HELD // 2:
-                        yield out(*held.pop())
-        if held:
-            yield out(*added(*(np.concatenate(x) for x in zip(*held))))
+            kept = np.repeat(np.diff(stops) >= 3, np.diff(stops))
+            last = np.append(begin[1:], True)[kept]
+            ids, text = ids[kept], text[kept]
+            if not len(ids):
+                continue
+            # a 0 behind the last word of each run
+            place = np.arange(len(ids)) + np.cumsum(last) - last
+            flat, of = np.zeros(len(ids) + int(last.sum()), np.int32), np.zeros(len(ids) + int(last.sum()), np.int64)
+            flat[place], of[place], of[place[last] + 1] = ids, text, text[last]
+            rows = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(flat))], names=["ids"])
     return run
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The numbers of stored runs, about ``SLICE`` at a time; runs stay whole."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        held.append(b.column("ids").flatten().to_numpy().astype(np.uint64))
+        if sum(map(len, held)) >= SLICE:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
+
+
+def _three(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all triples, whether each lies inside a run)."""
+    return ids[:-2] << (_BITS + _BITS) | ids[1:-1] << _BITS | ids[2:], (ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0)
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c0, n): three neighbouring words of a run as one number, added up."""
+    def found() -> Iterator[np.ndarray]:
+        for ids in _flat(batches):
+            triple, inside = _three(ids)
+            yield triple[inside][:, None]
+    return _sums(found())
+
+
+def _long_edges(triples):
+    """(c0, c1, n): the edges of four words and more of stored runs; ``triples``: broadcast sorted numbers of the frequent ones, or None where any may occur."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for ids in _flat(batches):
+            triple, good = _three(ids)
+            if triples is not None:
+                at = np.minimum(np.searchsorted(triples.value, triple.view(np.int64)), len(triples.value) - 1)
+                good &= triples.value[at] == triple.view(np.int64)
+            # from a word on, two neighbouring triples make four words, three make five
+            length = np.zeros(len(ids), np.int64)
+            length[:-3] = 4 * (good[:-1] & good[1:])
+            length[:-4] += good[:-2] & good[1:-1] & good[2:]
+            yield from _keyed(ids, length, 4, True)
+    return lambda batches: _sums(found(batches))
+
+
 def _beginnings(keys: np.ndarray, k: int, packed: bool) -> tuple[np.ndarray, np.ndarray]:
     """(the first k words of each edge as a key, which edges have them)."""
     if packed:
@@ -223,12 +298,12 @@ def _beginnings(keys: np.ndarray, k: int, packed: bool) -> tuple[np.ndarray, np.
     return out, keys[:, LONGEST] >= k
 
 
-def _flows(least: int, packed: bool):
-    """Counts of all beginnings in one sorted range; those below ``least`` only where the range may hold a part of them."""
+def _flows(least: int, packed: bool, shortest: int):
+    """Counts of all beginnings of ``shortest`` words and more in one sorted range; those below ``least`` only where the range may hold a part of them."""
     columns = 2 if packed else LONGEST + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, int, bool] | None] = {k: None for k in range(2, LONGEST + 1)}
+        held: dict[int, tuple[np.ndarray, int, bool] | None] = {k: None for k in range(shortest, LONGEST + 1)}
 
         def rows(k: int, keys: np.ndarray, n: list[int]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), *[pa.array(np.ascontiguousarray(keys[:, c]).view(np.int64)) for c in range(columns)],
@@ -239,7 +314,7 @@ def _flows(least: int, packed: bool):
                 continue
             all_keys = np.stack([b.column(f"c{c}").to_numpy().view(np.uint64) for c in range(columns)], 1)
             weight = b.column("n").to_numpy()
-            for k in range(2, LONGEST + 1):
+            for k in held:
                 keys, has = _beginnings(all_keys, k, packed)
                 keys, w = keys[has], weight[has]
                 if not len(keys):
@@ -295,25 +370,47 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, least: int, dictionary: in
         words = table(frequent.select(F.col("entry").alias("id"), "lang", "word", "n"), "frequent")
     columns = [f"c{c}" for c in range(2 if packed else LONGEST + 1)]
     longs = ", ".join(f"{c} bigint" for c in columns)
-    known = pairs = None
-    if packed and len(entries):
-        known = spark.sparkContext.broadcast(entries)
-        often = text.mapInArrow(_pairs(known), "c0 bigint, n bigint").groupBy("c0").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        pairs = sorted_if_few(table(often, "pairs").select("c0"))
-    if packed and (not len(entries) or pairs is not None and not len(pairs)):
-        edges = spark.createDataFrame([], f"{longs}, n bigint")
+    low = F.lit(DICTIONARY)
+
+    def counted(df: DataFrame, label: str) -> DataFrame:
+        return table(df.groupBy("c0").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), label)
+
+    known, shortest, shorter = None, 2, []
+    if packed and not len(entries):
+        edges = None
     else:
-        held = spark.sparkContext.broadcast(pairs) if pairs is not None else None
-        edges = table(text.mapInArrow(_edges(known, held), f"{longs}, n bigint"), "edges")
+        if packed:
+            known = spark.sparkContext.broadcast(entries)
+            often = counted(text.mapInArrow(_pairs(known), "c0 bigint, n bigint"), "pairs")
+            pairs = sorted_if_few(often.select("c0"))
+        if not packed or pairs is None:
+            edges = table(text.mapInArrow(_edges(known), f"{longs}, n bigint"), "edges")
+        else:
+            # pairs and triples have their counts already: edges are left for four words and more, and only where all triples are frequent
+            shortest, edges = 4, None
+            shorter.append(often.select(F.lit(2).alias("k"), F.array(F.shiftright("c0", 21), F.col("c0").bitwiseAND(low)).alias("ids"), "n"))
+            if len(pairs):
+                runs = table(text.mapInArrow(_runs(known, spark.sparkContext.broadcast(pairs)), "ids array<int>"), "runs")
+                often = counted(runs.mapInArrow(_triples, "c0 bigint, n bigint"), "triples")
+                triples = sorted_if_few(often.select("c0"))
+                shorter.append(often.select(F.lit(3).alias("k"), F.array(F.shiftright("c0", 42), F.shiftright("c0", 21).bitwiseAND(low), F.col("c0").bitwiseAND(low)).alias("ids"), "n"))
+                if triples is None or len(triples):
+                    held = spark.sparkContext.broadcast(triples) if triples is not None else None
+                    edges = table(runs.mapInArrow(_long_edges(held), f"{longs}, n bigint"), "edges")
+    if edges is None:
+        edges = spark.createDataFrame([], f"{longs}, n bigint")
     # ranges of whole edges: a beginning may go on in the next range, so none is too frequent for a task
     ranged = edges.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).sortWithinPartitions(*columns)
-    flows = ranged.mapInArrow(_flows(least, packed), f"k int, {longs}, n bigint").groupBy("k", *columns).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    flows = ranged.mapInArrow(_flows(least, packed, shortest), f"k int, {longs}, n bigint").groupBy("k", *columns).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     if packed:
-        low, mid = F.lit(DICTIONARY), F.col("c1")
+        mid = F.col("c1")
         ids = F.array(F.shiftright("c0", 21), F.col("c0").bitwiseAND(low), F.shiftright(mid, 42), F.shiftright(mid, 21).bitwiseAND(low), mid.bitwiseAND(low))
     else:
         ids = F.array(*columns[:LONGEST])
-    return table(flows.select("k", F.slice(ids, F.lit(1), F.col("k")).alias("ids"), "n"), "flows"), words
+    phrases = flows.select("k", F.slice(ids, F.lit(1), F.col("k")).alias("ids"), "n")
+    for more in shorter:
+        phrases = phrases.unionAll(more)
+    return table(phrases, "flows"), words
 
 
 def _wide(c: Column) -> Column:

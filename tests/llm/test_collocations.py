@@ -8,6 +8,7 @@ import pytest
 
 from larkspur.llm import collocations as module
 from larkspur.llm.collocations import collocations
+from larkspur.llm.common import tables_into
 
 
 def brute(rows, least, top, share=100):
@@ -90,3 +91,31 @@ def test_huge_counts_stay_exact(spark):
 def test_empty(spark):
     assert collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert collocations(spark.createDataFrame([(None, None, "", 0.0, 0), ("one two", "en", "", 0.0, 0)], SCHEMA)).count() == 0
+
+
+def letters(seed, n):
+    """Texts of random letters: each pair of letters is frequent, few longer phrases are."""
+    rng = random.Random(seed)
+    return [(" ".join(rng.choice("abcdefgh") for _ in range(40)) + rng.choice([".", " q", ""]), "en") for _ in range(n)]
+
+
+def edges_written(spark, rows, least, dictionary=module.DICTIONARY):
+    docs, paths = spark.createDataFrame([(*r, "", 0.5, 1) for r in rows], SCHEMA).repartition(3), []
+    with tables_into(paths):
+        got = sorted(tuple(r) for r in collocations(docs, least, 200, 100, dictionary).collect())
+    assert got == brute(rows, least, 200)
+    return sum(spark.read.parquet(p).count() for p in paths if "/edges-" in p)
+
+
+def test_counted_pairs_and_triples_make_no_edges(spark):
+    """Pairs and triples are counted before edges are made, so edges stand only where a longer phrase may be frequent."""
+    assert edges_written(spark, letters(3, 30), 8) < 60
+    rows = letters(3, 30) + [("a b c d e f", "en")] * 9
+    assert edges_written(spark, rows, 9) < 60
+
+
+def test_more_triples_than_travel(spark):
+    rows = letters(5, 60)
+    seen = Counter(w[i:i + 3] for text, _ in rows for w in [tuple(text.split(".")[0].split())] for i in range(len(w) - 2))
+    assert sum(c >= 5 for c in seen.values()) > 90
+    assert edges_written(spark, rows, 5, 90) > 1000
