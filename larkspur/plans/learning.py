@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, UnivariateFeatureSelector, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
@@ -46,8 +46,9 @@ def cls(t):
 
 
 def spread(df, n, key="id"):
-    """Rows dealt by key over every core, more parts where there are more of ``n`` rows: a fit works long on few bytes, so splits by size leave cores idle."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS)), key)
+    """Rows dealt by key over every core, as many parts on each, more where there are more of ``n`` rows: a fit works long on few bytes, so splits by size leave cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, -(-n // (PART_ROWS * cores))), key)
 
 
 def cls_vec(t, cats=("grp",), **more):
@@ -75,8 +76,8 @@ def halves(df, key="id"):
     return df.filter(in_train(key)), df.filter(~in_train(key))
 
 
-def auc(df, raw="rawPrediction"):
-    return float(BinaryClassificationEvaluator(labelCol="y", rawPredictionCol=raw).evaluate(df))
+def auc(df, raw="rawPrediction", weight=None):
+    return rk.AreaUnderRoc("y", raw, weight).evaluate(df)
 
 
 def rmse(df, p="prediction"):
@@ -677,7 +678,7 @@ def bakeoff(task, models, train, held, evaluator, numeric, cats, folds=5):
 @query("model_bakeoff")
 def model_bakeoff(t):
     """Classifiers and regressors under the same five folds, preprocessing fitted per fold: mean and deviation of the score, test score, seconds of one fit."""
-    auc_of, rmse_of = BinaryClassificationEvaluator(labelCol="y"), RegressionEvaluator(labelCol="y", metricName="rmse")
+    auc_of, rmse_of = rk.AreaUnderRoc(), RegressionEvaluator(labelCol="y", metricName="rmse")
     classifiers = {"logreg": LogisticRegression(labelCol="y", maxIter=15), "tree": DecisionTreeClassifier(labelCol="y", maxDepth=4), "forest": forest(), "svm": LinearSVC(labelCol="y", maxIter=10)}
     regressors = {"linear": LinearRegression(labelCol="y"), "ridge": LinearRegression(labelCol="y", regParam=.1), "tree": DecisionTreeRegressor(labelCol="y", maxDepth=5)}
     out = bakeoff("auc", classifiers, *halves(folded(t)), auc_of, NUM, ("grp",))
@@ -688,7 +689,7 @@ def model_bakeoff(t):
 def _search(t, grid):
     est = DecisionTreeClassifier(labelCol="y")
     maps = [{est.maxDepth: d, est.minInstancesPerNode: m} for d, m in grid]
-    m = crossed(halves(folded(t))[0], est, maps, BinaryClassificationEvaluator(labelCol="y"), NUM, ("grp",))
+    m = crossed(halves(folded(t))[0], est, maps, rk.AreaUnderRoc(), NUM, ("grp",))
     return rows(t.spark, [(d, k, float(s)) for (d, k), s in zip(grid, m.avgMetrics)], "max_depth int, min_rows int, auc double").orderBy(F.desc("auc"))
 
 
@@ -706,14 +707,19 @@ def random_search(t):
 @query("nested_cv")
 def nested_cv(t):
     """Outer folds score, inner folds choose the penalty."""
-    v = with_fold(with_fold(cls_vec(t), "id", 3, "outer"), "id", 2, "inner").withColumn("inner", F.floor(mix_hash("id", 71) * 2).cast("int")).cache()
+    # read, joined and held once, by what the fits read alone: the validator holds every fold once more
+    c = cut(cls(t).select("id", *NUM, "grp", "y"))
+    made = spread(assembled(c, NUM, ("grp",), train=in_train()).select("id", "y", "features"), t.orders.count())
+    v = with_fold(made, "id", 3, "outer").withColumn("inner", F.floor(mix_hash("id", 71) * 2).cast("int")).drop("id").cache()
     est = LogisticRegression(labelCol="y", maxIter=10)
     grid = ParamGridBuilder().addGrid(est.regParam, [.001, .1]).build()
     out = []
     for i in range(3):
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=2, foldCol="inner", parallelism=2)
+        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=rk.AreaUnderRoc(), numFolds=2, foldCol="inner", parallelism=2)
         m = cv.fit(v.filter(F.col("outer") != i))
         out.append((i, float(m.bestModel.getRegParam()), auc(m.transform(v.filter(F.col("outer") == i)))))
+    v.unpersist()
+    release(c)
     return rows(t.spark, out, "fold int, chosen double, auc double")
 
 
@@ -787,7 +793,7 @@ def classifier_chain(t):
         m = LogisticRegression(labelCol=tag, featuresCol="chain", maxIter=20).fit(learn.transform(v))
         seen = VectorAssembler(inputCols=["features", *[f"_p_{c}" for c in cols[1:]]], outputCol="chain")
         scored = m.transform(seen.transform(test))
-        out.append((tag, len(cols) - 1, float(BinaryClassificationEvaluator(labelCol=tag).evaluate(scored))))
+        out.append((tag, len(cols) - 1, rk.AreaUnderRoc(tag).evaluate(scored)))
         test = scored.withColumn(f"_p_{tag}", F.col("prediction")).drop("chain", "rawPrediction", "probability", "prediction")
         cols.append(tag)
     return rows(t.spark, out, "tag string, earlier int, auc double")
