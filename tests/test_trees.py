@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
@@ -47,3 +48,41 @@ def test_regressor_is_fitted_on_cells(spark, t, monkeypatch):
     monkeypatch.setattr(learning, "GBTRegressor", Counted)
     error = learning.gbt_regressor(t).first()[0]
     assert seen == [(seen[0][0], made.filter(learning.in_train()).count())] and seen[0][0] <= 24 * 16 and error < .2
+
+
+def test_counted_cells_hold_every_row_and_boost_as_the_rows(spark):
+    rng = random.Random(3)
+    rows = [(a, b, float(rng.random() < (a + b) / 9)) for _ in range(2000) for a, b in [(min(rng.randrange(6), rng.randrange(6)), rng.randrange(4))]] + [(9, 9, 1.0)] * 500
+    df = spark.createDataFrame(rows, "a int, b int, y double")
+    c = tr.counted_cells(df, ["a", "b", "y"])
+    counts = {(r.a, r.b, r.y): r["count"] for r in df.groupBy("a", "b", "y").count().collect()}
+    got = {}
+    for r in c.collect():
+        got.setdefault((r.a, r.b, r.y), []).append(r.n)
+    assert {k: sum(n) for k, n in got.items()} == counts
+    assert all(len(n) == min(16, -(-counts[k] // 8)) and max(n) - min(n) <= 1 for k, n in got.items()) and len(got[9, 9, 1.0]) == 16
+    whole, small = (VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(x) for x in (df, c))
+    est = GBTClassifier(labelCol="y", maxIter=4, maxDepth=3, seed=1)
+    at = whole.select("a", "b", "features").distinct()
+    want, found = ({(r.a, r.b): r.rawPrediction[1] for r in m.transform(at).collect()} for m in (est.fit(whole), est.copy({est.weightCol: "n"}).fit(small)))
+    assert len(want) == 25 and all(abs(want[k] - found[k]) < 1e-9 for k in want)
+
+
+def test_sweeps_are_fitted_and_judged_on_cells_of_all_rows(spark, t, monkeypatch):
+    made = spark.range(20000).selectExpr("id", "double(id % 4) AS score", "double(id % 3) AS amount", "int(id % 2) AS month", "double(1) AS noise",
+                                         "IF(id % 5 = 0, 'a', 'b') AS grp", "double(id % 7 < id % 4 + id % 3) AS y")
+    monkeypatch.setattr(learning, "cls", lambda _: made)
+    seen, judged = [], []
+
+    class Counted(GBTClassifier):
+        def fit(self, dataset, params=None):
+            seen.append((dataset.count(), dataset.agg(F.sum("n")).first()[0] if "n" in dataset.columns else None))
+            return super().fit(dataset, params)
+
+    area = learning.auc
+    monkeypatch.setattr(learning, "GBTClassifier", Counted)
+    monkeypatch.setattr(learning, "auc", lambda df, **kw: judged.append(df.agg(F.sum("n")).first()[0]) or area(df, **kw))
+    got = learning.boosted_sweeps(t).collect()
+    train = made.filter(learning.in_train()).count()
+    assert seen == [(seen[0][0], train)] * 4 and seen[0][0] <= 4 * 3 * 2 * 2 * 16 and judged == [20000 - train] * 4
+    assert [(r.step, r.subsample) for r in got] == [(.05, .5), (.05, 1.0), (.3, .5), (.3, 1.0)] and all(.6 < r.auc <= 1 for r in got)
