@@ -41,51 +41,25 @@ def roc_auc(df: DataFrame, score: str = "score", y: str = "y", keys: Sequence[st
     return s.groupBy(*keys).agg((won / F.nullif(F.max(F.col("tot_pos") * (F.col("tot_n") - F.col("tot_pos"))), F.lit(0))).alias("auc"))
 
 
-def _runs(s: np.ndarray) -> np.ndarray:
-    """Where runs of equal scores begin; NaN equals NaN."""
-    return np.flatnonzero(np.append(True, (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))))
-
-
-def _equal_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, n, pos): rows of a batch with equal scores added up."""
-    for b in batches:
-        if b.num_rows:
-            s, y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            order = np.argsort(s, kind="stable")
-            s, at = s[order], _runs(s[order])
-            yield pa.RecordBatch.from_arrays([pa.array(s[at]), *[pa.array(np.add.reduceat(x[order], at)) for x in (w, w * y)]], names=["s", "n", "pos"])
-
-
 def _won_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(low, neg, pos, won) of one range of rising scores; won: its pairs of a positive above a negative, ties half.  Only one batch is held."""
     low, below, hits, won = None, 0.0, 0.0, 0.0
-    open_ = [np.zeros(0)] * 3
-
-    def closed(n: np.ndarray, pos: np.ndarray) -> None:
-        nonlocal below, hits, won
-        neg = n - pos
-        won += float((pos * (below + np.cumsum(neg) - neg / 2)).sum())
-        below, hits = below + float(neg.sum()), hits + float(pos.sum())
-
     for b in batches:
         if b.num_rows:
-            # the last score of a batch may go on in the next one
-            s, n, pos = (np.append(x, b.column(c).to_numpy()) for c, x in enumerate(open_))
-            at = _runs(s)
-            s, n, pos = s[at], np.add.reduceat(n, at), np.add.reduceat(pos, at)
+            s, n, pos = (b.column(c).to_numpy() for c in range(3))
+            neg = n - pos
             low = s[0] if low is None else low
-            closed(n[:-1], pos[:-1])
-            open_ = [s[-1:], n[-1:], pos[-1:]]
+            won += float((pos * (below + np.cumsum(neg) - neg / 2)).sum())
+            below, hits = below + float(neg.sum()), hits + float(pos.sum())
     if low is not None:
-        closed(*open_[1:])
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in (low, below, hits, won)], names=["low", "neg", "pos", "won"])
 
 
 class AreaUnderRoc(Evaluator):
     """The exact area under the ROC curve of a model's raw predictions (ties half) as an evaluator for tuners.
 
-    Scores are computed once, equal ones are added up per batch, and ranges of them are sorted and streamed; the driver
-    holds one row per range.  ``BinaryClassificationEvaluator`` sorts boxed pairs, reads them four times and thins the curve.
+    Scores are computed once, equal ones are added up, and ranges of them are sorted and streamed; the driver holds one
+    row per range.  ``BinaryClassificationEvaluator`` sorts boxed pairs, reads them four times and thins the curve.
     """
 
     def __init__(self, label: str = "y", raw: str = "rawPrediction", weight: str | None = None):
@@ -95,8 +69,8 @@ class AreaUnderRoc(Evaluator):
     def _evaluate(self, dataset: DataFrame) -> float:
         score = F.col(self.raw) if isinstance(dataset.schema[self.raw].dataType, T.NumericType) else vector_to_array(self.raw)[1]
         weight = F.col(self.weight) if self.weight else F.lit(1.0)
-        flat = dataset.select((score.cast("double") + 0.0).alias("s"), F.col(self.label).cast("double").alias("y"), weight.cast("double").alias("w"))
-        counts = flat.mapInArrow(_equal_scores, "s double, n double, pos double").cache()
+        flat = dataset.select(score.cast("double").alias("s"), F.col(self.label).cast("double").alias("y"), weight.cast("double").alias("w"))
+        counts = flat.groupBy("s").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos")).cache()
         try:
             ranges = counts.repartitionByRange("s").sortWithinPartitions("s").mapInArrow(_won_pairs, "low double, neg double, pos double, won double").collect()
         finally:
