@@ -121,3 +121,22 @@ def test_models_of_a_fold_share_its_feature_stages(spark, monkeypatch):
     assert len(fits) == 4  # three folds and the whole, for both models
     assert [f[1] for f in found] == ["logreg", "tree"]
     assert all(f[2] > .7 and f[3] >= 0 and f[4] > .7 and f[5] > 0 for f in found)
+
+
+def test_bootstrap_of_a_mean_never_multiplies_rows(spark):
+    from larkspur.operators.split import bootstrap_metric
+    rng = np.random.default_rng(9)
+    key = np.concatenate([rng.integers(0, 1 << 62, 20_000), np.arange(20_000), [-5, -1]])
+    value = rng.integers(0, 2, len(key)).astype(float)
+    null = np.arange(len(key)) % 11 == 0
+    df = spark.createDataFrame([(int(k), None if g else float(v)) for k, v, g in zip(key, value, null)] + [(None, 1.0)], "id bigint, m double")
+    b = bootstrap_metric(df, "id", F.col("m"), 30)
+    got = {r.rep: r.value for r in b.collect()}
+    w = poisson_weights(key, np.arange(30))
+    want = (w * np.where(null, 0, value)[:, None]).sum(0) / w.sum(0)
+    assert sorted(got) == list(range(30)) and all(got[i] == pytest.approx(want[i], rel=1e-12) for i in got)
+    assert "sequence" not in b._jdf.queryExecution().optimizedPlan().toString()
+    assert bootstrap_metric(df.filter("false"), "id", F.col("m"), 30).count() == 0
+    assert all(r.value is None for r in bootstrap_metric(df.filter("m IS NULL AND id IS NOT NULL"), "id", F.col("m"), 3).collect())
+    one = {r.rep: r.value for r in bootstrap_metric(df.filter("id = 7 AND m IS NOT NULL").withColumn("m", F.lit(1.0)), "id", F.col("m"), 30).collect()}
+    assert {r for r, v in one.items() if v is None} == set(np.flatnonzero(poisson_weights(np.array([7]), np.arange(30))[0] == 0).tolist())
