@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PolynomialExpansion, UnivariateFeatureSelector, VectorSlicer
+from pyspark.ml.feature import PolynomialExpansion, StringIndexer, UnivariateFeatureSelector, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     AFTSurvivalRegression, DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression,
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as tx
 from larkspur.functions.scalar import flag, mix_hash, poisson1, ratio, rnd
 from larkspur.metrics import ranking as rk, survival as sv, tables as mt
-from larkspur.models import bayes as nb, linear as ln, trees as tr
+from larkspur.models import bayes as nb, boosting as bo, linear as ln, trees as tr
 from larkspur.models.fitting import assembled, feature_stages, out_of_fold, p1, rows, with_fold
 from larkspur.models.isotonic import isotonic_apply, isotonic_blocks
 from larkspur.operators import encode as en
@@ -48,7 +48,7 @@ def cls(t):
 def spread(df, n, key="id"):
     """Rows dealt by key over every core, as many parts on each, more where there are more of ``n`` rows: a fit works long on few bytes, so splits by size leave cores idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * max(1, -(-n // (PART_ROWS * cores))), key)
+    return df.repartition(cores * max(1, -(-n // (PART_ROWS * cores))), *([key] if isinstance(key, str) else key))
 
 
 def cls_vec(t, cats=("grp",), **more):
@@ -514,8 +514,8 @@ def oob_score(t):
     return per.agg(F.count(F.lit(1)).alias("rows_voted"), rnd(F.avg(flag(flag(F.col("p") >= .5) == F.col("y")))).alias("oob_accuracy"))
 
 
-def gbt(n=15, **kw):
-    return GBTClassifier(labelCol="y", maxIter=n, maxDepth=3, stepSize=kw.pop("stepSize", .2), seed=1, **kw)
+def gbt(n=15, make=None, **kw):
+    return (make or GBTClassifier)(labelCol="y", maxIter=n, maxDepth=3, stepSize=kw.pop("stepSize", .2), seed=1, **kw)
 
 
 @query("gbt_classifier")
@@ -552,22 +552,48 @@ def early_stopping(t):
     return rows(t.spark, [(m.getNumTrees, 40)], "trees_kept int, trees_allowed int")
 
 
+#: What else is swept, at one step on all rows: depths, and the values of lambda and of alpha
+DEPTHS, PENALTIES = (2, 3, 4, 6), (0.0, .1, 1.0, 10.0)
+
+
 @query("boosted_sweeps")
 def boosted_sweeps(t):
-    """Boosted and judged on cells, as trees see 32 bins of a feature: rows in equal bins, of one group and label, are one weighted row or few."""
+    """Step by subsample, judged by their area; depth, lambda and alpha, judged by train and test accuracy and log loss, in the row of the setting they are swept at.
+
+    Boosted and judged on cells, as trees see 32 bins of a feature: rows in equal bins, of one group and label, are one row with their count.
+    A subsample still takes or leaves every row by itself.
+    """
     v = cut(cls(t).select(*NUM, "grp", "y", in_train().alias("train")))
     b = tr.binned(v, tr.bin_edges(v.filter("train"), NUM))
-    c = cut(tr.counted_cells(b, [*NUM, "grp", "y", "train"]))
-    cells = spread(Pipeline(stages=feature_stages(NUM, ["grp"])).fit(c.filter("train")).transform(c).select("features", "y", "n", "train"), c.count(), "features").cache()
+    c = cut(tr.counted_cells(b, [*NUM, "grp", "y", "train"], parts=1))
+    groups = StringIndexer(inputCol="grp", outputCol="_g", handleInvalid="keep", stringOrderType="alphabetAsc").fit(c.filter("train"))
+    cols = [*NUM, "grp"]
+    cells = spread(groups.transform(c).withColumn("grp", F.col("_g").cast("int")).drop("_g"), c.count(), cols).cache()
     train, test = cells.filter("train"), cells.filter("not train")
-    out = []
-    for step in (.05, .3):
-        for sub in (.5, 1.0):
-            m = gbt(10, stepSize=step, subsamplingRate=sub, weightCol="n").fit(train)
-            out.append((step, sub, auc(m.transform(test), weight="n")))
+    make = bo.on_cells(GBTClassifier, cols, ["grp"])
+    settings = [(step, sub) for step in (.05, .3) for sub in (.5, 1.0)]
+    at = settings[-1]
+    wide = [[bo.Setting(at[0], depth=d) for d in DEPTHS], [bo.Setting(at[0], l2=x) for x in PENALTIES], [bo.Setting(at[0], l2=0.0, l1=x) for x in PENALTIES]]
+    # the setting itself is among them, and is fitted below
+    own = bo.Setting(at[0])
+    apart = sorted({s for sweep in wide for s in sweep} - {own}, key=repr)
+
+    def fitted(setting):
+        return gbt(10, make, stepSize=setting[0], subsamplingRate=setting[1], weightCol="n").fit(train)
+
+    # a fit is many short jobs: the fits share the cluster
+    with ThreadPoolExecutor(len(settings) + 1) as pool:
+        effects = pool.submit(bo.boost, train, cols, ["grp"], apart)
+        models = list(pool.map(fitted, settings))
+        effects = effects.result()
+    hits = bo.judged(cells, [models[-1], *effects], "train")
+    place = {s: i for i, s in enumerate([own, *apart])}
+    swept = [[(x, *hits[place[s], True], *hits.get((place[s], False), (None, None))) for x, s in zip(xs, sweep)] for xs, sweep in zip((DEPTHS, PENALTIES, PENALTIES), wide)]
+    out = [(*setting, auc(m.transform(test), weight="n"), *(swept if setting == at else [None] * 3)) for setting, m in zip(settings, models)]
     cells.unpersist()
     release(v, c)
-    return rows(t.spark, out, "step double, subsample double, auc double")
+    effect = "array<struct<{}: {}, train: double, train_loss: double, test: double, test_loss: double>>".format
+    return rows(t.spark, out, f"step double, subsample double, auc double, by_depth {effect('depth', 'int')}, by_lambda {effect('lambda', 'double')}, by_alpha {effect('alpha', 'double')}")
 
 
 @query("impurity_importance")

@@ -86,3 +86,70 @@ def test_sweeps_are_fitted_and_judged_on_cells_of_all_rows(spark, t, monkeypatch
     train = made.filter(learning.in_train()).count()
     assert seen == [(seen[0][0], train)] * 4 and seen[0][0] <= 4 * 3 * 2 * 2 * 16 and judged == [20000 - train] * 4
     assert [(r.step, r.subsample) for r in got] == [(.05, .5), (.05, 1.0), (.3, .5), (.3, 1.0)] and all(.6 < r.auc <= 1 for r in got)
+
+
+def test_a_subsample_takes_rows_and_not_cells():
+    import numpy as np
+    from larkspur.models import boosting as bo
+    bins, y = np.stack([np.arange(2000) % 40, np.arange(2000) // 40]), np.arange(2000) % 2
+    n = np.full(2000, 400.0)
+    kept = bo.drawn(bins, y, n, .5, 1, 3)
+    # four hundred rows, each by itself: 200 and a deviation of 10, where cells of 16 parts deviate by 50
+    assert abs(kept.mean() - 200) < 2 and 9 < kept.std() < 11 and kept.max() < 250
+    assert (bo.drawn(bins[:, 700:], y[700:], n[700:], .5, 1, 3) == kept[700:]).all()
+    assert not (bo.drawn(bins, y, n, .5, 1, 4) == kept).all() and (bo.drawn(bins, y, n, 1.0, 1, 3) == n).all()
+    assert abs(bo.drawn(bins, y, np.ones(2000), .3, 1, 0).mean() - .3) < .05
+
+
+def test_boost_on_cells_against_plain_newton_trees(spark):
+    import numpy as np
+    from larkspur.models import boosting as bo
+    rng = random.Random(4)
+    data = [(a, b, g, int(rng.random() < (a + b + 4 * (g == 1)) / 14)) for _ in range(3000) for a, b, g in [(rng.randrange(6), rng.randrange(4), rng.randrange(3))]]
+    df = spark.createDataFrame(data, "a int, b int, g int, y int")
+    c = df.groupBy("a", "b", "g", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    x, y = np.array(data)[:, :3], np.array(data)[:, 3]
+    asks = [(0, lambda v, k: v > k), (1, lambda v, k: v > k), (2, lambda v, k: v == k)]
+
+    def plain(s):
+        score = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+        worth = lambda g, h: max(abs(g) - s.l1, 0) ** 2 / (h + s.l2)
+        for _ in range(s.rounds):
+            p = 1 / (1 + np.exp(-score))
+            g, h, add = p - y, p * (1 - p), np.zeros(len(y))
+
+            def grow(at, depth):
+                add[at] = -np.sign(g[at].sum()) * max(abs(g[at].sum()) - s.l1, 0) / (h[at].sum() + s.l2)
+                sides = [(j, ask(x[at, j], k)) for j, ask in asks for k in range(6)] if depth else []
+                fair = [(round(worth(g[at][r].sum(), h[at][r].sum()) + worth(g[at][~r].sum(), h[at][~r].sum()) - worth(g[at].sum(), h[at].sum()), 7), r) for _, r in sides if min(h[at][r].sum(), h[at][~r].sum()) >= s.least]
+                best = max(fair, key=lambda f: f[0], default=(0, None))
+                if best[0] > 0:
+                    grow(at[best[1]], depth - 1)
+                    grow(at[~best[1]], depth - 1)
+
+            grow(np.arange(len(y)), s.depth)
+            score = score + s.step * add
+        return score
+
+    settings = [bo.Setting(.3, rounds=4), bo.Setting(.1, depth=2, l2=20.0, rounds=3), bo.Setting(.3, depth=4, l2=0.0, l1=15.0, rounds=2)]
+    models = bo.boost(c, ["a", "b", "g"], ["g"], settings)
+    for s, m in zip(settings, models):
+        got = {(r.a, r.b, r.g): r.rawPrediction for r in m.transform(c).collect()}
+        want = plain(s)
+        assert max(abs(got[tuple(k)] - w) for k, w in zip(x.tolist(), want)) < 1e-9
+    found = bo.judged(c.withColumn("train", F.lit(True)), models, "train")
+    for i, s in enumerate(settings):
+        f = plain(s)
+        want = ((f >= 0) == (y == 1)).mean(), -np.log(1 / (1 + np.exp(np.where(y == 1, -f, f)))).mean()
+        assert np.allclose(found[i, True], want, atol=1e-9)
+
+
+def test_sweeps_cover_depth_lambda_and_alpha(t):
+    got = learning.boosted_sweeps(t).collect()
+    last = got[-1]
+    assert [r.by_depth is None for r in got] == [True, True, True, False]
+    assert [e.depth for e in last.by_depth] == list(learning.DEPTHS)
+    assert [e["lambda"] for e in last.by_lambda] == [e.alpha for e in last.by_alpha] == list(learning.PENALTIES)
+    assert last.by_depth[-1].train_loss < last.by_depth[0].train_loss
+    assert all(s[0].train_loss < s[-1].train_loss for s in (last.by_lambda, last.by_alpha)) and last.by_depth[1][1:] == last.by_lambda[2][1:]
+    assert last.by_lambda[0][1:] == last.by_alpha[0][1:] and all(.5 < e.test <= 1 for s in (last.by_depth, last.by_lambda, last.by_alpha) for e in s)
