@@ -26,3 +26,42 @@ def test_boxes_find_what_all_pairs_find(monkeypatch, metric, rule, radius):
     pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))
     # the first queries in order have fewer earlier points than asked for: nothing bounds their search
     assert rule == "earlier" or sum(pairs) < 0.6 * len(base) * len(queries)
+
+
+@pytest.mark.parametrize("metric,rule,radius", [("l2", "any", np.inf), ("l2", "not_self", 4.0), ("l2", "earlier", np.inf), ("l1", "other_tag", np.inf), ("l1", "not_self", 14.0), ("l1", "earlier", np.inf)])
+def test_streamed_parts_find_what_all_pairs_find(spark, monkeypatch, metric, rule, radius):
+    from pyspark.sql import functions as F
+    base, queries = points(900, 20, 1), points(700, 20, 1)
+    base.loc[5, "vec"][:] = np.nan
+    queries.loc[6, "vec"][3] = 1e6  # beyond every scale
+    want = nn._top_of_all(queries, base.drop(index=5), 6, metric, rule, radius)
+    plain, sizes, one = nn._search_parts, [], lambda d: spark.createDataFrame(d.assign(vec=d["vec"].map(list)), "id long, vec array<double>, tag double")
+    monkeypatch.setattr(nn, "_FIRST_ROWS", 8)
+    monkeypatch.setattr(nn, "_search_parts", lambda *a: sizes.append(a[2]) or plain(*a))
+    got = nn.knn(one(queries), one(base), 6, "id", "id", metric=metric, rule=rule, radius=radius, qtag=F.col("tag"), btag=F.col("tag"), block_rows=64)
+    order = ["qid", "dist", "bid"]
+    found = got.toPandas()
+    assert sizes and (found.groupby("qid")["rn"].max() == found.groupby("qid").size()).all()
+    pd.testing.assert_frame_equal(found[["qid", "bid", "dist"]].sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))
+
+
+def test_streamed_search_writes_no_hits_per_block(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(2000).select("id", F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: F.rand(3) + j * 0).alias("vec"))
+    hits = nn.knn(rows, rows, 5, "id", "id", rule="not_self", block_rows=100)
+    rows_in = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" not in rows_in and "MapInArrow" in rows_in and hits.count() == 10_000
+
+
+def test_bounds_name_every_pair_within_reach():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 64)), rng.normal(size=(50, 64)) * 1000, rng.normal(size=(50, 64)) * 1e-3]) + 30
+    ids = np.arange(500)
+    for metric in ("l2", "l1"):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if metric == "l2" else np.abs(x[:, None] - x[None]).sum(2)
+        tau = np.sort(d, axis=1)[:, 7]
+        part = nn._Part(ids, x, ids * 0.0, tau, [[0]] * 500, 5, metric, "any", np.inf)
+        named = np.zeros(d.shape, bool)
+        for rows, cols in getattr(part, f"_near_{metric}")(ids, x):
+            named[rows, cols] = True
+        assert named[d <= tau[:, None]].all() and named[:400].mean() < .2
