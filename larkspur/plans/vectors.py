@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from larkspur.functions.scalar import flag, rnd
+from larkspur.functions.scalar import flag, let, rnd
 from larkspur.metrics.tables import pair_agreement
 from larkspur.models.decomposition import covariance, fit_pca
 from larkspur.operators import cluster as cl
@@ -105,7 +105,7 @@ def cosine_knn_vote(t):
 
 def unit_vector(v):
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.try_divide(x, norm))
+    return let(norm, lambda n: F.transform(v, lambda x: F.try_divide(x, n)))
 
 
 @query("k_sweep", f"WITH {_nn(10)}, k AS (SELECT unnest(range(1, 11)) AS k), c AS (SELECT q, truth, k, label, row_number() OVER (PARTITION BY q, k ORDER BY count(*) DESC, min(rn)) AS r FROM n JOIN k ON rn <= k GROUP BY 1, 2, 3, 4) SELECT CAST(k AS INT) AS k, {r6('avg(CAST(label <> truth AS INT))')} AS error FROM c WHERE r = 1 GROUP BY 1")

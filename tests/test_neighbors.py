@@ -65,3 +65,24 @@ def test_bounds_name_every_pair_within_reach():
         for rows, cols in getattr(part, f"_near_{metric}")(ids, x):
             named[rows, cols] = True
         assert named[d <= tau[:, None]].all() and named[:400].mean() < .2
+
+
+def test_unit_vectors_take_their_norm_once(spark):
+    from pyspark.sql import functions as F
+    from larkspur.plans.vectors import unit_vector
+    made = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, vec array<double>").select("id", unit_vector(F.col("vec")).alias("u"))
+    assert {r.id: r.u for r in made.collect()} == {1: [.6, .8], 2: [None, None]}
+    # the norm stands in front of the vector's own lambda, not in it
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 1 and "array(SQRT(aggregate(" in plan
+
+
+def test_base_rows_are_sent_once_per_part_and_hits_are_final(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rows = spark.range(3000).select("id", F.transform(F.sequence(F.lit(1), F.lit(12)), lambda j: F.xxhash64("id", j) / F.lit(2.0 ** 63)).alias("vec"))
+    found, plain = [], nn._search_parts
+    monkeypatch.setattr(nn, "_search_parts", lambda *a: found.append((a[4], plain(*a))) or found[-1][1])
+    nn.knn(rows, rows, 50, "id", "id", rule="not_self", block_rows=100)
+    (part_rows, hits), = found
+    # 60 cells of 100 rows: a block's own 50 hits a query would be up to 60 x 150,000
+    assert part_rows == 400 and hits.count() == 3000 * 50 and hits.groupBy("qid").count().filter("count <> 50").count() == 0
