@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: So many tasks send their sums of a pass to the driver as they are
+FEW_TASKS = 16
 #: Rows whose draws are held at a time
 DRAWN = 1 << 20
 _STATE = "bins binary, y binary, n binary, score binary"
@@ -206,6 +208,8 @@ def boost(cells: DataFrame, columns: Sequence[str], nominal: Sequence[str], sett
     share = min(max(first.pos / first.n, 1e-12), 1 - 1e-12)
     models = [Boosted(columns, float(np.log(share / (1 - share))), s.step, s.depth) for s in settings]
     by_value = [c in nominal for c in columns]
+    # a shuffle per pass pays where many tasks would each send their sums to the driver
+    crowded = cells.rdd.getNumPartitions() > FEW_TASKS
     state = cells.select(*columns, y, n).mapInArrow(_begin(columns, y, n, len(settings), models[0].start), _STATE).persist()
     rounds, before = max(s.rounds for s in settings), None
     for turn in range(rounds):
@@ -215,7 +219,9 @@ def boost(cells: DataFrame, columns: Sequence[str], nominal: Sequence[str], sett
         for level in range(max(settings[i].depth for i in live)):
             found = state.mapInArrow(_sums(settings, trees, open_nodes, level, turn, width), "run long, at long, g double, h double")
             sums = {i: np.zeros((2, len(columns) * len(nodes) * width)) for i, nodes in open_nodes.items()}
-            table = found.groupBy("run", "at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+            if crowded:
+                found = found.groupBy("run", "at").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+            table = found.toArrow()
             if before is not None:
                 # this pass has read all scores it was made from
                 before.unpersist()
@@ -224,7 +230,8 @@ def boost(cells: DataFrame, columns: Sequence[str], nominal: Sequence[str], sett
             ahead: dict[int, list[int]] = {}
             for i, nodes in open_nodes.items():
                 s, t = settings[i], trees[i]
-                sums[i][:, at[run == i]] = g[run == i], h[run == i]
+                for side, part in zip(sums[i], (g, h)):
+                    side += np.bincount(at[run == i], part[run == i], len(side))
                 shaped = sums[i].reshape(2, len(columns), len(nodes), width)
                 for k, node in enumerate(nodes):
                     ng, nh = shaped[0, :, k], shaped[1, :, k]

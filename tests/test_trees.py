@@ -132,7 +132,9 @@ def test_boost_on_cells_against_plain_newton_trees(spark):
         return score
 
     settings = [bo.Setting(.3, rounds=4), bo.Setting(.1, depth=2, l2=20.0, rounds=3), bo.Setting(.3, depth=4, l2=0.0, l1=15.0, rounds=2)]
-    models = bo.boost(c, ["a", "b", "g"], ["g"], settings)
+    models = bo.boost(c.repartition(bo.FEW_TASKS + 1), ["a", "b", "g"], ["g"], settings)
+    few = bo.boost(c.coalesce(2), ["a", "b", "g"], ["g"], settings)
+    assert all(np.allclose(a.value, b.value) for m, o in zip(models, few) for a, b in zip(m.trees, o.trees))
     for s, m in zip(settings, models):
         got = {(r.a, r.b, r.g): r.rawPrediction for r in m.transform(c).collect()}
         want = plain(s)
