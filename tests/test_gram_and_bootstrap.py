@@ -140,3 +140,17 @@ def test_bootstrap_of_a_mean_never_multiplies_rows(spark):
     assert all(r.value is None for r in bootstrap_metric(df.filter("m IS NULL AND id IS NOT NULL"), "id", F.col("m"), 3).collect())
     one = {r.rep: r.value for r in bootstrap_metric(df.filter("id = 7 AND m IS NOT NULL").withColumn("m", F.lit(1.0)), "id", F.col("m"), 30).collect()}
     assert {r for r, v in one.items() if v is None} == set(np.flatnonzero(poisson_weights(np.array([7]), np.arange(30))[0] == 0).tolist())
+
+
+def test_regressors_on_sums_are_those_of_the_rows(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+    from larkspur.plans.learning import bakeoff_on_sums
+    v = spark.range(2000).selectExpr("id", "double(id % 17) + 500 AS a", "double((id * 7) % 11) / 10 AS b", "CASE id % 3 WHEN 0 THEN 'u' WHEN 1 THEN 'v' ELSE 'w' END AS g",
+                                     "double(id % 17 * 3 + (id * 7) % 11 + (id % 3) * 5 + pmod(hash(id), 100) / 10) AS y", "int(pmod(hash(id, 1), 3)) AS fold", "id % 5 > 0 AS train").cache()
+    models = {"linear": LinearRegression(labelCol="y"), "ridge": LinearRegression(labelCol="y", regParam=.7), "tree": DecisionTreeRegressor(labelCol="y", maxDepth=4)}
+    want = bakeoff("rmse", models, v.filter("train"), v.filter("not train"), RegressionEvaluator(labelCol="y", metricName="rmse"), ["a", "b"], ("g",), folds=3)
+    got = bakeoff_on_sums("rmse", models, v, ["a", "b"], "g", folds=3)
+    for w, r in zip(want, got):
+        assert r[:2] == w[:2] and r[5] > 0
+        assert r[2:5] == pytest.approx(w[2:5], rel=1e-6)
